@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from quarry.llm.chat_format import OP4_SQL, op4_chat_format
+from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_chat_format": op4_chat_format,
+    "op7_mixing": op7_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op4_chat_format": OP4_SQL,
+    "op7_mixing": OP7_SQL,
 }
-ORACLES: dict[str, str] = {}
