@@ -33,6 +33,10 @@ from pyspark.sql import functions as F
 from quarry.llm import text as tx
 
 
+#: Stands for a null id, so that join keys are never null.
+NO_ID = -(1 << 63)
+
+
 def _half(n: int) -> int:
     return (n + 1) // 2
 
@@ -49,7 +53,7 @@ def _anchors(n: int):
         for batch in tx.chunks(batches, "text"):
             w = tx.words(batch.column("text"))
             hashes, good = _anchor_hashes(w, n)
-            at = np.flatnonzero(good)
+            at = np.flatnonzero(good & (np.asarray(batch.column("did")) != NO_ID)[w.owner[: len(good)]])
             if not len(at):
                 continue
             pairs = np.stack([w.owner[at].astype(np.uint64), hashes[at]], 1)
@@ -59,8 +63,8 @@ def _anchors(n: int):
             pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
             rows = pa.array(pairs[:, 0].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), tx.as_long(pairs[:, 1])],
-                ["doc_id", "text_key", "anchor"],
+                [batch.column("did").take(rows), batch.column("text_key").take(rows), tx.as_long(pairs[:, 1])],
+                ["did", "text_key", "anchor"],
             )
 
     return run
@@ -75,22 +79,27 @@ def _windows(n: int):
             if not len(at):
                 continue
             owner = w.owner[at]
-            anchors = batch.column("anchors")
-            held = np.asarray(anchors.flatten()).astype(np.int64).view(np.uint64)
-            of = np.repeat(np.arange(batch.num_rows), np.asarray(anchors.value_lengths()))
             tag = tx.mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
-            keep = np.isin(hashes[at] ^ tag[owner], held ^ tag[of])
+
+            def held(column, tag=tag, batch=batch):
+                listed = batch.column(column)
+                of = np.repeat(np.arange(batch.num_rows), np.asarray(listed.value_lengths()))
+                return np.asarray(listed.flatten()).astype(np.int64).view(np.uint64) ^ tag[of]
+
+            own = hashes[at] ^ tag[owner]
+            keep = np.isin(own, held("anchors"))
             at, owner = at[keep], owner[keep]
             rows = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(rows),
+                    batch.column("did").take(rows),
                     batch.column("text_key").take(rows),
                     pa.array((at - w.bounds[owner]).astype(np.int32)),
                     tx.as_long(tx.grams(w, n)[at]),
                     pa.array((tx.grams(w, n, second=True)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array(np.isin(own[keep], held("late_anchors"))),
                 ],
-                ["doc_id", "text_key", "pos", "h", "h2"],
+                ["did", "text_key", "pos", "h", "h2", "late"],
             )
 
     return run
@@ -119,8 +128,8 @@ def _rewritten(n: int, with_text: bool):
                 digests.append(hashlib.sha256(text).hexdigest())
                 if with_text:
                     kept.append(text.decode() if lost[row] else batch.column("text")[row].as_py())
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(w.counts.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(digests)]
-            names = ["doc_id", "text_key", "n_words", "n_removed", "kept_sha256"]
+            columns = [batch.column("did"), batch.column("text_key"), pa.array(w.counts.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(digests)]
+            names = ["did", "text_key", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 columns.append(pa.array(kept, pa.string()))
                 names.append("kept_text")
@@ -129,32 +138,46 @@ def _rewritten(n: int, with_text: bool):
     return run
 
 
-def repeated_starts(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, pos): words at which a window starts that also starts in a document with a smaller id."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    known = base.where("doc_id is not null")
-    # first level: half windows, anchors only
-    anchors = known.mapInArrow(_anchors(window), "doc_id long, text_key long, anchor long")
-    shared = (
-        anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        .select("anchor", F.xxhash64("anchor").alias("k"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Both joins with the texts use this one plan, so its exchange is written once and read twice.  The keys are never null."""
+    return docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"),
+        F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"),
     )
+
+
+def _join_grouped(left: DataFrame, grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """Join with the groups of the keys, on the keys and a derived one more.
+
+    The grouped side then gets an exchange of its own instead of reusing the
+    aggregation's, and adaptive execution can split a hot key on both sides.
+    """
+    right = grouped.withColumnsRenamed({k: f"r_{k}" for k in keys})
+    on = F.pmod(F.col(keys[0]), F.lit(2)) == F.pmod(F.col(f"r_{keys[0]}"), F.lit(2))
+    for k in keys:
+        on &= F.col(k) == F.col(f"r_{k}")
+    return left.join(right, on).drop(*[f"r_{k}" for k in keys])
+
+
+def repeated_starts(base: DataFrame, window: int = 50) -> DataFrame:
+    """(did, text_key, pos): words at which a window starts that also starts in a document with a smaller id."""
+    # first level: half windows, anchors only
+    anchors = base.mapInArrow(_anchors(window), "did long, text_key long, anchor long")
+    shared = anchors.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "lo")
     candidates = (
-        anchors.withColumn("k", F.xxhash64("anchor")).join(shared, ["k", "anchor"])
-        .groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
+        _join_grouped(anchors, shared, ["anchor"])
+        .groupBy("did", "text_key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("lo") < F.col("did"), F.col("anchor"))).alias("late_anchors"))
     )
     # second level: twice the length, candidates only
-    windows = known.join(candidates, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors").mapInArrow(
-        _windows(window), "doc_id long, text_key long, pos int, h long, h2 int"
+    windows = base.join(candidates, ["did", "text_key"]).select("did", "text_key", "text", "anchors", "late_anchors").mapInArrow(
+        _windows(window), "did long, text_key long, pos int, h long, h2 int, late boolean"
     )
     repeats = (
-        windows.groupBy("h", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
-        .select("h", "h2", "first_id", F.xxhash64("h", "h2").alias("k"))
-    )
-    return (
-        windows.withColumn("k", F.xxhash64("h", "h2")).join(repeats, ["k", "h", "h2"])
-        .where("doc_id > first_id").select("doc_id", "text_key", "pos")
+        windows.groupBy("h", "h2").agg(F.min("did").alias("first_id"), F.max("did").alias("last_id")).where("first_id < last_id")
+        .select("h", "h2", "first_id")
     )
+    later = windows.where("late").drop("late")  # the others start in the first document of their anchor
+    return _join_grouped(later, repeats, ["h", "h2"]).where("did > first_id").select("did", "text_key", "pos")
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -164,10 +187,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     kept_text: the kept words joined by one space, or the text as it was where
     nothing is removed (null stays null).
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    marks = repeated_starts(docs, window, id_col, text_col).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("marks"))
-    schema = "doc_id long, text_key long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return base.join(marks, ["doc_id", "text_key"], "left").mapInArrow(_rewritten(window, with_text), schema)
+    base = _keyed(docs, id_col, text_col)
+    marks = repeated_starts(base, window).groupBy("did", "text_key").agg(F.collect_set("pos").alias("marks"))
+    schema = "did long, text_key long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    out = base.join(marks, ["did", "text_key"], "left").mapInArrow(_rewritten(window, with_text), schema)
+    return out.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), *out.columns[1:])
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
