@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,5 +26,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as a Parquet table in the shared folder, and read again.
+
+    For rows that several branches read and that are dear to compute.  The table stays
+    until its folder is emptied, as the result may be read at any later time.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from quarry.llm.chat_format import OP4_SQL, op4_chat_format
+from quarry.llm.html_extract import op9_html_extract
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.substring_dedup import op1_substring_dedup
+from quarry.llm.topk_search import OP10_SQL, op10_topk_search
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_chat_format": op4_chat_format,
     "op7_mixing": op7_mixing,
+    "op9_html_extract": op9_html_extract,
+    "op10_topk_search": op10_topk_search,
 }
 ORACLES: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op7_mixing": OP7_SQL,
+    "op10_topk_search": OP10_SQL,
 }
