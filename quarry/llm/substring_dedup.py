@@ -96,7 +96,7 @@ def _windows(n: int):
                     batch.column("text_key").take(rows),
                     pa.array((at - w.bounds[owner]).astype(np.int32)),
                     tx.as_long(tx.grams(w, n)[at]),
-                    pa.array((tx.grams(w, n, second=True)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array((tx.grams(w, n, second=True)[at] >> np.uint64(48)).astype(np.uint16).view(np.int16)),
                     pa.array(np.isin(own[keep], held("late_anchors"))),
                 ],
                 ["did", "text_key", "pos", "h", "h2", "late"],
@@ -170,10 +170,10 @@ def repeated_starts(base: DataFrame, window: int = 50) -> DataFrame:
     )
     # second level: twice the length, candidates only
     windows = base.join(candidates, ["did", "text_key"]).select("did", "text_key", "text", "anchors", "late_anchors").mapInArrow(
-        _windows(window), "did long, text_key long, pos int, h long, h2 int, late boolean"
+        _windows(window), "did long, text_key long, pos int, h long, h2 short, late boolean"
     )
     repeats = (
-        windows.groupBy("h", "h2").agg(F.min("did").alias("first_id"), F.max("did").alias("last_id")).where("first_id < last_id")
+        windows.groupBy("h", "h2").agg(F.min("did").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
         .select("h", "h2", "first_id")
     )
     later = windows.where("late").drop("late")  # the others start in the first document of their anchor
