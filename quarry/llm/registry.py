@@ -7,10 +7,14 @@ from quarry.llm.html_extract import op9_html_extract
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.substring_dedup import op1_substring_dedup
 from quarry.llm.topk_search import OP10_SQL, op10_topk_search
+from quarry.llm.toxicity import op5_toxicity
+from quarry.llm.url_filter import op2_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_url_filter": op2_url_filter,
     "op4_chat_format": op4_chat_format,
+    "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op9_html_extract": op9_html_extract,
     "op10_topk_search": op10_topk_search,
