@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarry.llm.chat_format import OP4_SQL, op4_chat_format
 from quarry.llm.html_extract import op9_html_extract
 from quarry.llm.mixing import OP7_SQL, op7_mixing
+from quarry.llm.ngram_join import op8_ngram_jaccard
 from quarry.llm.substring_dedup import op1_substring_dedup
 from quarry.llm.topk_search import OP10_SQL, op10_topk_search
 from quarry.llm.toxicity import op5_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_html_extract": op9_html_extract,
     "op10_topk_search": op10_topk_search,
 }

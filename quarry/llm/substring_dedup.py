@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
+from quarry.llm.common import join_grouped
 
 
 #: Stands for a null id, so that join keys are never null.
@@ -146,26 +147,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _join_grouped(left: DataFrame, grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """Join with the groups of the keys, on the keys and a derived one more.
-
-    The grouped side then gets an exchange of its own instead of reusing the
-    aggregation's, and adaptive execution can split a hot key on both sides.
-    """
-    right = grouped.withColumnsRenamed({k: f"r_{k}" for k in keys})
-    on = F.pmod(F.col(keys[0]), F.lit(2)) == F.pmod(F.col(f"r_{keys[0]}"), F.lit(2))
-    for k in keys:
-        on &= F.col(k) == F.col(f"r_{k}")
-    return left.join(right, on).drop(*[f"r_{k}" for k in keys])
-
-
 def repeated_starts(base: DataFrame, window: int = 50) -> DataFrame:
     """(did, text_key, pos): words at which a window starts that also starts in a document with a smaller id."""
     # first level: half windows, anchors only
     anchors = base.mapInArrow(_anchors(window), "did long, text_key long, anchor long")
     shared = anchors.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "lo")
     candidates = (
-        _join_grouped(anchors, shared, ["anchor"])
+        join_grouped(anchors, shared, ["anchor"])
         .groupBy("did", "text_key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("lo") < F.col("did"), F.col("anchor"))).alias("late_anchors"))
     )
     # second level: twice the length, candidates only
@@ -177,7 +165,7 @@ def repeated_starts(base: DataFrame, window: int = 50) -> DataFrame:
         .select("h", "h2", "first_id")
     )
     later = windows.where("late").drop("late")  # the others start in the first document of their anchor
-    return _join_grouped(later, repeats, ["h", "h2"]).where("did > first_id").select("did", "text_key", "pos")
+    return join_grouped(later, repeats, ["h", "h2"]).where("did > first_id").select("did", "text_key", "pos")
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
