@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.chat_format import OP4_SQL, op4_chat_format
+from quarry.llm.decontaminate import op6_decontamination
 from quarry.llm.html_extract import op9_html_extract
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.ngram_join import op8_ngram_jaccard
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_html_extract": op9_html_extract,
