@@ -13,8 +13,9 @@ den * |intersection| >= num * |union|.  Documents with equal sets are one node.
    order of size, into tiles; only pairs of tiles whose sizes can link meet, each in one
    task.  A large component thus is many small tasks; no pairs of rows are emitted.
 3. In a pair of tiles, parity bitmaps of the sets give a lower bound of the symmetric
-   difference by counting bits of an exclusive or, so an upper bound of the overlap; survivors are
-   intersected exactly.  Pairs already connected there are skipped, and only the links that
+   difference by counting bits of an exclusive or, so an upper bound of the overlap.  A first pass
+   moves bitmaps only; nodes that keep a possible partner send their sets, and survivors of
+   the bound are intersected exactly.  Pairs already connected there are skipped, and only the links that
    connect are returned: at most one a node and tile pair.
 4. Connected components of the links are the result.
 
@@ -43,6 +44,8 @@ from quarry.llm.common import connected_components, cut, join_grouped
 MAX_FREQUENT, COUNTED = 200_000, 2_000_000
 #: Nodes of a tile: a share of its component within these bounds.
 TILE_MIN, TILE_MAX, TILES = 64, 2048, 32
+#: Bits of the bitmap that screens pairs before any set travels.
+SCREEN_BITS = 2048
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,11 @@ def _describe(n: int):
     def run(batches):
         for batch in tx.chunks(batches, "text"):
             values, bounds = _sets(batch.column("text"), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), tx.as_long(_node(values, bounds))], ["doc_id", "n", "node"])
+            maps = _bitmaps([values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], SCREEN_BITS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), tx.as_long(_node(values, bounds)), pa.array([m.tobytes() for m in maps], pa.binary())],
+                ["doc_id", "n", "node", "bitmap"],
+            )
 
     return run
 
@@ -111,6 +118,8 @@ def _frequent(n: int):
 
 
 def _prefixes(n: int, num: int, den: int, tokens: np.ndarray, classes: np.ndarray):
+    edges = np.array(bands(num, den))
+
     def run(batches):
         for batch in tx.chunks(batches, "text"):
             values, bounds = _sets(batch.column("text"), n)
@@ -128,7 +137,7 @@ def _prefixes(n: int, num: int, den: int, tokens: np.ndarray, classes: np.ndarra
             chosen = values[order][keep]
             mine = owner[keep]
             yield pa.RecordBatch.from_arrays(
-                [tx.as_long(chosen), pa.array(sizes[mine].astype(np.int32)), tx.as_long(_node(values, bounds)[mine])], ["token", "n", "node"]
+                [tx.as_long(chosen), pa.array((np.searchsorted(edges, sizes, "right") - 1)[mine].astype(np.int32)), tx.as_long(_node(values, bounds)[mine])], ["token", "band", "node"]
             )
 
     return run
@@ -142,11 +151,6 @@ def bands(num: int, den: int, top: int = 1 << 40) -> list[int]:
     return out
 
 
-def _band(size, num: int, den: int):
-    edges = F.array(*[F.lit(x).cast("long") for x in bands(num, den)])
-    return F.aggregate(edges, F.lit(-1), lambda acc, x: acc + (x <= size).cast("int"))
-
-
 def _with_sets(n: int):
     def run(batches):
         for batch in tx.chunks(batches, "text"):
@@ -174,6 +178,49 @@ def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
+def _partners(i: int, sizes: np.ndarray, sides: np.ndarray, maps: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Later rows that row i may link with, by size, side and the bitmaps' bound; rows are in order of size."""
+    end = int(np.searchsorted(sizes, sizes[i] * den // num, "right"))  # larger sets can't link
+    js = np.arange(i + 1, end)
+    if sides[i] != 2:
+        js = js[sides[js] != sides[i]]
+    if not len(js):
+        return js
+    apart = np.bitwise_count(maps[js] ^ maps[i]).sum(1, dtype=np.int64)
+    total = sizes[js] + sizes[i]
+    overlap = (total - apart) // 2  # an upper bound
+    return js[den * overlap >= num * (total - overlap)]
+
+
+def _by_cell(table: pa.Table):
+    """Rows of each pair of tiles in a bin."""
+    cells = np.asarray(table.column("cell"))
+    order = np.argsort(cells, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(cells[order]) != 0])) if len(order) else []
+    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        yield order[a:b]
+
+
+def _screen(num: int, den: int):
+    """Keeps the rows that have a possible partner in their pair of tiles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes, sides = np.asarray(table.column("n")), np.asarray(table.column("side"))
+        maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        keep = np.zeros(table.num_rows, bool)
+        for rows in _by_cell(table):
+            rows = rows[np.argsort(sizes[rows], kind="stable")]
+            n, s, m = sizes[rows], sides[rows], maps[rows]
+            for i in range(len(rows) - 1):
+                js = _partners(i, n, s, m, num, den)
+                if len(js):
+                    keep[rows[i]] = True
+                    keep[rows[js]] = True
+        return table.filter(pa.array(keep)).select(["bin", "cell", "side", "node"])
+
+    return run
+
+
 def _links(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect the nodes of one pair of tiles: between the tiles, or within one (side 2)."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -182,8 +229,7 @@ def _links(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], num: in
     sets = [sets[i] for i in order]
     most = max(1, int(sizes[-1]))
     allowed = 2 * most - 2 * num * most // (num + den) + 2
-    bits = min(16384, max(512, 1 << int(4 * allowed - 1).bit_length()))
-    maps = _bitmaps(sets, bits)
+    maps = _bitmaps(sets, min(16384, max(512, 1 << int(4 * allowed - 1).bit_length())))
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -194,19 +240,7 @@ def _links(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], num: in
 
     out = []
     for i in range(len(sets) - 1):
-        end = int(np.searchsorted(sizes, sizes[i] * den // num, "right"))  # larger sets can't link
-        if end <= i + 1:
-            continue
-        js = np.arange(i + 1, end)
-        if sides[i] != 2:
-            js = js[sides[js] != sides[i]]
-        if not len(js):
-            continue
-        apart = np.bitwise_count(maps[js] ^ maps[i]).sum(1, dtype=np.int64)
-        total = sizes[js] + sizes[i]
-        overlap = (total - apart) // 2  # an upper bound
-        js = js[den * overlap >= num * (total - overlap)]
-        for j in js.tolist():
+        for j in _partners(i, sizes, sides, maps, num, den).tolist():
             a, b = find(i), find(j)
             if a == b:
                 continue
@@ -222,23 +256,19 @@ def _links(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], num: in
 def _verify(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
-        cells = np.asarray(table.column("cell"))
         nodes, sides = np.asarray(table.column("node")), np.asarray(table.column("side"))
         raw = table.column("shingles").to_pylist()
-        order = np.argsort(cells, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(cells[order]) != 0])) if len(order) else []
-        for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
-            rows = order[a:b]
+        for rows in _by_cell(table):
             found += _links(nodes[rows], sides[rows], [np.frombuffer(raw[r], np.uint64) for r in rows], num, den)
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _ties(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) whose components hold every possible link; from (token, n, node)."""
+def _ties(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components hold every possible link; from (token, band, node)."""
     multi = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    shared = join_grouped(rows, multi, ["token"]).select("token", "n", "node", _band(F.col("n"), num, den).alias("band"))
+    shared = cut(join_grouped(rows, multi, ["token"]).select("token", "band", "node"))
     groups = shared.groupBy("token", "band").agg(F.min("node").alias("lead"))
     next_band = F.lead(F.struct("band", "lead")).over(Window.partitionBy("token").orderBy("band"))  # at most one row a band
     across = groups.withColumn("next", next_band).where(F.col("next.band") == F.col("band") + 1).select(F.col("lead").alias("a"), F.col("next.lead").alias("b"))
@@ -247,7 +277,7 @@ def _ties(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _cells(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, cells): the tile pairs of each node; from (node, root, n)."""
+    """(node, bin, cell, side): the tile pairs of each node; from (node, root, n)."""
     by_size = members.groupBy("root", "n").agg(F.count(F.lit(1)).alias("held"))
     w = Window.partitionBy("root").orderBy("n")  # one row a size
     by_size = by_size.withColumn("before", F.sum("held").over(w) - F.col("held")).withColumn("all", F.sum("held").over(Window.partitionBy("root")))
@@ -273,14 +303,13 @@ def _cells(members: DataFrame, num: int, den: int) -> DataFrame:
     sides = pairs.select("root", "tile", F.struct("bin", "cell", F.when(same, 2).otherwise(0).alias("side")).alias("c")).union(
         pairs.where(~same).select("root", F.col("o_tile").alias("tile"), F.struct("bin", "cell", F.lit(1).alias("side")).alias("c"))
     )
-    by_tile = sides.groupBy("root", "tile").agg(F.collect_list("c").alias("cells"))
-    return join_grouped(placed, by_tile, ["root", "tile"]).select("node", "cells")
+    return placed.join(sides, ["root", "tile"]).select("node", "n", "c.bin", "c.cell", "c.side")
 
 
 def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; component_id is the smallest id reachable by links."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(base.mapInArrow(_describe(n), "doc_id long, n long, node long"))
+    rows = cut(base.mapInArrow(_describe(n), "doc_id long, n long, node long, bitmap binary"))
     known = base.where("doc_id is not null")
     frequent = (
         known.mapInArrow(_frequent(n), "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(MAX_FREQUENT).collect()
@@ -288,13 +317,16 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     tokens = np.array([r.token for r in frequent], np.int64).view(np.uint64)
     classes = np.array([1 + int(math.log2(r.times)) for r in frequent], np.int64)
     order = np.argsort(tokens)
-    prefix = known.mapInArrow(_prefixes(n, num, den, tokens[order], classes[order]), "token long, n int, node long")
-    components = connected_components(_ties(prefix, num, den))
+    prefix = known.mapInArrow(_prefixes(n, num, den, tokens[order], classes[order]), "token long, band int, node long")
+    components = connected_components(_ties(prefix))
     # one document stands for each node
     nodes = rows.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     members = cut(components.join(nodes, "node").select("node", "root", "n", "rep"))
     cells = _cells(members.select("node", "root", "n"), num, den)
-    wanted = cells.join(members.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("want"), "cells")
+    # bitmaps first: sets travel only for nodes that have a possible partner, and only to those pairs of tiles
+    maps = rows.select("doc_id", F.col("node").alias("m_node"), "bitmap").join(members.select("node", "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("m_node") == F.col("node"))).groupBy("node").agg(F.first("bitmap").alias("bitmap"))
+    screened = cells.join(maps, "node").groupBy("bin").applyInArrow(_screen(num, den), "bin long, cell long, side int, node long")
+    wanted = screened.groupBy("node").agg(F.collect_list(F.struct("bin", "cell", "side")).alias("cells")).join(members.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("want"), "cells")
     texts = known.join(wanted, "doc_id").select("text", F.col("want").alias("node"), "cells")
     pieces = texts.mapInArrow(_with_sets(n), "bin long, cell long, side int, node long, shingles binary")
     links = pieces.groupBy("bin").applyInArrow(_verify(num, den), "a long, b long")
