@@ -8,6 +8,7 @@ from quarry.llm.html_extract import op9_html_extract
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.ngram_join import op8_ngram_jaccard
 from quarry.llm.substring_dedup import op1_substring_dedup
+from quarry.llm.token_counts import op3_token_counts
 from quarry.llm.topk_search import OP10_SQL, op10_topk_search
 from quarry.llm.toxicity import op5_toxicity
 from quarry.llm.url_filter import op2_url_filter
@@ -15,6 +16,7 @@ from quarry.llm.url_filter import op2_url_filter
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
+    "op3_token_counts": op3_token_counts,
     "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,

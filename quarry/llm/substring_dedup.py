@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import text as tx
 from quarry.llm.common import join_grouped
@@ -132,32 +133,33 @@ def _rewritten(n: int, with_text: bool):
             columns = [batch.column("did"), batch.column("text_key"), pa.array(w.counts.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(digests)]
             names = ["did", "text_key", "n_words", "n_removed", "kept_sha256"]
             if with_text:
-                columns.append(pa.array(kept, pa.string()))
-                names.append("kept_text")
+                columns += [pa.array(kept, pa.string()), batch.column("rest")]
+                names += ["kept_text", "rest"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Both joins with the texts use this one plan, so its exchange is written once and read twice.  The keys are never null."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
+    """Both joins with the texts use this one plan, so its exchange is written once and read twice.  The keys are never null; other columns travel in ``rest``."""
+    rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"),
-        F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"),
     )
 
 
 def repeated_starts(base: DataFrame, window: int = 50) -> DataFrame:
     """(did, text_key, pos): words at which a window starts that also starts in a document with a smaller id."""
     # first level: half windows, anchors only
-    anchors = base.mapInArrow(_anchors(window), "did long, text_key long, anchor long")
+    anchors = base.select("did", "text_key", "text").mapInArrow(_anchors(window), "did long, text_key long, anchor long")
     shared = anchors.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "lo")
     candidates = (
         join_grouped(anchors, shared, ["anchor"])
         .groupBy("did", "text_key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("lo") < F.col("did"), F.col("anchor"))).alias("late_anchors"))
     )
     # second level: twice the length, candidates only
-    windows = base.join(candidates, ["did", "text_key"]).select("did", "text_key", "text", "anchors", "late_anchors").mapInArrow(
+    windows = base.join(candidates, ["did", "text_key"]).select("did", "text_key", "text", "rest", "anchors", "late_anchors").mapInArrow(
         _windows(window), "did long, text_key long, pos int, h long, h2 short, late boolean"
     )
     repeats = (
@@ -168,6 +170,16 @@ def repeated_starts(base: DataFrame, window: int = 50) -> DataFrame:
     return join_grouped(later, repeats, ["h", "h2"]).where("did > first_id").select("did", "text_key", "pos")
 
 
+def _deduped(docs: DataFrame, window: int, id_col: str, text_col: str, with_text: bool, carried: list[str]) -> DataFrame:
+    base = _keyed(docs, id_col, text_col, carried)
+    marks = repeated_starts(base, window).groupBy("did", "text_key").agg(F.collect_set("pos").alias("marks"))
+    kinds = [("did", "bigint"), ("text_key", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256", "string")]
+    schema = T.StructType([T.StructField(n, T.LongType() if k == "bigint" else T.StringType()) for n, k in kinds])
+    if with_text:
+        schema = schema.add("kept_text", T.StringType()).add(base.schema["rest"])
+    return base.join(marks, ["did", "text_key"], "left").mapInArrow(_rewritten(window, with_text), schema)
+
+
 def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Remove the words of every repeated window.
 
@@ -175,11 +187,15 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     kept_text: the kept words joined by one space, or the text as it was where
     nothing is removed (null stays null).
     """
-    base = _keyed(docs, id_col, text_col)
-    marks = repeated_starts(base, window).groupBy("did", "text_key").agg(F.collect_set("pos").alias("marks"))
-    schema = "did long, text_key long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    out = base.join(marks, ["did", "text_key"], "left").mapInArrow(_rewritten(window, with_text), schema)
-    return out.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), *out.columns[1:])
+    out = _deduped(docs, window, id_col, text_col, with_text, [])
+    return out.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), *[c for c in out.columns[1:] if c != "rest"])
+
+
+def rewrite_documents(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the kept text in place of the text, and ``n_words``, ``n_removed`` (replacing input columns of these names)."""
+    carried = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
+    out = _deduped(docs, window, id_col, text_col, True, carried)
+    return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"rest.{c}") for c in docs.columns if c not in ("n_words", "n_removed")], "n_words", "n_removed")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
