@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quarry.plans import evaluation
+
+QUERIES: dict = {**evaluation.QUERIES}
+ORACLES: dict[str, str] = {**evaluation.ORACLES}
