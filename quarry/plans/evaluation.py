@@ -134,7 +134,7 @@ def _arms(spark, d):
     return joins.paired(arm(0, "solved"), arm(1, "solved"), "task_id", "solved").toDF("task_id", "left_solved", "right_solved")
 
 
-@query(f"with {CANDIDATES}, {_ARMS} select "both", left_only, right_only, neither, left_only + right_only as discordant from tab")
+@query(f"""with {CANDIDATES}, {_ARMS} select "both", left_only, right_only, neither, left_only + right_only as discordant from tab""")
 def paired_contingency(spark, d):
     """Two arms over the same tasks."""
     return stats.contingency(_arms(spark, d)).drop("p_value")
