@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
-from quarry.llm.common import connected_components, cut, join_grouped
+from quarry.llm.common import connected_components, cut, join_grouped, release
 
 #: Frequent shingles that executors are told of, at most; and shingles counted at a time.
 MAX_FREQUENT, COUNTED = 200_000, 2_000_000
@@ -322,6 +322,8 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # one document stands for each node
     nodes = rows.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     members = cut(components.join(nodes, "node").select("node", "root", "n", "rep"))
+    del components
+    release(members)  # the ties' shuffle files have served
     cells = _cells(members.select("node", "root", "n"), num, den)
     # bitmaps first: sets travel only for nodes that have a possible partner, and only to those pairs of tiles
     maps = rows.select("doc_id", F.col("node").alias("m_node"), "bitmap").join(members.select("node", "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("m_node") == F.col("node"))).groupBy("node").agg(F.first("bitmap").alias("bitmap"))
