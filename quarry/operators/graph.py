@@ -13,7 +13,7 @@ from quarry.operators.lineage import cut
 from quarry.sources.schemas import RELEVANCE
 
 
-def bounded_rings(seeds: DataFrame, edges: DataFrame, depth: int, fan_out: int, most: int) -> tuple[DataFrame, DataFrame]:
+def bounded_rings(seeds: DataFrame, edges: DataFrame, depth: int, fan_out: int, most: int | None) -> tuple[DataFrame, DataFrame]:
     """(record_id, distance, seeds) within ``depth`` steps of seeds, and a one-row diagnosis.
 
     A node expands to its first ``fan_out`` neighbours in order, whether or not they were visited (cut
@@ -41,8 +41,9 @@ def bounded_rings(seeds: DataFrame, edges: DataFrame, depth: int, fan_out: int,
     least = found.groupBy("node").agg(F.min("distance").alias("least"))
     kept = found.join(least, "node").where("distance = least").groupBy("node").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set("seed")).alias("seeds"))
     total = kept.agg(F.count(F.lit(1)).alias("candidates"))
-    ring = kept.orderBy("distance", "node").limit(most).select(F.col("node").alias("record_id"), "distance", "seeds")
+    ring = (kept if most is None else kept.orderBy("distance", "node").limit(most)).select(F.col("node").alias("record_id"), "distance", "seeds")
     cuts = truncated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("truncated")) if truncated is not None else total.select(F.lit(0).alias("truncated"))
+    most = (1 << 62) if most is None else most
     diag = total.crossJoin(cuts).select("candidates", F.least("candidates", F.lit(most)).alias("retained"), F.greatest(F.col("candidates") - most, F.lit(0)).alias("dropped"), "truncated")  # one row each
     return ring, diag
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import evaluation
+from quarry.plans import corpus, evaluation
 
-QUERIES: dict = {**evaluation.QUERIES}
-ORACLES: dict[str, str] = {**evaluation.ORACLES}
+QUERIES: dict = {**evaluation.QUERIES, **corpus.QUERIES}
+ORACLES: dict[str, str] = {**evaluation.ORACLES, **corpus.ORACLES}
