@@ -6,6 +6,8 @@ import pytest
 
 from quarry.plans import catalog
 
+#: Empty on the smallest tables.
+SPARSE = {"crossing_edges", "unique_name_edges"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -42,4 +44,4 @@ def test_query(spark, sf_dir, con, name):
     a = sorted((tuple(plain(r[n]) for n in names) for r in rows), key=str)
     b = sorted((tuple(plain(v) for v in r) for r in expected), key=str)
     assert a == b
-    assert a
+    assert a or name in SPARSE
