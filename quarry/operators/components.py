@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
-from quarry.operators.lineage import cut, join_grouped
+from quarry.operators.lineage import cut, join_grouped, release
 from quarry.sources.schemas import SPLITS
 
 
@@ -21,10 +21,12 @@ def connected(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = stars.union(stars.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_grouped(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_grouped(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_grouped(large, low, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         stars = cut(small)
+        del both, low, large, small
+        release(stars)
         now = _mark(stars)
         if now == mark:
             break

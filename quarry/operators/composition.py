@@ -127,6 +127,6 @@ def failing_members(df: DataFrame, group: str, item: str, judge) -> DataFrame:
         import pandas as pd
 
         bad = batch_bisect(sorted(pdf[item]), judge)
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(bad), item: bad})
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(bad), item: bad}, dtype=object)
 
     return df.select(group, item).groupBy(group).applyInPandas(run, schema)
