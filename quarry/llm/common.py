@@ -1,94 +1,14 @@
-"""Helpers shared by the operators: where shared files go, and how lineage is cut."""
+"""Helpers shared by the operators, most of them the core library's."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see.  The cluster names it in spark.checkpoint.dir; a local folder is set only where that is unset."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        found = context._jsc.sc().getCheckpointDir()
-        named = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="quarry-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once as a Parquet table in the shared folder, and read again.
-
-    For rows that several branches read and that are dear to compute.  The table stays
-    until its folder is emptied, as the result may be read at any later time.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+from quarry.operators.components import connected as connected_components
+from quarry.operators.lineage import cut, join_grouped, release, shared_folder, written
 
-def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files and checkpoints of finished rounds now, rather than when the driver happens to collect its garbage."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+__all__ = ["connected_components", "cut", "join_grouped", "release", "shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def join_grouped(left: DataFrame, grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """Join with the groups of the keys, on the keys and a derived one more.
-
-    The grouped side then gets an exchange of its own instead of reusing the
-    aggregation's, and adaptive execution can split a hot key on both sides.
-    """
-    right = grouped.withColumnsRenamed({k: f"r_{k}" for k in keys})
-    on = F.pmod(F.col(keys[0]), F.lit(2)) == F.pmod(F.col(f"r_{keys[0]}"), F.lit(2))
-    for k in keys:
-        on &= F.col(k) == F.col(f"r_{k}")
-    return left.join(right, on).drop(*[f"r_{k}" for k in keys])
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b), root being the component's smallest node.
-
-    Alternating large and small stars: every round hooks neighbours to local minima, so
-    long chains shrink geometrically.  A round is two pre-aggregated minima and two joins that
-    can be split on hot nodes; its lineage is cut, and only two sums reach the driver.
-    """
-    stars = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = _mark(stars)
-    while mark[0]:
-        both = stars.union(stars.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_grouped(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = join_grouped(large, low, ["u"])
-        small = hooked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        stars = cut(small)
-        del both, low, large, hooked, small
-        release(stars)
-        now = _mark(stars)
-        if now == mark:
-            break
-        mark = now
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select("v", "v").distinct())
-
-
-def _mark(stars: DataFrame) -> tuple:
-    row = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-    return row[0], row[1]

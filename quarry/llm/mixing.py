@@ -39,12 +39,12 @@ def poisson_quantile(u: Column, rate: Column) -> Column:
 
     The rate is split into slices of at most 16, each inverted with its own number
     (a sum of Poisson numbers is Poisson), so exp() never underflows and no count is
-    cut off: u < 1 - 2**-49 is reached within 100 terms of a slice of 16.
+    cut off: the terms after r + 9 sqrt(r) + 18 together are below 2**-50, and u < 1 - 2**-49.
     """
     def one(v: Column, r: Column) -> Column:
         state = F.struct(F.exp(-r).alias("p"), F.exp(-r).alias("c"), F.lit(0).alias("k"))
         return F.aggregate(
-            F.sequence(F.lit(1), F.lit(100)), state,
+            F.sequence(F.lit(1), F.ceil(r + 9 * F.sqrt(r) + 18).cast("int")), state,
             lambda acc, i: F.when(acc["c"] >= v, acc).otherwise(
                 F.struct((acc["p"] * r / i).alias("p"), (acc["c"] + acc["p"] * r / i).alias("c"), i.alias("k"))
             ),
