@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.operators.components import connected as connected_components
 from quarry.operators.lineage import cut, join_grouped, release, shared_folder, written
 
-__all__ = ["connected_components", "cut", "join_grouped", "release", "shared_folder", "table", "written"]
+__all__ = ["connected_components", "cut", "join_grouped", "most_frequent", "release", "shared_folder", "table", "written"]
+
+
+def most_frequent(counted: DataFrame, limit: int, n: str = "n") -> list:
+    """The most frequent rows of a table of counts, at most ``limit``: whole frequency classes (2 % wide) from the top.
+
+    The driver receives one row a class and then the rows asked for; no task sends a list of its own.
+    """
+    counted = cut(counted.withColumn("_class", F.floor(F.log(n) * 50).cast("int")))
+    sizes = sorted(((r["_class"], r["size"]) for r in counted.groupBy("_class").agg(F.count(F.lit(1)).alias("size")).collect()), reverse=True)
+    held, lowest = 0, None
+    for c, size in sizes:
+        if held + size > limit:
+            break
+        held, lowest = held + size, c
+    return counted.where(F.col("_class") >= lowest).drop("_class").collect() if lowest is not None else []
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

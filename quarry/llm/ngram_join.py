@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
-from quarry.llm.common import connected_components, cut, join_grouped, release
+from quarry.llm.common import connected_components, cut, join_grouped, most_frequent, release
 
 #: Frequent shingles that executors are told of, at most; and shingles counted at a time.
 MAX_FREQUENT, COUNTED = 200_000, 2_000_000
@@ -311,9 +311,8 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(base.mapInArrow(_describe(n), "doc_id long, n long, node long, bitmap binary"))
     known = base.where("doc_id is not null")
-    frequent = (
-        known.mapInArrow(_frequent(n), "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(MAX_FREQUENT).collect()
-    )
+    counted = known.mapInArrow(_frequent(n), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    frequent = most_frequent(counted, MAX_FREQUENT, "times")
     tokens = np.array([r.token for r in frequent], np.int64).view(np.uint64)
     classes = np.array([1 + int(math.log2(r.times)) for r in frequent], np.int64)
     order = np.argsort(tokens)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import most_frequent
 from quarry.llm.html_extract import split_url
 
 
@@ -165,9 +166,9 @@ def unigrams(pages: DataFrame, html_col: str = "html", max_words: int = MAX_WORD
     text = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " "))
     counted = (
         pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}])([a-z]{2,24})(?![\p{L}])"), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "w").limit(max_words)
+        .where(F.col("n") >= MIN_COUNT)
     )
-    return {r.w: r.n for r in counted.collect()}
+    return {r.w: r.n for r in most_frequent(counted, max_words)}
 
 
 def _token_counts(segmenter: Segmenter):
