@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
-from quarry.llm.common import connected_components, cut, join_grouped, most_frequent, release
+from quarry.llm.common import connected_components, cut, join_grouped, most_frequent, release, written
 
 #: Frequent shingles that executors are told of, at most; and shingles counted at a time.
 MAX_FREQUENT, COUNTED = 200_000, 2_000_000
@@ -68,7 +68,9 @@ def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
                     h = tx.mix(np.array([h * np.uint64(0x9E3779B97F4A7C15) ^ x], np.uint64))[0]
             extra.append(h)
         values, owners = np.concatenate([values, np.array(extra, np.uint64)]), np.concatenate([owners, short])
-    order = np.lexsort((values, owners))
+    order = np.argsort(values)
+    # documents of a chunk are few enough for a radix sort
+    order = order[np.argsort(owners[order].astype(np.uint16 if rows < 1 << 16 else np.int64), kind="stable")]
     values, owners = values[order], owners[order]
     if len(values):
         first = np.concatenate([[True], (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])])
@@ -83,29 +85,30 @@ def _node(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return tx.mix((one[bounds[1:]] - one[bounds[:-1]]) ^ np.diff(bounds).astype(np.uint64))
 
 
-def _describe(n: int):
-    def run(batches):
-        for batch in tx.chunks(batches, "text"):
-            values, bounds = _sets(batch.column("text"), n)
-            maps = _bitmaps([values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], SCREEN_BITS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), tx.as_long(_node(values, bounds)), pa.array([m.tobytes() for m in maps], pa.binary())],
-                ["doc_id", "n", "node", "bitmap"],
-            )
+DESCRIBED = "doc_id long, n long, node long, bitmap binary, token long, times long"
 
-    return run
 
+def _describe(n: int):
+    """A row for each document (n is set), and rows of shingles that occur often in a stretch of documents (times is set)."""
 
-def _frequent(n: int):
     def counted(held):
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         keep = counts >= 4
-        return pa.RecordBatch.from_arrays([tx.as_long(values[keep]), pa.array(counts[keep].astype(np.int64))], ["token", "times"])
+        empty = pa.nulls(int(keep.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [empty, empty, empty, pa.nulls(len(empty), pa.binary()), tx.as_long(values[keep]), pa.array(counts[keep].astype(np.int64))], ["doc_id", "n", "node", "bitmap", "token", "times"]
+        )
 
     def run(batches):
         held, size = [], 0
         for batch in tx.chunks(batches, "text"):
-            values, _ = _sets(batch.column("text"), n)
+            values, bounds = _sets(batch.column("text"), n)
+            maps = _bitmaps([values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], SCREEN_BITS)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), tx.as_long(_node(values, bounds)), pa.array([m.tobytes() for m in maps], pa.binary()), none, none],
+                ["doc_id", "n", "node", "bitmap", "token", "times"],
+            )
             held.append(values)
             size += len(values)
             if size >= COUNTED:
@@ -131,7 +134,8 @@ def _prefixes(n: int, num: int, den: int, tokens: np.ndarray, classes: np.ndarra
             if len(tokens):
                 at = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
                 rank = np.where(tokens[at] == values, classes[at], 0)
-            order = np.lexsort((values, rank, owner))
+            # hashes are in order within a document already, and few shingles have a rank
+            order = np.argsort(owner * 64 + rank, kind="stable")
             place = np.arange(len(values)) - bounds[owner]  # owner is sorted, so places count within it
             keep = place < (sizes - -(-num * sizes // den) + 1)[owner]
             chosen = values[order][keep]
@@ -309,14 +313,15 @@ def _cells(members: DataFrame, num: int, den: int) -> DataFrame:
 def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; component_id is the smallest id reachable by links."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(base.mapInArrow(_describe(n), "doc_id long, n long, node long, bitmap binary"))
+    described = cut(base.mapInArrow(_describe(n), DESCRIBED))
+    rows = described.where("n is not null").select("doc_id", "n", "node", "bitmap")
     known = base.where("doc_id is not null")
-    counted = known.mapInArrow(_frequent(n), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    counted = described.where("times is not null").groupBy("token").agg(F.sum("times").alias("times"))
     frequent = most_frequent(counted, MAX_FREQUENT, "times")
     tokens = np.array([r.token for r in frequent], np.int64).view(np.uint64)
     classes = np.array([1 + int(math.log2(r.times)) for r in frequent], np.int64)
     order = np.argsort(tokens)
-    prefix = known.mapInArrow(_prefixes(n, num, den, tokens[order], classes[order]), "token long, band int, node long")
+    prefix = written(known.mapInArrow(_prefixes(n, num, den, tokens[order], classes[order]), "token long, band int, node long"), "prefixes")
     components = connected_components(_ties(prefix))
     # one document stands for each node
     nodes = rows.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
