@@ -129,7 +129,7 @@ def transport(x: str | Column) -> Column:
     return F.regexp_replace(unix_lines(x), "[ \t\n]+\\z", "")
 
 
-#: Fixed value: the instruction of the prompt format whole-proof-v1.
+#: Fixed value: the instruction that opens a proof request.
 INSTRUCTION = "/- Complete the proof below.\nReturn only Lean code continuing after `by`; do not use `sorry` or `admit`. -/"
 
 

@@ -23,13 +23,13 @@ def reason_counts(df: DataFrame, reason: str = "filter_reason") -> DataFrame:
     return df.groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
 
 
-RECORD_VERSION = "mathlib-whole-proof-v1"
+RECORD_VERSION = "proof-corpus-v1"
 
 
 def evaluate_raw(raw: DataFrame, repository: str, revision: str, scope: str = "Mathlib/", version: str = RECORD_VERSION) -> DataFrame:
     """Raw declarations with ``filter_reason`` and, where it is null, the record's derived columns.
 
-    One CASE in the reference's order of tests; the lexer's three verdicts are computed
+    One CASE, tested in a fixed order; the lexer's three verdicts are computed
     in one Arrow pass each.
     """
     proof = F.regexp_replace(x.unix_lines("proof"), r"\s+\z", "")
