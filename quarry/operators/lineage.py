@@ -52,3 +52,23 @@ def join_grouped(left: DataFrame, grouped: DataFrame, keys: list[str]) -> DataFr
     for k in keys:
         on &= F.col(k) == F.col(f"r_{k}")
     return left.join(right, on).drop(*[f"r_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+    """Rows numbered from 0 in a global order, without gathering them in one task.
+
+    Rows are dealt by ranges of the order and kept (cut), so that numbers and offsets come from the same
+    partitions; only one count a partition reaches the driver.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = cut(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_mono")))
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_mono").alias("first")).orderBy("_part").collect()
+    at, shifts = 0, {}
+    for r in counts:
+        shifts[r["_part"]] = at - r["first"]
+        at += r["n"]
+    if not shifts:
+        return held.withColumn(name, F.lit(0).cast("bigint")).drop("_part", "_mono")
+    spark = df.sparkSession
+    offsets = spark.createDataFrame(list(shifts.items()), "_part int, _shift bigint")  # one row a partition
+    return held.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_mono") + F.col("_shift")).drop("_part", "_mono", "_shift")

@@ -50,13 +50,13 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     words = F.split("text", " ", -1)
     return d.select(
         F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("id"), F.concat("source", F.lit("/"), (F.col("doc_id") % 20).cast("string")).alias("file_path"), words[0].alias("declaration_name"),
-        F.floor(F.col("doc_id") / 20).cast("int").alias("line"), F.lit(1).alias("col"), F.slice(words, 2, 5).alias("premises"), F.sha2("text", 256).alias("statement_fingerprint"),
+        F.floor(F.col("doc_id") / 20).cast("int").alias("line"), F.lit(1).alias("col"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("premises"), F.sha2("text", 256).alias("statement_fingerprint"),
         "doc_id", "text", "lang", "source", "n_chars",
     )
 
 
 RECORDS = """rec as (select lpad(cast(doc_id as varchar), 8, '0') as id, source || '/' || cast(doc_id % 20 as varchar) as file_path, string_split(text, ' ')[1] as declaration_name,
-  cast(doc_id // 20 as int) as line, 1 as col, list_slice(string_split(text, ' '), 2, 6) as premises, sha256(text) as statement_fingerprint, doc_id, text, lang, source, n_chars from documents)"""
+  cast(doc_id // 20 as int) as line, 1 as col, string_split(text, ' ')[2:] as premises, sha256(text) as statement_fingerprint, doc_id, text, lang, source, n_chars from documents)"""
 
 #: Labels as corpus facts: a split by hash, a relevance class by labels.
 SPLIT_SQL = "case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'heldout' end"

@@ -73,21 +73,19 @@ def dup_counts(spark, d):
     return dedup.distinct_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))[1]
 
 
-_CONTAM = "(select distinct left(text, 12) as k from documents where doc_id % 25 = 0)"
-
-
-@query(f"select doc_id, left(text, 12) in {_CONTAM} as excluded from documents")
+@query("select doc_id, text in (select text from documents join labels using (doc_id) where quality = 0) as excluded from documents")
 def contamination_partition(spark, d):
     """both sides of a membership test are kept."""
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 12).alias("k"))
-    kept, gone = filters.partition_by_membership(docs, docs.where("doc_id % 25 = 0"), "k")
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
+    low = docs.join(table(spark, d, "labels").where("quality = 0"), "doc_id", "left_semi")
+    kept, gone = filters.partition_by_membership(docs, low, "k")
     return kept.withColumn("excluded", F.lit(False)).unionByName(gone.withColumn("excluded", F.lit(True))).drop("k")
 
 
-@query("""select item_id, case when left(text, 4) in (select left(text, 4) from documents) then 'statement-overlap' when length(text) in (select length(text) from documents) then 'family-overlap' end as reason from benchmark""")
+@query("""select item_id, case when text in (select text from documents) then 'statement-overlap' when length(text) in (select length(text) from documents) then 'family-overlap' end as reason from benchmark""")
 def benchmark_clean(spark, d):
     """items that share a key with training, with the reason."""
-    key = lambda t: t.select("*", F.substring("text", 1, 4).alias("fp"), F.char_length("text").alias("family"))
+    key = lambda t: t.select("*", F.sha2("text", 256).alias("fp"), F.char_length("text").alias("family"))
     kept, gone = filters.clean_benchmark(key(table(spark, d, "benchmark")), key(table(spark, d, "documents")), "fp", "family")
     return kept.select("item_id", F.lit(None).cast("string").alias("reason")).unionByName(gone.select("item_id", "reason"))
 
@@ -206,7 +204,7 @@ def split_hygiene(spark, d):
     return expectations.crossing(r, [("file_path", "split"), ("statement_fingerprint", "split"), ("source", "lang")])
 
 
-_EDGE2 = "ed as (select distinct 'p' || l_partkey as source, 's' || l_suppkey as target from lineitem union select distinct 's' || l_suppkey, 'p' || l_partkey from lineitem), sd as (select distinct 'p' || l_partkey as seed from lineitem where l_partkey % 40 = 1)"
+_EDGE2 = "ed as (select distinct 'p' || l_partkey as source, 's' || l_suppkey as target from lineitem union select distinct 's' || l_suppkey, 'p' || l_partkey from lineitem), sd as (select distinct 'p' || l_partkey as seed from lineitem join part on l_partkey = p_partkey where p_size = 1)"
 _RINGS = f"""{_EDGE2}, near as (select source, target from (select *, row_number() over (partition by source order by target) as rn from ed) where rn <= 6),
   f1 as (select distinct seed, target as node from sd join near on seed = source where target <> seed), f2 as (select distinct f1.seed, n.target as node from f1 join near n on f1.node = n.source where n.target <> f1.seed and not exists (select 1 from f1 v where v.seed = f1.seed and v.node = n.target)),
   al as (select seed, node, 1 as distance from f1 union all select seed, node, 2 from f2), ok as (select * from al where node not in (select seed from sd)), best as (select node, min(distance) as distance from ok group by 1)"""
@@ -215,7 +213,8 @@ _RINGS = f"""{_EDGE2}, near as (select source, target from (select *, row_number
 def _part_graph(spark, d):
     li = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"), "l_partkey")
     edges = li.select("source", "target").union(li.select("target", "source")).distinct()
-    return li.where("l_partkey % 40 = 1").select(F.col("source").alias("seed")).distinct(), edges
+    small = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("l_partkey"))
+    return li.join(small, "l_partkey", "left_semi").select(F.col("source").alias("seed")).distinct(), edges
 
 
 @query(f"with {_RINGS} select o.node as record_id, cast(o.distance as int) as distance, string_agg(distinct o.seed, ',' order by o.seed) as seeds from ok o join best b on o.node = b.node and o.distance = b.distance group by 1, 2 order by 2, 1 limit 200")
@@ -290,22 +289,22 @@ def seed_families(spark, d):
     return filters.seed_families(r, fams).select("doc_id", "family_id")
 
 
-_MERGE = """b as (select sha256(lower(left(text, 3))) as statement_id, doc_id as pos, lang, source, text, length(text) as n from documents), v as (select statement_id, pos, left(text, 5) as fingerprint, lpad(cast(pos as varchar), 8, '0') as variant_id, left(text, 40) as proof from b),
+_MERGE = """b as (select sha256(text) as statement_id, doc_id as pos, lang, source, text from documents), v as (select statement_id, pos, source as fingerprint, lpad(cast(pos as varchar), 8, '0') as variant_id, source || ': ' || text as proof from b),
   k as (select * from (select *, row_number() over (partition by statement_id, fingerprint order by pos) as rn from v) where rn = 1)"""
 
 
-@query(f"""with {_MERGE}, long as (select statement_id, arg_max(proof, strlen(proof) * 100000000 - cast(variant_id as bigint)) as proof from k group by 1), h as (select statement_id, arg_min(text, pos) as t, case when count(distinct 'lane-' || lang) > 1 then 'mixed-real' else min('lane-' || lang) end as provenance, string_agg(distinct lang, ',' order by lang) as tags from b group by 1)
-  select h.statement_id, provenance, tags, (select string_agg(variant_id, ',' order by variant_id) from k where k.statement_id = h.statement_id) as variants, cast(length(left(t, 20)) as int) as declaration_chars, cast(length(proof) as int) as proof_chars, cast(strlen(left(t, 20) || ' := ' || proof) as int) as utf8_bytes from h join long using (statement_id)""")
+@query(f"""with {_MERGE}, long as (select statement_id, arg_max(proof, strlen(proof) * 100000000 - cast(variant_id as bigint)) as proof from k group by 1), h as (select statement_id, arg_min(text, pos) as t, case when count(distinct source) > 1 then 'mixed-real' else min(source) end as provenance, string_agg(distinct lang, ',' order by lang) as tags, string_agg(distinct source, ',' order by source) as memberships from b group by 1)
+  select h.statement_id, provenance, tags, memberships, (select string_agg(variant_id, ',' order by variant_id) from k where k.statement_id = h.statement_id) as variants, cast(length(t) as int) as declaration_chars, cast(length(proof) as int) as proof_chars, cast(strlen(t || ' := ' || proof) as int) as utf8_bytes from h join long using (statement_id)""")
 def merge_statements(spark, d):
     """One row a statement."""
     docs = table(spark, d, "documents")
-    v = F.array(F.struct(F.substring("text", 1, 5).alias("fingerprint"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("variant_id"), F.substring("text", 1, 40).alias("proof")))
+    v = F.array(F.struct(F.col("source").alias("fingerprint"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("variant_id"), F.concat("source", F.lit(": "), "text").alias("proof")))
     rows = docs.select(
-        F.sha2(F.lower(F.substring("text", 1, 3)), 256).alias("statement_id"), F.col("doc_id").alias("pos"), F.lit("training").alias("role"), F.lit("e").alias("environment_id"), F.concat(F.lit("lane-"), "lang").alias("provenance"),
-        F.substring("text", 1, 20).alias("declaration"), F.array("lang").alias("tags"), F.array("source").alias("memberships"), v.alias("variants"),
+        F.sha2("text", 256).alias("statement_id"), F.col("doc_id").alias("pos"), F.lit("training").alias("role"), F.lit("e").alias("environment_id"), F.col("source").alias("provenance"),
+        F.col("text").alias("declaration"), F.array("lang").alias("tags"), F.array("source").alias("memberships"), v.alias("variants"),
     )
     m = dedup.merge_statements(rows)
-    return m.select("statement_id", "provenance", F.array_join("tags", ",").alias("tags"), F.array_join(F.transform("variants", lambda s: s["variant_id"]), ",").alias("variants"), "declaration_chars", "proof_chars", "utf8_bytes")
+    return m.select("statement_id", "provenance", F.array_join("tags", ",").alias("tags"), F.array_join("memberships", ",").alias("memberships"), F.array_join(F.transform("variants", lambda s: s["variant_id"]), ",").alias("variants"), "declaration_chars", "proof_chars", "utf8_bytes")
 
 
 _WALK = f"""src as (select file_path, declaration_name, line, col, case when quality = 1 then 'included' else 'excluded' end as disposition from rec join labels using (doc_id)), hist as (select id as row_id, case when doc_id % 3 = 2 then '' else file_path end as file_path, case when doc_id % 3 = 1 then 'other' else declaration_name end as declaration_name, line, col from rec)"""
@@ -366,11 +365,11 @@ def crossing_edges(spark, d):
     return joins.crossing_edges(joins.premise_edges(r), r.select("id", split_of().alias("split")))
 
 
-@query(f"""with {RECORDS}, lab as (select doc_id from labels), v as (select id from rec join lab using (doc_id) union select id from rec where source = 'src2' union select id from rec where doc_id % 11 = 0) select v.id from v join rec using (id) where {SPLIT_SQL} = 'train'""")
+@query(f"""with {RECORDS}, lab as (select doc_id from labels), v as (select id from rec join lab using (doc_id) union select id from rec where source = 'src2' union select id from rec where lang = 'de') select v.id from v join rec using (id) where {SPLIT_SQL} = 'train'""")
 def view_membership(spark, d):
     """A union of memberships within the training rows."""
     r = records(spark, d)
-    v = r.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("id").union(r.where("source = 'src2'").select("id")).union(r.where("doc_id % 11 = 0").select("id")).distinct()
+    v = r.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("id").union(r.where("source = 'src2'").select("id")).union(r.where("lang = 'de'").select("id")).distinct()
     return v.join(r.where(split_of() == "train").select("id"), "id", "left_semi")
 
 
@@ -381,23 +380,23 @@ def unresolved_refs(spark, d):
     return joins.unresolved_references(li, "refs", table(spark, d, "part"), "p_partkey", "l_orderkey")
 
 
-@query(f"""with {RECORDS}, own as (select id as supports, declaration_name as dep from rec), r as (select id as statement_id, premises[1] as dep from rec where doc_id % 4 = 0) select distinct statement_id, supports from r join own using (dep) where statement_id <> supports and dep <> 'the'""")
+@query("""with own as (select distinct l_orderkey as supports, l_partkey as dep from lineitem where l_linenumber = 1) select distinct l_orderkey as statement_id, supports from lineitem join own on l_partkey = dep where l_orderkey <> supports""")
 def support_closure(spark, d):
-    """One dependency hop, many to many."""
-    r = records(spark, d)
-    variants = r.where("declaration_name <> 'the'").select(F.col("id").alias("statement_id"), F.col("declaration_name").alias("source_declaration_name"))
-    return joins.support_closure(r.where("doc_id % 4 = 0").select(F.col("id").alias("statement_id"), F.try_element_at("premises", F.lit(1)).alias("dependency")), variants)
+    """One dependency hop, many to many: orders that begin with a part support those that use it."""
+    li = table(spark, d, "lineitem")
+    variants = li.where("l_linenumber = 1").select(F.col("l_orderkey").alias("statement_id"), F.col("l_partkey").alias("source_declaration_name"))
+    return joins.support_closure(li.select(F.col("l_orderkey").alias("statement_id"), F.col("l_partkey").alias("dependency")), variants)
 
 
-@query("""with k as (select s_suppkey as id, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') as a from supplier union all select c_custkey + 1000000, regexp_replace(lower(c_mktsegment), '[^a-z0-9]', '', 'g') from customer where c_custkey <= 40 union all select n_nationkey + 2000000, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') from nation)
-  select a as alias_key, array_to_string(list_sort(list(distinct id)), ',') as owners from k group by 1 having count(distinct id) > 1""")
+@query("""with k as (select 's' || s_suppkey as id, s_name as a from supplier union all select 'p' || p_partkey, p_name from part union all select 'n' || n_nationkey, n_name from nation union all select 'r' || r_regionkey, r_name from region),
+  n as (select id, regexp_replace(lower(a), '[^a-z0-9]', '', 'g') as alias_key from k) select alias_key, array_to_string(list_sort(list(distinct id)), ',') as owners from n where alias_key <> '' group by 1 having count(distinct id) > 1""")
 def alias_collisions(spark, d):
     """A31, F31."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id"), F.array("s_name").alias("aliases"))
-    c = table(spark, d, "customer").where("c_custkey <= 40").select((F.col("c_custkey") + 1000000).alias("id"), F.array("c_mktsegment").alias("aliases"))
-    n = table(spark, d, "nation").select((F.col("n_nationkey") + 2000000).cast("bigint").alias("id"), F.array("n_name").alias("aliases"))
-    out = graph.alias_collisions(s.union(c).union(n))
-    return out.select("alias_key", F.array_join(F.transform("owners", lambda o: o.cast("string")), ",").alias("owners"))
+    every = None
+    for t, mark, key, name in (("supplier", "s", "s_suppkey", "s_name"), ("part", "p", "p_partkey", "p_name"), ("nation", "n", "n_nationkey", "n_name"), ("region", "r", "r_regionkey", "r_name")):
+        part = table(spark, d, t).select(F.concat(F.lit(mark), key).alias("id"), F.array(name).alias("aliases"))
+        every = part if every is None else every.union(part)
+    return graph.alias_collisions(every).select("alias_key", F.array_join("owners", ",").alias("owners"))
 
 
 @query("select lang, sha256(string_agg(cast(doc_id as varchar) || chr(0), '' order by doc_id)) as digest, count(*) as n from documents group by lang")
@@ -407,11 +406,11 @@ def ordered_digest(spark, d):
     return dedup.ordered_digest(docs, "text_id", ["doc_id"], group=["lang"])
 
 
-@query("select role, count(distinct conv_id) as conversations, count(distinct list_sort([role, left(text, 1)])) as sets, count(distinct sha256(text)) as texts from conversations group by role")
+@query("select role, count(distinct conv_id) as conversations, count(distinct list_sort([role, cast(length(text) as varchar)])) as sets, count(distinct sha256(text)) as texts from conversations group by role")
 def derived_distincts(spark, d):
     """Distinct counts over derived keys."""
     c = table(spark, d, "conversations")
-    return c.groupBy("role").agg(F.count_distinct("conv_id").alias("conversations"), F.count_distinct(F.array_sort(F.array("role", F.substring("text", 1, 1)))).alias("sets"), F.count_distinct(F.sha2("text", 256)).alias("texts"))
+    return c.groupBy("role").agg(F.count_distinct("conv_id").alias("conversations"), F.count_distinct(F.array_sort(F.array("role", F.char_length("text").cast("string")))).alias("sets"), F.count_distinct(F.sha2("text", 256)).alias("texts"))
 
 
 @query("select doc_id, len(string_split(text, ' ')) as sequence_length, len(string_split(text, ' ')) <= 300 as fits from documents")
@@ -427,44 +426,47 @@ def length_range(spark, d):
     return filters.length_range(table(spark, d, "documents"), F.char_length("text"), F.size(F.split("text", " ", -1)), 500, 2000, 250).select("doc_id")
 
 
-@query("""select doc_id, substr(text, 3 + 1, 9) as cut, left(text, 3) || 'XY' || substr(text, 13) as put, substr(string_split(text, chr(10))[1], 2, 4) as by_line from documents where length(text) >= 12 and length(string_split(text, chr(10))[1]) >= 5""")
+@query("""select doc_id, substr(text, 4) as cut, left(text, 3) || 'XY' || substr(text, 13) as put, case when length(string_split(text, chr(10))[1]) >= 2 then substr(string_split(text, chr(10))[1], 2) end as by_line from documents""")
 def span_slices(spark, d):
     """slices and substitutions by offset and by (line, column)."""
-    docs = table(spark, d, "documents").where((F.char_length("text") >= 12) & (F.char_length(F.split("text", "\n", -1)[0]) >= 5))
-    point = lambda a, b: F.struct(F.lit(a).alias("line"), F.lit(b).alias("column"))
-    span = F.struct(point(1, 2).alias("start"), point(1, 6).alias("end"))
+    docs = table(spark, d, "documents")
+    end = F.char_length(F.split("text", "\n", -1)[0]) + 1
+    span = F.struct(F.struct(F.lit(1).alias("line"), F.lit(2).alias("column")).alias("start"), F.struct(F.lit(1).alias("line"), end.alias("column")).alias("end"))
     put = x.substitute_spans("text", F.array(F.struct(F.lit(3).alias("start"), F.lit(12).alias("end"), F.lit("XY").alias("text"))))
-    return docs.select("doc_id", F.substring("text", 4, 9).alias("cut"), put.alias("put"), x.source_slice("text", span).alias("by_line"))
+    return docs.select("doc_id", F.substring("text", F.lit(4), F.char_length("text")).alias("cut"), put.alias("put"), x.source_slice("text", span).alias("by_line"))
+
+
+_BODY = "array_to_string(list_transform(string_split({}, chr(10)), lambda l: case when regexp_full_match(l, '\\s*') then l else '{}' || l end), chr(10))"
 
 
-@query("""select doc_id, case when doc_id % 3 = 0 then 'none' when doc_id % 3 = 1 then 'equations-to-fun-exact' else 'term-to-exact' end as transformation,
-  case when doc_id % 3 = 0 then 'by ' || w when doc_id % 3 = 1 then 'by' || chr(10) || '  exact (' || chr(10) || '    @fun' || chr(10) || '      | ' || w || chr(10) || '  )' else 'by' || chr(10) || '  exact (' || chr(10) || '    ' || w || chr(10) || '  )' end as proof, case when doc_id % 3 = 0 then w end as completion
-  from (select doc_id, string_split(text, ' ')[1] as w from documents) where not contains(w, chr(10))""")
+@query(f"""with w as (select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as w from documents) select doc_id, case when doc_id % 3 = 0 then 'none' when doc_id % 3 = 1 then 'equations-to-fun-exact' else 'term-to-exact' end as transformation,
+  sha256(case when doc_id % 3 = 0 then 'by ' || w when doc_id % 3 = 1 then 'by' || chr(10) || '  exact (' || chr(10) || {_BODY.format("'@fun' || chr(10) || " + _BODY.format("('| ' || w)", '  '), '    ')} || chr(10) || '  )' else 'by' || chr(10) || '  exact (' || chr(10) || {_BODY.format('w', '    ')} || chr(10) || '  )' end) as proof_sha256,
+  case when doc_id % 3 = 0 then sha256(w) end as completion_sha256 from w""")
 def canonical_proofs(spark, d):
-    """canonical proofs by form, and completions."""
-    w = F.split("text", " ", -1)[0]
-    docs = table(spark, d, "documents").select("doc_id", w.alias("w")).where(~F.col("w").contains("\n"))
+    """canonical proofs by form, and completions; the form goes by id."""
+    w = F.regexp_replace("text", r"\A\s+|\s+\z", "")
+    docs = table(spark, d, "documents").select("doc_id", w.alias("w"))
     src = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("by "), "w")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("| "), "w")).otherwise(F.col("w"))
     out = docs.select("doc_id", x.canonical_proof(src).alias("p"), x.completion_of(src).alias("completion"))
-    return out.select("doc_id", "p.transformation", "p.proof", "completion")
+    return out.select("doc_id", "p.transformation", F.sha2("p.proof", 256).alias("proof_sha256"), F.sha2("completion", 256).alias("completion_sha256"))
 
 
 _INSTR = x.INSTRUCTION.replace("'", "''")
 
 
-@query(f"""select item_id, sha256(left(text, 9) || chr(10) || chr(10) || '{_INSTR.split(chr(10))[0]}' || chr(10) || '{_INSTR.split(chr(10))[1]}' || chr(10) || text || ' := by' || chr(10) || '  ') as prompt_sha256, rtrim(text || '  ', ' ') = text as exact from benchmark""")
+@query(f"""select item_id, sha256(cast(item_id as varchar) || chr(10) || chr(10) || '{_INSTR.split(chr(10))[0]}' || chr(10) || '{_INSTR.split(chr(10))[1]}' || chr(10) || text || ' := by' || chr(10) || '  ') as prompt_sha256, rtrim(text || '  ', ' ') = text as exact from benchmark""")
 def prompt_render(spark, d):
     """prompts, transport normalisation, exact matches."""
     b = table(spark, d, "benchmark")
-    return b.select("item_id", F.sha2(x.prompt(F.substring("text", 1, 9), "text"), 256).alias("prompt_sha256"), x.target_exact(F.concat("text", F.lit("  ")), "text").alias("exact"))
+    return b.select("item_id", F.sha2(x.prompt(F.col("item_id").cast("string"), "text"), 256).alias("prompt_sha256"), x.target_exact(F.concat("text", F.lit("  ")), "text").alias("exact"))
 
 
-@query("""with s as (select doc_id, list_transform(string_split(left(text, 60), ' '), lambda w: cast(length(w) as int)) as p, list_transform(string_split(substr(text, 61, 40), ' '), lambda w: cast(length(w) as int)) as c from documents)
+@query("""with s as (select doc_id, list_transform(string_split(text, ' '), lambda w: cast(length(w) as int)) as p, list_transform(string_split(source, 'r'), lambda w: cast(length(w) as int)) as c from documents)
   select doc_id, array_to_string(p || c || [0], ',') as input_ids, array_to_string(list_transform(p, lambda z: -100) || c || [0], ',') as labels from s""")
 def sft_rows(spark, d):
     """token rows with masked prompt labels."""
-    ids = lambda c: F.transform(F.split(c, " ", -1), lambda w: F.char_length(w))
-    docs = table(spark, d, "documents").select("doc_id", x.label_mask(ids(F.substring("text", 1, 60)), ids(F.substring("text", 61, 40)), 0).alias("s"))
+    ids = lambda c, by: F.transform(F.split(c, by, -1), lambda w: F.char_length(w))
+    docs = table(spark, d, "documents").select("doc_id", x.label_mask(ids("text", " "), ids("source", "r"), 0).alias("s"))
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
     return docs.select("doc_id", text("s.input_ids").alias("input_ids"), text("s.labels").alias("labels"))
 
@@ -551,18 +553,18 @@ def atlas_edges(spark, d):
     return graph.atlas(entries, generated, rel)[1]
 
 
-@query(f"with {RECORDS} select m.id, r.source, r.lang from (select id from rec where doc_id % 6 = 0) m join rec r using (id)")
+@query(f"with {RECORDS} select m.id, r.source, r.lang from (select id from rec join labels using (doc_id)) m join rec r using (id)")
 def cross_checked_join(spark, d):
     """Members of a store, shared columns checked."""
     r = records(spark, d).select("id", "source", "lang")
-    return joins.cross_checked(r, records(spark, d).where("doc_id % 6 = 0").select("id", "source", "lang"), "id", ["source", "lang"])
+    return joins.cross_checked(r, records(spark, d).join(table(spark, d, "labels"), "doc_id", "left_semi").select("id", "source", "lang"), "id", ["source", "lang"])
 
 
-@query("""with t as (select source, lang, list_sort(list(distinct substr(text, 1, 1))) as tags from documents where doc_id % 2 = 0 group by 1, 2) select doc_id, array_to_string(coalesce(tags, []), ',') as tags from documents left join t using (source, lang)""")
+@query("""with t as (select source, lang, list_sort(list(distinct cast(quality as varchar))) as tags from documents join labels using (doc_id) group by 1, 2) select doc_id, array_to_string(coalesce(tags, []), ',') as tags from documents left join t using (source, lang)""")
 def enrichment(spark, d):
     """Keyed arrays, empty where missing."""
     docs = table(spark, d, "documents")
-    t = docs.where("doc_id % 2 = 0").groupBy("source", "lang").agg(F.array_sort(F.collect_set(F.substring("text", 1, 1))).alias("tags"))
+    t = docs.join(table(spark, d, "labels"), "doc_id").groupBy("source", "lang").agg(F.array_sort(F.collect_set(F.col("quality").cast("string"))).alias("tags"))
     return joins.enriched(docs.select("doc_id", "source", "lang"), t, ["source", "lang"], ["tags"]).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
 from quarry.operators import joins, metrics, sampling, stats
+from quarry.operators.lineage import numbered
 from quarry.plans.bindings import CANDIDATES, TASKS, candidates, expected, passk_sql, table
 from quarry.sources.schemas import CATEGORIES, FINISH_REASONS
 from quarry.streaming import logs
@@ -48,14 +49,14 @@ _FIN = ", ".join(f"count(*) filter (where finish_reason = '{c}') as finish_{c}"
 _LAT = ", ".join(f"round(coalesce(sum({c}_latency_seconds), 0.0), 2) as {c}_latency_sum, round(avg({c}_latency_seconds), 6) as {c}_latency_mean" for c in ("generation", "verification", "total"))
 
 
-@query(f"""with {CANDIDATES}, exp as (select o_orderkey as task_id from orders where o_orderkey % 7 <> 3), four as (select * from cand where candidate_index < 4),
+@query(f"""with {CANDIDATES}, exp as (select o_orderkey as task_id from orders where o_orderstatus <> 'P'), four as (select * from cand where candidate_index < 4),
   t as (select e.task_id, count(c.task_id) as n, count(*) filter (where c.category = 'verified') as v from exp e left join four c using (task_id) group by e.task_id)
   select (select count(*) from t) as task_count, (select count(*) from t where n = 0) as missing_tasks, (select count(*) from t where n > 0 and n <> 4) as broken_tasks, (select count(*) from t where v > 0) as solved,
   (select count(distinct task_id) from four where task_id not in (select task_id from exp)) as unexpected_tasks, count(*) as candidate_count, {_CAT}, {_FIN},
   count(*) filter (where category in ('generation_error', 'verifier_error')) as infrastructure_errors, {_LAT}, cast(sum(generated_token_count) as bigint) as tokens, false as complete, cast(null as double) as pass_at_1 from four""")
 def run_summary_incomplete(spark, d):
     """A2: histograms take every row, task figures the expected ones; an incomplete run has no pass@k."""
-    want = expected(spark, d).where("task_id % 7 <> 3").select("task_id")
+    want = expected(spark, d).where("o_orderstatus <> 'P'").select("task_id")
     out = metrics.run_summary(candidates(spark, d).where("candidate_index < 4"), want, 4, ks=(1,))
     rounded = {f"{c}_latency_{k}": F.round(f"{c}_latency_{k}", 2 if k == "sum" else 6) for c in ("generation", "verification", "total") for k in ("sum", "mean")}
     return out.withColumns(rounded).withColumnRenamed("pass@1", "pass_at_1").drop("solved_fraction")
@@ -149,16 +150,14 @@ def mcnemar_exact(spark, d):
     return cases.select("b", "c", F.round(x.mcnemar_exact("b", "c"), 12).alias("p_value"))
 
 
-_BOOT = f"""with {CANDIDATES}, t as (select task_id, row_number() over (order by task_id) - 1 as pos, count(*) filter (where category = 'verified' and candidate_index < 1) as base, count(*) filter (where category = 'verified' and candidate_index between 1 and 1) as adapter from cand where task_id <= 400 group by task_id),
+_BOOT = f"""with {CANDIDATES}, t as (select task_id, row_number() over (order by task_id) - 1 as pos, count(*) filter (where category = 'verified' and candidate_index < 1) as base, count(*) filter (where category = 'verified' and candidate_index between 1 and 1) as adapter from cand group by task_id),
   n as (select count(*) as n from t)"""
 
 
 def _boot_tasks(spark, d):
-    from pyspark.sql import Window
-
-    c = candidates(spark, d).where("task_id <= 400")  # a fixed workload of the first tasks: the feature is resampling it
+    c = candidates(spark, d)
     t = c.groupBy("task_id").agg(F.count_if((F.col("category") == "verified") & (F.col("candidate_index") < 1)).alias("base"), F.count_if((F.col("category") == "verified") & (F.col("candidate_index") == 1)).alias("adapter"))
-    return t.withColumn("pos", (F.row_number().over(Window.orderBy("task_id")) - 1).cast("bigint"))  # a workload of at most 400 tasks
+    return numbered(t, ["task_id"])
 
 
 def _boot_sql(seed: str, replicates: int) -> str:
@@ -168,25 +167,23 @@ def _boot_sql(seed: str, replicates: int) -> str:
   select metric, round(avg(v), 8) as mean, round(quantile_cont(v, 0.025), 8) as low, round(quantile_cont(v, 0.975), 8) as high, quantile_cont(v, 0.025) <= 0 and quantile_cont(v, 0.975) >= 0 as spans_zero from long group by metric"""
 
 
-@query(_boot_sql("seed-1", 200))
+@query(_boot_sql("seed-1", 60))
 def bootstrap_ci(spark, d):
     """Paired task bootstrap with portable hashes (one candidate a task: pass@1 is 0 or 1)."""
-    out = stats.paired_bootstrap(_boot_tasks(spark, d), 1, 1, 200, "seed-1")
+    out = stats.paired_bootstrap(_boot_tasks(spark, d), 1, 1, 60, "seed-1")
     return out.select("metric", F.round("mean", 8).alias("mean"), F.round("low", 8).alias("low"), F.round("high", 8).alias("high"), "spans_zero")
 
 
 @query(f"""{_BOOT}, tr as (select row_number() over (order by task_id) - 1 as pos, adapter - base as v from t where task_id % 2 = 0), he as (select row_number() over (order by task_id) - 1 as pos, adapter - base as v from t where task_id % 2 = 1),
-  d1 as (select r, cast(('0x' || substr(sha256('g-train|' || r || '|' || i), 1, 15)) as bigint) % (select count(*) from tr) as pos from range(100) a(r), range((select count(*) from tr)) b(i)),
-  d2 as (select r, cast(('0x' || substr(sha256('g-heldout|' || r || '|' || i), 1, 15)) as bigint) % (select count(*) from he) as pos from range(100) a(r), range((select count(*) from he)) b(i)),
+  d1 as (select r, cast(('0x' || substr(sha256('g-train|' || r || '|' || i), 1, 15)) as bigint) % (select count(*) from tr) as pos from range(60) a(r), range((select count(*) from tr)) b(i)),
+  d2 as (select r, cast(('0x' || substr(sha256('g-heldout|' || r || '|' || i), 1, 15)) as bigint) % (select count(*) from he) as pos from range(60) a(r), range((select count(*) from he)) b(i)),
   m as (select a.r, a.v - b.v as gap from (select r, avg(v) as v from d1 join tr using (pos) group by r) a join (select r, avg(v) as v from d2 join he using (pos) group by r) b using (r))
   select round(avg(gap), 8) as mean, round(quantile_cont(gap, 0.025), 8) as low, round(quantile_cont(gap, 0.975), 8) as high from m""")
 def gap_bootstrap(spark, d):
     """Two independent workloads, models paired in each."""
-    from pyspark.sql import Window
-
     t = _boot_tasks(spark, d).drop("pos")
-    part = lambda v: t.where(F.col("task_id") % 2 == v).withColumn("pos", (F.row_number().over(Window.orderBy("task_id")) - 1).cast("bigint"))  # noqa: E731  a bounded workload
-    out = stats.gap_bootstrap(part(0), part(1), 1, 1, 100, "g")
+    part = lambda v: numbered(t.where(F.col("task_id") % 2 == v), ["task_id"])  # noqa: E731  the two workloads share all tasks out
+    out = stats.gap_bootstrap(part(0), part(1), 1, 1, 60, "g")
     return out.select(F.round("mean", 8).alias("mean"), F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
 
 
@@ -285,10 +282,9 @@ def usage_totals(spark, d):
 def argmin_checkpoint(spark, d):
     """Least loss, the earlier step on ties; steps carry an order of dates."""
     o = table(spark, d, "orders")
-    from pyspark.sql import Window
-
-    # step numbers follow dates; the numbering itself is a global window over the log's steps
-    p = o.select(F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")).alias("optimizer_step"), F.round(F.col("o_totalprice") / 1000, 0).alias("mean_target_token_cross_entropy"))
+    # step numbers follow dates
+    steps = numbered(o.select("o_orderdate", "o_orderkey", "o_totalprice"), ["o_orderdate", "o_orderkey"])
+    p = steps.select((F.col("pos") + 1).cast("int").alias("optimizer_step"), F.round(F.col("o_totalprice") / 1000, 0).alias("mean_target_token_cross_entropy"))
     return stats.best_checkpoint(p)
 
 
@@ -359,17 +355,17 @@ def session_events(spark, d):
     return logs.session_counts(table(spark, d, "events"), "ts", "user_id")
 
 
-@query(f"""with {CANDIDATES}, e as (select o_orderkey as task_id from orders where o_orderkey % 5 <> 0), c as (select distinct task_id from cand where task_id % 7 <> 0)
+@query(f"""with {CANDIDATES}, e as (select o_orderkey as task_id from orders where o_orderstatus <> 'P'), c as (select distinct task_id from cand where finish_reason = 'eos')
   select task_id, 'missing' as status from e where task_id not in (select task_id from c) union all select task_id, 'unexpected' from c where task_id not in (select task_id from e)""")
 def id_differences(spark, d):
     """Set differences both ways."""
-    return metrics.id_differences(candidates(spark, d).where("task_id % 7 <> 0"), expected(spark, d).where("task_id % 5 <> 0"))
+    return metrics.id_differences(candidates(spark, d).where("finish_reason = 'eos'"), expected(spark, d).where("o_orderstatus <> 'P'"))
 
 
-@query(f"""with {CANDIDATES}, t as (select o_orderkey as task_id, o_orderpriority from orders where o_orderkey % 3 <> 0) select c.task_id, c.candidate_index, t.o_orderpriority, t.task_id is null as task_missing, case when t.task_id is null then 'verifier_error' else c.category end as category from cand c left join t using (task_id)""")
+@query(f"""with {CANDIDATES}, t as (select o_orderkey as task_id, o_orderpriority from orders where o_orderstatus <> 'P') select c.task_id, c.candidate_index, t.o_orderpriority, t.task_id is null as task_missing, case when t.task_id is null then 'verifier_error' else c.category end as category from cand c left join t using (task_id)""")
 def task_candidates(spark, d):
     """A missing task becomes an error row."""
-    out = joins.task_candidates(candidates(spark, d), expected(spark, d).where("task_id % 3 <> 0").select("task_id", "o_orderpriority"))
+    out = joins.task_candidates(candidates(spark, d), expected(spark, d).where("o_orderstatus <> 'P'").select("task_id", "o_orderpriority"))
     return out.select("task_id", "candidate_index", "o_orderpriority", "task_missing", F.when(F.col("task_missing"), "verifier_error").otherwise(F.col("category")).alias("category"))
 
 
