@@ -21,11 +21,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score is 0.5 or more; texts without matches stay."""
     # the fit reads the unfiltered table, as labels name its documents
     model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=True).where("tox_score < 0.5").select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group linked by 5-word shingles at a Jaccard similarity of 0.8 or more."""
+    """Keep the document with the smallest id of each group linked by 5-word shingles at a Jaccard similarity of 0.8 or more.
+
+    Rows that repeat the smallest id stay together; texts without words are no group.
+    """
     groups = ngram_join.link_components(docs, n=5, num=80, den=100)
     # only ids travel; a document that is not its group's smallest goes
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
@@ -38,9 +41,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Documents that lose nothing keep their text as it is; n_chars is that of the new text.
     """
     kept = substring_dedup.rewrite_documents(docs, 50).where("n_removed = 0 or n_removed < n_words")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("doc.text")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None
+    return kept.select(*[
+        n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("doc")[c].alias(c) for c in docs.columns
+    ])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

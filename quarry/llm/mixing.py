@@ -14,8 +14,8 @@ a source is hot.
 Defined results: a null source is a source of its own; null texts are documents like
 others; sources without a weight take ``default_weight``; a weight of 0 removes a
 source; rows that repeat in full draw the same number and are all copied; an empty
-table gives an empty mix.  Input columns are kept; the operator's own columns are
-``copy`` (from 0) and ``mix_key``, and input columns of these names are dropped.
+table gives an empty mix.  Input columns of any names are kept; the operator's own columns are
+``copy`` (from 0) and ``mix_key``, which replace input columns of these two names.
 """
 
 from __future__ import annotations
@@ -58,45 +58,45 @@ def rates(docs: DataFrame, weights: dict[str, float], epochs: float, default_wei
     """source, rate: weight share times wished rows over rows held."""
     weight = F.lit(float(default_weight))
     for name, w in sorted(weights.items()):
-        weight = F.when(F.col("mix_source") == name, float(w)).otherwise(weight)
-    held = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count(F.lit(1)).alias("held")).withColumn("weight", weight)
+        weight = F.when(F.col("source") == name, float(w)).otherwise(weight)
+    held = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("held")).withColumn("weight", weight)
     total = held.agg(F.sum("held").alias("rows"), F.sum("weight").alias("weights"))
     return held.crossJoin(total).select(  # one row of totals
-        "mix_source", F.when(F.col("weights") > 0, F.col("weight") / F.col("weights") * F.col("rows") * F.lit(float(epochs)) / F.col("held")).otherwise(0.0).alias("rate")
+        "source", F.when(F.col("weights") > 0, F.col("weight") / F.col("weights") * F.col("rows") * F.lit(float(epochs)) / F.col("held")).otherwise(0.0).alias("rate")
     )
 
 
-def copies(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, default_weight: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with ``rate`` and ``n_copies``."""
-    own = [c for c in docs.columns if c not in ("copy", "mix_key", "rate", "n_copies", "mix_source")]
-    base = docs.select(*own).withColumn("mix_source", F.col(source_col))
+def copies(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, default_weight: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(doc, rate, n_copies): each row of docs as a struct, its source's rate and its number of copies."""
     table = rates(docs, WEIGHTS if weights is None else weights, epochs, default_weight, source_col)
-    r = table.select(F.coalesce("mix_source", F.lit("")).alias("rk"), F.col("mix_source").isNull().alias("rn"), "rate")
-    joined = base.join(r, (F.coalesce("mix_source", F.lit("")) == F.col("rk")) & (F.col("mix_source").isNull() == F.col("rn")))
+    r = table.select(F.coalesce("source", F.lit("")).alias("rk"), F.col("source").isNull().alias("rn"), "rate")
+    base = docs.select(F.struct("*").alias("doc"), F.coalesce(source_col, F.lit("")).alias("k"), F.col(source_col).isNull().alias("n"))
+    joined = base.join(r, (F.col("k") == F.col("rk")) & (F.col("n") == F.col("rn")))
     # slices of at most 16; a document's slice i draws its own number
     slices = F.greatest(F.lit(1), F.ceil(F.col("rate") / 16).cast("int"))
-    identity = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    joined = joined.withColumn("n_copies", F.aggregate(
+    drawn = F.aggregate(
         F.sequence(F.lit(1), slices), F.lit(0),
-        lambda acc, i: acc + poisson_quantile(uniform(F.lit(seed), identity, i.cast("string")), F.col("rate") / slices),
-    ))
-    return joined.select(*own, "rate", "n_copies")
+        lambda acc, i: acc + poisson_quantile(uniform(F.lit(seed), _identity(id_col), i.cast("string")), F.col("rate") / slices),
+    )
+    return joined.select("doc", "rate", drawn.alias("n_copies"))
+
+
+def _identity(id_col: str) -> Column:
+    return F.coalesce(F.col("doc")[id_col].cast("string"), F.lit("null"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, default_weight: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, default_weight: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mixed and globally shuffled table: input columns, ``copy``, ``mix_key``."""
-    drawn = copies(docs, weights, epochs, default_weight, seed, id_col, source_col, text_col)
-    own = [c for c in drawn.columns if c not in ("rate", "n_copies")]
-    identity = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    drawn = copies(docs, weights, epochs, default_weight, seed, id_col, source_col)
     out = (
-        drawn.where("n_copies > 0").select(*own, F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
-        .withColumn("mix_key", F.sha2(F.concat_ws("|", F.lit(seed), F.lit("order"), identity, F.col("copy").cast("string")), 256))
+        drawn.where("n_copies > 0").select("doc", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+        .withColumn("mix_key", F.sha2(F.concat_ws("|", F.lit(seed), F.lit("order"), _identity(id_col), F.col("copy").cast("string")), 256))
     )
-    return out.orderBy("mix_key", "copy")
+    return out.orderBy("mix_key", "copy").select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in ("copy", "mix_key")], "copy", "mix_key")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "source", "copy", "mix_key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

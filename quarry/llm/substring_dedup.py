@@ -192,10 +192,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
 
 
 def rewrite_documents(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the kept text in place of the text, and ``n_words``, ``n_removed`` (replacing input columns of these names)."""
-    carried = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
+    """(doc, n_words, n_removed): each row of docs as a struct, with the kept text in place of the text."""
+    carried = [c for c in docs.columns if c != text_col]
     out = _deduped(docs, window, id_col, text_col, True, carried)
-    return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"rest.{c}") for c in docs.columns if c not in ("n_words", "n_removed")], "n_words", "n_removed")
+    doc = F.struct(*[F.col("kept_text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
+    return out.select(doc.alias("doc"), "n_words", "n_removed")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -259,29 +259,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, score, predicted for every row; with ``keep`` all columns of docs and ``tox_score``."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score, predicted for every row."""
 
     def run(batches):
         automaton = model.automaton()
         for batch in batches:
-            totals, words = weigh(automaton, batch.column(text_col).to_pylist())
-            found = pa.array(model.score(totals, words))
-            if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "tox_score"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), found], ["doc_id", "score"])
-
-    if keep:
-        from pyspark.sql import types as T
-
-        own = docs.drop("tox_score")
-        return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("tox_score", T.DoubleType())]))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"doc_id {id_type}, score double")
+            totals, words = weigh(automaton, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(totals, words))], ["doc_id", "score"])
+
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is below the threshold, unchanged."""
+
+    def run(batches):
+        automaton = model.automaton()
+        for batch in batches:
+            totals, words = weigh(automaton, batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array(model.score(totals, words) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

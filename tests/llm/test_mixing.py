@@ -27,8 +27,8 @@ def brute(seed, i, rate):
 
 def test_counts_follow_the_inverse_distribution(spark):
     rows = [(i, f"t{i}", "a" if i < 700 else "b" if i < 995 else None) for i in range(1000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", mixing.F.lit(7))
-    got = {r.doc_id: (r.rate, r.n_copies) for r in mixing.copies(df, {"a": 1.0, "b": 2.0}, 3.0, 1.0).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"copy": mixing.F.lit(7), "rate": mixing.F.lit("r"), "doc": mixing.F.lit("d"), "k": mixing.F.lit(1)})
+    got = {r.doc.doc_id: (r.rate, r.n_copies) for r in mixing.copies(df, {"a": 1.0, "b": 2.0}, 3.0, 1.0).collect()}
     assert all(n == brute(mixing.SEED, i, rate) for i, (rate, n) in got.items())
     assert math.isclose(got[0][0], 1 / 4 * 3000 / 700) and math.isclose(got[999][0], 1 / 4 * 3000 / 5)  # rate 150: many slices
     by = Counter()
@@ -36,7 +36,7 @@ def test_counts_follow_the_inverse_distribution(spark):
         by[s] += got[i][1]
     assert abs(by["b"] - 1500) < 200 and abs(by["a"] - 750) < 150 and abs(by[None] - 750) < 150
     out = mixing.mix(df, {"a": 1.0, "b": 2.0}, 3.0)
-    assert out.columns == ["doc_id", "text", "source", "copy", "mix_key"]
+    assert out.columns == ["doc_id", "text", "source", "rate", "doc", "k", "copy", "mix_key"] and out.first().rate == "r"
     keys = [r.mix_key for r in out.collect()]
     assert keys == sorted(keys) and len(keys) == sum(by.values())
 
@@ -45,7 +45,7 @@ def test_zero_weight_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, "", "b"), (None, "x", "b")], "doc_id long, text string, source string")
     rows = mixing.mix(df, {"a": 0.0}, 2.0).collect()
     assert {r.source for r in rows} <= {"b"}
-    twin = [r.n_copies for r in mixing.copies(df, {}, 4.0).where("doc_id = 1").collect()]
+    twin = [r.n_copies for r in mixing.copies(df, {}, 4.0).where("doc.doc_id = 1").collect()]
     assert len(twin) == 2 and twin[0] == twin[1]
     assert mixing.mix(df.limit(0)).collect() == []
     assert mixing.mix(df, {"a": 0.0, "b": 0.0}).collect() == []

@@ -7,6 +7,9 @@ import corpus_pipeline as cp
 from tests_llm_helpers import brute_components, brute_leaks, brute_windows
 
 
+CLASHING = ["n", "node", "rest", "did", "score", "tox_score", "n_words", "n_removed", "gone_id", "rate", "doc", "k", "marks", "anchors", "kept_text"]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     """Documents with planted toxic texts, near copies, shared passages and benchmark leaks."""
@@ -33,9 +36,11 @@ def folder(spark, tmp_path_factory):
             w[5:5] = own
         docs.append((i, " ".join(w), "en", f"src{rng.randint(0, 3)}", 0))
         labels.append((i, 1, int(any(x in docs[-1][1] for x in ("vilest", "r0tten", "stinker")))))
-    docs += [(400, None, None, None, None), (401, "", "en", "src1", 0), (402, " ".join(passage), "en", "src1", 0), (403, " ".join(passage), "en", "src2", 0)]
+    docs += [(400, None, None, None, None), (401, "", "en", "src1", 0), (402, " ".join(passage), "en", "src1", 0), (403, " ".join(passage), "en", "src2", 0), (404, "word " * 60000, "en", "src1", 0)]
     path = tmp_path_factory.mktemp("sf")
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").withColumn("n_chars", F.char_length("text").cast("long"))
+    # other columns whose names the operators use themselves
+    df = df.withColumns({c: F.lit(c) for c in CLASHING})
     df.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
@@ -73,6 +78,17 @@ def test_stages_against_brute_force(spark, folder):
     assert sorted(map(str, rows)) == sorted(map(str, cp.run(spark, path).collect()))
 
 
+def test_null_ids_and_repeated_rows(spark, folder):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id in (400, 401)")
+    null = docs.where("doc_id = 401").withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit("plain words of a row without an id")})
+    docs = docs.union(docs).union(null).union(null)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect())), name
+    assert {r.doc_id for r in cp.STAGES[-1][1](spark, docs, path).collect()} <= {None, 400, 401}
+
+
 def test_empty_tables(spark, folder):
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)

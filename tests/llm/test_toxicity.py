@@ -67,5 +67,5 @@ def test_edges(spark):
     assert len(got) == 5 and [r.predicted for r in got] == [0, 0, 0, 1, 0] and all(0 <= r.score <= 1 for r in got)
     assert not tx.fit(docs, labels.limit(0)).fitted and tx.score(odd, tx.Model()).agg({"score": "max"}).collect()[0][0] == 0
     assert tx.score(docs.limit(0), model).collect() == []
-    kept = tx.score(odd.withColumnRenamed("score", "tox_score"), model, keep=True)
-    assert kept.columns == ["doc_id", "text", "tox_score"] and kept.count() == 5
+    kept = tx.drop_toxic(odd, model)
+    assert kept.columns == odd.columns and [r.doc_id for r in kept.collect()] == [1, 1, None, 3]
