@@ -41,8 +41,11 @@ def mcnemar_exact(b: str | Column, d: str | Column) -> Column:
 
 
 def nearest_rank(x: str | Column, p: float) -> Column:
-    """sorted[ceil(p n) - 1]."""
-    return F.expr(f"percentile_disc({p}) within group (order by {x})") if isinstance(x, str) else F.percentile(x, p)
+    """sorted[ceil(p n) - 1]; null for no rows."""
+    if isinstance(x, str):
+        return F.expr(f"percentile_disc({p}) within group (order by {x})")
+    held = F.array_sort(F.collect_list(x))
+    return F.try_element_at(held, F.greatest(F.lit(1), F.ceil(F.lit(p) * F.size(held))).cast("int"))
 
 
 def fudged_rank(x: str | Column, p: float) -> Column:

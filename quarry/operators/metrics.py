@@ -111,7 +111,6 @@ def breakdown(tasks: DataFrame, key: str, values: Sequence[str] | None, n: int,
 
 def breakdowns(tasks: DataFrame, keys: Sequence[str], n_col: str = "candidates", k: int = 1) -> DataFrame:
     """Several independent breakdowns in one pass: (dimension, value, tasks, solved, pass_at_k) by grouping sets."""
-    tasks.createOrReplaceTempView("_quarry_tasks")
     sets = ", ".join(f"({c})" for c in keys)
     dim = "case " + " ".join(f"when grouping({c}) = 0 then '{c}'" for c in keys) + " end"
     grouped = tasks.withColumn("_p", x.pass_at_k(n_col, "verified", k))

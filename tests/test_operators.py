@@ -20,6 +20,17 @@ def test_pass_at_k(spark):
         assert got == want if want is None else abs(got - want) < 1e-12
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 19, 20, 21, 40, 100, 101])
+def test_percentile_definitions(spark, n):
+    import math
+
+    df = spark.range(1, n + 1).select((F.col("id") * 10).alias("v"))
+    for p in (0.5, 0.9, 0.95, 0.99):
+        r = df.agg(x.nearest_rank("v", p).alias("a"), x.nearest_rank(F.col("v"), p).alias("b"), x.fudged_rank("v", p).alias("c"), x.interpolated("v", p).alias("d")).collect()[0]
+        nearest = 10 * max(1, math.ceil(round(p * n, 9)))
+        assert (r.a, r.b, r.c) == (nearest, nearest, 10 * max(1, min(n, int(p * n + 0.999999)))) and r.d == pytest.approx(10 * (1 + (n - 1) * p))
+
+
 def test_mcnemar(spark):
     p = lambda a, b: spark.range(1).select(x.mcnemar_exact(F.lit(a), F.lit(b)).alias("p")).collect()[0].p
     assert p(166, 3) == pytest.approx(2.1505332133872815e-45, rel=1e-12) and p(171, 0) == pytest.approx(6.68e-52, rel=1e-3) and p(1, 1) == 1.0 and p(0, 0) == 1.0
