@@ -41,7 +41,7 @@ from quarry.llm import text as tx
 from quarry.llm.common import connected_components, cut, join_grouped, most_frequent, release, written
 
 #: Frequent shingles that executors are told of, at most; and shingles counted at a time.
-MAX_FREQUENT, COUNTED = 200_000, 2_000_000
+MAX_FREQUENT, COUNTED = 200_000, 1_000_000
 #: Nodes of a tile: a share of its component within these bounds.
 TILE_MIN, TILE_MAX, TILES = 64, 2048, 32
 #: Bits of the bitmap that screens pairs before any set travels.
@@ -93,7 +93,7 @@ def _describe(n: int):
 
     def counted(held):
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        keep = counts >= 4
+        keep = counts >= 3
         empty = pa.nulls(int(keep.sum()), pa.int64())
         return pa.RecordBatch.from_arrays(
             [empty, empty, empty, pa.nulls(len(empty), pa.binary()), tx.as_long(values[keep]), pa.array(counts[keep].astype(np.int64))], ["doc_id", "n", "node", "bitmap", "token", "times"]

@@ -23,7 +23,7 @@ _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64 - 1, 2
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bytes of text handled at once, which bounds the working memory of a Python worker.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def _power_tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:

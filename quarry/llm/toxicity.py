@@ -127,9 +127,22 @@ def _signed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("text"), pa.array(signs, pa.int64())], ["doc_id", "toxic", "text", "sign"])
 
 
+#: Features a worker counts before it sends them on.
+HELD_FEATURES = 50_000
+
+
 def _features(batches):
     counts: dict[str, list[int]] = {}
     seen = [0, 0]
+
+    def sent() -> pa.RecordBatch:
+        # rare words of one stretch may add up elsewhere, so all are sent
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["feature", "clean", "toxic"]
+        )
+        counts.clear()
+        return batch
+
     for batch in batches:
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seen[toxic] += 1
@@ -142,11 +155,10 @@ def _features(batches):
                         own.add(f" {w[:n]}")
             for f in own:
                 counts.setdefault(f, [0, 0])[toxic] += 1
+            if len(counts) >= HELD_FEATURES:
+                yield sent()
     counts[""] = seen
-    # rare words of one partition may add up in others, so all are sent
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["feature", "clean", "toxic"]
-    )
+    yield sent()
 
 
 def _around(lexicon: dict[str, float]):
