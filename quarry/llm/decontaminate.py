@@ -38,6 +38,8 @@ from quarry.llm import text as tx
 
 WALKS, SAMPLES, BITS = 6, 16, 2
 SLICE_BYTES = 4 << 20
+#: Bytes of text whose windows are embedded together.
+TOGETHER = 1 << 20
 _CONST = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, (WALKS, 4096), dtype=np.uint64)
 #: Bytes as words see them: A-Z lower-cased, other ASCII than letters and digits a space.
 _CLEAN = bytes(
@@ -277,7 +279,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col:
 def _report(index: Index):
     def run(batches):
         ids = pa.array(index.ids)
-        for batch in tx.chunks(batches, "text"):
+        for batch in tx.chunks(batches, "text", TOGETHER):
             found = matches(batch.column("text"), index)
             rows = np.array(found, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays(
@@ -297,7 +299,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
             continue
 
         def run(batches, index=index):
-            for batch in tx.chunks(batches, text_col):
+            for batch in tx.chunks(batches, text_col, TOGETHER):
                 hit = {m[0] for m in matches(batch.column(text_col), index)}
                 yield batch.filter(pa.array([r not in hit for r in range(batch.num_rows)], pa.bool_()))
 
