@@ -2,18 +2,20 @@
 
 Each source gets a repetition rate: its share of the weights times the wished
 number of rows, over the rows it has.  Each document draws one uniform number
-from a hash of the seed, its id and its text; inverting the Poisson distribution with that
+from a hash of the seed and its identity; inverting the Poisson distribution with that
 rate gives its number of copies.  Documents are exploded by that count and
-sorted by a hash of (seed, id, copy), which shuffles them globally.
+sorted by a hash of (seed, identity, copy), which shuffles them globally.
+
+The identity is the id, where that tells texts apart.  A null id's is the hash of its text.  Of the
+texts that share an id, the one with the smallest hash has the id alone, the others id and hash.
 
 The draws depend on the rows alone, not on partitions, so a lost executor repeats
-them exactly.  Rates need one partial aggregation; the table of sources is joined with
-ordinary exchanges, which adaptive execution broadcasts if it is small and splits if
-a source is hot.
+them exactly.  Rates need one partial aggregation; ids and text hashes are grouped without
+their texts and meet the rates first, so texts are exchanged once, by id; adaptive execution splits hot ids.
 
 Defined results: a null source is a source of its own; null texts are documents like
 others; sources without a weight take ``default_weight``; a weight of 0 removes a
-source; rows that repeat in full draw the same number and are all copied; an empty
+source; rows that repeat an id and its text draw the same number and are all copied; an empty
 table gives an empty mix.  Input columns of any names are kept; the operator's own columns are
 ``copy`` (from 0) and ``mix_key``, which replace input columns of these two names.
 """
@@ -66,31 +68,35 @@ def rates(docs: DataFrame, weights: dict[str, float], epochs: float, default_wei
     )
 
 
-def copies(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, default_weight: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(doc, rate, n_copies): each row of docs as a struct, its source's rate and its number of copies."""
+def copies(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, default_weight: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(doc, rate, identity, n_copies): each row of docs as a struct, its source's rate, what its draws hash and its number of copies."""
     table = rates(docs, WEIGHTS if weights is None else weights, epochs, default_weight, source_col)
     r = table.select(F.coalesce("source", F.lit("")).alias("rk"), F.col("source").isNull().alias("rn"), "rate")
-    base = docs.select(F.struct("*").alias("doc"), F.coalesce(source_col, F.lit("")).alias("k"), F.col(source_col).isNull().alias("n"))
-    joined = base.join(r, (F.col("k") == F.col("rk")) & (F.col("n") == F.col("rn")))
+    digest = F.coalesce(F.sha2(F.col("doc")[text_col], 256), F.lit("null"))
+    base = docs.select(F.struct("*").alias("doc")).select(
+        "doc", F.coalesce(F.col("doc")[source_col], F.lit("")).alias("k"), F.col("doc")[source_col].isNull().alias("n"), digest.alias("digest"),
+        F.coalesce(F.col("doc")[id_col].cast("string"), F.concat(F.lit("null|"), digest)).alias("id"),
+    )
+    # a row for each id and source; an id has few sources, however many rows
+    ids = base.groupBy("id").agg(F.min("digest").alias("first"), F.collect_set(F.struct("k", "n")).alias("at")).select("id", "first", F.inline("at"))
+    known = ids.join(r, (F.col("k") == F.col("rk")) & (F.col("n") == F.col("rn"))).select(F.col("id").alias("ri"), "rk", "rn", "first", "rate")
+    joined = base.join(known.hint("shuffle_hash"), (F.col("id") == F.col("ri")) & (F.col("k") == F.col("rk")) & (F.col("n") == F.col("rn")))
+    joined = joined.select("doc", "rate", F.when(F.col("digest") == F.col("first"), F.col("id")).otherwise(F.concat_ws("|", "id", "digest")).alias("identity"))
     # slices of at most 16; a document's slice i draws its own number
     slices = F.greatest(F.lit(1), F.ceil(F.col("rate") / 16).cast("int"))
     drawn = F.aggregate(
         F.sequence(F.lit(1), slices), F.lit(0),
-        lambda acc, i: acc + poisson_quantile(uniform(F.lit(seed), _identity(id_col), i.cast("string")), F.col("rate") / slices),
+        lambda acc, i: acc + poisson_quantile(uniform(F.lit(seed), F.col("identity"), i.cast("string")), F.col("rate") / slices),
     )
-    return joined.select("doc", "rate", drawn.alias("n_copies"))
-
-
-def _identity(id_col: str) -> Column:
-    return F.coalesce(F.col("doc")[id_col].cast("string"), F.lit("null"))
+    return joined.select("doc", "rate", "identity", drawn.alias("n_copies"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, default_weight: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, default_weight: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixed and globally shuffled table: input columns, ``copy``, ``mix_key``."""
-    drawn = copies(docs, weights, epochs, default_weight, seed, id_col, source_col)
+    drawn = copies(docs, weights, epochs, default_weight, seed, id_col, source_col, text_col)
     out = (
-        drawn.where("n_copies > 0").select("doc", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
-        .withColumn("mix_key", F.sha2(F.concat_ws("|", F.lit(seed), F.lit("order"), _identity(id_col), F.col("copy").cast("string")), 256))
+        drawn.where("n_copies > 0").select("doc", "identity", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+        .withColumn("mix_key", F.sha2(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("identity"), F.col("copy").cast("string")), 256))
     )
     return out.orderBy("mix_key", "copy").select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in ("copy", "mix_key")], "copy", "mix_key")
 

@@ -51,6 +51,23 @@ def test_zero_weight_repeats_and_empty(spark):
     assert mixing.mix(df, {"a": 0.0, "b": 0.0}).collect() == []
 
 
+def test_null_and_repeated_ids_draw_by_text(spark):
+    rows = [(None, f"n{i}", "a") for i in range(400)] + [(7, f"s{i}", "b" if i % 2 else None) for i in range(400)] + [(8, "only", "a"), (None, None, "a"), (None, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc.doc_id, r.doc.text): r for r in mixing.copies(df, {}, 1.0).collect()}
+    assert len(got) == len(rows) == len({r.identity for r in got.values()})
+    for i, prefix in ((None, "n"), (7, "s")):
+        mine = [got[i, f"{prefix}{k}"] for k in range(400)]
+        assert len({r.n_copies for r in mine}) > 2 and abs(sum(r.n_copies - r.rate for r in mine)) < 100
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    first = min((f"s{i}" for i in range(400)), key=sha)
+    for (i, t), r in got.items():
+        who = "null|" + ("null" if t is None else sha(t)) if i is None else str(i) if t in (first, "only") else f"{i}|{sha(t)}"
+        assert (r.identity, r.n_copies) == (who, brute(mixing.SEED, who, r.rate))
+    keys = [r.mix_key for r in mixing.mix(df, {}, 1.0).collect()]
+    assert len(set(keys)) == len(keys) == sum(r.n_copies for r in got.values())
+
+
 def test_query_equals_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
