@@ -617,29 +617,30 @@ def ordered_output(spark, d):
 
 
 def _declarations(spark, d):
-    """Declarations made from document words, so that the lexer sees every row."""
-    w = F.split(F.regexp_replace("text", r"[^\p{L} ]", ""), " +", -1)
+    """A declaration for each document: its first two words are bound, and its whole text as it is stands under them as the type."""
+    text = F.coalesce("text", F.lit(""))
+    w = F.split(F.regexp_replace(text, r"[^\p{L} ]", ""), " +", -1)
     pick = lambda i: F.coalesce(F.nullif(F.try_element_at(w, F.lit(i)), F.lit("")), F.lit("x"))
-    decl = F.concat(F.lit("theorem t_"), "doc_id", F.lit(" ("), pick(1), F.lit(" : Nat) : ∀ "), pick(2), F.lit(", "), pick(1), F.lit(" = "), pick(2), F.lit(" -- "), pick(3), F.lit("\n:="))
+    decl = F.concat(F.lit("theorem t_"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" ("), pick(1), F.lit(" : Nat) : ∀ "), pick(2), F.lit(", "), text, F.lit("\n:="))
     return table(spark, d, "documents").select("doc_id", decl.alias("declaration"))
 
 
 @query()
 def lexical_statement_id(spark, d):
-    """Statement fingerprints by the lexer."""
+    """Statement fingerprints by the lexer, over whole texts; null where it rejects a text."""
     return _declarations(spark, d).select("doc_id", lexer.fingerprint_col(F.col("declaration")).alias("fingerprint"))
 
 
 @query()
 def alpha_identity(spark, d):
-    """identities up to bound names; all these declarations with distinct names are one statement."""
+    """identities up to bound names: texts that differ only in their two bound words are one statement; rejected texts count under null."""
     return _declarations(spark, d).groupBy(lexer.alpha_fingerprint_col(F.col("declaration")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def type_heads(spark, d):
-    """F20."""
-    return _declarations(spark, d).select("doc_id", lexer.column(lexer.type_head)(F.col("declaration")).alias("head"))
+    """the first top-level connective of each whole text."""
+    return _declarations(spark, d).select("doc_id", lexer.column(lambda v: lexer.type_head(lexer.canonical_declaration(v)))(F.col("declaration")).alias("head"))
 
 
 @query()
