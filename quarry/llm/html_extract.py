@@ -13,11 +13,12 @@ Differencing alone cannot give right results where boilerplate is drawn anew for
 each page, or articles are copied between pages: it would keep the first and
 delete the second.  So it decides only what structure leaves open (see README).
 
-Nearest pages: pages of one host and directory, in order of (path, page_id), are
+Nearest pages: pages of one host and directory, in order of (path, hash of the lines), are
 neighbours; the nearest is the one of the two neighbours that shares the longer path
 prefix, the one before on ties; pages with the same lines count as one.  Pages alone in their directory meet all such pages of
-their host.  A group of more than ``GROUP_PAGES`` pages is dealt by path hash into smaller ones,
-so that a hot host or directory never is one task; the groups depend on the rows alone.
+their host.  Pages are numbered in that order over the whole table, dealt by ranges, and meet the numbers
+before and after theirs by joins, so that a hot host or directory never is one task and neighbours are
+the true ones at every size.
 Pages are parsed once, into a table in the shared folder; only line hashes travel to
 the neighbours, and lines travel only for pages that structure leaves open.
 
@@ -33,10 +34,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import join_grouped, written
+from quarry.operators.lineage import numbered
 
 #: Elements of HTML by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,9 +60,6 @@ CHROME_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset(("main", "article"))
 
-#: Pages of a group of neighbours at most, on average.
-GROUP_PAGES = 2048
-
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
 )
@@ -292,33 +291,27 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     settled = parsed.where("main_text is not null").select("page_id", "url", F.col("main_text").alias("text"))
     light = parsed.select("page_id", "host", "path", "row_key", "hashes", F.col("main_text").isNull().alias("open"), F.regexp_replace("path", r"[^/]*/?$", "").alias("dir"))
     hosts = light.groupBy("host").agg(F.max("open").alias("any_open")).where("any_open").select("host")
-    light = light.join(hosts, "host", "left_semi")
-    light = _grouped(_grouped(light, "dir", alone=True), "dir", alone=False)
+    light = join_grouped(light, hosts, ["host"])
+    light = _grouped(light, "dir")
     light = light.withColumn("line_key", F.xxhash64("hashes"))
     # pages with the same lines are one node: a copy is no neighbour to compare with
     nodes = light.groupBy("host", "dir", "line_key").agg(F.min("path").alias("path"), F.any_value("hashes").alias("hashes"))
-    order = Window.partitionBy("host", "dir").orderBy("path", "line_key")
-    before, after = F.lag(F.struct("path", "hashes")).over(order), F.lead(F.struct("path", "hashes")).over(order)
-    near = nodes.withColumn("before", before).withColumn("after", after)
-    mate = F.when(
-        F.col("after").isNotNull() & (F.col("before").isNull() | (_prefix(F.col("path"), F.col("after.path")) > _prefix(F.col("path"), F.col("before.path")))), F.col("after.hashes")
-    ).otherwise(F.col("before.hashes"))
-    near = near.select("host", "dir", "line_key", mate.alias("mate"))
-    mates = light.where("open").join(near, ["host", "dir", "line_key"]).select(F.col("page_id").alias("m_page"), F.col("row_key").alias("m_key"), "mate").dropDuplicates(["m_page", "m_key"])
+    nodes = numbered(nodes, ["host", "dir", "path", "line_key"])
+    beside = lambda step, name: nodes.select("host", "dir", (F.col("pos") + step).alias("pos"), F.col("path").alias(name))
+    near = nodes.drop("hashes").join(beside(1, "before"), ["host", "dir", "pos"], "left").join(beside(-1, "after"), ["host", "dir", "pos"], "left")
+    chosen = F.when(
+        F.col("after").isNotNull() & (F.col("before").isNull() | (_prefix(F.col("path"), F.col("after")) > _prefix(F.col("path"), F.col("before")))), F.col("pos") + 1
+    ).otherwise(F.when(F.col("before").isNotNull(), F.col("pos") - 1))
+    near = near.select("host", "dir", "line_key", chosen.alias("chosen")).join(nodes.select(F.col("pos").alias("chosen"), F.col("hashes").alias("mate")), "chosen").drop("chosen")
+    mates = light.where("open").join(near, ["host", "dir", "line_key"], "left").select(F.col("page_id").alias("m_page"), F.col("row_key").alias("m_key"), "mate").dropDuplicates(["m_page", "m_key"])
     rest = parsed.where("main_text is null").join(mates, F.col("page_id").eqNullSafe(F.col("m_page")) & (F.col("row_key") == F.col("m_key")), "left")
     return settled.unionByName(rest.select("page_id", "url", "lines", "hashes", "mate").mapInArrow(_subtract, f"page_id {id_type}, url string, text string"))
 
 
-def _grouped(light: DataFrame, group: str, alone: bool) -> DataFrame:
-    """Move pages that are alone in their group to the host's common one, or deal large groups into smaller ones."""
-    sizes = light.groupBy(F.col("host").alias("g_host"), F.col(group).alias("g_dir")).agg(F.count(F.lit(1)).alias("g_n"))
-    joined = light.join(sizes, (F.col("host") == F.col("g_host")) & (F.col(group) == F.col("g_dir")))
-    if alone:
-        moved = F.when(F.col("g_n") == 1, F.lit("")).otherwise(F.col(group))
-    else:
-        parts = F.ceil(F.col("g_n") / GROUP_PAGES)
-        moved = F.when(parts > 1, F.concat(F.col(group), F.lit("#"), F.pmod(F.xxhash64("path"), parts).cast("string"))).otherwise(F.col(group))
-    return joined.withColumn(group, moved).drop("g_host", "g_dir", "g_n")
+def _grouped(light: DataFrame, group: str) -> DataFrame:
+    """Move pages that are alone in their group to the host's common one."""
+    sizes = light.groupBy("host", group).agg(F.count(F.lit(1)).alias("g_n"))
+    return join_grouped(light, sizes, ["host", group]).withColumn(group, F.when(F.col("g_n") == 1, F.lit("")).otherwise(F.col(group))).drop("g_n")
 
 
 def op9_html_extract(spark, sf_dir: str) -> DataFrame:

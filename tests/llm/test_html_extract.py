@@ -69,6 +69,15 @@ def test_nearest_page_differencing(spark):
     assert extract(df.limit(0)).collect() == []
 
 
+def test_neighbours_in_a_large_directory(spark):
+    n = 4500
+    rows = [(i, f"http://h.com/d/{i:05d}", f"<body><p>own {i}</p><p>link {i}</p><p>link {i + 1}</p></body>") for i in range(n)]
+    rows += [(n + i, f"http://h.com/e/{i}", f"<body><p>link {i}</p><p>e {i}</p></body>") for i in range(2)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    # each page shares a line with the page before only; the first with the page after
+    assert got == {0: "own 0\n\nlink 0"} | {i: f"own {i}\n\nlink {i + 1}" for i in range(1, n)} | {n: "link 0\n\ne 0", n + 1: "link 1\n\ne 1"}
+
+
 def plain(html):
     """The text of these synthetic pages, by plain means."""
     inner = re.search(r"<article>(.*)</article>", html, re.S)[1]
