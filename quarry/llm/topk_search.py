@@ -38,12 +38,17 @@ BLOCK_ROWS, CHUNK_QUERIES = 8192, 512
 
 
 def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (array of long) of the rows that take part."""
-    x = F.col("x")
-    fine = F.col("x").isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**40))), F.lit(False))
+    """vec_id, v (array of long) of the rows that take part: all of finite components.
+
+    Scores are 64-bit sums: a vector whose scaled squares sum to 2**62 or more fails the job, rather than be dropped or wrap.
+    """
+    x, by = F.col("x"), F.lit(float(scale))
+    fine = F.col("x").isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False))
+    squares = F.aggregate(x, F.lit(0.0), lambda acc, c: acc + by * c * by * c)
+    v = F.when(squares < F.lit(2.0**62), F.transform("x", lambda c: F.floor(by * c))).otherwise(F.raise_error(F.lit("vector too large for 64-bit scores")))
     return (
         df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull())
-        .where(fine).select("vec_id", F.transform("x", lambda c: F.floor(F.lit(float(scale)) * c)).alias("v"))
+        .where(fine).select("vec_id", v.alias("v"))
     )
 
 

@@ -46,3 +46,12 @@ def test_query_equals_sql(spark, sf_dir):
     names = [d[0] for d in want.description]
     rows = want.fetchall()
     assert rows and sorted(map(tuple, got.select(*names).collect())) == sorted(rows)
+
+
+def test_large_finite_components_fail_and_are_not_dropped(spark):
+    frame = lambda x: spark.createDataFrame([(0, [1.0, 0.0]), (1, [x, 1.0]), (2, [-math.inf, 1.0])], "vec_id long, embedding array<double>")
+    df = frame(2.0**22)
+    assert {(r.query_id, r.vec_id, r.score) for r in tk.top_k(df, df, 1).collect()} == {(0, 1, 2**38), (1, 0, 2**38)}
+    for x in (2.0**30, 2.0**40, -1e300):
+        with pytest.raises(Exception, match="too large for 64-bit"):
+            tk.top_k(frame(x), frame(x), 1).collect()
