@@ -14,61 +14,78 @@ margin, every row within the margin of the k-th quantised score is a boundary
 row, and boundary rows are scored exactly from the integers.  Among equal scores the
 smaller id wins.
 
-The grid: blocks of rows and chunks of queries are keyed, and each (block, chunk)
-pair is one small task group; no row pairs are emitted.  Each cell returns
-at most k rows a query, and the k best of all cells remain.
+Blocks: rows are dealt to blocks by a hash of id and vector; each block's bitmaps are built once,
+and all queries stream past it in the order of the sort, so a task holds one block and one
+Arrow batch of queries, and rows are exchanged once, however many queries there are.  Rows that repeat
+both id and vector are counted before they are dealt, and k of them stand for all, which
+loses nothing.  A block returns at most k rows a query; the k best of all blocks remain.
+
+Wide vectors, whose scaled squares sum to 2**62 or more, travel unscaled and are multiplied in Python integers, which
+never wrap; all others are scored in 64 bits, where they cannot.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no
-part, neither as queries nor as candidates; vectors of another length than the
-query's are not its candidates; with fewer than k candidates all are returned; rows
-that repeat a vec_id are candidates each, except those with the query's own id; a
-repeated query id is searched once, with the least of its vectors.
+part, neither as queries nor as candidates; nor do rows without a vec_id, as they could not be
+named in a result; vectors of another length than the query's are not its candidates; with
+fewer than k candidates all are returned; rows that repeat a vec_id are candidates each, except
+those with the query's own id; a repeated query id is searched once, with the least of its
+vectors (of those that are not wide, if it has any); scores beyond 64 bits rank by their exact values and are given as the
+nearest 64-bit integer.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block and queries of a chunk: the memory of one cell is bounded by both.
-BLOCK_ROWS, CHUNK_QUERIES = 8192, 512
+#: Rows of a block at most, about, and at least where fewer blocks would leave cores idle.
+BLOCK_ROWS, LEAST_ROWS = 32768, 1024
+#: Bytes of the key that orders scores beyond 64 bits: twice a double's exponent range, the scale and the sum.
+_KEY_BYTES = 288
 
 
 def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (array of long) of the rows that take part: all of finite components.
-
-    Scores are 64-bit sums: a vector whose scaled squares sum to 2**62 or more fails the job, rather than be dropped or wrap.
-    """
+    """vec_id and the vector of the rows that take part: ``v`` (scaled, array of long), or ``wide`` (as it was) where 64 bits could overflow."""
     x, by = F.col("x"), F.lit(float(scale))
     fine = F.col("x").isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False))
     squares = F.aggregate(x, F.lit(0.0), lambda acc, c: acc + by * c * by * c)
-    v = F.when(squares < F.lit(2.0**62), F.transform("x", lambda c: F.floor(by * c))).otherwise(F.raise_error(F.lit("vector too large for 64-bit scores")))
+    narrow = squares < F.lit(2.0**62)
     return (
         df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull())
-        .where(fine).select("vec_id", v.alias("v"))
+        .where(fine).select("vec_id", F.when(narrow, F.transform("x", lambda c: F.floor(by * c))).alias("v"), F.when(~narrow, x).alias("wide"))
     )
 
 
+def _scaled(vector: list[float], scale: int) -> list[int]:
+    """floor(scale * x) in Python integers; doubles from 2**52 on are integers."""
+    return [int(c) * scale if abs(c) >= 2.0**52 else math.floor(scale * c) for c in vector]
+
+
 class BitSlicedBlock:
     """Bit slices of a block of integer vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, drop_bits: int):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.int64)
+        self.ids, self.vectors = ids[order], vectors[order]
+        wide = self.vectors.dtype == object  # Python integers
         self.n, self.d = self.vectors.shape
         self.low = int(self.vectors.min()) if self.n and self.d else 0
         span = int(self.vectors.max()) - self.low if self.n and self.d else 0
-        self.drop = min(drop_bits, max(0, span.bit_length() - 1))
+        self.drop = 0 if wide else min(drop_bits, max(0, span.bit_length() - 1))
         shifted = self.vectors - self.low
         top = shifted >> self.drop
         self.bits = max(1, (span >> self.drop).bit_length())
         self.full = (1 << self.n) - 1
         self.slices = [[self._bitmap((top[:, j] >> b) & 1) for b in range(self.bits)] for j in range(self.d)]
-        rest = (shifted - (top << self.drop)).astype(np.float64) - ((1 << self.drop) - 1) / 2
-        self.rest = float(np.sqrt((rest**2).sum(1).max())) if self.n else 0.0
+        self.rest = 0.0
+        if self.drop and self.n:
+            rest = (shifted - (top << self.drop)).astype(np.float64) - ((1 << self.drop) - 1) / 2
+            self.rest = float(np.sqrt((rest**2).sum(1).max()))
 
     @staticmethod
     def _bitmap(bits: np.ndarray) -> int:
@@ -174,7 +191,11 @@ class BitSlicedBlock:
                 if kth is None:
                     kth = min(self._value(slices, int(r)) for r in self._rows(chosen))
                 # |left out| <= |q| * rest on either side, in units of 2**drop
-                margin = int(np.ceil(2 * float(np.sqrt((query.astype(np.float64) ** 2).sum())) * self.rest / (1 << self.drop))) + 2
+                if query.dtype == object:
+                    norm = math.isqrt(sum(q * q for q in query.tolist())) + 1
+                    margin = 2 * norm * math.ceil(self.rest) // (1 << self.drop) + 3
+                else:
+                    margin = int(np.ceil(2 * float(np.sqrt((query.astype(np.float64) ** 2).sum())) * self.rest / (1 << self.drop))) + 2
                 rows = self._rows(self._at_least(slices, kth - margin, among))
             else:
                 rows = self._rows(among)
@@ -190,63 +211,102 @@ class BitSlicedBlock:
                 left -= 1
             rows = np.concatenate([rows, np.array(picked, np.int64)]).astype(np.int64)
         scores = self.vectors[rows] @ query
-        best = np.lexsort((self.ids[rows], -scores))[:k]
+        if scores.dtype == object:
+            best = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
+        else:
+            best = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows][best], scores[best]
 
 
-def _matrix(frame: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """ids and vectors by vector length."""
-    lists = frame.column("v").combine_chunks()
-    lengths = np.asarray(lists.value_lengths())
+def _matrices(batch: pa.RecordBatch, scale: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """ids and vectors, by vector length; those of wide vectors hold Python integers."""
+    out = []
+    ids = np.asarray(batch.column("vec_id"))
+    lists = batch.column("v")
+    valid = np.asarray(lists.is_valid())
+    lengths = np.asarray(pa.compute.fill_null(lists.value_lengths(), 0))
     values = np.asarray(lists.flatten()).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    ids = np.asarray(frame.column("vec_id"))
-    out = {}
-    for d in np.unique(lengths):
-        rows = np.flatnonzero(lengths == d)
-        out[int(d)] = ids[rows], values[starts[rows][:, None] + np.arange(d)] if d else np.zeros((len(rows), 0), np.int64)
+    for d in np.unique(lengths[valid]):
+        rows = np.flatnonzero(valid & (lengths == d))
+        out.append((ids[rows], values[starts[rows][:, None] + np.arange(d)] if d else np.zeros((len(rows), 0), np.int64)))
+    by_length: dict[int, list[int]] = {}
+    for row in np.flatnonzero(~valid).tolist():
+        by_length.setdefault(len(batch.column("wide")[row]), []).append(row)
+    for d, rows in by_length.items():
+        vectors = np.empty((len(rows), d), object)
+        for i, row in enumerate(rows):
+            vectors[i] = _scaled(batch.column("wide")[row].as_py(), scale)
+        out.append((ids[rows], vectors))
     return out
 
 
-def _cell(k: int, drop_bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        queries = _matrix(table.filter(table.column("is_query")))
-        rows = _matrix(table.filter(pa.compute.invert(table.column("is_query"))))
-        q_out, v_out, s_out = [], [], []
-        for d, (ids, vectors) in rows.items():
-            if d not in queries:
-                continue
-            for start in range(0, len(ids), BLOCK_ROWS * 2):
-                block = BitSlicedBlock(ids[start : start + BLOCK_ROWS * 2], vectors[start : start + BLOCK_ROWS * 2], drop_bits)
-                for q, vector in zip(*queries[d], strict=True):
-                    found, scores = block.search(int(q), vector, k)
-                    q_out.append(np.full(len(found), q))
-                    v_out.append(found)
-                    s_out.append(scores)
-        joined = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (q_out, v_out, s_out)]
-        return pa.table(joined, names=["query_id", "vec_id", "score"])
+def _found(query_id: int, ids: np.ndarray, scores: np.ndarray, out: list) -> None:
+    for i, s in zip(ids.tolist(), scores.tolist(), strict=True):
+        far = abs(s) >= 1 << 62
+        key = (s + (1 << (8 * _KEY_BYTES - 1))).to_bytes(_KEY_BYTES, "big") if far else None
+        out.append((query_id, i, max(-(1 << 63), min((1 << 63) - 1, s)), key))
+
+
+def _searched(k: int, scale: int, drop_bits: int):
+    """Rows and queries in order of (block, is_query): the k best rows of each block for each query."""
+    names = ["query_id", "vec_id", "score", "score_key"]
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("score_key", pa.binary())])
+
+    def built(parts: list[pa.RecordBatch]) -> list[BitSlicedBlock]:
+        if not parts:
+            return []
+        held = pa.Table.from_batches(parts).combine_chunks().to_batches()
+        return [BitSlicedBlock(ids, vectors, drop_bits) for b in held for ids, vectors in _matrices(b, scale)]
+
+    def run(batches):
+        block, pending, indexes = None, [], None
+        for batch in batches:
+            keys = np.asarray(batch.column("block")) * 2 + np.asarray(batch.column("is_query").cast(pa.int8()))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [batch.num_rows]]) if batch.num_rows else [0]
+            for a, b in itertools.pairwise(cuts):
+                part = batch.slice(a, b - a)
+                now, asked = divmod(int(keys[a]), 2)
+                if now != block:
+                    block, pending, indexes = now, [], None
+                if not asked:
+                    pending.append(part)
+                    continue
+                if indexes is None:
+                    indexes, pending = built(pending), []
+                out: list = []
+                for ids, vectors in _matrices(part, scale):
+                    for q, vector in zip(ids.tolist(), vectors, strict=True):
+                        for index in indexes:
+                            wide = index.vectors.dtype == object or vector.dtype == object
+                            _found(q, *index.search(q, vector.astype(object) if wide else vector, k), out)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], schema.field(i).type) for i in range(4)], names)
 
     return run
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", drop_bits: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all rows for every query, exactly."""
+    spark = vectors.sparkSession
     rows = quantised(vectors, scale, id_col, vector_col)
-    asked = quantised(queries, scale, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_rows, n_queries = rows.count(), asked.count()
-    blocks, chunks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // CHUNK_QUERIES))
-    left = rows.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")).alias("chunk"),
-        F.lit(False).alias("is_query"), "vec_id", "v",
-    )
-    right = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).alias("chunk"),
-        F.lit(True).alias("is_query"), "vec_id", "v",
-    )
-    cells = left.unionByName(right).groupBy("block", "chunk").applyInArrow(_cell(k, drop_bits), "query_id long, vec_id long, score long")
-    # a cell gives at most k rows a query; the rank limit also prunes before the exchange
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = quantised(queries, scale, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"), F.min("wide").alias("wide"))
+    asked = asked.select("vec_id", "v", F.when(F.col("v").isNull(), F.col("wide")).alias("wide"))
+    n_rows = rows.count()
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, -(-n_rows // BLOCK_ROWS), min(cores, n_rows // LEAST_ROWS))
+    # k rows of one id and vector stand for any number of them
+    single = rows.groupBy("vec_id", "v", "wide").agg(F.count(F.lit(1)).alias("n"))
+    left = single.select(
+        F.pmod(F.xxhash64("vec_id", "v", "wide"), F.lit(blocks)).alias("block"), F.lit(False).alias("is_query"), "vec_id", "v", "wide",
+        F.explode(F.array_repeat(F.lit(0), F.least("n", F.lit(k)).cast("int"))).alias("copy"),
+    ).drop("copy")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"), F.lit(True).alias("is_query"), "vec_id", "v", "wide")
+    parts = min(blocks, cores)
+    dealt = left.unionByName(right).repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")).sortWithinPartitions("block", "is_query")
+    found = dealt.mapInArrow(_searched(k, scale, drop_bits), "query_id long, vec_id long, score long, score_key binary")
+    # a block gives at most k rows a query; the rank limit also prunes before the exchange
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("score_key"), F.asc("vec_id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk_search(spark, sf_dir: str) -> DataFrame:

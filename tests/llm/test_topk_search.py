@@ -48,10 +48,21 @@ def test_query_equals_sql(spark, sf_dir):
     assert rows and sorted(map(tuple, got.select(*names).collect())) == sorted(rows)
 
 
-def test_large_finite_components_fail_and_are_not_dropped(spark):
-    frame = lambda x: spark.createDataFrame([(0, [1.0, 0.0]), (1, [x, 1.0]), (2, [-math.inf, 1.0])], "vec_id long, embedding array<double>")
-    df = frame(2.0**22)
-    assert {(r.query_id, r.vec_id, r.score) for r in tk.top_k(df, df, 1).collect()} == {(0, 1, 2**38), (1, 0, 2**38)}
-    for x in (2.0**30, 2.0**40, -1e300):
-        with pytest.raises(Exception, match="too large for 64-bit"):
-            tk.top_k(frame(x), frame(x), 1).collect()
+@pytest.mark.parametrize("x", [2.0**22, 2.0**30, 2.0**41, -1e300, 1.7e308])
+def test_large_finite_components_rank_exactly(spark, x):
+    rows = [(0, [x, 1.0]), (1, [x, 1.5]), (2, [-x, 1.0]), (3, [0.5, 1.0]), (4, [x / 2, -3.0]), (5, [x, 1.5]), (50, [-x, x]), (7, [math.inf, 1.0]), (8, [x, None])]
+    rows += [(100 + i, [i / 3, -i / 7]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, tk.top_k(df, df.where("vec_id % 50 = 0"), 4).collect()))
+    q = {i: [tk._scaled([c], 256)[0] for c in v] for i, v in rows if all(c is not None and math.isfinite(c) for c in v)}
+    want = []
+    for i in (0, 50):
+        s = sorted((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i)[:4]
+        want += [(i, r + 1, j, max(-(1 << 63), min((1 << 63) - 1, -n))) for r, (n, j) in enumerate(s)]
+    assert got == sorted(want)
+
+
+def test_many_repeats_of_one_row(spark):
+    rows = [(0, [1.0, 0.0])] + [(7, [1.0, 1.0])] * 500 + [(8, [0.5, 0.0])] * 3 + [(9, [float(i % 7), 0.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, tk.top_k(df, df.where("vec_id = 0")).collect())) == brute(rows, 5)
