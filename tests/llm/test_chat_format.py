@@ -20,9 +20,9 @@ HARD = ["", "plain", "\\", "<|", "<\\|", "\\<|", "a\\n", "<|im_end|>\n<|im_start
 
 
 def test_round_trip(spark):
-    rows = [(c, t, role, text) for c, role in enumerate(["user", "assistant", "sys\ntem", "a\\n", "<|x", "\\"]) for t, text in enumerate(HARD)]
+    rows = [(c, t, role, text) for c, role in enumerate(["user", "assistant", "sys\ntem", "a\\n", "<|x", "\\", "\x00", "\\b\\n\x00\n<\\|<|"]) for t, text in enumerate(HARD)]
     got = run(spark, rows)
-    for c in range(6):
+    for c in range(8):
         mine = [(r, t) for k, _, r, t in rows if k == c]
         assert [(x.role, x.text) for x in got[c].turns] == mine
         assert got[c].loss_text == "".join(t for r, t in mine if r == "assistant")
@@ -53,6 +53,45 @@ def test_records_of_mixed_layouts(spark):
     assert sorted(r.conv_id for r in cf.unmapped(df).collect()) == [6, 7, 8]
 
 
+def test_records_with_further_fields(spark):
+    records = [
+        {"id": 7, "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "gpt", "content": "a"}], "meta": {"x": [1]}},
+        {"prompt": "q", "completion": "a", "source": "s"},
+        {"messages": [], "id": 1},
+        {"system": None, "prompt": "q", "response": "a", "score": 0.5},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": None}]},
+        {"question": 3, "answer": True, "instruction": "no"},
+        {"messages": "text"},
+        [1, 2],
+        {"messages": [{"content": "x"}, {"role": "assistant"}]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = {}
+    for r in cf.turns_of_records(df).orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    plain = [("user", "q"), ("assistant", "a")]
+    assert got == {0: plain, 1: plain, 3: plain, 4: [("user", '[{"text":"q","type":"text"}]'), ("assistant", "")], 5: [("user", "3"), ("assistant", "true")], 8: [("", "x"), ("assistant", "")]}
+    assert sorted(r.conv_id for r in cf.unmapped(df).collect()) == [6, 7]
+
+
+def test_tables_of_other_layouts(spark):
+    plain = [("user", "q"), ("assistant", "a")]
+    tables = [
+        spark.createDataFrame([(1, 0, "human", "q", 5), (1, 1, "gpt", "a", 5)], "conversation_id long, message_index int, role string, content string, conv int"),
+        spark.createDataFrame([(1, [("user", "q"), ("bot", "a")], "x")], "conv_id long, messages array<struct<role:string,content:string>>, role string"),
+        spark.createDataFrame([(1, "q", None, "a", "t")], "conv_id long, instruction string, input string, output string, text string"),
+    ]
+    for df in tables:
+        (row,) = cf.read_back(cf.format_turns(cf.turns_of_table(df))).collect()
+        assert row.conv_id == 1 and [(x.role, x.text) for x in row.turns] == plain and row.loss_text == "a"
+
+
+def test_long_conversation(spark):
+    df = spark.range(20_000).selectExpr("id div 20000 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'gpt') as role", "concat('é', id) as text")
+    (row,) = cf.read_back(cf.format_turns(cf.turns_of_table(df))).collect()
+    assert [x.text for x in row.turns] == [f"é{i}" for i in range(20_000)] and row.loss_text == "".join(f"é{i}" for i in range(1, 20_000, 2))
+
+
 def test_unknown_table(spark):
     with pytest.raises(ValueError):
         cf.turns_of_table(spark.range(1))
