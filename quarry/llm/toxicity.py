@@ -1,21 +1,21 @@
 """Toxicity scores from a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, strips accents, maps homoglyphs of other scripts and digit
+Folding lower-cases, strips accents and marks, maps homoglyphs of other scripts, styled letters and digit
 substitutions to Latin letters, drops invisible characters and turns everything else
-that is no letter into spaces.  One automaton pass finds whole words (`` idiot ``) and word
+that is no letter, whatever its code point, into spaces.  One automaton pass finds whole words (`` idiot ``) and word
 beginnings (`` lowei``); exception phrases around a match take its weight back.  The summed
 weight, and the weight per word of the text, enter a logistic function.
 
-Lexicon, exceptions and the logistic's four numbers are fitted on labelled rows: at most
+Lexicon, exceptions and the logistic's three numbers are fitted on labelled rows: at most
 ``sample_rows`` of each class, the first in order of a hash of their id.  That bound is the one
-parameter of the fit; scoring reads every whole text.  Near copies count once in the fit
-(documents that share their smallest word hash), so words of a copied toxic document
-are not taken for toxic words.  The lexicon has at most ``max_lexicon`` entries, so what is
-sent to executors is bounded.
+limit of the fit: every word, beginning and phrase of the sampled rows that passes the thresholds enters, so what is
+sent to executors is bounded by the sample.  Scoring reads every whole text.  Near copies count once in the fit, so words of a copied toxic document
+are not taken for toxic words: sampled rows whose minimum hashes of five-word shingles agree in one of ``BANDS`` bands are a group,
+transitively, and a group's smallest id of each class stays.
 
 Defined results: null and empty texts score as texts without matches; rows with null ids or
 without labels are scored like others; a document with contradicting labels counts as toxic in
-the fit; without labels of both classes every score is 0.  Repeated rows are scored each;
+the fit, and of several texts of an id the least is read; without labels of both classes every score is 0.  Repeated rows are scored each;
 other columns are ignored.
 """
 
@@ -31,8 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class that the fit may read, and entries of the lexicon at most.
-SAMPLE_ROWS, MAX_LEXICON = 5000, 4096
+from quarry.llm import text as tx
+
+#: Labelled rows of each class that the fit may read.
+SAMPLE_ROWS = 5000
+#: Bands of minimum hashes and hashes of a band, by which near copies in the sample are known.
+BANDS, BAND_ROWS = 6, 2
 #: Word beginnings of these lengths may enter the lexicon.
 PREFIXES = (4, 5, 6, 7)
 #: Phrases in which a lexicon word is harmless.
@@ -43,24 +47,25 @@ _LOOKALIKES = dict(zip("аеорсхуіјѕһԁɡνκτιοαρυвмнкт", "
 _DIGITS = dict(zip("0134578@", "oieastba", strict=True))
 
 
-def _fold_table() -> dict[int, str | None]:
-    table: dict[int, str | None] = {}
-    for code in [*range(0x250), *range(0x370, 0x530), *range(0x1E00, 0x2100), *range(0xFF00, 0xFF5F)]:
+class _Folds(dict):
+    """Folds of code points, each worked out when it is first met."""
+
+    def __missing__(self, code: int) -> str | None:
         c = chr(code)
         kind = unicodedata.category(c)
-        if kind == "Cf" or kind == "Mn":
-            table[code] = None
-            continue
-        base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if unicodedata.category(x) != "Mn")
-        out = "".join(_LOOKALIKES.get(x, _DIGITS.get(x, x)) for x in base)
-        table[code] = "".join(x if x.isalpha() else " " for x in out) or " "
-    for code in range(0x300, 0x370):
-        table[code] = None  # combining marks
-    table[0xFEFF] = table[0xAD] = None
-    return table
+        if kind in ("Cf", "Mn", "Me"):
+            out = None
+        elif kind == "Mc":
+            out = c  # vowel signs that stand beside their letter
+        else:
+            base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if unicodedata.category(x) != "Mn")
+            read = "".join(_LOOKALIKES.get(x, _DIGITS.get(x, x)) for x in base)
+            out = "".join(x if x.isalpha() else " " for x in read) or " "
+        self[code] = out
+        return out
 
 
-_TABLE = _fold_table()
+_TABLE = _Folds()
 
 
 def fold(text: str | None) -> str:
@@ -76,6 +81,7 @@ class Model:
     per_sum: float = 0.0
     per_density: float = 0.0
     fitted: bool = False
+    rows: tuple[int, int] = (0, 0)  # clean and toxic rows that the fit used
 
     def automaton(self):
         import ahocorasick
@@ -118,13 +124,40 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _signed(batches):
-    """Adds a signature that near copies share: the smallest word hash."""
+def _band_keys(text: str) -> list[int]:
+    """Keys of the bands of minimum hashes of the text's five-word shingles (fewer words: the whole)."""
     import xxhash
 
-    for batch in batches:
-        signs = [min((xxhash.xxh64_intdigest(w) for w in set(fold(t).split())), default=0) - (1 << 63) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("text"), pa.array(signs, pa.int64())], ["doc_id", "toxic", "text", "sign"])
+    words = fold(text).split()
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))], np.uint64)
+    least = [tx.mix(hashes ^ tx.mix(np.array([k + 1], np.uint64))).min() for k in range(BANDS * BAND_ROWS)]
+    return [xxhash.xxh64_intdigest(np.array([b, *least[b * BAND_ROWS : (b + 1) * BAND_ROWS]], np.uint64).tobytes()) - (1 << 63) for b in range(BANDS)]
+
+
+def _banded(batches):
+    for batch in tx.chunks(batches, "text"):
+        keys = [_band_keys(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "toxic", "bands"])
+
+
+def _representatives(rows: list) -> list:
+    """The smallest id of each class in each group of rows (doc_id, toxic, bands) that share a band."""
+    root = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    first: dict[int, int] = {}
+    for i, r in enumerate(rows):
+        for key in r.bands:
+            root[find(i)] = find(first.setdefault(key, i))
+    kept: dict[tuple[int, int], object] = {}
+    for i, r in enumerate(rows):
+        at = find(i), r.toxic
+        kept[at] = min(kept.get(at, r.doc_id), r.doc_id)
+    return sorted(kept.values())
 
 
 #: Features a worker counts before it sends them on.
@@ -143,7 +176,7 @@ def _features(batches):
         counts.clear()
         return batch
 
-    for batch in batches:
+    for batch in tx.chunks(batches, "text"):
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seen[toxic] += 1
             own = set()
@@ -165,7 +198,7 @@ def _around(lexicon: dict[str, float]):
     def run(batches):
         automaton = Model(lexicon=lexicon).automaton()
         counts: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in tx.chunks(batches, "text"):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 pieces = fold(text).split()
                 own = set()
@@ -185,7 +218,7 @@ def _around(lexicon: dict[str, float]):
 def _totals(model: Model):
     def run(batches):
         automaton = model.automaton()
-        for batch in batches:
+        for batch in tx.chunks(batches, "text"):
             totals, words = weigh(automaton, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(totals), pa.array(words)], ["toxic", "total", "words"])
 
@@ -197,7 +230,8 @@ def _pruned(rows: list) -> dict[str, float]:
     by = {r.feature: r for r in rows}
     prefixes = sorted((f for f in by if not f.endswith(" ")), key=len)
     out: dict[str, float] = {}
-    taken: list[str] = []
+    taken: set[str] = set()
+    covered = lambda f: any(f[:n] in taken for n in range(2, len(f) + 1))
     best_extension: dict[str, int] = {}
     for f, r in by.items():
         w = f.strip()
@@ -205,11 +239,11 @@ def _pruned(rows: list) -> dict[str, float]:
             p = f" {w[:n]}"
             best_extension[p] = max(best_extension.get(p, 0), r.toxic)
     for p in prefixes:
-        if not any(p.startswith(t) for t in taken) and by[p].toxic > 1.25 * best_extension.get(p, 0):
-            taken.append(p)
+        if not covered(p) and by[p].toxic > 1.25 * best_extension.get(p, 0):
+            taken.add(p)
             out[p] = by[p].weight
     for f, r in by.items():
-        if f.endswith(" ") and not any(f.startswith(t) for t in taken):
+        if f.endswith(" ") and not covered(f):
             out[f] = r.weight
     return out
 
@@ -228,7 +262,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_lexicon: int = MAX_LEXICON, min_documents: int = 3, min_weight: float = 1.2, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, min_documents: int = 3, min_weight: float = 1.2, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text"
+) -> Model:
     """Fit on labelled rows that are not held out; the sample is bounded by ``sample_rows`` of each class."""
     known = (
         labels.select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -238,11 +274,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     sample = known.where("toxic = 1").orderBy(*order).limit(sample_rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample_rows))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # at most 2 * sample_rows ids, so this side is broadcast whatever the corpus
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    signed = rows.mapInArrow(_signed, f"doc_id {id_type}, toxic int, text string, sign long")
-    single = signed.groupBy("sign", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("toxic", "text").persist()
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sampled = rows.select("doc_id", "toxic", "text").persist()
     try:
+        id_type = sampled.schema["doc_id"].dataType.simpleString()
+        # at most 2 * sample_rows rows of a few hashes
+        banded = sampled.mapInArrow(_banded, f"doc_id {id_type}, toxic int, bands array<bigint>").collect()
+        kept = docs.sparkSession.createDataFrame([(i,) for i in _representatives(banded)], f"kept_id {id_type}")
+        single = sampled.join(F.broadcast(kept), F.col("doc_id") == F.col("kept_id")).select("toxic", "text")
         parts = single.mapInArrow(_features, "feature string, clean long, toxic long")
         counts = parts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         seen = counts.where("feature = ''").collect()
@@ -253,17 +292,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
         weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1)) - 1.96 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
         chosen = (
             counts.where((F.col("feature") != "") & (F.col("toxic") >= min_documents)).withColumn("weight", weight).where(F.col("weight") >= min_weight)
-            .orderBy(F.desc("toxic"), "feature").limit(4 * max_lexicon).collect()
+            .collect()
         )
-        lexicon = dict(sorted(_pruned(chosen).items(), key=lambda x: (-x[1], x[0]))[:max_lexicon])
+        lexicon = dict(sorted(_pruned(chosen).items(), key=lambda x: (-x[1], x[0])))
         phrases = (
             single.mapInArrow(_around(lexicon), "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .where(F.col("clean") >= F.lit(3) + 4 * F.col("toxic")).orderBy(F.desc("clean"), "phrase").limit(max_lexicon).collect()
+            .where(F.col("clean") >= F.lit(3) + 4 * F.col("toxic")).orderBy(F.desc("clean"), "phrase").collect()
         )
-        model = Model(lexicon, [*EXCEPTIONS, *(r.phrase for r in phrases)])
+        model = Model(lexicon, [*exceptions, *(r.phrase for r in phrases)], rows=(n_clean, n_toxic))
         points = single.mapInArrow(_totals(model), "toxic int, total double, words double").collect()  # at most 2 * sample_rows
     finally:
-        single.unpersist()
+        sampled.unpersist()
     y = np.array([p.toxic for p in points], float)
     x = np.array([[math.log1p(p.total), math.log1p(100 * p.total / (p.words + 20))] for p in points])
     beta = _logistic(x, y)
@@ -276,7 +315,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         automaton = model.automaton()
-        for batch in batches:
+        for batch in tx.chunks(batches, "text"):
             totals, words = weigh(automaton, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(totals, words))], ["doc_id", "score"])
 
@@ -290,7 +329,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
 
     def run(batches):
         automaton = model.automaton()
-        for batch in batches:
+        for batch in tx.chunks(batches, text_col):
             totals, words = weigh(automaton, batch.column(text_col).to_pylist())
             yield batch.filter(pa.array(model.score(totals, words) < threshold))
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -7,6 +8,9 @@ from quarry.llm import toxicity as tx
 def test_fold():
     assert tx.fold("1D10T").split() == ["idiot"] and tx.fold("ídïöt, l0ser!").split() == ["idiot", "loser"]
     assert tx.fold("іdіоt").split() == ["idiot"] and tx.fold("id​iot").split() == ["idiot"] and tx.fold("ＩＤＩＯＴ").split() == ["idiot"]
+    for odd in ("idiot。", "idiot😀", "idiot،", "𝐢𝐝𝐢𝐨𝐭", "i̇d⃝iot", "🅘 ⓘⓓⓘⓞⓣ", "a\U000e0001 idiot\u200d"):
+        assert "idiot" in tx.fold(odd).split(), odd
+    assert tx.fold("हिन्दी 中文").split() != [] and tx.fold("x\ud7a4y\u3000z").split()[-1] == "z"
     assert tx.fold(None) == "  " and tx.fold("").strip() == ""
 
 
@@ -53,6 +57,30 @@ def test_learns_words_beginnings_and_exceptions(spark):
     assert len(got) == 600 and sum(r.predicted == truth[r.doc_id] for r in out) >= 0.95 * len(out)
 
 
+def test_fit_against_brute_force(spark):
+    docs, labels, truth = _corpus(spark)
+    # near copies of one toxic document count once
+    copied = spark.createDataFrame([(10_000 + i, "zork " + " ".join(f"w{k}" for k in range(100)) + f" c{i}") for i in range(30)], "doc_id long, text string")
+    model = tx.fit(docs.union(copied), labels.union(spark.createDataFrame([(10_000 + i, 1) for i in range(30)], "doc_id long, toxic int")))
+    rows = [(r.doc_id, truth[r.doc_id], r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert model.rows == (sum(1 - y for _, y, _ in rows), sum(y for _, y, _ in rows) + 1) and not any("zork" in p for p in model.lexicon)
+    counts = {}
+    for _, y, text in rows:
+        for f in {f" {w} " for w in tx.fold(text).split() if len(w) > 2} | {f" {w[:n]}" for w in tx.fold(text).split() for n in tx.PREFIXES if len(w) > n}:
+            counts.setdefault(f, [0, 0])[y] += 1
+    n0, n1 = model.rows
+    for p, w in model.lexicon.items():
+        c, t = counts[p]
+        want = math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1)) - 1.96 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        assert t >= 3 and want >= 1.2 and math.isclose(w, want)
+
+
+def test_sample_bound_and_repeated_ids(spark):
+    docs, labels, _ = _corpus(spark)
+    assert tx.fit(docs, labels, sample_rows=50).rows[0] <= 50
+    assert tx.fit(docs.union(docs), labels) == tx.fit(docs, labels)
+
+
 def test_held_out_labels_are_not_read(spark):
     docs, labels, _ = _corpus(spark)
     flipped = labels.withColumn("toxic", tx.F.when(tx.held_out(tx.F.col("doc_id")), 1 - tx.F.col("toxic")).otherwise(tx.F.col("toxic")))
