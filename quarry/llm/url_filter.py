@@ -1,35 +1,44 @@
-"""URL filtering: rules first, then segmented host words scored by naive Bayes.
+"""URL filtering: rules first, then segmented host and path words scored by naive Bayes.
 
 Rules are (host suffix, path prefix) with a verdict.  A rule fits its host and all
 subdomains if the path starts with the rule's path; the longest fitting rule decides.
-Other urls are judged by the method: host labels and path pieces are split into words by a
-unigram Viterbi pass, and a multinomial naive Bayes model scores those words.
-
-Unigrams are the words of all page texts (markup removed), counted over every row; the
-dictionary holds the ``MAX_WORDS`` most frequent of them, which bounds what executors
-receive.  Bayes counts come from all urls too.  Pages carry no verdicts to learn from, so a url is an
-example of the blocked class if one of its words is a seed word, and of the allowed class
-otherwise; smoothed counts then let words that keep such company count as well.
+Other urls are judged by the method.
+
+Words.  Hosts (without their last label) and paths are cut into runs of a-z, and each distinct run is split into words by
+unigram Viterbi.  Unigrams are the words of all page texts (markup removed), counted over
+every row, none left out; example words count as ``EXAMPLE_SHARE`` of all at least.  A run meets the
+dictionary by a join on its substrings, so the dictionary is never sent anywhere.
+
+Bayes.  Pages carry no verdicts, so a multinomial model is first fitted on the labelled names in
+``BLOCKED`` and ``ALLOWED``; many of their words stand on both sides (free, cheap, win, farm, track), and
+it is their company that decides.  That model scores the words of each host in the table; hosts it is sure of become examples,
+and the words of all their urls, counted once a host, are learned as well (self-training).  The final word
+probabilities are an even mixture of both sources, each smoothed towards the words' overall shares, so what the table adds does
+not grow with its size.  Words that neither source knows, and digits, say nothing; the prior is ``PRIOR``.
 Rule verdicts are not training data: they judge whole domains, and their languages
 and top-level domains would be learned in place of their content.
 
+Scale: texts are only counted.  All else runs over distinct runs, hosts and (host, path shape) pairs, where a
+shape has its digits collapsed; joins on words, runs and hosts have an exchange of their own on both
+sides, so adaptive execution splits hot ones.  The driver receives one total.
+
 Defined results: null urls and urls without ``://`` have an empty host and path, fit no rule and
-are allowed unless the prior says otherwise; the host is taken as written, port and user part
-included; empty tables give no rows; repeated rows are judged each; other columns are ignored.
+are judged by the prior; the host is taken as written, port and user part included; a run of letters of any length is split;
+empty tables give no rows; repeated rows are judged each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import most_frequent
+from quarry.llm import text as tx
+from quarry.llm.common import join_grouped, written
 from quarry.llm.html_extract import split_url
 
 
@@ -50,16 +59,36 @@ RULES = (
     Rule("example.com", "/de/", "block"),
     Rule("org", "/fr/", "allow"),
 )
-#: Entries of the dictionary at most, and the smallest count of an entry.
-MAX_WORDS, MIN_COUNT = 50_000, 5
-#: Words that mark a url as an example of the blocked class.
-SEEDS = frozenset(
-    "ad ads advert adserver affiliate adult bet bets betting bonus casino cheap click clickbait escort farm gamble gambling jackpot loan loans lottery malware nude "
-    "phish phishing pill pills poker popup porn promo sex slots spam track tracker tracking viagra warez win winner xxx".split()
+#: Labelled names, as words.
+BLOCKED = (
+    "casino win", "online casino bonus", "best casino slots", "casino jackpot", "free casino spins", "poker win cash", "online poker", "free bets", "live betting tips", "bets odds bonus",
+    "sports betting", "slots win big", "jackpot lottery", "lottery winner", "win free prize", "free cash prize", "gambling bonus", "bingo bonus", "cheap pills", "online pills", "diet pills cheap",
+    "buy cheap viagra", "viagra pills", "pharmacy no prescription", "weight loss pills", "cheap loans", "payday loans", "fast cash loans", "bad credit loans", "ads track", "ads server", "ad click",
+    "banner ads network", "click track ads", "popup ads", "ads pixel track", "affiliate ads click", "spam farm", "link farm spam", "spam bot", "spam mail list", "click farm", "seo link spam",
+    "adult x", "adult video xxx", "adult sex chat", "free porn", "porn video", "sex cams", "live sex", "nude cams", "xxx movies", "hot escort", "escort girls", "adult dating sex", "x rated video", "adult x cams", "xxx adult x",
+    "warez download", "free warez crack", "crack serial keygen", "keygen download", "torrent warez", "malware download", "phishing login", "fake login bank", "replica watches cheap", "cheap replica bags",
+    "get rich fast", "make money fast", "free bitcoin win", "crypto bonus free", "hack account free", "free followers bot", "miracle cure", "work home cash", "win big fast",
+)
+ALLOWED = (
+    "daily news", "city news online", "world news live", "weather report", "free library", "public library", "free software", "open source software", "cheap flights", "cheap travel tips", "online courses",
+    "online shop", "book shop", "adult education", "dairy farm", "family farm", "farm animals", "wind farm energy", "track field", "race track", "track repair", "train track",
+    "fast food", "fast train", "hot springs hotel", "live music", "live concert", "music video", "video games", "movies review", "game review", "win the match", "football league", "sports club", "team sports news",
+    "credit union", "home loans bank", "student loans help", "bank account", "login help", "mail server", "web server", "social network", "network school", "link library", "download manual", "software download",
+    "health clinic", "city hospital", "pharmacy school", "diet recipes", "weight training", "cooking recipes", "garden blog", "travel blog", "photo gallery", "art museum", "history museum", "science journal", "research lab", "university press",
+    "primary school", "math lessons", "language school", "dating fossils", "girls school", "x ray clinic", "watch repair", "bags and shoes", "prize for science", "nobel prize", "money museum", "work safety", "home garden",
+    "big river park", "national park", "water works", "real estate agency", "law office",
 )
-#: Words every dictionary has besides the counted ones, with a count of ``MIN_COUNT``.
-COMMON = frozenset("blog free home html index news page shop web www".split())
-_PIECES = re.compile(r"[a-z]+|[0-9]+")
+#: Words of urls that say nothing by themselves; the dictionary has them besides the counted ones.
+COMMON = frozenset("blog com example html http index page shop site web www".split())
+#: Share of all words that an example word has at least, and longest word of the dictionary in letters.
+EXAMPLE_SHARE, LONGEST = 1e-4, 24
+#: Log odds of a blocked url before its words are read; log odds beyond which a host becomes an example; weight of the smoothing and of the table's own words.
+PRIOR, MARGIN, SMOOTHING, OWN = math.log(0.1 / 0.9), 1.0, 5.0, 0.5
+
+#: Example words by class: (blocked, allowed) occurrences.
+LABELLED = {w: (b, a) for b_words, a_words in [(Counter(w for n in BLOCKED for w in n.split()), Counter(w for n in ALLOWED for w in n.split()))] for w in b_words | a_words for b, a in [(b_words[w], a_words[w])]}
+ADDED = sorted(LABELLED.keys() | COMMON)
+LABELLED_TOTALS = sum(b for b, _ in LABELLED.values()), sum(a for _, a in LABELLED.values())
 
 
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -71,150 +100,131 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return out
 
 
-@dataclass
-class Segmenter:
-    """Unigram Viterbi segmentation; unknown stretches pay by length."""
-
-    costs: dict[str, float]
-    longest: int
-    unknown: float
-
-    @classmethod
-    def of(cls, counts: dict[str, int]) -> Segmenter:
-        counts = {**{w: MIN_COUNT for w in SEEDS | COMMON}, **counts}
-        for w in SEEDS | COMMON:
-            counts[w] = max(counts[w], MIN_COUNT)
-        total = sum(counts.values())
-        return cls({w: math.log(total / n) for w, n in counts.items()}, max(map(len, counts)), math.log(total) + 2.0)
-
-    def split(self, text: str) -> list[str]:
-        """The cheapest split; ties go to longer first words.  Letters outside the dictionary form unknown words, each letter at a cost above the rarest word's."""
-        n = len(text)
-        best = [0.0] + [math.inf] * n
-        back: list[tuple[int, bool]] = [(0, True)] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                cost = self.costs.get(text[start:end])
-                known = cost is not None
-                if not known:
-                    if end - start > 1:
-                        continue
-                    cost = self.unknown
-                if best[start] + cost < best[end]:
-                    best[end] = best[start] + cost
-                    back[end] = (start, known)
-        out: list[str] = []
-        end, stretch = n, ""
-        while end:
-            start, known = back[end]
-            if known:
-                if stretch:
-                    out.append(stretch)
-                    stretch = ""
-                out.append(text[start:end])
-            else:
-                stretch = text[start:end] + stretch
-            end = start
-        if stretch:
-            out.append(stretch)
-        return out[::-1]
-
-
-def words_of(segmenter: Segmenter, host: str, path: str) -> list[str]:
-    """Tokens of a url: words of the host's labels but its last two, and of the path; digits become #, unknown words ?."""
-    split = lru_cache(maxsize=100_000)(lambda p: tuple(segmenter.split(p))) if not hasattr(segmenter, "_cached") else segmenter._cached
-    segmenter._cached = split
-    labels = host.split(".")
-    out = []
-    for piece in _PIECES.findall(" ".join(labels[:-2] if len(labels) > 2 else labels[:1]) + " " + path.lower()):
-        if piece.isdigit():
-            out.append("#")
-        else:
-            out += [w if w in segmenter.costs else "?" for w in split(piece)]
-    # the registered name is part of the host's words too
-    if len(labels) > 2:
-        for piece in _PIECES.findall(labels[-2]):
-            if not piece.isdigit():
-                out += [w if w in segmenter.costs else "?" for w in split(piece)]
-    return out
+def split_run(run: str, counts: dict[str, int], total: int) -> list[str]:
+    """The cheapest split of a run into words of the counts; ties go to longer last words.  One-letter words stand alone only.
+
+    A word costs the log of its rarity; letters outside all words cost more than the rarest word each, and a stretch of them is ``?``.
+    """
+    n = len(run)
+    unknown = math.log(total + 1) + 2.0
+    longest = max(map(len, counts), default=0)
+    cost = {w: math.log((total + 1) / c) for w, c in counts.items()}
+    best = [0.0] + [math.inf] * n
+    back = [(0, False)] * (n + 1)
+    for end in range(1, n + 1):
+        for start in range(max(0, end - longest), end):
+            c = cost.get(run[start:end])
+            if c is not None and best[start] + c < best[end] and (end - start > 1 or n == 1):
+                best[end], back[end] = best[start] + c, (start, True)
+        if best[end - 1] + unknown < best[end]:
+            best[end], back[end] = best[end - 1] + unknown, (end - 1, False)
+    out: list[str] = []
+    end = n
+    while end:
+        start, known = back[end]
+        if known:
+            out.append(run[start:end])
+        elif not out or out[-1] != "?":
+            out.append("?")
+        end = start
+    return out[::-1]
+
+
+def labelled_odds(word: str) -> float:
+    """Log odds of a word for blocking by the labelled names alone; 0 for words they do not have."""
+    if word not in LABELLED:
+        return 0.0
+    (b, a), (b_all, a_all) = LABELLED[word], LABELLED_TOTALS
+    share = SMOOTHING * (b + a) / (b_all + a_all)
+    return math.log((b + share) / (b_all + SMOOTHING)) - math.log((a + share) / (a_all + SMOOTHING))
+
+
+def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, n): the words of the pages' texts, counted over all rows."""
+    text = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " "))
+    words = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}])([a-z]{{2,{LONGEST}}})(?![\p{{L}}])"), F.lit(1))
+    return pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-@dataclass
-class Bayes:
-    log_odds: dict[str, float]  # of blocked against allowed, by word
-    other: float
-    prior: float
+def dictionary(pages: DataFrame, html_col: str = "html") -> tuple[DataFrame, int]:
+    """(word, n) with the example words, and the total of the counts."""
+    counted = written(unigrams(pages, html_col), "words")
+    total = counted.agg(F.sum("n")).collect()[0][0] or 0
+    least = max(1, round(EXAMPLE_SHARE * total))
+    examples = pages.sparkSession.createDataFrame([(w, least) for w in ADDED], "word string, n bigint")
+    return counted.union(examples).groupBy("word").agg(F.max("n").alias("n")), total + least * len(ADDED)
 
-    @classmethod
-    def of(cls, counts: dict[str, tuple[int, int]], blocked: int, allowed: int, smoothing: float = 1.0) -> Bayes:
-        """counts: occurrences in blocked and allowed examples; smoothed by the vocabulary and, for seed words, one pseudo-occurrence as blocked."""
-        words = set(counts) | SEEDS
-        b_total = sum(c[0] for c in counts.values()) + smoothing * (len(words) + 1) + len(SEEDS)
-        a_total = sum(c[1] for c in counts.values()) + smoothing * (len(words) + 1)
-        odds = {}
-        for w in words:
-            b, a = counts.get(w, (0, 0))
-            odds[w] = math.log((b + smoothing + (w in SEEDS)) / b_total) - math.log((a + smoothing) / a_total)
-        return cls(odds, math.log(smoothing / b_total) - math.log(smoothing / a_total), math.log((blocked + 1) / (allowed + 1)))
 
-    def score(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.log_odds.get(t, self.other) for t in tokens)
+def _letters(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("([a-z]+)"), F.lit(1))
 
 
-def unigrams(pages: DataFrame, html_col: str = "html", max_words: int = MAX_WORDS) -> dict[str, int]:
-    """Counts of the most frequent words of the pages' texts, counted over all rows; at most ``max_words``."""
-    text = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " "))
-    counted = (
-        pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}])([a-z]{2,24})(?![\p{L}])"), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= MIN_COUNT)
-    )
-    return {r.w: r.n for r in most_frequent(counted, max_words)}
+def _host_part(host: Column) -> Column:
+    """The host without its last label, if it has several."""
+    return F.regexp_replace(host, r"\.[^.]*$", "")
 
 
-def _token_counts(segmenter: Segmenter):
+def _split_all(total: int):
     def run(batches):
-        counts: dict[str, list[int]] = {}
-        seen = [0, 0]
-        for batch in batches:
-            for host, path, n in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                tokens = words_of(segmenter, host, path)
-                side = 0 if SEEDS.intersection(tokens) else 1
-                seen[side] += n
-                for t in tokens:
-                    counts.setdefault(t, [0, 0])[side] += n
-        counts[""] = seen
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["token", "blocked", "allowed"]
-        )
+        for batch in tx.chunks(batches, "run"):
+            words = [split_run(r, {c["word"]: c["n"] for c in found or []}, total) for r, found in zip(batch.column("run").to_pylist(), batch.column("found").to_pylist(), strict=True)]
+            odds = [sum(map(labelled_odds, w)) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(words, pa.list_(pa.string())), pa.array(odds, pa.float64())], ["run", "words", "first_odds"])
 
     return run
 
 
-def train(urls: DataFrame, segmenter: Segmenter) -> Bayes:
-    """Bayes counts over all urls.  Tokens come from the dictionary, so their number is bounded by it."""
-    rows = urls.select("host", "path", F.lit(1).cast("long").alias("n")).mapInArrow(_token_counts(segmenter), "token string, blocked long, allowed long")
-    counts = {r.token: (r.b, r.a) for r in rows.groupBy("token").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).collect()}
-    blocked, allowed = counts.pop("", (0, 0))
-    return Bayes.of(counts, blocked, allowed)
+def segmented(runs: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(run, words, first_odds) of distinct runs: their split, and its log odds by the labelled names."""
+    # substrings travel with a digest of their run, which may be long
+    keyed = runs.select("run", F.md5("run").alias("run_key"))
+    at = keyed.select("run", "run_key", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
+    longest = at.select("run_key", F.expr(f"substring(run, at, {LONGEST})").alias("rest"))
+    subs = longest.select("run_key", F.explode(F.transform(F.sequence(F.lit(1), F.length("rest")), lambda n: F.substring("rest", F.lit(1), n))).alias("word")).distinct()
+    found = join_grouped(subs, words, ["word"]).groupBy("run_key").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    return keyed.join(found, "run_key", "left").select("run", "found").mapInArrow(_split_all(total), "run string, words array<string>, first_odds double")
+
+
+def model(hosts: DataFrame, splits: DataFrame) -> DataFrame:
+    """(word, odds): log odds of each word of the table's runs; hosts: distinct (host, run, in_host)."""
+    held = join_grouped(hosts, splits, ["run"])
+    score = F.round(F.sum("first_odds") + F.lit(PRIOR), 9)
+    classes = held.where("in_host").groupBy("host").agg(score.alias("s")).where(F.abs("s") > MARGIN).select("host", (F.col("s") > 0).cast("long").alias("blocked"))
+    seen = held.select("host", F.explode("words").alias("word")).where("word <> '?'").distinct()
+    own = join_grouped(seen, classes, ["host"]).groupBy("word").agg(F.sum("blocked").alias("b"), F.sum(1 - F.col("blocked")).alias("a"))
+    known = hosts.sparkSession.createDataFrame([(w, b, a) for w, (b, a) in LABELLED.items()], "word string, lb bigint, la bigint")
+    both = written(own.join(known, "word", "full").na.fill(0, ["b", "a", "lb", "la"]), "odds")
+    sums = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("b", "a")]).collect()[0]
+    b_all, a_all = LABELLED_TOTALS
+    share = (F.col("b") + F.col("a") + F.col("lb") + F.col("la")) / F.lit(float(sums["b"] + sums["a"] + b_all + a_all)) * SMOOTHING
+
+    def p(own_n: str, own_all: int, n: str, n_all: int) -> Column:
+        return (1 - OWN) * (F.col(n) + share) / F.lit(n_all + SMOOTHING) + OWN * (F.col(own_n) + share) / F.lit(own_all + SMOOTHING)
+
+    return both.select("word", (F.log(p("b", sums["b"], "lb", b_all)) - F.log(p("a", sums["a"], "la", a_all))).alias("odds"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of the method for blocking), words."""
     host, path = split_url(F.col("url"))
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    segmenter = Segmenter.of(unigrams(pages, html_col))
-    model = train(urls, segmenter)
-
-    def run(batches):
-        for batch in batches:
-            tokens = [words_of(segmenter, h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([model.score(t) for t in tokens], pa.float64()), pa.array([" ".join(t) for t in tokens], pa.string())], [*batch.schema.names, "score", "words"]
-            )
-
-    id_type = urls.schema["page_id"].dataType.simpleString()
-    scored = urls.mapInArrow(run, f"page_id {id_type}, host string, path string, score double, words string")
-    return scored.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select(
+    urls = urls.withColumn("shape", F.regexp_replace("path", "[0-9]+", "0"))
+    sites = written(urls.select("host", "shape").distinct(), "sites")
+    in_host, in_path = _letters(_host_part(F.col("host"))), _letters(F.col("shape"))
+    hosts = written(
+        sites.select("host", F.explode(in_host).alias("run"), F.lit(True).alias("in_host")).union(sites.select("host", F.explode(in_path).alias("run"), F.lit(False).alias("in_host"))).distinct(), "runs"
+    )
+    words, total = dictionary(pages, html_col)
+    splits = written(segmented(hosts.select("run").distinct(), words, total), "splits")
+    odds = model(hosts, splits)
+    of_run = join_grouped(splits.select("run", F.explode("words").alias("word")), odds, ["word"]).groupBy("run").agg(F.sum("odds").alias("odds"))
+    runs = splits.join(of_run, "run", "left").select("run", F.array_join("words", " ").alias("words"), F.coalesce("odds", F.lit(0.0)).alias("odds"))
+    parts = sites.select("host", "shape", F.posexplode(F.concat(in_host, in_path)).alias("pos", "run"))
+    scored = join_grouped(parts, runs, ["run"]).groupBy("host", "shape").agg(F.sum("odds").alias("odds"), F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("w"))
+    scored = sites.join(scored, ["host", "shape"], "left").select(
+        "host", "shape", (F.coalesce("odds", F.lit(0.0)) + F.lit(PRIOR)).alias("score"), F.coalesce(F.array_join(F.col("w.words"), " "), F.lit("")).alias("words")
+    )
+    return join_grouped(urls, scored, ["host", "shape"]).withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score", "words"
     )
 
