@@ -65,17 +65,17 @@ BLOCKED = (
     "sports betting", "slots win big", "jackpot lottery", "lottery winner", "win free prize", "free cash prize", "gambling bonus", "bingo bonus", "cheap pills", "online pills", "diet pills cheap",
     "buy cheap viagra", "viagra pills", "pharmacy no prescription", "weight loss pills", "cheap loans", "payday loans", "fast cash loans", "bad credit loans", "ads track", "ads server", "ad click",
     "banner ads network", "click track ads", "popup ads", "ads pixel track", "affiliate ads click", "spam farm", "link farm spam", "spam bot", "spam mail list", "click farm", "seo link spam",
-    "adult x", "adult video xxx", "adult sex chat", "free porn", "porn video", "sex cams", "live sex", "nude cams", "xxx movies", "hot escort", "escort girls", "adult dating sex", "x rated video", "adult x cams", "xxx adult x",
+    "adult x", "adult video xxx", "adult sex chat", "free porn", "porn video", "sex cams", "live sex", "nude cams", "xxx movies", "hot escort", "escort girls", "adult dating sex", "x rated video", "adult x cams", "xxx adult x", "x videos adult",
     "warez download", "free warez crack", "crack serial keygen", "keygen download", "torrent warez", "malware download", "phishing login", "fake login bank", "replica watches cheap", "cheap replica bags",
     "get rich fast", "make money fast", "free bitcoin win", "crypto bonus free", "hack account free", "free followers bot", "miracle cure", "work home cash", "win big fast",
 )
 ALLOWED = (
     "daily news", "city news online", "world news live", "weather report", "free library", "public library", "free software", "open source software", "cheap flights", "cheap travel tips", "online courses",
-    "online shop", "book shop", "adult education", "dairy farm", "family farm", "farm animals", "wind farm energy", "track field", "race track", "track repair", "train track",
+    "online store", "book store", "adult education", "dairy farm", "family farm", "farm animals", "wind farm energy", "track field", "race track", "track repair", "train track",
     "fast food", "fast train", "hot springs hotel", "live music", "live concert", "music video", "video games", "movies review", "game review", "win the match", "football league", "sports club", "team sports news",
     "credit union", "home loans bank", "student loans help", "bank account", "login help", "mail server", "web server", "social network", "network school", "link library", "download manual", "software download",
-    "health clinic", "city hospital", "pharmacy school", "diet recipes", "weight training", "cooking recipes", "garden blog", "travel blog", "photo gallery", "art museum", "history museum", "science journal", "research lab", "university press",
-    "primary school", "math lessons", "language school", "dating fossils", "girls school", "x ray clinic", "watch repair", "bags and shoes", "prize for science", "nobel prize", "money museum", "work safety", "home garden",
+    "health clinic", "city hospital", "pharmacy school", "diet recipes", "weight training", "cooking recipes", "garden plants", "travel stories", "photo gallery", "art museum", "history museum", "science journal", "research lab", "university press",
+    "primary school", "math lessons", "language school", "dating fossils", "girls school", "watch repair", "bags and shoes", "prize for science", "nobel prize", "money museum", "work safety", "home garden",
     "big river park", "national park", "water works", "real estate agency", "law office",
 )
 #: Words of urls that say nothing by themselves; the dictionary has them besides the counted ones.

@@ -137,7 +137,7 @@ def test_whole_judgement_against_brute_force(spark):
 HELD_OUT = {
     "bestfreecasino": 1, "cheapviagrapills": 1, "win-cash-bonus": 1, "freexxxvideo": 1, "onlinebetsbonus": 1, "spamlinkfarm": 1, "adstracker-click": 1, "sexchatlive": 1, "pokerslots": 1, "fastpaydayloans": 1, "crackdownload": 1,
     "freebitcoinbonus": 1, "adultxxx": 1, "replicabags": 1, "pillsnoprescription": 1, "fakebanklogin": 1, "lotterywin": 1, "popupads": 1,
-    "freelibrary": 0, "cheaptravelblog": 0, "windfarm": 0, "farmnews": 0, "trackclub": 0, "adulteducation-school": 0, "winthematch": 0, "free-museum": 0, "studentloansoffice": 0, "xrayclinic": 0, "livefootball": 0,
+    "freelibrary": 0, "cheaptravelstories": 0, "windfarm": 0, "farmnews": 0, "trackclub": 0, "adulteducation-school": 0, "winthematch": 0, "free-museum": 0, "studentloansoffice": 0, "xrayclinic": 0, "livefootball": 0,
     "onlinelibrary": 0, "fastfoodrecipes": 0, "hotelreview": 0, "bankaccount": 0, "linklibrary": 0, "videogamereview": 0, "dietrecipes": 0, "softwaremanual": 0, "mailserver": 0,
 }
 
