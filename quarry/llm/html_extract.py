@@ -1,17 +1,18 @@
-"""Main text of web pages: structure first, then nearest-URL page differencing.
+"""Main text of web pages by nearest-URL page differencing, with page structure as its guard.
 
 A page is cut into blocks (text lines) with the role of the element they stand in:
 ``main`` (inside article or main), ``chrome`` (inside navigation, headers,
-footers, asides, forms, scripts, comment sections and elements whose class or id
-says so) or ``open`` (anything else).  If a page has main blocks they are its text.
-Otherwise its open blocks are compared with those of the page with the nearest URL
+footers, asides, forms, comment sections and elements whose class or id
+says so) or ``open`` (anything else).  Every page is compared with the page that has the nearest URL
 path on the same host: both lists of lines are aligned by longest common
 subsequence and the shared lines, which belong to the site rather than to the page,
 are deleted.
 
-Differencing alone cannot give right results where boilerplate is drawn anew for
-each page, or articles are copied between pages: it would keep the first and
-delete the second.  So it decides only what structure leaves open (see README).
+Structure guards the result on both sides, as differencing alone would keep boilerplate that is drawn anew for
+each page and delete articles that are copied between pages (README has the figures): lines of the
+main element are never deleted, and chrome goes even where no neighbour shares it.  On a page with a
+main element, what stands outside of it goes too; on a page without one, the open lines
+that differencing leaves are the text.
 
 Nearest pages: pages of one host and directory, in order of (path, hash of the lines), are
 neighbours; the nearest is the one of the two neighbours that shares the longer path
@@ -19,25 +20,29 @@ prefix, the one before on ties; pages with the same lines count as one.  Pages a
 their host.  Pages are numbered in that order over the whole table, dealt by ranges, and meet the numbers
 before and after theirs by joins, so that a hot host or directory never is one task and neighbours are
 the true ones at every size.
-Pages are parsed once, into a table in the shared folder; only line hashes travel to
-the neighbours, and lines travel only for pages that structure leaves open.
+Pages are parsed twice: once for the hashes of their lines, which find the neighbours, and once for the
+lines, which are exchanged once, to meet the neighbour's hashes.
 
 Defined results: null html is an empty page; a page without text gives an empty string;
 null urls have an empty host and path; repeated rows are pages each; a page that is
-alone on its host keeps all open lines.
+alone on its host shares nothing.  Among broken pages: a quote that is never closed ends with its word; a ``main``
+element ends whatever chrome is open before it; an article inside chrome is the
+main text only if the page has no other; an article that its class calls a comment or advert is chrome.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_grouped, written
+from quarry.llm import text as tx
+from quarry.llm.common import join_grouped
 from quarry.operators.lineage import numbered
 
 #: Elements of HTML by what they do to the text.
@@ -46,7 +51,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul title".split()
 )
-HIDDEN = frozenset("script style template noscript iframe object svg math canvas head title select textarea button datalist audio video".split())
+HIDDEN = frozenset("script style template noscript iframe object svg canvas head title select textarea button datalist audio video".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 CHROME = frozenset("nav footer aside form menu dialog".split())
 MAIN = frozenset(("article", "main"))
@@ -59,9 +64,13 @@ CHROME_WORDS = frozenset(
     "share sharing social related recommended newsletter subscribe signup login search form pagination pager toolbar skip contentinfo complementary".split()
 )
 MAIN_WORDS = frozenset(("main", "article"))
+#: Those of them that make an article element no main text, and those that mean nothing inside the main element (a headline's wrapper, a boxed paragraph).
+ASIDE_WORDS = frozenset("comment comments reply replies respond disqus ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+HARMLESS_INSIDE = frozenset(("header", "alert"))
 
+#: Comments, CDATA, declarations, or a tag with its attributes; a quote counts only as the first character of a value, and only if it is closed.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s>]+|=)*+)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -77,26 +86,27 @@ def _attribute_words(attributes: str) -> set[str]:
     return found
 
 
+def _outcome(here: str, mine: str) -> str:
+    """Role of a place, from that of its surroundings and of its own element."""
+    if "hidden" in (here, mine):
+        return "hidden"
+    if mine == "reset":
+        return "main"
+    if mine == "chrome" or (here == "chrome" and not mine):
+        return "chrome"
+    if mine == "main":
+        return "main" if here in ("open", "main") else "boxed"
+    return here
+
+
 def blocks(page: str | None) -> list[tuple[str, str]]:
     """(role, text) of each block, in page order; blocks without text are left out."""
     if not page:
         return []
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # element, role: "", main, chrome or hidden
+    stack: list[tuple[str, str, str]] = []  # element, its own role, role of what stands in it
+    open_names: Counter = Counter()
     parts: list[str] = []
-
-    def role() -> str:
-        # hidden anywhere hides; inside a main element chrome still is chrome; main inside chrome is chrome
-        found = "open"
-        for _, r in stack:
-            if r == "hidden":
-                return "hidden"
-            if r == "chrome":
-                found = "chrome"
-            elif r == "main" and found == "open":
-                found = "main"
-        return found
-
     now = here = "open"  # role of the block so far, and of the place
 
     def flush() -> None:
@@ -119,6 +129,30 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             now = here
         parts.append(text)
 
+    def cut_to(depth: int) -> None:
+        for name, _, _ in stack[depth:]:
+            open_names[name] -= 1
+        del stack[depth:]
+
+    def drop_one(depth: int) -> None:
+        # roles above are worked out again only if this element had one
+        name, mine, _ = stack.pop(depth)
+        open_names[name] -= 1
+        if mine:
+            for i in range(depth, len(stack)):
+                stack[i] = (*stack[i][:2], _outcome(stack[i - 1][2] if i else "open", stack[i][1]))
+
+    def highest(names: tuple[str, ...], until) -> int | None:
+        """Place of the innermost open element of these names, unless one for which ``until`` holds stands above it."""
+        if not any(open_names[n] for n in names):
+            return None
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                return i
+            if until(stack[i][0]):
+                return None
+        return None
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -138,65 +172,63 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             add(" ")
             continue
         if m[1]:  # an end tag
-            if not any(e == name for e, _ in stack):
+            depth = highest((name,), lambda _: False)
+            if depth is None:
                 if name in BLOCK:
                     flush()
                 continue
             # inline ends never close blocks
-            depth = max(i for i, (e, _) in enumerate(stack) if e == name)
-            if name not in BLOCK and any(e in BLOCK for e, _ in stack[depth + 1 :]):
-                del stack[depth]
-                continue
-            if name in BLOCK or any(e in BLOCK for e, _ in stack[depth:]):
-                flush()
-            del stack[depth:]
-            here = role()
+            above_blocks = any(e in BLOCK for e, _, _ in stack[depth + 1 :])
+            if name not in BLOCK and above_blocks:
+                drop_one(depth)
+            else:
+                if name in BLOCK or above_blocks:
+                    flush()
+                cut_to(depth)
+            here = stack[-1][2] if stack else "open"
             continue
         if name in BLOCK:
-            if name in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        flush()
-                        del stack[i]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
+            if name in CLOSES_P and (depth := highest(("p",), BLOCK.__contains__)) is not None:
+                flush()
+                drop_one(depth)
             if name in ("li", "dd", "dt", "option", "tr", "td", "th"):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        flush()
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("ul", "ol", "dl", "table", "select", "menu", "tr" if name in ("td", "th") else ""):
-                        break
+                ends = ("ul", "ol", "dl", "table", "select", "menu", *(("tr",) if name in ("td", "th") else ()))
+                if (depth := highest((name,), ends.__contains__)) is not None:
+                    flush()
+                    cut_to(depth)
             flush()
         if name == "body":
             flush()
-            stack = [x for x in stack if x[0] != "head"]
+            while (depth := highest(("head",), lambda _: False)) is not None:
+                drop_one(depth)
+        here = stack[-1][2] if stack else "open"
         words = _attribute_words(m[3]) if "=" in m[3] else set()
-        inside_main = any(r == "main" for _, r in stack)
-        if inside_main:
-            words.discard("header")  # a headline's wrapper
+        if here == "main":
+            words -= HARMLESS_INSIDE
         mine = ""
         if name in HIDDEN:
             mine = "hidden"
-        elif name in CHROME or (words & CHROME_WORDS and name not in ("body", "html", "article", "main")):
+        elif name == "main":
+            mine = "reset"
+        elif name in CHROME or (name not in ("body", "html", "article") and words & CHROME_WORDS) or (name == "article" and words & ASIDE_WORDS):
             mine = "chrome"
-        elif name == "header" and not inside_main:
+        elif name == "header" and here != "main":
             mine = "chrome"
-        elif name in MAIN or (words & MAIN_WORDS and name not in ("body", "html")):
+        elif name == "article" or (words & MAIN_WORDS and name not in ("body", "html")):
             mine = "main"
-        if name == "hr" or name in VOID or (m[3].endswith("/") and name in VOID):
+        if name in VOID:
             continue
-        stack.append((name, mine))
-        here = role()
+        stack.append((name, mine, _outcome(here, mine)))
+        open_names[name] += 1
+        here = stack[-1][2]
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
-            stack.pop()
-            here = role()
+            cut_to(len(stack) - 1)
+            here = stack[-1][2] if stack else "open"
     flush()
-    return out
+    boxed = "chrome" if any(r == "main" for r, _ in out) else "main"
+    return [(boxed if r == "boxed" else r, t) for r, t in out]
 
 
 def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -243,33 +275,53 @@ def common_lines(mine: list[int], other: list[int]) -> list[bool]:
     return shared
 
 
-def _parse(batches):
+#: Roles as they travel: what differencing may not delete, what it decides, what goes in any case.
+GUARDED, DECIDED, DROPPED = 0, 1, 2
+
+
+def _guards(roles: list[str]) -> list[int]:
+    has_main = "main" in roles
+    return [GUARDED if r == "main" else DROPPED if r == "chrome" or has_main else DECIDED for r in roles]
+
+
+def _hash(line: str) -> int:
     import xxhash
 
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            text, lines, hashes = [], [], []
-            for page in part.column("html").to_pylist():
-                found = blocks(page)
-                main = [t for r, t in found if r == "main"]
-                rest = [t for r, t in found if r == "open"]
-                text.append("\n\n".join(main) if main else None)
-                lines.append(None if main else rest)
-                hashes.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t in rest])
+    return xxhash.xxh64_intdigest(line) - (1 << 63)
+
+
+def _line_hashes(batches):
+    for batch in tx.chunks(batches, "html"):
+        hashes = [[_hash(t) for _, t in blocks(page)] for page in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEYS), pa.array(hashes, pa.list_(pa.int64()))], [*_KEYS, "hashes"])
+
+
+def _lines(structure: bool):
+    def run(batches):
+        for batch in tx.chunks(batches, "html"):
+            found = [blocks(page) for page in batch.column("html").to_pylist()]
+            guards = [_guards([r for r, _ in f]) if structure else [DECIDED] * len(f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), part.column("host"), part.column("path"), part.column("row_key"), pa.array(text, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))],
-                ["page_id", "url", "host", "path", "row_key", "main_text", "lines", "hashes"],
+                [batch.column("page_id"), batch.column("url"), batch.column("row_key"), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string())), pa.array(guards, pa.list_(pa.int8()))],
+                ["page_id", "url", "row_key", "lines", "guards"],
             )
 
+    return run
+
 
 def _subtract(batches):
     for batch in batches:
-        text = []
-        for lines, mine, other in zip(batch.column("lines").to_pylist(), batch.column("hashes").to_pylist(), batch.column("mate").to_pylist(), strict=True):
-            shared = common_lines(mine, other or [])
-            text.append("\n\n".join(x for x, s in zip(lines, shared, strict=True) if not s))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            text, counts, gone = [], [], []
+            for lines, guards, mate in zip(part.column("lines").to_pylist(), part.column("guards").to_pylist(), part.column("mate").to_pylist(), strict=True):
+                shared = common_lines([_hash(x) for x in lines], mate or [])
+                text.append("\n\n".join(x for x, g, s in zip(lines, guards, shared, strict=True) if g == GUARDED or (g == DECIDED and not s)))
+                counts.append(len(lines))
+                gone.append(sum(s and g != GUARDED for s, g in zip(shared, guards, strict=True)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(counts, pa.int32()), pa.array(gone, pa.int32())], ["page_id", "url", "text", "n_lines", "n_shared"]
+            )
 
 
 def _prefix(a: F.Column, b: F.Column) -> F.Column:
@@ -279,20 +331,12 @@ def _prefix(a: F.Column, b: F.Column) -> F.Column:
     return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda acc, s: F.when(acc["go"] & s, F.struct((acc["n"] + 1).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(acc["n"].alias("n"), F.lit(False).alias("go"))), lambda acc: acc["n"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text: the main text of each page."""
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    host, path = split_url(F.col("url"))
-    base = base.select("page_id", "url", host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url", "html").alias("row_key"), "html")
-    id_type = base.schema["page_id"].dataType.simpleString()
-    parsed = written(
-        base.mapInArrow(_parse, f"page_id {id_type}, url string, host string, path string, row_key long, main_text string, lines array<string>, hashes array<bigint>"), "pages"
-    )
-    settled = parsed.where("main_text is not null").select("page_id", "url", F.col("main_text").alias("text"))
-    light = parsed.select("page_id", "host", "path", "row_key", "hashes", F.col("main_text").isNull().alias("open"), F.regexp_replace("path", r"[^/]*/?$", "").alias("dir"))
-    hosts = light.groupBy("host").agg(F.max("open").alias("any_open")).where("any_open").select("host")
-    light = join_grouped(light, hosts, ["host"])
-    light = _grouped(light, "dir")
+_KEYS = ("page_id", "host", "path", "row_key")
+
+
+def _neighbours(light: DataFrame) -> DataFrame:
+    """(page_id, row_key, mate): the line hashes of each page's nearest page; pages without one are left out."""
+    light = _grouped(light.withColumn("dir", F.regexp_replace("path", r"[^/]*/?$", "")), "dir")
     light = light.withColumn("line_key", F.xxhash64("hashes"))
     # pages with the same lines are one node: a copy is no neighbour to compare with
     nodes = light.groupBy("host", "dir", "line_key").agg(F.min("path").alias("path"), F.any_value("hashes").alias("hashes"))
@@ -303,9 +347,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col("after").isNotNull() & (F.col("before").isNull() | (_prefix(F.col("path"), F.col("after")) > _prefix(F.col("path"), F.col("before")))), F.col("pos") + 1
     ).otherwise(F.when(F.col("before").isNotNull(), F.col("pos") - 1))
     near = near.select("host", "dir", "line_key", chosen.alias("chosen")).join(nodes.select(F.col("pos").alias("chosen"), F.col("hashes").alias("mate")), "chosen").drop("chosen")
-    mates = light.where("open").join(near, ["host", "dir", "line_key"], "left").select(F.col("page_id").alias("m_page"), F.col("row_key").alias("m_key"), "mate").dropDuplicates(["m_page", "m_key"])
-    rest = parsed.where("main_text is null").join(mates, F.col("page_id").eqNullSafe(F.col("m_page")) & (F.col("row_key") == F.col("m_key")), "left")
-    return settled.unionByName(rest.select("page_id", "url", "lines", "hashes", "mate").mapInArrow(_subtract, f"page_id {id_type}, url string, text string"))
+    return join_grouped(light.select("page_id", "row_key", "host", "dir", "line_key").distinct(), near, ["host", "dir", "line_key"]).select("page_id", "row_key", "mate").dropDuplicates(["page_id", "row_key"])
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", structure: bool = True) -> DataFrame:
+    """page_id, url, text, n_lines, n_shared: the main text of each page, its lines, and those of them that differencing deletes.
+
+    Without ``structure`` differencing alone decides on every line.
+    """
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    host, path = split_url(F.col("url"))
+    base = base.select("page_id", "url", host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url", "html").alias("row_key"), "html")
+    id_type = base.schema["page_id"].dataType.simpleString()
+    light = base.select(*_KEYS, "html").mapInArrow(_line_hashes, f"page_id {id_type}, host string, path string, row_key long, hashes array<bigint>")
+    mates = _neighbours(light).select(F.col("page_id").alias("m_page"), F.col("row_key").alias("m_key"), "mate")
+    lines = base.select("page_id", "url", "row_key", "html").mapInArrow(_lines(structure), f"page_id {id_type}, url string, row_key long, lines array<string>, guards array<tinyint>")
+    both = lines.join(mates, F.col("page_id").eqNullSafe(F.col("m_page")) & (F.col("row_key") == F.col("m_key")), "left")
+    return both.select("page_id", "url", "lines", "guards", "mate").mapInArrow(_subtract, f"page_id {id_type}, url string, text string, n_lines int, n_shared int")
 
 
 def _grouped(light: DataFrame, group: str) -> DataFrame:
@@ -316,4 +374,4 @@ def _grouped(light: DataFrame, group: str) -> DataFrame:
 
 def op9_html_extract(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")

@@ -33,6 +33,32 @@ def test_broken_markup():
     assert texts("<p>" + "x " * 50000, "open") == [("x " * 50000).strip()]
 
 
+def test_quotes_and_strays():
+    assert texts("<article><p data-x=don't>one</p><p>it's</p></article><footer>f") == ["one", "it's"]
+    assert texts("<article><p title=\"a>one</p><p>two</p></article>") == ["one", "two"]
+    assert texts("<article><p title='a>b' x='<p>'>one</p><p class=\"x\"\">two</article>") == ["one", "two"]
+    assert texts("<article><a href=/x?a=1&b='2>one</a> = <b c = \"d>e\">two</b></article>") == ["one = two"]
+
+
+def test_mains_in_odd_places():
+    assert texts("<article>Text<article class='comment'><p>Nice</p></article></article><article class=comment-body>No</article>") == ["Text"]
+    assert texts("<article class=comment>No</article><p>x") == [] and texts("<article class=comment>No</article><p>x", "open") == ["x"]
+    assert texts("<div class='comment-layout'><main><p>Text</p><div class=comments>No</div></main></div>") == ["Text"]
+    assert texts("<div class='comment-layout'><article><p>Text</p></article></div>") == ["Text"]
+    assert texts("<aside>Ad<main><p>Text</p></main>") == ["Text"] and texts("<aside>Ad<article><p>Text</p></article>") == ["Text"]
+    assert texts("<article>A</article><section class=comments><article>B</article></section>") == ["A"]
+    assert texts("<article><p class=alert>Mind the gap</p><p>E = <math><mi>m</mi></math></p><p class=notice>No</p></article>") == ["Mind the gap", "E = m"]
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    began = time.time()
+    n = 60_000
+    assert texts("<div>" * n + "<article>x" + "</div>" * n) == ["x"] and texts("<article>" + "<b>" * n + "<p>y</p>" * 1000) == ["y"] * 1000
+    assert time.time() - began < 20
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
@@ -63,6 +89,10 @@ def test_nearest_page_differencing(spark):
     got = sorted((r.page_id, r.text) for r in extract(df).collect())
     by = dict(got)
     assert by[1] == "first" and by[4] == "Welcome\n\nonly\n\nImprint" and by[5] == "Welcome" and by[6] == "" and by[7] == "n"
+    counts = {r.page_id: (r.n_lines, r.n_shared) for r in extract(df).collect()}
+    assert counts[1] == (4, 3) and counts[2] == (4, 3) and counts[5] == (2, 1) and counts[4] == (3, 0)  # every page meets its neighbour, guarded lines stay
+    alone = {r.page_id: r.text for r in extract(df, structure=False).collect()}
+    assert alone[5] == "" and alone[1] == "first" and alone[6] == ""
     assert len(got) == 9 and by[3] == "Welcome\n\nlone\n\nImprint"  # the only page alone in its directory
     assert [t for i, t in got if i == 8] == ["Welcome\n\nlone too\n\nImprint"] * 2  # a copy is no neighbour
     assert by[2] == "second"  # shares Welcome, both and Imprint with page 1
