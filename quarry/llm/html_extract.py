@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
-from quarry.llm.common import join_grouped
+from quarry.llm.common import join_grouped, written
 from quarry.operators.lineage import numbered
 
 #: Elements of HTML by what they do to the text.
@@ -293,17 +293,22 @@ def _hash(line: str) -> int:
 def _line_hashes(batches):
     for batch in tx.chunks(batches, "html"):
         hashes = [[_hash(t) for _, t in blocks(page)] for page in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEYS), pa.array(hashes, pa.list_(pa.int64()))], [*_KEYS, "hashes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PLACE), pa.array(hashes, pa.list_(pa.int64()))], [*_PLACE, "hashes"])
 
 
 def _lines(structure: bool):
+    """Hashes and guards of all lines, the guarded text as one string, and the lines that differencing decides; others need not travel."""
+
     def run(batches):
         for batch in tx.chunks(batches, "html"):
             found = [blocks(page) for page in batch.column("html").to_pylist()]
             guards = [_guards([r for r, _ in f]) if structure else [DECIDED] * len(f) for f in found]
+            main = ["\n\n".join(t for (_, t), g in zip(f, gs, strict=True) if g == GUARDED) for f, gs in zip(found, guards, strict=True)]
+            lines = [[t for (_, t), g in zip(f, gs, strict=True) if g == DECIDED] for f, gs in zip(found, guards, strict=True)]
+            hashes = [[_hash(t) for _, t in f] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), batch.column("row_key"), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string())), pa.array(guards, pa.list_(pa.int8()))],
-                ["page_id", "url", "row_key", "lines", "guards"],
+                [*(batch.column(c) for c in ("page_id", "url", "dir_key")), pa.array(hashes, pa.list_(pa.int64())), pa.array(guards, pa.list_(pa.int8())), pa.array(main, pa.string()), pa.array(lines, pa.list_(pa.string()))],
+                ["page_id", "url", "dir_key", "hashes", "guards", "main", "lines"],
             )
 
     return run
@@ -314,10 +319,12 @@ def _subtract(batches):
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             text, counts, gone = [], [], []
-            for lines, guards, mate in zip(part.column("lines").to_pylist(), part.column("guards").to_pylist(), part.column("mate").to_pylist(), strict=True):
-                shared = common_lines([_hash(x) for x in lines], mate or [])
-                text.append("\n\n".join(x for x, g, s in zip(lines, guards, shared, strict=True) if g == GUARDED or (g == DECIDED and not s)))
-                counts.append(len(lines))
+            for hashes, guards, mate, main, lines in zip(*(part.column(c).to_pylist() for c in ("hashes", "guards", "mate", "main", "lines")), strict=True):
+                shared = common_lines(hashes, mate or [])
+                decided = [s for s, g in zip(shared, guards, strict=True) if g == DECIDED]
+                # a page has guarded lines or decided ones, never both
+                text.append(main or "\n\n".join(x for x, s in zip(lines, decided, strict=True) if not s))
+                counts.append(len(hashes))
                 gone.append(sum(s and g != GUARDED for s, g in zip(shared, guards, strict=True)))
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(counts, pa.int32()), pa.array(gone, pa.int32())], ["page_id", "url", "text", "n_lines", "n_shared"]
@@ -331,23 +338,28 @@ def _prefix(a: F.Column, b: F.Column) -> F.Column:
     return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda acc, s: F.when(acc["go"] & s, F.struct((acc["n"] + 1).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(acc["n"].alias("n"), F.lit(False).alias("go"))), lambda acc: acc["n"])
 
 
-_KEYS = ("page_id", "host", "path", "row_key")
+#: Where a page stands: hashes of its host and of its host and directory, and its path.
+_PLACE = ("host_key", "dir_key", "path")
 
 
 def _neighbours(light: DataFrame) -> DataFrame:
-    """(page_id, row_key, mate): the line hashes of each page's nearest page; pages without one are left out."""
-    light = _grouped(light.withColumn("dir", F.regexp_replace("path", r"[^/]*/?$", "")), "dir")
-    light = light.withColumn("line_key", F.xxhash64("hashes"))
+    """(dir_key, line_key, mate): for each directory and list of lines, the line hashes of the nearest page; pages without one are left out."""
     # pages with the same lines are one node: a copy is no neighbour to compare with
-    nodes = light.groupBy("host", "dir", "line_key").agg(F.min("path").alias("path"), F.any_value("hashes").alias("hashes"))
-    nodes = numbered(nodes, ["host", "dir", "path", "line_key"])
-    beside = lambda step, name: nodes.select("host", "dir", (F.col("pos") + step).alias("pos"), F.col("path").alias(name))
-    near = nodes.drop("hashes").join(beside(1, "before"), ["host", "dir", "pos"], "left").join(beside(-1, "after"), ["host", "dir", "pos"], "left")
+    light = light.withColumn("line_key", F.xxhash64("hashes"))
+    nodes = written(light.groupBy("host_key", "dir_key", "line_key").agg(F.min("path").alias("path"), F.any_value("hashes").alias("hashes"), F.count(F.lit(1)).alias("pages")), "nodes")
+    # pages alone in their directory make up a group of their host
+    alone = nodes.groupBy("dir_key").agg(F.sum("pages").alias("pages")).where("pages = 1").select(F.col("dir_key").alias("a_key"))
+    nodes = nodes.drop("pages").join(alone, F.col("dir_key") == F.col("a_key"), "left").withColumn("place", F.when(F.col("a_key").isNull(), F.col("dir_key")).otherwise(F.xxhash64("host_key", F.lit("alone"))))
+    single = nodes.where("a_key is not null").groupBy("place", "line_key").agg(F.min("path").alias("path"), F.any_value("hashes").alias("hashes"))
+    placed = numbered(nodes.where("a_key is null").select("place", "line_key", "path", "hashes").unionByName(single), ["place", "path", "line_key"])
+    beside = lambda step, name: placed.select("place", (F.col("pos") + step).alias("pos"), F.col("path").alias(name))
+    near = placed.drop("hashes").join(beside(1, "before"), ["place", "pos"], "left").join(beside(-1, "after"), ["place", "pos"], "left")
     chosen = F.when(
         F.col("after").isNotNull() & (F.col("before").isNull() | (_prefix(F.col("path"), F.col("after")) > _prefix(F.col("path"), F.col("before")))), F.col("pos") + 1
     ).otherwise(F.when(F.col("before").isNotNull(), F.col("pos") - 1))
-    near = near.select("host", "dir", "line_key", chosen.alias("chosen")).join(nodes.select(F.col("pos").alias("chosen"), F.col("hashes").alias("mate")), "chosen").drop("chosen")
-    return join_grouped(light.select("page_id", "row_key", "host", "dir", "line_key").distinct(), near, ["host", "dir", "line_key"]).select("page_id", "row_key", "mate").dropDuplicates(["page_id", "row_key"])
+    near = near.select("place", "line_key", chosen.alias("chosen")).where("chosen is not null")
+    near = join_grouped(nodes.select("dir_key", "line_key", "place"), near, ["place", "line_key"]).select("dir_key", "line_key", "chosen")
+    return near.join(placed.select(F.col("pos").alias("chosen"), F.col("hashes").alias("mate")), "chosen").drop("chosen")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", structure: bool = True) -> DataFrame:
@@ -357,19 +369,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host, path = split_url(F.col("url"))
-    base = base.select("page_id", "url", host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url", "html").alias("row_key"), "html")
+    base = base.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
+    base = base.select("page_id", "url", F.xxhash64("host").alias("host_key"), F.xxhash64("host", F.regexp_replace("path", r"[^/]*/?$", "")).alias("dir_key"), "path", "html")
     id_type = base.schema["page_id"].dataType.simpleString()
-    light = base.select(*_KEYS, "html").mapInArrow(_line_hashes, f"page_id {id_type}, host string, path string, row_key long, hashes array<bigint>")
-    mates = _neighbours(light).select(F.col("page_id").alias("m_page"), F.col("row_key").alias("m_key"), "mate")
-    lines = base.select("page_id", "url", "row_key", "html").mapInArrow(_lines(structure), f"page_id {id_type}, url string, row_key long, lines array<string>, guards array<tinyint>")
-    both = lines.join(mates, F.col("page_id").eqNullSafe(F.col("m_page")) & (F.col("row_key") == F.col("m_key")), "left")
-    return both.select("page_id", "url", "lines", "guards", "mate").mapInArrow(_subtract, f"page_id {id_type}, url string, text string, n_lines int, n_shared int")
-
-
-def _grouped(light: DataFrame, group: str) -> DataFrame:
-    """Move pages that are alone in their group to the host's common one."""
-    sizes = light.groupBy("host", group).agg(F.count(F.lit(1)).alias("g_n"))
-    return join_grouped(light, sizes, ["host", group]).withColumn(group, F.when(F.col("g_n") == 1, F.lit("")).otherwise(F.col(group))).drop("g_n")
+    light = base.select(*_PLACE, "html").mapInArrow(_line_hashes, "host_key long, dir_key long, path string, hashes array<bigint>")
+    near = _neighbours(light).withColumnsRenamed({"dir_key": "r_dir", "line_key": "r_line"})
+    lines = base.select("page_id", "url", "dir_key", "html").mapInArrow(
+        _lines(structure), f"page_id {id_type}, url string, dir_key long, hashes array<bigint>, guards array<tinyint>, main string, lines array<string>"
+    ).withColumn("line_key", F.xxhash64("hashes"))
+    both = lines.join(near, (F.col("dir_key") == F.col("r_dir")) & (F.col("line_key") == F.col("r_line")), "left")
+    return both.select("page_id", "url", "hashes", "guards", "mate", "main", "lines").mapInArrow(_subtract, f"page_id {id_type}, url string, text string, n_lines int, n_shared int")
 
 
 def op9_html_extract(spark, sf_dir: str) -> DataFrame:
