@@ -1,7 +1,7 @@
 """The doubling carried on beyond the window: how long repeated passages are.
 
 Level 0 are the windows of ``window`` words that occur in two documents or more (found as in
-``substring_dedup``: half windows first).  A window of twice the length can repeat only if both its halves
+``substring_dedup``: shorter lengths first).  A window of twice the length can repeat only if both its halves
 do, so the starts whose partner one length further repeats too are extended, hashed and grouped
 again, until no candidates survive.  Each level's starts are cut and are at most the level's before.
 
@@ -58,10 +58,8 @@ def _repeated(windows: DataFrame) -> DataFrame:
 def ladder(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, length, pos): starts of repeated windows at every length window * 2**k that has any."""
     base = sd._keyed(docs, id_col, text_col, [])
-    anchors = base.select("did", "text_key", "text").mapInArrow(sd._anchors(window), "did long, text_key long, anchor long")
-    shared = anchors.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor")
-    candidates = join_grouped(anchors, shared, ["anchor"]).groupBy("did", "text_key").agg(F.collect_set("anchor").alias("anchors")).withColumn("late_anchors", F.col("anchors"))
-    first = base.join(candidates, ["did", "text_key"]).select("did", "text_key", "text", "rest", "anchors", "late_anchors").mapInArrow(sd._windows(window), _WINDOWS + ", late boolean").drop("late")
+    candidates = sd.survivors(base, window)
+    first = base.join(candidates.withColumn("late_anchors", F.col("anchors")), ["did", "text_key"]).select("did", "text_key", "text", "rest", "anchors", "late_anchors").mapInArrow(sd._windows(window), _WINDOWS + ", late boolean").drop("late")
     level, n, out = _repeated(first), window, None
     while level.limit(1).count():
         part = level.withColumn("length", F.lit(n))

@@ -1,15 +1,17 @@
 """Substring deduplication by level-wise doubling.
 
-Windows are judged in two doublings.  At half the window length every document
-offers only its anchors: the smallest half-window hash inside each full window.
-Equal windows have equal anchors, so a window whose anchor occurs in one
-document alone cannot repeat.  Windows whose anchor repeats are extended to
-twice the length and hashed in full; those that start in an earlier document
-too are marked, and the words they cover are removed.  The doubling stops
-there: the marked length is reached, or no candidate survives.
-
-Scale: anchors are about 2/(n/2+2) of the words, so the first exchange is a small
-part of the text.  Hot passages are pre-aggregated (min and max of the document
+Windows of n words are judged by doubling lengths, n/4, n/2 and n (13, 25 and 50 words; halves are
+rounded up, so two of them cover a window).  At each length below n a window offers only its
+anchor, the smallest hash of the runs of that length inside it.  Equal windows have equal anchors at every length, so a window
+whose anchor occurs in one document alone cannot repeat; only windows whose anchor repeats are extended to
+the next length.  At n words the survivors are hashed in full; those that start in an earlier document
+too are marked, and the words they cover are removed.  The doubling ends there, or where no candidates
+survive; ``repeat_ladder`` carries it on, to know how long repeats are.
+
+Equality rests on 80 bits of hash, of which 64 come from one function of the words' bytes and 16 from a second.
+
+Scale: anchors of the first length are about 2/(3n/4+2) of the words, so the first exchange is a small
+part of the text, and the next has survivors only.  Hot passages are pre-aggregated (min and max of the document
 ids), and the joins that mark occurrences have plain exchanges on both sides, so
 adaptive execution can split a hot key.  A document's marks are collected per
 document only.
@@ -39,26 +41,44 @@ from quarry.llm.common import join_grouped
 NO_ID = -(1 << 63)
 
 
-def _half(n: int) -> int:
-    return (n + 1) // 2
+def lengths(n: int) -> list[int]:
+    """The lengths below n whose anchors are compared, shortest first."""
+    half = (n + 1) // 2
+    return [(half + 1) // 2, half]
 
 
-def _anchor_hashes(w: tx.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor of each window of n words, and which windows stay in one document."""
-    half = _half(n)
-    anchors = tx.sliding_min(tx.grams(w, half), n - half + 1)
-    return anchors, tx.inside(w, n)
+def _anchor_hashes(w: tx.Words, n: int, length: int) -> np.ndarray:
+    """Anchor of each window of n words: the smallest hash of the runs of a length inside it."""
+    return tx.sliding_min(tx.grams(w, length), n - length + 1)
 
 
-def _anchors(n: int):
+class _Held:
+    """Hashes listed for each row of a batch, to be looked up by (row, hash)."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+        self.tag = tx.mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
+
+    def has(self, column: str, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        listed = self.batch.column(column)
+        of = np.repeat(np.arange(self.batch.num_rows), np.asarray(pa.compute.fill_null(listed.value_lengths(), 0)))
+        held = np.asarray(listed.flatten()).astype(np.int64).view(np.uint64) ^ self.tag[of]
+        return np.isin(hashes ^ self.tag[owner], held)
+
+
+def _offers(n: int, length: int, before: int | None):
+    """Anchors of a length, of all windows or of those whose anchor of the length before is listed."""
+
     def run(batches):
         for batch in tx.chunks(batches, "text"):
             w = tx.words(batch.column("text"))
-            hashes, good = _anchor_hashes(w, n)
+            good = tx.inside(w, n)
             at = np.flatnonzero(good & (np.asarray(batch.column("did")) != NO_ID)[w.owner[: len(good)]])
+            if before is not None and len(at):
+                at = at[_Held(batch).has("anchors", w.owner[at], _anchor_hashes(w, n, before)[at])]
             if not len(at):
                 continue
-            pairs = np.stack([w.owner[at].astype(np.uint64), hashes[at]], 1)
+            pairs = np.stack([w.owner[at].astype(np.uint64), _anchor_hashes(w, n, length)[at]], 1)
             pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
             order = np.lexsort((pairs[:, 1], pairs[:, 0]))
             pairs = pairs[order]
@@ -76,20 +96,11 @@ def _windows(n: int):
     def run(batches):
         for batch in tx.chunks(batches, "text"):
             w = tx.words(batch.column("text"))
-            hashes, good = _anchor_hashes(w, n)
-            at = np.flatnonzero(good)
+            at = np.flatnonzero(tx.inside(w, n))
             if not len(at):
                 continue
-            owner = w.owner[at]
-            tag = tx.mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
-
-            def held(column, tag=tag, batch=batch):
-                listed = batch.column(column)
-                of = np.repeat(np.arange(batch.num_rows), np.asarray(listed.value_lengths()))
-                return np.asarray(listed.flatten()).astype(np.int64).view(np.uint64) ^ tag[of]
-
-            own = hashes[at] ^ tag[owner]
-            keep = np.isin(own, held("anchors"))
+            held, hashes, owner = _Held(batch), _anchor_hashes(w, n, lengths(n)[-1]), w.owner[at]
+            keep = held.has("anchors", owner, hashes[at])
             at, owner = at[keep], owner[keep]
             rows = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
@@ -99,7 +110,7 @@ def _windows(n: int):
                     pa.array((at - w.bounds[owner]).astype(np.int32)),
                     tx.as_long(tx.grams(w, n)[at]),
                     pa.array((tx.grams(w, n, second=True)[at] >> np.uint64(48)).astype(np.uint16).view(np.int16)),
-                    pa.array(np.isin(own[keep], held("late_anchors"))),
+                    pa.array(held.has("late_anchors", owner, hashes[at])),
                 ],
                 ["did", "text_key", "pos", "h", "h2", "late"],
             )
@@ -149,17 +160,24 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> D
     )
 
 
+def survivors(base: DataFrame, window: int) -> DataFrame:
+    """(did, text_key, anchors, late_anchors): the anchors of each document that repeat, and those of them that an earlier document has."""
+    found, before = None, None
+    for length in lengths(window):
+        texts = base.select("did", "text_key", "text") if found is None else base.join(found, ["did", "text_key"]).select("did", "text_key", "text", "anchors")
+        offered = texts.mapInArrow(_offers(window, length, before), "did long, text_key long, anchor long")
+        shared = offered.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "lo")
+        found = (
+            join_grouped(offered, shared, ["anchor"])
+            .groupBy("did", "text_key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("lo") < F.col("did"), F.col("anchor"))).alias("late_anchors"))
+        )
+        before = length
+    return found
+
+
 def repeated_starts(base: DataFrame, window: int = 50) -> DataFrame:
     """(did, text_key, pos): words at which a window starts that also starts in a document with a smaller id."""
-    # first level: half windows, anchors only
-    anchors = base.select("did", "text_key", "text").mapInArrow(_anchors(window), "did long, text_key long, anchor long")
-    shared = anchors.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "lo")
-    candidates = (
-        join_grouped(anchors, shared, ["anchor"])
-        .groupBy("did", "text_key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("lo") < F.col("did"), F.col("anchor"))).alias("late_anchors"))
-    )
-    # second level: twice the length, candidates only
-    windows = base.join(candidates, ["did", "text_key"]).select("did", "text_key", "text", "rest", "anchors", "late_anchors").mapInArrow(
+    windows = base.join(survivors(base, window), ["did", "text_key"]).select("did", "text_key", "text", "rest", "anchors", "late_anchors").mapInArrow(
         _windows(window), "did long, text_key long, pos int, h long, h2 short, late boolean"
     )
     repeats = (
