@@ -100,6 +100,27 @@ def test_against_brute_force(spark, corpus):
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_samples_follow_the_recall():
+    asked = [dc.samples_for(k, 0.8, 0.99) for k in range(2, 9)]
+    assert asked == sorted(asked) and asked[-1] > asked[0] and dc.samples_for(6, 0.8, 0.9) < dc.samples_for(6, 0.8, 0.9999)
+
+
+def test_one_long_item_among_many_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(20))) for k in range(10_000)] + [(-1, " ".join(word() for _ in range(20_000)))]
+    long = items[-1][1].split()
+    edits = edited(rng, long, 3000, word)
+    tracemalloc.start()
+    index = dc.build_index(items, 0.8)
+    found = dc.matches(pa.array(["x y z", " ".join(edits), items[7][1]], pa.string()), index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and {(r, index.ids[i]) for r, i, *_ in found} == {(1, -1), (2, 7)}
+
+
 def test_slices_give_the_same(spark, corpus, monkeypatch):
     items, docs = corpus
     df = spark.createDataFrame(docs[:150], "doc_id long, text string")
