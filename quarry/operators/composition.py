@@ -4,91 +4,155 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
 from quarry.operators import dedup
 
-#: Members of a structural class.
-ARITY = {"pair": 2, "chain": 3, "diamond": 4}
+#: Members of a structural class, in the order in which classes take turns.
+ARITY = {"direct": 2, "branching": 3, "deep": 4}
+#: Proof templates by class, of ordinary plans and of final-only ones; %n$s is the n-th member.
+TEMPLATES = {
+    "direct": ("and(leaf:%1$s,leaf:%2$s);path=2", "iff(forward:leaf:%2$s,backward:leaf:%1$s);path=2"),
+    "branching": ("and(leaf:%1$s,iff(forward:leaf:%3$s,backward:leaf:%2$s));path=3", "iff(forward:and(leaf:%2$s,leaf:%3$s),backward:leaf:%1$s);path=3"),
+    "deep": ("and(iff(forward:leaf:%2$s,backward:leaf:%1$s),iff(forward:leaf:%4$s,backward:leaf:%3$s));path>=3", "iff(forward:and(and(leaf:%2$s,leaf:%3$s),leaf:%4$s),backward:leaf:%1$s);path>=3"),
+}
+#: The tag that names a family, the family without a tag, and the one that it leaves out.
+FAMILY_TAG, GENERIC, APART = "prime-family:", "generic", "prime-family:pnt-plus"
+#: Every tenth plan, from the first on, is for the final evaluation only; attempts per plan asked for, and at least.
+FINAL_EVERY, ATTEMPTS, LEAST_ATTEMPTS, RETRIEVED = 10, 200, 2000, 4
 
 
 def pools(records: DataFrame) -> DataFrame:
-    """One record for each (family, name), the first in order of (family, name, statement id)."""
-    rows = records.select("*", F.explode(F.array_distinct("families")).alias("family"))
-    return dedup.keep_first(rows, ["family", "declaration_name"], ["statement_id"])
+    """Records by family, the first in order of ``pos`` for each (family, declaration name).
 
+    A record is in the family of each of its family tags, and in the generic one unless it has the tag that is kept apart.
+    """
+    tags = F.coalesce("topic_tags", F.array().cast("array<string>"))
+    named = F.transform(F.filter(tags, lambda t: t.startswith(FAMILY_TAG)), lambda t: F.substring(t, F.lit(len(FAMILY_TAG) + 1), F.length(t)))
+    families = F.array_distinct(F.concat(F.when(F.array_contains(tags, APART), F.array().cast("array<string>")).otherwise(F.array(F.lit(GENERIC))), named))
+    return dedup.keep_first(records.select("*", F.explode(families).alias("family")), ["family", "declaration_name"], ["pos"])
+
+
+def template(structure: Column, members: Column, final_only: Column) -> Column:
+    """The normalised proof template of a plan, over its members' ids."""
+    out = F.lit(None).cast("string")
+    for name, (plain, final) in TEMPLATES.items():
+        slots = [F.get(members, F.lit(i)) for i in range(max(ARITY.values()))]
+        out = F.when(structure == name, F.when(final_only, F.format_string(final, *slots)).otherwise(F.format_string(plain, *slots))).otherwise(out)
+    return out
+
+
+def generator(structure: Column, final_only: Column) -> Column:
+    return F.when(final_only, F.concat(F.lit("final-only:"), structure, F.lit("-graph-iff-v2"))).otherwise(F.concat(structure, F.lit("-graph-logic-v2")))
 
-def dag_template(structure, arity):
-    """The normalised template of a composition: its class and numbered leaves."""
-    leaves = F.array_join(F.transform(F.sequence(F.lit(1), arity), lambda i: F.concat(F.lit("s"), i.cast("string"))), ",")
-    return F.concat(structure, F.lit("("), leaves, F.lit(")"))
+
+def described(plans: DataFrame) -> DataFrame:
+    """plans (with members, structural_class, final_only) and their template, generator and derivation fingerprint."""
+    dag, made = template(F.col("structural_class"), F.col("members"), F.col("final_only")), generator(F.col("structural_class"), F.col("final_only"))
+    return plans.withColumns({"normalized_proof_dag": dag, "generator_family": made}).withColumn(
+        "derivation_family_fingerprint", dedup.family_fingerprint(F.col("members"), F.col("normalized_proof_dag"), F.col("generator_family"))
+    )
 
 
 def connected_plans(pool: DataFrame, relations: DataFrame, seed: str, quota: int) -> DataFrame:
-    """Plans of connected pairs and chains, found by joins and picked by hash order: the distributed planner.
+    """Connected plans of every class, found by joins and picked by hash order: the distributed planner.
 
     pool: (family, statement_id); relations: (a, b) undirected.  Not the random walk's output, but its
     contract: members are connected, sets are distinct, at most ``quota`` plans a family and class.
     """
-    edges = relations.select("a", "b").union(relations.select("b", "a")).distinct()
+    edges = relations.select("a", "b").union(relations.select("b", "a")).where("a <> b").distinct()
     fam = pool.select("family", "statement_id").distinct()
-    pairs = (
-        fam.join(edges, F.col("statement_id") == F.col("a")).join(fam.withColumnsRenamed({"family": "f2", "statement_id": "s2"}), (F.col("b") == F.col("s2")) & (F.col("family") == F.col("f2")))
-        .where("a < b").select("family", F.array("a", "b").alias("members"))
-    )
-    grown = (
-        pairs.select("family", "members", F.explode("members").alias("end")).join(edges.withColumnsRenamed({"a": "end", "b": "third"}), "end").join(fam.withColumnRenamed("statement_id", "third"), ["family", "third"])
-        .where(~F.array_contains("members", F.col("third"))).select("family", F.array_sort(F.array_append("members", F.col("third"))).alias("members")).distinct()
-    )
-    every = pairs.withColumn("structural_class", F.lit("pair")).unionByName(grown.withColumn("structural_class", F.lit("chain")))
-    from pyspark.sql import Window
-
+    own = fam.join(edges, F.col("statement_id") == F.col("a")).select("family", "a", "b").join(fam.withColumnRenamed("statement_id", "b"), ["family", "b"]).select("family", "a", "b")
     h = F.sha2(F.concat_ws(x.NUL, F.lit(seed), "family", F.array_join("members", x.NUL)), 256)
-    w = Window.partitionBy("family", "structural_class").orderBy("_h")
-    return every.withColumn("_h", h).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= quota).drop("_h")
-
-
-def walk_plans(pool: DataFrame, relations: DataFrame, seed: int, attempts: int) -> DataFrame:
-    """The sequential planner: a seeded walk grows connected sets of two to four; sets are distinct over all families; every tenth plan is final-only.
-
-    One generator and one set of taken plans couple all families, so it is one task over the pool table.
+    best = Window.partitionBy("family").orderBy("_h", "members")
+    sets = own.where("a < b").select("family", F.array("a", "b").alias("members"))
+    out = None
+    for structure in ARITY:
+        # a class has the first sets of its size by hash; only those grow on, so no level exceeds the quota
+        sets = sets.withColumn("_h", h).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= quota).drop("_h")
+        part = sets.withColumn("structural_class", F.lit(structure))
+        out = part if out is None else out.unionByName(part)
+        grown = sets.select("family", "members", F.explode("members").alias("a")).join(own, ["family", "a"]).where(~F.array_contains("members", F.col("b")))
+        sets = grown.select("family", F.array_sort(F.array_append("members", F.col("b"))).alias("members")).distinct()
+    return out
+
+
+def _grown(draw, names: list[str], near: dict[str, list[tuple[str, str]]], size: int) -> tuple[list[str], list[tuple[str, str, str]]]:
+    """A connected set grown from a drawn name by drawn steps, and the steps; short if it cannot grow."""
+    chosen, steps = [names[draw(len(names))]], []
+    while len(chosen) < size and (ways := [(a, *step) for a in chosen for step in near.get(a, ()) if step[0] not in chosen]):
+        steps.append(ways[draw(len(ways))])
+        chosen.append(steps[-1][1])
+    return chosen, steps
+
+
+def walk_plans(pool: DataFrame, near: DataFrame, counts: dict[str, int], seed: str) -> DataFrame:
+    """The sequential planner: seeded walks over each family's neighbours, classes in turn, sets distinct over all families.
+
+    pool: (family, declaration_name, statement_id); near: (family, a, b, relation) of declaration names, as ``graph.neighbours`` gives.
+    Each attempt has a generator of its own, seeded by (seed, family, attempt, plans so far); a family that
+    cannot give its count raises.  The number of plans so far and the sets taken couple all families, so it is one task over the pool table.
     """
-    schema = "pos int, family string, members array<string>, structural_class string, final_only boolean"
-    rows = pool.select(F.lit("p").alias("kind"), "family", F.col("statement_id").alias("a"), F.lit("").alias("b")).union(relations.select(F.lit("r"), F.lit(""), "a", "b"))
+    schema = "pos int, family string, names array<string>, members array<string>, structural_class string, final_only boolean, steps array<struct<src:string,dst:string,relation:string>>"
+    none = F.lit("")
+    rows = pool.where(F.col("family").isin(*counts)).select(F.lit("p").alias("kind"), "family", F.col("declaration_name").alias("a"), F.col("statement_id").alias("b"), none.alias("relation")).union(
+        near.where(F.col("family").isin(*counts)).select(F.lit("r"), "family", "a", "b", "relation")
+    )
 
     def plan(pdf):
+        import hashlib
         import random
 
         import pandas as pd
 
-        near: dict[str, set[str]] = {}
-        for r in pdf[pdf.kind == "r"].itertuples():
-            near.setdefault(r.a, set()).add(r.b)
-            near.setdefault(r.b, set()).add(r.a)
-        members = {f: sorted(set(g.a)) for f, g in pdf[pdf.kind == "p"].groupby("family")}
-        rng, seen, out = random.Random(seed), set(), []
-        names = {v: k for k, v in ARITY.items()}
-        for family in sorted(members):
-            own = set(members[family])
-            for _ in range(attempts):
-                size = rng.choice(sorted(ARITY.values()))
-                chosen = [rng.choice(members[family])]
-                while len(chosen) < size:
-                    options = sorted({n for c in chosen for n in near.get(c, ()) if n in own} - set(chosen))
-                    if not options:
-                        break
-                    chosen.append(rng.choice(options))
-                key = tuple(sorted(chosen))
-                if len(chosen) == size and key not in seen:
-                    seen.add(key)
-                    out.append((len(out), family, list(key), names[size], (len(out) + 1) % 10 == 0))
-        return pd.DataFrame(out, columns=["pos", "family", "members", "structural_class", "final_only"])
+        out: list[tuple] = []
+        taken: set[frozenset] = set()
+        for family in sorted(counts):
+            own = pdf[pdf.family == family]
+            ids = dict(sorted(zip(own.a[own.kind == "p"], own.b[own.kind == "p"], strict=True)))
+            steps: dict[str, list[tuple[str, str]]] = {}
+            for a, b, relation in sorted(zip(*(own.loc[own.kind == "r", c] for c in ("a", "b", "relation")), strict=True)):
+                steps.setdefault(a, []).append((b, relation))
+            if len(ids) < max(ARITY.values()):
+                raise ValueError(f"family {family} has {len(ids)} sources; four at least are needed")
+            goal, attempt = len(out) + counts[family], 0
+            while len(out) < goal:
+                attempt += 1
+                if attempt > max(LEAST_ATTEMPTS, ATTEMPTS * counts[family]):
+                    raise ValueError(f"family {family} gives fewer than {counts[family]} distinct plans")
+                at = len(out)
+                structure = list(ARITY)[at % len(ARITY)]
+                key = hashlib.sha256(f"{seed}\0{family}\0{attempt}\0{at}".encode()).digest()
+                names, walked = _grown(random.Random(int.from_bytes(key, "big")).randrange, list(ids), steps, ARITY[structure])
+                members = [ids[n] for n in names]
+                if len(names) == ARITY[structure] and (chosen := frozenset(members)) not in taken:
+                    taken.add(chosen)
+                    out.append((at, family, names, members, structure, at % FINAL_EVERY == 0, [dict(src=a, dst=b, relation=r) for a, b, r in walked]))
+        return pd.DataFrame(out, columns=["pos", "family", "names", "members", "structural_class", "final_only", "steps"])
 
     return rows.groupBy().applyInPandas(plan, schema)
 
 
+def retrieval(plans: DataFrame, pool: DataFrame, near: DataFrame, seed: str) -> DataFrame:
+    """(pos, rank, declaration_name, origins): four declarations of the family beside each plan, by hash order.
+
+    They are neighbours of members, or have the type head of the plan's own kind (iff for final-only plans, else and).
+    """
+    head = F.when(F.col("final_only"), "iff").otherwise("and")
+    around = plans.select("pos", "family", "names", F.explode("names").alias("a")).join(near, ["family", "a"]).select(
+        "pos", "names", F.col("b").alias("declaration_name"), F.concat(F.lit("dependency-relevance-neighborhood:"), "relation").alias("origin")
+    )
+    alike = plans.select("pos", "family", "names", head.alias("type_head")).join(pool.select("family", "type_head", "declaration_name"), ["family", "type_head"]).select(
+        "pos", "names", "declaration_name", F.concat(F.lit("type-head:"), "type_head").alias("origin")
+    )
+    every = around.union(alike).where(~F.array_contains("names", F.col("declaration_name"))).groupBy("pos", "declaration_name").agg(F.array_sort(F.collect_set("origin")).alias("o"))
+    h = F.sha2(F.concat_ws(x.NUL, F.lit(seed), F.col("pos").cast("string"), F.lit("retrieval"), "declaration_name"), 256)
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("pos").orderBy(h, "declaration_name"))).where(F.col("rank") <= RETRIEVED)
+    return ranked.select("pos", "rank", "declaration_name", F.array_join("o", ",").alias("origins"))
+
+
 def audit(plans: DataFrame) -> DataFrame:
     """Plans with what fails: dependencies that were planned and not used, a wrong arity, unconnected members.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
 from quarry.functions import lexer
+from quarry.operators import graph
 
 
 class Violation(ValueError):
@@ -136,13 +137,24 @@ def same_summary(stored: DataFrame, recomputed: DataFrame, columns: Sequence[str
         raise Violation(f"stored and recomputed summaries differ in {diff}")
 
 
-def atlas(entries: DataFrame, edges: DataFrame, statuses: Sequence[str], edge_types: Sequence[str]) -> None:
+def atlas(entries: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> None:
+    """Ids, statuses, attributions, edge types and ends of an atlas.
+
+    entries: (id, formalization_status, source_ids, and relationship_class with relationship_sources where there are any); edges: (source, target, type, source_ids); sources: (id).
+    """
     unique(entries, ["id"], "atlas ids")
-    none(entries, ~F.coalesce(F.col("formalization_status").isin(*statuses), F.lit(False)), "unknown statuses")
-    none(entries, F.coalesce(F.size("source_ids"), F.lit(0)) <= 0, "entries without attribution")
-    none(edges, ~F.coalesce(F.col("type").isin(*edge_types), F.lit(False)), "unknown edge types")
+    listed = lambda c: F.coalesce(F.size(c), F.lit(0))
+    none(entries, ~F.coalesce(F.col("formalization_status").isin(*graph.STATUSES), F.lit(False)), "unknown statuses")
+    if "relationship_class" in entries.columns:
+        none(entries, F.col("relationship_class").isin("equivalent-to-RH", "RH-implies", "implies-RH") & (listed("relationship_sources") <= 0), "directed relationships without attribution")
+    if sources is not None:
+        none(entries.select("id", F.explode("source_ids").alias("source")).join(sources.select(F.col("id").alias("source")), "source", "left_anti"), F.lit(True), "unknown sources")
+    none(edges, ~F.coalesce(F.col("type").isin(*graph.EDGE_TYPES), F.lit(False)), "unknown edge types")
     for end in ("source", "target"):
         none(edges.join(entries.select(F.col("id").alias(end)), end, "left_anti"), F.lit(True), f"edge {end}s without entry")
+    none(edges, F.col("type").isin(*graph.ATTRIBUTED_EDGES) & (listed("source_ids") <= 0), "directed edges without attribution")
+    status = entries.select(F.col("id").alias("target"), "formalization_status")
+    none(edges.join(status, "target"), (F.col("type") == graph.COUNTERPART) & (F.col("formalization_status") == "literature-only"), "counterparts of what only the literature has")
 
 
 def training_plan(records: DataFrame, most_bytes: int | None, strict: bool = False) -> DataFrame:

@@ -109,20 +109,58 @@ def degree_distribution(nodes: DataFrame, degree: str) -> DataFrame:
     return nodes.agg(F.min(degree).alias("min"), F.expr(f"percentile_cont(0.5) within group (order by {degree})").alias("median"), F.expr(f"percentile_disc(0.95) within group (order by {degree})").alias("p95"), F.max(degree).alias("max"), F.avg(degree).alias("mean"))
 
 
-def neighbour_relations(pairs: DataFrame, deps: DataFrame, modules: DataFrame, relevance: DataFrame, fan_out: int = 64) -> DataFrame:
-    """The strongest relation of each pair: dependency, shared dependency, same module, shared relevance; pairs without any are left out.
+#: Relations of two declarations, the strongest first, and the tags that make up a relevance neighbourhood.
+RELATIONS = ("direct-dependency", "shared-dependency-neighborhood", "same-source-module", "shared-relevance-neighborhood")
+RELEVANCE_TAGS = ("prime-family:", "riemann-relevance:", "riemann-seed:")
 
-    pairs: (a, b); deps: (id, dep); modules: (id, module); relevance: (id, cls).  A dependency used by
-    more than ``fan_out`` statements ties nothing.
+
+def _strongest(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    names = F.array(*map(F.lit, RELATIONS))
+    return ranked.groupBy(*keys).agg(F.min("rank").alias("rank")).select(*keys, F.element_at(names, F.col("rank") + 1).alias("relation"))
+
+
+def neighbour_relations(pairs: DataFrame, deps: DataFrame, modules: DataFrame, relevance: DataFrame) -> DataFrame:
+    """The strongest relation of each pair: a dependency either way, a dependency of both, one module, one relevance tag; pairs without any are left out.
+
+    pairs: (a, b); deps: (id, dep); modules: (id, module); relevance: (id, cls).
     """
     direct = deps.select(F.col("id").alias("a"), F.col("dep").alias("b")).union(deps.select(F.col("dep"), F.col("id"))).distinct()
-    common = deps.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("dep"))).where(F.col("_n") <= fan_out)
     ranked = pairs.join(direct, ["a", "b"], "left_semi").select("a", "b", F.lit(0).alias("rank"))
-    for rank, (table, key) in enumerate([(common, "dep"), (modules, "module"), (relevance, "cls")], start=1):
+    for rank, (table, key) in enumerate([(deps, "dep"), (modules, "module"), (relevance, "cls")], start=1):
         left, right = table.select(F.col("id").alias("a"), F.col(key).alias("k")), table.select(F.col("id").alias("b"), F.col(key).alias("k2"))
         ranked = ranked.union(pairs.join(left, "a").join(right, "b").where("k = k2").select("a", "b", F.lit(rank).alias("rank")))
-    names = F.array(*map(F.lit, ("dependency", "shared-dependency", "same-module", "shared-relevance")))
-    return ranked.groupBy("a", "b").agg(F.min("rank").alias("rank")).select("a", "b", F.element_at(names, F.col("rank") + 1).alias("relation"))
+    return _strongest(ranked, ["a", "b"])
+
+
+def neighbours(pool: DataFrame, users_at_most: int = 64) -> DataFrame:
+    """(family, a, b, relation): the neighbours of each declaration in its family's pool.
+
+    Neighbours are the dependencies in the pool, the other users of a dependency that has at most ``users_at_most`` of them, and
+    whatever shares the module or a relevance tag.  The first two keep their own relation; the others get the strongest they have.
+    A module or tag ties all its pairs, as the planner draws from whole neighbourhoods; pools are small beside the corpus.
+
+    pool: (family, declaration_name, source_module, resolved_dependencies, topic_tags).
+    """
+    named = pool.select("family", F.col("declaration_name").alias("id"), F.col("source_module").alias("module"), F.coalesce("resolved_dependencies", F.array().cast("array<string>")).alias("deps"), F.coalesce("topic_tags", F.array().cast("array<string>")).alias("tags"))
+    uses = named.select("family", "id", F.explode(F.array_distinct("deps")).alias("dep"))
+    few = uses.groupBy("family", "dep").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= users_at_most).select("family", "dep")
+    relevant = F.filter(F.array_distinct("tags"), lambda t: F.exists(F.array(*map(F.lit, RELEVANCE_TAGS)), lambda p: t.startswith(p)))
+
+    def tied(table: DataFrame, key: str) -> DataFrame:
+        left, right = table.select("family", F.col("id").alias("a"), key), table.select("family", F.col("id").alias("b"), key)
+        return left.join(right, ["family", key]).where("a <> b").select("family", "a", "b").distinct()
+
+    direct = uses.select("family", F.col("id").alias("a"), F.col("dep").alias("b")).join(named.select("family", F.col("id").alias("b")), ["family", "b"], "left_semi").select("family", "a", "b")
+    shared = tied(uses.join(few, ["family", "dep"]), "dep")
+    module, relevance = tied(named, "module"), tied(named.select("family", "id", F.explode(relevant).alias("tag")), "tag")
+    met = module.union(relevance).distinct()
+    backward = direct.select("family", F.col("b").alias("a"), F.col("a").alias("b"))
+    keys = ["family", "a", "b"]
+    # what the dependencies themselves lead to comes before what a module or tag leads to: 0, 1, then 10 + the relation
+    ranked = direct.select(*keys, F.lit(0).alias("rank")).union(shared.select(*keys, F.lit(1))).union(met.join(backward, keys, "left_semi").select(*keys, F.lit(10)))
+    ranked = ranked.union(met.join(tied(uses, "dep"), keys, "left_semi").select(*keys, F.lit(11))).union(module.select(*keys, F.lit(12))).union(relevance.select(*keys, F.lit(13)))
+    least = ranked.groupBy(*keys).agg(F.min("rank").alias("rank"))
+    return _strongest(least.withColumn("rank", F.col("rank") % 10), keys)
 
 
 def specialist_partitions(nodes: DataFrame, bubble: Sequence[str], control_prefix: str) -> DataFrame:
@@ -162,28 +200,60 @@ def leakage(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def alias_collisions(entries: DataFrame, id_col: str = "id", aliases: str = "aliases") -> DataFrame:
-    """Normalised aliases with more than one owner."""
-    keyed = entries.select(F.col(id_col).alias("id"), F.explode(aliases).alias("alias")).select("id", x.alias_key("alias").alias("alias_key"))
+def alias_collisions(entries: DataFrame, id_col: str = "id", aliases: str = "aliases", names: Sequence[str] = ("canonical_name", "display_name")) -> DataFrame:
+    """Normalised aliases with more than one owner; an entry's names (those of ``names`` that the table has) are its aliases too."""
+    own = F.array(*[F.col(n) for n in names if n in entries.columns]).cast("array<string>")
+    every = F.concat(own, F.coalesce(aliases, F.array().cast("array<string>")))
+    keyed = entries.select(F.col(id_col).alias("id"), F.explode(every).alias("alias")).select("id", x.alias_key("alias").alias("alias_key"))
     return keyed.where("alias_key <> ''").groupBy("alias_key").agg(F.array_sort(F.collect_set("id")).alias("owners")).where(F.size("owners") > 1)
 
 
-#: Formalisation statuses of atlas entries.
-STATUSES = ("formalised", "partial", "statement-only", "not-formalised")
+#: Formalisation statuses, edge types, and the edge types and relationship classes that need an attribution.
+STATUSES = ("mathlib", "external-lean", "other-prover", "literature-only")
+EDGE_TYPES = (
+    "equivalent-to", "implies", "consequence-of", "prerequisite-for", "strengthens", "weakens", "analogue-generalization-of", "formalization-of", "Lean-counterpart-of", "Lean-component-of",
+)
+COUNTERPART, COMPONENT = "Lean-counterpart-of", "Lean-component-of"
+ATTRIBUTED_EDGES = ("equivalent-to", "implies", "consequence-of")
+
 
+def atlas(entries: DataFrame, generated: DataFrame, relationships: DataFrame, formal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, edges): curated and generated entries united, in order of id; curated relationships and formal edges, in order of (type, source, target).
 
-def atlas(entries: DataFrame, generated: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries, edges): curated and generated entries united; an edge from a generated entry gets a type by its target's status."""
+    formal: (source, target) from a generated entry; its type follows from the status of its target among the curated entries:
+    a component of what only the literature has, else a counterpart.
+    """
     every = entries.unionByName(generated, allowMissingColumns=True)
-    status = every.select(F.col("id").alias("target"), "formalization_status")
-    typed = relations.join(status, "target", "left").withColumn(
-        "type", F.coalesce("type", F.when(F.col("formalization_status") == "formalised", "formalises").when(F.col("formalization_status") == "partial", "partially-formalises").otherwise("relates-to"))
-    )
-    return every.orderBy("id"), typed.select("source", "target", "type").orderBy("source", "target", "type")
+    status = entries.select(F.col("id").alias("target"), "formalization_status")
+    kind = F.when(F.col("formalization_status") == "literature-only", COMPONENT).otherwise(COUNTERPART)
+    typed = formal.join(status, "target", "left").withColumn("type", kind).drop("formalization_status")
+    return every.orderBy("id"), relationships.unionByName(typed, allowMissingColumns=True).orderBy("type", "source", "target")
+
+
+def _ranked(rows: DataFrame, order: list, n: int | None) -> DataFrame:
+    if n is not None:
+        rows = rows.orderBy(*order).limit(n)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
 
+def opportunities(entries: DataFrame, external: DataFrame, holdout: DataFrame, n: int = 20) -> DataFrame:
+    """(list, rank, id, name): the four ranked lists that an atlas suggests.
 
-def opportunities(entries: DataFrame, n: int = 20) -> DataFrame:
-    """The first n entries by status rank, fewer prerequisites, then id, with rank labels."""
-    rank = F.array_position(F.array(*map(F.lit, STATUSES[::-1])), F.col("formalization_status"))
-    w = Window.orderBy("_r", "id")  # over at most n rows
-    return entries.withColumn("_r", rank).orderBy("_r", "id").limit(n).withColumn("rank", F.row_number().over(w)).drop("_r")
+    ``missing_lean_formalizations``: the first n entries to formalise that the library lacks, equivalents first;
+    ``future_clean_evaluation_targets``: the first n of the near holdout; ``knowledge_only_anchors`` and
+    ``external_lean_ingestion``: whole lists.  entries: (id, display_name, candidate_role, formalization_status, relationship_class);
+    external: (id, declaration_name, atlas_target); holdout: (id, declaration_name).  Whole lists are numbered in one
+    task, as they are a curated census.
+    """
+    wanted = entries.where((F.col("candidate_role") == "formalize-in-lean") & (F.col("formalization_status") != "mathlib")).withColumn("_far", F.coalesce(F.col("relationship_class") != "equivalent-to-RH", F.lit(True)))
+    lists = [
+        ("missing_lean_formalizations", _ranked(wanted, [F.col("_far"), F.col("id")], n), "display_name"),
+        ("future_clean_evaluation_targets", _ranked(holdout, [F.col("id")], n), "declaration_name"),
+        ("knowledge_only_anchors", _ranked(entries.where("candidate_role = 'knowledge-only'"), [F.col("id")], None), "display_name"),
+        ("external_lean_ingestion", _ranked(external, [F.col("atlas_target"), F.col("declaration_name")], None), "declaration_name"),
+    ]
+    out = None
+    for name, rows, label in lists:
+        part = rows.select(F.lit(name).alias("list"), "rank", "id", F.col(label).alias("name"))
+        out = part if out is None else out.union(part)
+    return out

@@ -394,7 +394,7 @@ def alias_collisions(spark, d):
     """A31, F31."""
     every = None
     for t, mark, key, name in (("supplier", "s", "s_suppkey", "s_name"), ("part", "p", "p_partkey", "p_name"), ("nation", "n", "n_nationkey", "n_name"), ("region", "r", "r_regionkey", "r_name")):
-        part = table(spark, d, t).select(F.concat(F.lit(mark), key).alias("id"), F.array(name).alias("aliases"))
+        part = table(spark, d, t).select(F.concat(F.lit(mark), key).alias("id"), F.col(name).alias("canonical_name"), F.lower(name).alias("display_name"), F.array().cast("array<string>").alias("aliases"))
         every = part if every is None else every.union(part)
     return graph.alias_collisions(every).select("alias_key", F.array_join("owners", ",").alias("owners"))
 
@@ -512,45 +512,82 @@ def sample_negatives(spark, d):
     return sampling.negatives(s, 3, ["doc_id"])
 
 
-@query("""with d as (select o_orderkey as id, o_custkey as dep from orders), c as (select dep from d group by 1 having count(*) <= 20), p as (select a.id as a, b.id as b from d a join d b on a.id + 1 = b.id), m as (select o_orderkey as id, o_orderpriority as module from orders), r as (select o_orderkey as id, o_orderstatus as cls from orders)
-  select p.a, p.b, case when x.dep = y.dep and x.dep in (select dep from c) then 'shared-dependency' when mx.module = my.module then 'same-module' when rx.cls = ry.cls then 'shared-relevance' end as relation from p join d x on x.id = p.a join d y on y.id = p.b join m mx on mx.id = p.a join m my on my.id = p.b join r rx on rx.id = p.a join r ry on ry.id = p.b
-  where (x.dep = y.dep and x.dep in (select dep from c)) or mx.module = my.module or rx.cls = ry.cls""")
+@query("""with d as (select o_orderkey as id, 'c' || o_custkey as dep from orders union all select o_orderkey, cast(o_orderkey - 1 as varchar) from orders where o_orderkey % 11 = 0),
+  p as (select a.o_orderkey as a, b.o_orderkey as b from orders a join orders b on a.o_orderkey + 1 = b.o_orderkey),
+  c as (select a, b, exists (select 1 from d where (d.id = a and d.dep = cast(b as varchar)) or (d.id = b and d.dep = cast(a as varchar))) as direct,
+    exists (select 1 from d x join d y on x.dep = y.dep where x.id = a and y.id = b) as shared, mx.o_orderpriority = my.o_orderpriority as module, mx.o_orderstatus = my.o_orderstatus as cls
+    from p join orders mx on mx.o_orderkey = a join orders my on my.o_orderkey = b)
+  select a, b, case when direct then 'direct-dependency' when shared then 'shared-dependency-neighborhood' when module then 'same-source-module' else 'shared-relevance-neighborhood' end as relation
+  from c where direct or shared or module or cls""")
 def neighbour_relations(spark, d):
     """The strongest relation of each pair."""
-    o = table(spark, d, "orders")
-    deps = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey")).alias("dep"))
-    ids = deps.select("id")
-    pairs = ids.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).join(ids.select(F.col("id").alias("b")), "b", "left_semi")
-    tagged = deps.withColumn("dep", F.concat(F.lit("c"), "dep"))
-    text = lambda df: df.withColumn("id", F.col("id").cast("string"))
-    out = graph.neighbour_relations(pairs.select(F.col("a").cast("string"), F.col("b").cast("string")), text(tagged), text(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("module"))), text(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("cls"))), fan_out=20)
+    o = table(spark, d, "orders").withColumn("id", F.col("o_orderkey").cast("string"))
+    deps = o.select("id", F.concat(F.lit("c"), "o_custkey").alias("dep")).union(o.where("o_orderkey % 11 = 0").select("id", (F.col("o_orderkey") - 1).cast("string")))
+    ids = o.select("id")
+    pairs = o.select(F.col("id").alias("a"), (F.col("o_orderkey") + 1).cast("string").alias("b")).join(ids.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    out = graph.neighbour_relations(pairs, deps, o.select("id", F.col("o_orderpriority").alias("module")), o.select("id", F.col("o_orderstatus").alias("cls")))
     return out.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "relation")
 
 
-@query("""with l as (select l_orderkey, list_sort(list_distinct(list('p' || l_partkey))) as s from lineitem group by 1) select l_orderkey, sha256('derivation-family-v1' || chr(0) || 'fam' || chr(0) || 'chain(s1,s2,s3)' || chr(0) || array_to_string(s, chr(0))) as fingerprint from l""")
+@query("""with l as (select l_orderkey, list('p' || l_partkey order by l_linenumber, 'p' || l_partkey) as m, count(*) as n from lineitem group by 1 having count(*) between 2 and 4),
+  c as (select *, l_orderkey % 10 = 0 as f, case n when 2 then 'direct' when 3 then 'branching' else 'deep' end as k from l),
+  t as (select *, case when f then 'final-only:' || k || '-graph-iff-v2' else k || '-graph-logic-v2' end as g, case
+    when n = 2 and f then format('iff(forward:leaf:{1},backward:leaf:{0});path=2', m[1], m[2]) when n = 2 then format('and(leaf:{0},leaf:{1});path=2', m[1], m[2])
+    when n = 3 and f then format('iff(forward:and(leaf:{1},leaf:{2}),backward:leaf:{0});path=3', m[1], m[2], m[3]) when n = 3 then format('and(leaf:{0},iff(forward:leaf:{2},backward:leaf:{1}));path=3', m[1], m[2], m[3])
+    when f then format('iff(forward:and(and(leaf:{1},leaf:{2}),leaf:{3}),backward:leaf:{0});path>=3', m[1], m[2], m[3], m[4])
+    else format('and(iff(forward:leaf:{1},backward:leaf:{0}),iff(forward:leaf:{3},backward:leaf:{2}));path>=3', m[1], m[2], m[3], m[4]) end as dag from c)
+  select l_orderkey, dag, sha256('derivation-family-v1' || chr(0) || g || chr(0) || dag || chr(0) || array_to_string(list_sort(list_distinct(m)), chr(0))) as fingerprint from t""")
 def family_fingerprint(spark, d):
-    """Fingerprints of derivation families."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit(" p"), "l_partkey")).alias("lemmas"))
-    return li.select("l_orderkey", dedup.family_fingerprint(F.col("lemmas"), composition.dag_template(F.lit("chain"), F.lit(3)), F.lit("fam ")).alias("fingerprint"))
+    """Proof templates and fingerprints of derivation families."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("p"), "l_partkey").alias("p")))).alias("m")).where("size(m) between 2 and 4")
+    names = F.element_at(F.array(*map(F.lit, composition.ARITY)), F.size("m") - 1)
+    plans = composition.described(li.select("l_orderkey", F.col("m.p").alias("members"), names.alias("structural_class"), (F.col("l_orderkey") % 10 == 0).alias("final_only")))
+    return plans.select("l_orderkey", F.col("normalized_proof_dag").alias("dag"), F.col("derivation_family_fingerprint").alias("fingerprint"))
 
 
-@query(f"with {RECORDS} select family, declaration_name, min(id) as statement_id from (select unnest(list_distinct([lang, source])) as family, declaration_name, id from rec) group by 1, 2")
+@query(f"""with {RECORDS}, t as (select *, case when source = 'src1' then [lang, 'pnt-plus'] else ['generic', lang] end as families from rec)
+  select family, declaration_name, min(id) as statement_id from (select unnest(families) as family, declaration_name, id from t) group by 1, 2""")
 def pools(spark, d):
-    """One record for each (family, name)."""
-    r = records(spark, d).select(F.array("lang", "source").alias("families"), "declaration_name", F.col("id").alias("statement_id"))
+    """One record for each (family, name), the generic pool included."""
+    tag = lambda c: F.concat(F.lit(composition.FAMILY_TAG), c)
+    tags = F.array_compact(F.array(tag(F.col("lang")), F.col("source"), F.when(F.col("source") == "src1", composition.APART)))
+    r = records(spark, d).select(tags.alias("topic_tags"), "declaration_name", F.col("id").alias("statement_id"), F.col("id").alias("pos"))
     return composition.pools(r).select("family", "declaration_name", "statement_id")
 
 
-@query("""with e as (select 'n' || n_nationkey as id, case n_nationkey % 3 when 0 then 'formalised' when 1 then 'partial' else 'not-formalised' end as st from nation) select 's' || s_suppkey as source, 'n' || s_nationkey as target, case when s_suppkey % 5 = 0 then 'proves' when st = 'formalised' then 'formalises' when st = 'partial' then 'partially-formalises' else 'relates-to' end as type from supplier left join e on e.id = 'n' || s_nationkey""")
+@query("""with e as (select 'n' || n_nationkey as id, case n_nationkey % 3 when 0 then 'mathlib' when 1 then 'literature-only' else 'other-prover' end as st from nation)
+  select 's' || s_suppkey as source, 'n' || s_nationkey as target, case when st = 'literature-only' then 'Lean-component-of' else 'Lean-counterpart-of' end as type from supplier left join e on e.id = 'n' || s_nationkey
+  union all select 'n' || n_nationkey, 'n' || ((n_nationkey + 1) % 25), case n_nationkey % 2 when 0 then 'implies' else 'weakens' end from nation""")
 def atlas_edges(spark, d):
-    """Edges typed by their target's status."""
+    """Curated relationships, and formal edges typed by their target's status."""
     n = table(spark, d, "nation")
-    status = F.when(F.col("n_nationkey") % 3 == 0, "formalised").when(F.col("n_nationkey") % 3 == 1, "partial").otherwise("not-formalised")
-    entries = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), status.alias("formalization_status"))
+    status = F.when(F.col("n_nationkey") % 3 == 0, "mathlib").when(F.col("n_nationkey") % 3 == 1, "literature-only").otherwise("other-prover")
+    key = lambda c: F.concat(F.lit("n"), c)
+    entries = n.select(key("n_nationkey").alias("id"), status.alias("formalization_status"))
+    curated = n.select(key("n_nationkey").alias("source"), key((F.col("n_nationkey") + 1) % 25).alias("target"), F.when(F.col("n_nationkey") % 2 == 0, "implies").otherwise("weakens").alias("type"))
     s = table(spark, d, "supplier")
-    generated = s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("statement-only").alias("formalization_status"))
-    rel = s.select(F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("n"), "s_nationkey").alias("target"), F.when(F.col("s_suppkey") % 5 == 0, "proves").alias("type"))
-    return graph.atlas(entries, generated, rel)[1]
+    generated = s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("mathlib").alias("formalization_status"))
+    return graph.atlas(entries, generated, curated, s.select(F.concat(F.lit("s"), "s_suppkey").alias("source"), key("s_nationkey").alias("target")))[1]
+
+
+@query("""with e as (select 'p' || p_partkey as id, p_name as display_name, case p_size % 3 when 0 then 'formalize-in-lean' when 1 then 'knowledge-only' else 'training-source' end as role,
+    case p_size % 4 when 0 then 'mathlib' when 1 then 'external-lean' else 'literature-only' end as st, case p_partkey % 5 when 0 then 'equivalent-to-RH' else 'prerequisite' end as cls from part)
+  select 'missing_lean_formalizations' as list, cast(row_number() over (order by cls <> 'equivalent-to-RH', id) as int) as rank, id, display_name as name from e where role = 'formalize-in-lean' and st <> 'mathlib' qualify rank <= 20
+  union all select 'future_clean_evaluation_targets', cast(row_number() over (order by 'n' || n_nationkey) as int) as rank, 'n' || n_nationkey, n_name from nation qualify rank <= 20
+  union all select 'knowledge_only_anchors', cast(row_number() over (order by id) as int), id, display_name from e where role = 'knowledge-only'
+  union all select 'external_lean_ingestion', cast(row_number() over (order by 'n' || s_nationkey, s_name) as int), 's' || s_suppkey, s_name from supplier""")
+def opportunity_lists(spark, d):
+    """The four ranked lists of an atlas."""
+    p = table(spark, d, "part")
+    pick = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (c + 1).cast("int"))
+    status = F.when(F.col("p_size") % 4 == 0, "mathlib").when(F.col("p_size") % 4 == 1, "external-lean").otherwise("literature-only")
+    entries = p.select(
+        F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("display_name"), pick(F.col("p_size") % 3, "formalize-in-lean", "knowledge-only", "training-source").alias("candidate_role"),
+        status.alias("formalization_status"), F.when(F.col("p_partkey") % 5 == 0, "equivalent-to-RH").otherwise("prerequisite").alias("relationship_class"),
+    )
+    external = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("declaration_name"), F.concat(F.lit("n"), "s_nationkey").alias("atlas_target"))
+    holdout = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("declaration_name"))
+    return graph.opportunities(entries, external, holdout)
 
 
 @query(f"with {RECORDS} select m.id, r.source, r.lang from (select id from rec join labels using (doc_id)) m join rec r using (id)")

@@ -212,6 +212,89 @@ def test_merge_rejects_crossings(spark):
     assert [v.variant_id for v in ok.variants] == ["v0"]  # the first of a fingerprint
 
 
+def brute_neighbours(pool):
+    """The neighbours of each declaration, by comparing all pairs of a family."""
+    out = {}
+    tags = lambda r: {t for t in r["topic_tags"] if t.startswith(graph.RELEVANCE_TAGS)}
+    for a in pool:
+        for b in pool:
+            if a is b or a["family"] != b["family"]:
+                continue
+            both = set(a["resolved_dependencies"]) & set(b["resolved_dependencies"])
+            users = {d: sum(d in r["resolved_dependencies"] for r in pool if r["family"] == a["family"]) for d in both}
+            met, name = a["source_module"] == b["source_module"] or tags(a) & tags(b), (a["family"], a["declaration_name"], b["declaration_name"])
+            if b["declaration_name"] in a["resolved_dependencies"]:
+                out[name] = "direct-dependency"
+            elif any(n <= 3 for n in users.values()):
+                out[name] = "shared-dependency-neighborhood"
+            elif met:
+                out[name] = "direct-dependency" if a["declaration_name"] in b["resolved_dependencies"] else "shared-dependency-neighborhood" if both else "same-source-module" if a["source_module"] == b["source_module"] else "shared-relevance-neighborhood"
+    return out
+
+
+def test_neighbours_and_walks(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(8)
+    names = [f"N{i:02d}" for i in range(24)]
+    pool = [
+        dict(family=f, declaration_name=n, statement_id=f"s-{f}-{n}", source_module=f"M{rng.randint(0, 9)}", type_head=rng.choice(["iff", "and", "other"]),
+             resolved_dependencies=rng.sample([*names, "x", "y"], rng.randint(0, 3)), topic_tags=rng.sample(["prime-family:q", "riemann-seed:z", "other:t", "riemann-relevance:c"], rng.randint(0, 1)))
+        for f in ("f", "g") for n in names
+    ]
+    for r in pool:
+        r["resolved_dependencies"] = [d for d in r["resolved_dependencies"] if d != r["declaration_name"]]
+    kind = "family string, declaration_name string, statement_id string, source_module string, type_head string, resolved_dependencies array<string>, topic_tags array<string>"
+    df = spark.createDataFrame([tuple(r.values()) for r in pool], kind)
+    near = graph.neighbours(df, 3)
+    want = brute_neighbours(pool)
+    assert {(r.family, r.a, r.b): r.relation for r in near.collect()} == want and set(want.values()) == set(graph.RELATIONS)
+    counts = {"f": 13, "g": 12}
+    got = sorted(composition.walk_plans(df.repartition(5), near, counts, "seed").collect(), key=lambda r: r.pos)
+    # each plan again, from its own seed: attempts are counted until the set is new and whole
+    taken, pos = set(), 0
+    for family in ("f", "g"):
+        attempt = 0
+        for r in [r for r in got if r.family == family]:
+            size, members = [2, 3, 4][pos % 3], []
+            while len(members) < size or frozenset(members) in taken:
+                attempt += 1
+                rand = random.Random(int(hashlib.sha256("\0".join(["seed", family, str(attempt), str(pos)]).encode()).hexdigest(), 16))
+                members, steps = [names[rand.randrange(24)]], []
+                for _ in range(size - 1):
+                    edges = [(m, b, want[family, m, b]) for m in members for b in names if b not in members and (family, m, b) in want]
+                    if edges:
+                        steps.append(edges[rand.randrange(len(edges))])
+                        members.append(steps[-1][1])
+                members = [f"s-{family}-{m}" for m in members]
+            taken.add(frozenset(members))
+            assert (r.pos, r.members, r.structural_class, r.final_only, [tuple(s) for s in r.steps]) == (pos, members, ["direct", "branching", "deep"][pos % 3], pos % 10 == 0, steps)
+            pos += 1
+    assert pos == 25
+    plans = spark.createDataFrame(got)
+    made = {r.pos: r for r in composition.described(plans).collect()}
+    a, b = got[0].members
+    assert made[0].normalized_proof_dag == f"iff(forward:leaf:{b},backward:leaf:{a});path=2" and made[0].generator_family == "final-only:direct-graph-iff-v2"
+    a, b, c, e = got[2].members
+    assert made[2].normalized_proof_dag == f"and(iff(forward:leaf:{b},backward:leaf:{a}),iff(forward:leaf:{e},backward:leaf:{c}));path>=3" and made[2].generator_family == "deep-graph-logic-v2"
+    rows = composition.retrieval(plans, df, near, "seed").collect()
+    for r in got:
+        origins = {}
+        for m in r.names:
+            for b in names:
+                if (r.family, m, b) in want:
+                    origins.setdefault(b, set()).add(f"dependency-relevance-neighborhood:{want[r.family, m, b]}")
+        head = "iff" if r.final_only else "and"
+        for p in pool:
+            if p["family"] == r.family and p["type_head"] == head:
+                origins.setdefault(p["declaration_name"], set()).add(f"type-head:{head}")
+        order = sorted((n for n in origins if n not in r.names), key=lambda n: hashlib.sha256(f"seed\0{r.pos}\0retrieval\0{n}".encode()).hexdigest())[:4]
+        assert [(x.declaration_name, x.origins) for x in sorted((x for x in rows if x.pos == r.pos), key=lambda x: x.rank)] == [(n, ",".join(sorted(origins[n]))) for n in order]
+    with pytest.raises(Exception, match="fewer than"):
+        composition.walk_plans(df, near.limit(3), {"f": 13}, "seed").collect()
+
+
 def test_namespaces(spark):
     lines = ["namespace A", "section", "theorem x", "namespace B.C", "theorem y", "end B.C", "end", "end A", "theorem _root_.z"]
     df = spark.createDataFrame([("f", i, t) for i, t in enumerate(lines)], "file_path string, line int, text string")
@@ -225,10 +308,8 @@ def test_composition(spark):
     pool = spark.createDataFrame([("f", c) for c in "abcd"], "family string, statement_id string")
     rel = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
     plans = {(r.structural_class, tuple(r.members)) for r in composition.connected_plans(pool, rel, "s", 10).collect()}
-    assert plans == {("pair", ("a", "b")), ("pair", ("b", "c")), ("chain", ("a", "b", "c"))}
-    walk = composition.walk_plans(pool, rel, 1, 40).collect()
-    assert {tuple(r.members) for r in walk} == {("a", "b"), ("b", "c"), ("a", "b", "c")} and walk == composition.walk_plans(pool.repartition(3), rel, 1, 40).collect()
-    cases = spark.createDataFrame([("p", "pair", ["x"], ["x", "y"], ["a", "b"], [("a", "b")]), ("q", "chain", ["x"], [], ["a", "b", "c"], [("b", "c"), ("a", "b")]), ("r", "chain", [], [], ["a", "b", "c"], [("a", "b")])], "plan_id string, structural_class string, planned array<string>, actual array<string>, members array<string>, edges array<struct<src:string,dst:string>>")
+    assert plans == {("direct", ("a", "b")), ("direct", ("b", "c")), ("branching", ("a", "b", "c"))}
+    cases = spark.createDataFrame([("p", "direct", ["x"], ["x", "y"], ["a", "b"], [("a", "b")]), ("q", "branching", ["x"], [], ["a", "b", "c"], [("b", "c"), ("a", "b")]), ("r", "branching", [], [], ["a", "b", "c"], [("a", "b")])], "plan_id string, structural_class string, planned array<string>, actual array<string>, members array<string>, edges array<struct<src:string,dst:string>>")
     assert {r.plan_id: (r.ok, r.connected) for r in composition.audit(cases).collect()} == {"p": (True, True), "q": (False, True), "r": (False, False)}
     batch = spark.createDataFrame([("g", str(i)) for i in range(9)] + [("h", "1")], "g string, item string")
     assert {tuple(r) for r in composition.failing_members(batch, "g", "item", lambda xs: any(v in ("3", "7") for v in xs)).collect()} == {("g", "3"), ("g", "7")}
@@ -294,12 +375,17 @@ def test_expectations(spark):
     assert expectations.training_plan(plan, 8).collect()[0].context_status == "long-context"
     with pytest.raises(V):
         expectations.training_plan(plan, 8, strict=True)
-    e = spark.createDataFrame([("a", "formalised", ["src"])], "id string, formalization_status string, source_ids array<string>")
-    edge = spark.createDataFrame([("a", "a", "proves")], "source string, target string, type string")
-    expectations.atlas(e, edge, graph.STATUSES, ["proves"])
-    for be, bd in ((e.union(e), edge), (e, edge.withColumn("type", F.lit("?"))), (e, edge.withColumn("target", F.lit("zz"))), (e.withColumn("source_ids", F.array().cast("array<string>")), edge)):
+    e = spark.createDataFrame([("a", "literature-only", ["src"], "RH-implies", ["src"])], "id string, formalization_status string, source_ids array<string>, relationship_class string, relationship_sources array<string>")
+    edge = spark.createDataFrame([("a", "a", "implies", ["src"])], "source string, target string, type string, source_ids array<string>")
+    src = spark.createDataFrame([("src",)], "id string")
+    expectations.atlas(e, edge, src)
+    no = F.array().cast("array<string>")
+    for be, bd, bs in (
+        (e.union(e), edge, src), (e, edge.withColumn("type", F.lit("?")), src), (e, edge.withColumn("target", F.lit("zz")), src), (e.withColumn("relationship_sources", no), edge, src), (e, edge, src.limit(0)),
+        (e, edge.withColumn("source_ids", no), src), (e, edge.withColumn("type", F.lit("Lean-counterpart-of")), src), (e.withColumn("formalization_status", F.lit("partial")), edge, src),
+    ):
         with pytest.raises(V):
-            expectations.atlas(be, bd, graph.STATUSES, ["proves"])
+            expectations.atlas(be, bd, bs)
     v2 = spark.createDataFrame([("s", "s", "real", [("v", ("accepted",))], None, None)], "statement_id string, sampling_group_id string, provenance string, proof_variants array<struct<proof_variant_id:string,verification:struct<status:string>>>, derivation_family_fingerprint string, source_lemma_ids array<string>")
     expectations.v2_invariants(v2)
     for bad in (v2.withColumn("sampling_group_id", F.lit("t")), v2.withColumn("provenance", F.lit("synthetic")), v2.withColumn("proof_variants", F.concat("proof_variants", "proof_variants"))):
