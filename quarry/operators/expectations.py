@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,17 +18,37 @@ class Violation(ValueError):
     pass
 
 
+_COUNTED: ContextVar[list[tuple[str, int]] | None] = ContextVar("counted", default=None)
+
+
+@contextmanager
+def counted() -> Iterator[list[tuple[str, int]]]:
+    """Within it the checks raise nothing: each adds (check, violations) to the list, zeros included."""
+    found: list[tuple[str, int]] = []
+    token = _COUNTED.set(found)
+    try:
+        yield found
+    finally:
+        _COUNTED.reset(token)
+
+
+def report(found: dict[str, int], what: str) -> None:
+    """Counts that must all be zero."""
+    if (held := _COUNTED.get()) is not None:
+        held.extend(found.items())
+    elif any(found.values()):
+        raise Violation(f"{what}: {found}")
+
+
 def none(df: DataFrame, condition: Column, what: str) -> None:
     """No row may meet the condition."""
-    n = df.where(condition).limit(1).count()
-    if n:
-        raise Violation(f"{what}: {df.where(condition).count()} rows")
+    bad = df.where(condition)
+    if _COUNTED.get() is not None or bad.limit(1).count():
+        report({what: bad.count()}, "rows")
 
 
 def unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").count()
-    if n:
-        raise Violation(f"{what}: {n} keys repeat")
+    report({what: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").count()}, "repeated keys")
 
 
 def crossing(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -45,8 +67,7 @@ def split_hygiene(records: DataFrame) -> dict[str, int]:
     """Five checks that a key has one value; any crossing raises with all counts."""
     none(records, ~F.col("file_group").eqNullSafe(F.col("file_path")), "records outside their file's group")
     found = {r.check: r.n for r in crossing(records, HYGIENE).collect()}
-    if any(found.values()):
-        raise Violation(f"split hygiene: {found}")
+    report(found, "split hygiene")
     return found
 
 
@@ -54,8 +75,7 @@ def role_isolation(records: DataFrame) -> dict[str, int]:
     """Statements, derivation families and proofs may have one role each."""
     proofs = records.select("role", F.explode("proof_variants").alias("v")).select("role", F.col("v.proof_variant_id").alias("proof_variant_id"))
     found = {r.check: r.n for r in crossing(records, [("statement_id", "role"), ("derivation_family_fingerprint", "role")]).union(crossing(proofs, [("proof_variant_id", "role")])).collect()}
-    if any(found.values()):
-        raise Violation(f"role leakage: {found}")
+    report(found, "role leakage")
     return found
 
 
@@ -78,8 +98,7 @@ def import_contexts(records: DataFrame, special_tag: str, special_imports: Seque
 def loaded(df: DataFrame, counts: dict[str, int], version: str) -> None:
     """Counts by split, the schema version, and ids that are unique over all splits."""
     got = {r.split: r.n for r in df.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if got != counts:
-        raise Violation(f"rows by split: {got}, not {counts}")
+    report({f"rows of {k}": abs(got.get(k, 0) - counts.get(k, 0)) for k in sorted(got.keys() | counts.keys(), key=str)}, "rows by split")
     none(df, ~F.col("schema_version").eqNullSafe(F.lit(version)), "schema versions")
     unique(df, ["id"], "ids")
 
@@ -133,8 +152,8 @@ def source_text(records: DataFrame, source: str = "source_text") -> DataFrame:
 def same_summary(stored: DataFrame, recomputed: DataFrame, columns: Sequence[str]) -> None:
     from quarry.operators.joins import contract_differences
 
-    if diff := contract_differences(stored, recomputed, columns):
-        raise Violation(f"stored and recomputed summaries differ in {diff}")
+    diff = contract_differences(stored, recomputed, columns)
+    report({f"summary {c}": int(c in diff) for c in columns}, "stored and recomputed summaries differ")
 
 
 def atlas(entries: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> None:
@@ -173,8 +192,7 @@ def gates(row: DataFrame, names: Sequence[str]) -> None:
     r = row.select(*names).collect()
     if len(r) != 1:
         raise Violation(f"gates need one row, found {len(r)}")
-    if bad := [n for n in names if not r[0][n]]:
-        raise Violation(f"gates failed: {bad}")
+    report({n: int(not r[0][n]) for n in names}, "gates failed")
 
 
 def resumable(stored: DataFrame, contract: dict[str, object], raw: str = "raw_text", digest: str = "raw_sha256") -> None:
@@ -197,11 +215,9 @@ def disjoint(sets: dict[str, DataFrame], key: str) -> dict[str, int]:
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
             found[f"{a}|{b}"] = sets[a].select(key).join(sets[b].select(key).distinct(), key, "left_semi").count()
-    if any(found.values()):
-        raise Violation(f"workloads overlap: {found}")
+    report(found, "workloads overlap")
     return found
 
 
 def partition_accounts(whole: DataFrame, parts: Sequence[DataFrame]) -> None:
-    if whole.count() != sum(p.count() for p in parts):
-        raise Violation("parts do not add up")
+    report({"rows beyond the parts": abs(whole.count() - sum(p.count() for p in parts))}, "parts do not add up")

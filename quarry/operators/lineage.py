@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir of the session; a folder of our own only where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir of the session; a folder of our own only where that is unset and everything runs in one machine."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     found = context._jsc.sc().getCheckpointDir()
+    if named is None and not found.isDefined() and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if named is None:
         named = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="quarry-")
     if not found.isDefined():
@@ -22,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; Hadoop deletes what is there when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -37,10 +47,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as a Parquet table in the shared folder, and read again.
 
     For rows that several branches read and that are dear to compute.  The table stays
-    until its folder is emptied, as the result may be read at any later time.
+    until the application ends, as the result may be read at any later time.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import os
-import shutil
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +21,45 @@ def jsonl_by_split(df: DataFrame, folder: str, split: str = "split", mode: str =
     return {r[split]: r.n for r in df.groupBy(split).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+class _Stream(io.RawIOBase):
+    """A file of whatever file system its path names, written by the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.out = _file_system(spark, path)[0].create(_file_system(spark, path)[1], True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.out.write(bytearray(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.out.close()
+        super().close()
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file."""
+    with io.BufferedWriter(_Stream(spark, path), 1 << 20) as out:
+        out.write(text.encode())
+
+
 def stable_gzip(df: DataFrame, path: str, order: Sequence[str]) -> int:
     """One gzip file whose bytes depend on the rows alone: sorted rows, sorted keys, no name, no time.
 
-    Rows stream through the driver a partition at a time, for artefacts that must be byte-equal.
+    Rows stream through the driver a partition at a time, for artefacts that must be byte-equal; large tables have ``jsonl_by_split``.
     """
     lines = df.select(*[F.col(c) for c in order], canonical_json(*df.columns).alias("_line")).orderBy(*order, "_line").select("_line")
     n = 0
-    with open(path, "wb") as raw, gzip.GzipFile(filename="", mode="wb", fileobj=raw, mtime=0) as out:
+    with io.BufferedWriter(_Stream(df.sparkSession, path), 1 << 20) as raw, gzip.GzipFile(filename="", mode="wb", fileobj=raw, mtime=0) as out:
         for row in lines.toLocalIterator():
             out.write(row._line.encode() + b"\n")
             n += 1
@@ -37,20 +68,21 @@ def stable_gzip(df: DataFrame, path: str, order: Sequence[str]) -> int:
 
 def snapshot(df: DataFrame, folder: str, schema_version: str, splits: Sequence[str] = schemas.SPLITS) -> dict:
     """Per-split byte-stable files with a manifest; files of earlier snapshots are removed."""
-    os.makedirs(folder, exist_ok=True)
+    spark = df.sparkSession
+    fs, at = _file_system(spark, folder)
+    fs.mkdirs(at)
     wanted = {f"{s}.jsonl.gz" for s in splits} | {"manifest.json"}
-    for name in os.listdir(folder):
-        if name not in wanted:
-            stale = os.path.join(folder, name)
-            shutil.rmtree(stale) if os.path.isdir(stale) else os.remove(stale)
+    for found in fs.listStatus(at):
+        if found.getPath().getName() not in wanted:
+            fs.delete(found.getPath(), True)
     files = {}
     for s in splits:
         path = f"{folder}/{s}.jsonl.gz"
         rows = stable_gzip(df.where(F.col("split") == s), path, ["id"])
-        files[f"{s}.jsonl.gz"] = {"rows": rows, "bytes": os.path.getsize(path), "sha256": readers.digests(df.sparkSession, path, False).collect()[0].sha256}
+        digest = readers.digests(spark, path, False).collect()[0]
+        files[f"{s}.jsonl.gz"] = {"rows": rows, "bytes": digest.bytes, "sha256": digest.sha256}
     manifest = {"schema_version": schema_version, "files": files}
-    with open(f"{folder}/manifest.json", "w") as f:
-        json.dump(manifest, f, sort_keys=True, indent=2)
+    write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, sort_keys=True, indent=2))
     return manifest
 
 
