@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import corpus, evaluation
+from quarry.plans import audits, corpus, evaluation, storage
 
-QUERIES: dict = {**evaluation.QUERIES, **corpus.QUERIES}
-ORACLES: dict[str, str] = {**evaluation.ORACLES, **corpus.ORACLES}
+QUERIES: dict = {**evaluation.QUERIES, **corpus.QUERIES, **storage.QUERIES, **audits.QUERIES}
+ORACLES: dict[str, str] = {**evaluation.ORACLES, **corpus.ORACLES, **storage.ORACLES, **audits.ORACLES}
