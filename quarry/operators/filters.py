@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
@@ -112,8 +112,10 @@ def partition_by_membership(df: DataFrame, reference: DataFrame, key: str, ref_k
 
 def exclude_ambiguous(df: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(retained, excluded): every row of a repeated key is excluded."""
-    counted = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    return counted.where("_n = 1").drop("_n"), counted.where("_n > 1").drop("_n")
+    # only the repeated keys travel to the rows; a hot one can be split on the rows' side
+    repeated = df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k")
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    return df.join(repeated, same, "left_anti"), df.join(repeated, same, "left_semi")
 
 
 def clean_benchmark(bench: DataFrame, training: DataFrame, fingerprint: str, family: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
 from quarry.operators import joins
-from quarry.operators.lineage import cut
+from quarry.operators.lineage import cut, join_grouped
 from quarry.sources.schemas import RELEVANCE
 
 
@@ -171,8 +171,8 @@ def specialist_partitions(nodes: DataFrame, bubble: Sequence[str], control_prefi
     """
     in_bubble = F.coalesce(F.col("relevance_class").isin(*bubble), F.lit(False))
     control = F.col("file_path").startswith(control_prefix)
-    w = Window.partitionBy("split", "component_id")
-    marked = nodes.withColumns({"_bubble": in_bubble, "_control": control}).withColumns({"_any_bubble": F.max("_bubble").over(w), "_any_control": F.max("_control").over(w)})
+    marked = nodes.withColumns({"_bubble": in_bubble, "_control": control, "_k": F.to_json(F.struct("split", "component_id"), {"ignoreNullFields": "false"})})
+    marked = join_grouped(marked, marked.groupBy("_k").agg(F.max("_bubble").alias("_any_bubble"), F.max("_control").alias("_any_control")), ["_k"])
     train, val, held = F.col("split") == "train", F.col("split") == "validation", F.col("split") == "heldout"
     names = F.filter(F.array(
         F.when(train & (F.col("relevance_class") == "core"), "core"), F.when(train & F.col("_bubble"), "bubble"), F.when(train & (F.col("_bubble") | F.col("_control")), "wide"),

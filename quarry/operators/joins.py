@@ -16,7 +16,8 @@ def task_candidates(candidates: DataFrame, tasks: DataFrame, key: str = "task_id
 
 def unique_lookup(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key no other row has."""
-    return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).where((F.col("_n") == 1) & F.col(key).isNotNull()).drop("_n")
+    once = df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("_k")
+    return df.join(once, F.col(key) == F.col("_k"), "left_semi")
 
 
 def premise_edges(records: DataFrame, id_col: str = "id", name: str = "declaration_name", premises: str = "premises") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
+from quarry.operators.lineage import join_grouped
 from quarry.sources.schemas import CATEGORIES, FINISH_REASONS, INFRASTRUCTURE
 
 
@@ -130,16 +131,17 @@ def outcome_rows(results: DataFrame, task: str = "task_id") -> DataFrame:
 
 
 def component_aggregate(records: DataFrame, component: str = "component_id", cls: str = "relevance_class") -> DataFrame:
-    """Component facts copied to each member: classes, basis, size; windows over one exchange."""
-    w = Window.partitionBy(component)
-    basis = F.when(F.max(F.col(cls) == "core").over(w), "core").when(F.max(F.col(cls).isNotNull()).over(w), "related").otherwise("unrelated")
-    return records.withColumns({"component_classes": F.array_sort(F.collect_set(cls).over(w)), "component_basis": basis, "component_size": F.count(F.lit(1)).over(w)})
+    """Component facts copied to each member: classes, basis, size.  Components are grouped and joined back, so a large one can be split."""
+    keyed = records.withColumn("_k", F.to_json(F.struct(F.col(component).alias("c")), {"ignoreNullFields": "false"}))
+    basis = F.when(F.max(F.col(cls) == "core"), "core").when(F.max(F.col(cls).isNotNull()), "related").otherwise("unrelated")
+    facts = keyed.groupBy("_k").agg(F.array_sort(F.collect_set(cls)).alias("component_classes"), basis.alias("component_basis"), F.count(F.lit(1)).alias("component_size"))
+    return join_grouped(keyed, facts, ["_k"]).drop("_k")
 
 
 def relevance_views(records: DataFrame, lists: dict[str, Column], id_col: str = "id") -> DataFrame:
-    """(view, ids): a row can be in several lists."""
+    """(view, id): a row can be in several lists."""
     names = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in lists.items()]), lambda v: v.isNotNull())
-    return records.select(F.explode(names).alias("view"), id_col).groupBy("view").agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
+    return records.select(F.explode(names).alias("view"), id_col)
 
 
 def efficiency(df: DataFrame) -> DataFrame:

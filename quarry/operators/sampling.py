@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
+from quarry.operators.lineage import join_grouped, numbered
 
 
 def hash_sample(df: DataFrame, n: int, prefix: str, key: str = "id", strict: bool = True) -> tuple[DataFrame, int]:
@@ -48,15 +49,17 @@ def role_bands(df: DataFrame, stratum: Sequence[str], key: Sequence[str], seed:
     one validation row, and one test row if none is reserved.
     """
     h = F.sha2(F.concat_ws(x.NUL, F.lit(seed), *[F.col(c).cast("string") for c in (*stratum, *key)]), 256)
-    every = Window.partitionBy(*stratum)
-    df = df.withColumns({"_h": h, "_total": F.count(F.lit(1)).over(every), "_res": F.sum(F.col(reserved).cast("int")).over(every)})
-    df = df.withColumn("_pos", F.row_number().over(Window.partitionBy(*stratum, reserved).orderBy("_h", *key)) - 1)
+    # strata may be few and large: rows are numbered in a global order and each (stratum, reserved) begins at its least number
+    df = df.withColumns({"_h": h, "_s": F.to_json(F.struct(*stratum), {"ignoreNullFields": "false"}), "_r": F.coalesce(F.col(reserved), F.lit(False)).cast("int")})
+    rows = numbered(df, ["_s", "_r", "_h", *key], "_at")
+    strata = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_total"), F.sum("_r").alias("_res"), F.min(F.when(F.col("_r") == 1, F.col("_at"))).alias("_first_reserved"), F.min(F.when(F.col("_r") == 0, F.col("_at"))).alias("_first"))
+    df = join_grouped(rows, strata, ["_s"]).withColumn("_pos", F.col("_at") - F.when(F.col("_r") == 1, F.col("_first_reserved")).otherwise(F.col("_first")))
     tenth = F.floor(F.col("_total") / 10)
     validation = F.when(F.col("_total") >= 10, F.greatest(F.lit(1), tenth)).otherwise(tenth)
     test = F.greatest(F.lit(0), tenth - F.col("_res"))
     test = F.when((F.col("_total") >= 10) & (F.col("_res") == 0), F.greatest(F.lit(1), test)).otherwise(test)
     role = F.when(F.col(reserved), "test").when(F.col("_pos") < validation, "validation").when(F.col("_pos") < validation + test, "test").otherwise("training")
-    return df.withColumn("role", role).drop("_h", "_total", "_res", "_pos")
+    return df.withColumn("role", role).drop("_h", "_s", "_r", "_at", "_first", "_first_reserved", "_total", "_res", "_pos")
 
 
 def top_ranked(df: DataFrame, order: Sequence, n: int) -> DataFrame:

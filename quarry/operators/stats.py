@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
@@ -20,10 +20,30 @@ def length_stats(df: DataFrame, fields: Sequence[str], thresholds: Sequence[int]
     )
 
 
+def fudged_ranks(df: DataFrame, value: str, by: Sequence[str], p: float) -> DataFrame:
+    """(by, rank value): sorted[int(p n + 0.999999) - 1], clamped, of each group; equal values are counted first, so no group is held as a list."""
+    keys = [f"_g{i}" for i in range(len(by))]
+    held = df.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    running = held.withColumn("_upto", F.sum("_n").over(upto))
+    totals = held.groupBy(*[F.col(k).alias(f"t{k}") for k in keys]).agg(F.sum("_n").alias("_total"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"t{k}"))
+    wanted = F.greatest(F.lit(1), F.least(F.col("_total"), (F.lit(p) * F.col("_total") + F.lit(0.999999)).cast("bigint")))
+    return running.join(totals, same).where(F.col("_upto") >= wanted).groupBy(*keys).agg(F.min("_v").alias("_rank"))
+
+
 def numeric_summary(df: DataFrame, value: str, by: Sequence[str] = (), rank: str = "fudged") -> DataFrame:
     """count, total, min, max, mean, median and p95 in the rank definition asked for."""
-    p95 = {"fudged": x.fudged_rank(value, 0.95), "nearest": F.expr(f"percentile_disc(0.95) within group (order by {value})"), "interpolated": x.interpolated(value, 0.95)}[rank]
-    return df.groupBy(*by).agg(F.count(value).alias("count"), F.coalesce(F.sum(value), F.lit(0)).alias("total"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), x.interpolated(value, 0.5).alias("median"), p95.alias("p95"))
+    p95 = {"nearest": F.expr(f"percentile_disc(0.95) within group (order by {value})"), "interpolated": x.interpolated(value, 0.95), "fudged": F.lit(None)}[rank]
+    out = df.groupBy(*by).agg(F.count(value).alias("count"), F.coalesce(F.sum(value), F.lit(0)).alias("total"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), x.interpolated(value, 0.5).alias("median"), p95.alias("p95"))
+    if rank != "fudged":
+        return out
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return out.join(fudged_ranks(df, value, by, 0.95), same, "left").select(*[c for c in out.columns if c != "p95"], F.col("_rank").alias("p95"))
 
 
 def contingency(pairs: DataFrame, left: str = "left_solved", right: str = "right_solved") -> DataFrame:
