@@ -22,7 +22,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 from dataclasses import dataclass, field
 
