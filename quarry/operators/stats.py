@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
+from quarry.operators.lineage import numbered
 
 
 def length_stats(df: DataFrame, fields: Sequence[str], thresholds: Sequence[int] = (1024, 2048, 4096, 8192)) -> DataFrame:
@@ -53,19 +55,42 @@ def contingency(pairs: DataFrame, left: str = "left_solved", right: str = "right
     return t.withColumn("discordant", F.col("left_only") + F.col("right_only")).withColumn("p_value", x.mcnemar_exact("left_only", "right_only"))
 
 
-def bootstrap_means(values: DataFrame, replicates: int, seed: str, columns: Sequence[str], pos: str = "pos") -> DataFrame:
-    """(r, mean of each column) of ``replicates`` resamples with replacement, by portable hashes.
+#: Distinct outcomes up to which a resample is drawn as their counts.
+OUTCOMES = 10_000
 
-    A resample draws n positions; draws are generated in parallel and joined to the values by
-    position, so nothing larger than (replicate, column) sums is grouped.
+
+def bootstrap_means(values: DataFrame, replicates: int, seed: str, columns: Sequence[str]) -> DataFrame:
+    """(r, mean of each column) of ``replicates`` resamples with replacement.
+
+    How often each distinct outcome is in a resample of n rows is one multinomial draw, so only outcomes and their counts are needed,
+    and the work does not grow with n; each replicate has a generator of its own, seeded by (seed, r).  Beyond ``OUTCOMES`` outcomes
+    n positions in the order of the values are drawn by a hash of (seed, draw) and meet the rows there.
     """
     spark = values.sparkSession
-    n = values.count()
-    if not n:
+    outcomes = values.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).orderBy(*columns).limit(OUTCOMES + 1).collect()
+    if not outcomes:
         raise ValueError("nothing to resample")
-    draws = spark.range(replicates * n).select((F.col("id") / n).cast("bigint").alias("r"), (F.col("id") % n).alias("i"))
-    draws = draws.select("r", x.hash_index(n, F.lit(seed), "r", "i").alias(pos))
-    return draws.join(values.select(pos, *columns), pos).groupBy("r").agg(*[F.avg(c).alias(c) for c in columns])
+    if len(outcomes) > OUTCOMES:
+        placed = numbered(values.select(*columns), list(columns))
+        n = placed.count()
+        draws = spark.range(replicates * n).select((F.col("id") / n).cast("bigint").alias("r"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("pos"))
+        return draws.join(placed, "pos").groupBy("r").agg(*[F.avg(c).alias(c) for c in columns])
+    held = [r["_n"] for r in outcomes]
+    table = [[float(r[c]) for c in columns] for r in outcomes]
+    key = int.from_bytes(hashlib.sha256(seed.encode()).digest()[:8], "big")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        counts, of = np.array(held), np.array(table)
+        n = counts.sum()
+        for batch in batches:
+            drawn = [np.random.Generator(np.random.PCG64([key, r])).multinomial(n, counts / n) for r in batch.column("id").to_pylist()]
+            means = np.array(drawn).reshape(len(drawn), len(counts)) @ of / n
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(means[:, k]) for k in range(len(columns)))], ["r", *columns])
+
+    return spark.range(replicates).mapInArrow(run, ", ".join(["r long", *(f"{c} double" for c in columns)]))
 
 
 def interval(means: DataFrame, column: str) -> DataFrame:
@@ -75,21 +100,21 @@ def interval(means: DataFrame, column: str) -> DataFrame:
 
 
 def paired_bootstrap(tasks: DataFrame, n: int, k: int, replicates: int, seed: str) -> DataFrame:
-    """Intervals of base, adapter and delta mean pass@k under task resampling; tasks: (pos, base, adapter) verified counts."""
-    scored = tasks.select("pos", x.pass_at_k(F.lit(n), "base", k).alias("base"), x.pass_at_k(F.lit(n), "adapter", k).alias("adapter")).withColumn("delta", F.col("adapter") - F.col("base"))
+    """Intervals of base, adapter and delta mean pass@k under task resampling; tasks: (base, adapter) verified counts."""
+    scored = tasks.select(x.pass_at_k(F.lit(n), "base", k).alias("base"), x.pass_at_k(F.lit(n), "adapter", k).alias("adapter")).withColumn("delta", F.col("adapter") - F.col("base"))
     means = bootstrap_means(scored, replicates, seed, ["base", "adapter", "delta"])
-    out = None
-    for c in ("base", "adapter", "delta"):
-        part = interval(means, c).withColumn("metric", F.lit(c))
-        out = part if out is None else out.union(part)
-    return out
+    names = ["base", "adapter", "delta"]
+    # one pass over the resamples: a row each metric
+    long = means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in names])).alias("m")).select("m.metric", "m.v")
+    out = long.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
+    return out.withColumn("spans_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
 
 
 def gap_bootstrap(train: DataFrame, heldout: DataFrame, n: int, k: int, replicates: int, seed: str) -> DataFrame:
     """Interval of the change of the train-to-held-out gap: two independent workloads, models paired in each."""
     parts = []
     for label, df in (("train", train), ("heldout", heldout)):
-        scored = df.select("pos", (x.pass_at_k(F.lit(n), "adapter", k) - x.pass_at_k(F.lit(n), "base", k)).alias(label))
+        scored = df.select((x.pass_at_k(F.lit(n), "adapter", k) - x.pass_at_k(F.lit(n), "base", k)).alias(label))
         parts.append(bootstrap_means(scored, replicates, f"{seed}-{label}", [label]))
     return interval(parts[0].join(parts[1], "r").withColumn("gap", F.col("train") - F.col("heldout")), "gap")
 

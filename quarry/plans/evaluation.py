@@ -150,40 +150,28 @@ def mcnemar_exact(spark, d):
     return cases.select("b", "c", F.round(x.mcnemar_exact("b", "c"), 12).alias("p_value"))
 
 
-_BOOT = f"""with {CANDIDATES}, t as (select task_id, row_number() over (order by task_id) - 1 as pos, count(*) filter (where category = 'verified' and candidate_index < 1) as base, count(*) filter (where category = 'verified' and candidate_index between 1 and 1) as adapter from cand group by task_id),
-  n as (select count(*) as n from t)"""
+#: Resamples of a bootstrap.
+RESAMPLES = 10_000
 
 
 def _boot_tasks(spark, d):
-    c = candidates(spark, d)
-    t = c.groupBy("task_id").agg(F.count_if((F.col("category") == "verified") & (F.col("candidate_index") < 1)).alias("base"), F.count_if((F.col("category") == "verified") & (F.col("candidate_index") == 1)).alias("adapter"))
-    return numbered(t, ["task_id"])
-
-
-def _boot_sql(seed: str, replicates: int) -> str:
-    return f"""{_BOOT}, draws as (select r, cast(('0x' || substr(sha256('{seed}|' || r || '|' || i), 1, 15)) as bigint) % (select n from n) as pos from range({replicates}) a(r), range((select n from n)) b(i)),
-  means as (select r, avg(base) as base, avg(adapter) as adapter, avg(adapter - base) as delta from draws join t using (pos) group by r),
-  long as (select 'base' as metric, base as v from means union all select 'adapter', adapter from means union all select 'delta', delta from means)
-  select metric, round(avg(v), 8) as mean, round(quantile_cont(v, 0.025), 8) as low, round(quantile_cont(v, 0.975), 8) as high, quantile_cont(v, 0.025) <= 0 and quantile_cont(v, 0.975) >= 0 as spans_zero from long group by metric"""
+    """Solved or not by either arm, over all candidates of a task."""
+    return _arms(spark, d).select("task_id", F.col("left_solved").cast("int").alias("base"), F.col("right_solved").cast("int").alias("adapter"))
 
 
-@query(_boot_sql("seed-1", 60))
+@query()
 def bootstrap_ci(spark, d):
-    """Paired task bootstrap with portable hashes (one candidate a task: pass@1 is 0 or 1)."""
-    out = stats.paired_bootstrap(_boot_tasks(spark, d), 1, 1, 60, "seed-1")
+    """Paired task bootstrap of the solved rates of two arms; too many draws for SQL, so the tests compare a small table with brute force."""
+    out = stats.paired_bootstrap(_boot_tasks(spark, d), 1, 1, RESAMPLES, "seed-1")
     return out.select("metric", F.round("mean", 8).alias("mean"), F.round("low", 8).alias("low"), F.round("high", 8).alias("high"), "spans_zero")
 
 
-@query(f"""{_BOOT}, tr as (select row_number() over (order by task_id) - 1 as pos, adapter - base as v from t where task_id % 2 = 0), he as (select row_number() over (order by task_id) - 1 as pos, adapter - base as v from t where task_id % 2 = 1),
-  d1 as (select r, cast(('0x' || substr(sha256('g-train|' || r || '|' || i), 1, 15)) as bigint) % (select count(*) from tr) as pos from range(60) a(r), range((select count(*) from tr)) b(i)),
-  d2 as (select r, cast(('0x' || substr(sha256('g-heldout|' || r || '|' || i), 1, 15)) as bigint) % (select count(*) from he) as pos from range(60) a(r), range((select count(*) from he)) b(i)),
-  m as (select a.r, a.v - b.v as gap from (select r, avg(v) as v from d1 join tr using (pos) group by r) a join (select r, avg(v) as v from d2 join he using (pos) group by r) b using (r))
-  select round(avg(gap), 8) as mean, round(quantile_cont(gap, 0.025), 8) as low, round(quantile_cont(gap, 0.975), 8) as high from m""")
+@query()
 def gap_bootstrap(spark, d):
-    """Two independent workloads, models paired in each."""
-    t = _boot_tasks(spark, d).drop("pos")
-    part = lambda v: numbered(t.where(F.col("task_id") % 2 == v), ["task_id"])  # noqa: E731  the two workloads share all tasks out
-    out = stats.gap_bootstrap(part(0), part(1), 1, 1, 60, "g")
+    """Two independent workloads, models paired in each; compared with brute force in the tests."""
+    t = _boot_tasks(spark, d)
+    part = lambda v: t.where(F.col("task_id") % 2 == v)  # noqa: E731  the two workloads share all tasks out
+    out = stats.gap_bootstrap(part(0), part(1), 1, 1, RESAMPLES, "g")
     return out.select(F.round("mean", 8).alias("mean"), F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,53 @@ def test_bootstrap(spark):
     assert m["delta"].low == 0.0 and m["base"].mean == pytest.approx(3 / 32) and m["base"].low <= m["base"].high
 
 
+def brute_means(rows, replicates, seed):
+    """Means of resamples, drawing places in the rows sorted by value."""
+    import xxhash
+
+    rows, n, out = sorted(rows), len(rows), []
+    start = xxhash.xxh64_intdigest(seed.encode(), 42)
+    place = lambda i: (xxhash.xxh64_intdigest(i.to_bytes(8, "little"), start) ^ (1 << 63)) - (1 << 63)
+    for r in range(replicates):
+        drawn = [rows[place(r * n + i) % n] for i in range(n)]
+        out.append([sum(v[k] for v in drawn) / n for k in range(len(rows[0]))])
+    return out
+
+
+def test_bootstraps_against_brute_force(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = sorted((rng.randint(0, 1), rng.randint(0, 1)) for _ in range(41))
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(rows)], "pos long, base int, adapter int")
+    plain = np.array(brute_means([(b, a, a - b) for b, a in rows], 2000, "s"))
+    # counts of outcomes are distributed as naive resampling distributes them
+    counted = stats.paired_bootstrap(df, 1, 1, 2000, "s").collect()
+    for k, name in enumerate(("base", "adapter", "delta")):
+        (got,) = [r for r in counted if r.metric == name]
+        low, high = np.percentile(plain[:, k], [2.5, 97.5])
+        assert abs(got.mean - plain[:, k].mean()) < 0.01 and abs(got.low - low) < 0.04 and abs(got.high - high) < 0.04
+    again = np.array([[r.base, r.adapter] for r in stats.bootstrap_means(df, 500, "s", ["base", "adapter"]).orderBy("r").collect()])
+    key = int(hashlib.sha256(b"s").hexdigest()[:16], 16)
+    kinds = sorted(set(rows))
+    share = [rows.count(v) / 41 for v in kinds]
+    want = [np.random.Generator(np.random.PCG64([key, r])).multinomial(41, share) @ np.array(kinds) / 41 for r in range(500)]
+    assert np.allclose(again, want)
+    # beyond the bound of outcomes rows are drawn by position
+    monkeypatch.setattr(stats, "OUTCOMES", 2)
+    got = {r.metric: r for r in stats.paired_bootstrap(df, 1, 1, 2000, "s").collect()}
+    for k, name in enumerate(("base", "adapter", "delta")):
+        low, high = np.percentile(plain[:, k], [2.5, 97.5])
+        assert (got[name].mean, got[name].low, got[name].high) == (pytest.approx(plain[:, k].mean()), pytest.approx(low), pytest.approx(high)) and got[name].spans_zero == (low <= 0 <= high)
+    deltas = sorted(a - b for b, a in rows)
+    flat = spark.createDataFrame([(i, 0 if v >= 0 else 1, 1 if v > 0 else 0) for i, v in enumerate(deltas)], "pos long, base int, adapter int")
+    gaps = np.array(brute_means([(v,) for v in deltas], 400, "g-train")) - np.array(brute_means([(v,) for v in deltas], 400, "g-heldout"))
+    (gap,) = stats.gap_bootstrap(flat, flat, 1, 1, 400, "g").collect()
+    assert (gap.low, gap.high) == tuple(map(pytest.approx, np.percentile(gaps, [2.5, 97.5])))
+
+
 def test_gaps_and_checkpoints(spark):
     g = spark.createDataFrame([("base", "train", 0.1), ("base", "heldout", 0.05), ("adapter", "train", 0.4), ("adapter", "heldout", 0.15)], "model string, split string, score double")
     r = stats.generalisation_gaps(g).collect()[0]
