@@ -42,7 +42,8 @@ def _mark(stars: DataFrame) -> tuple:
 def file_components(records: DataFrame, file: str = "file_path", fingerprint: str = "statement_fingerprint") -> DataFrame:
     """(file, component_id, members): files that share a fingerprint, transitively; the id is the SHA-256 of the NUL-joined sorted files.
 
-    Ties go from each fingerprint's first file to its others, so a hot fingerprint gives one edge a file.
+    Ties go from each fingerprint's first file to its others, so a hot fingerprint gives one edge a file.  The id is a digest of all of a
+    component's file names in order, so these (names only, not rows) meet in one row: some 100 bytes a file, up to the 2 GB of a row.
     """
     pairs = records.select(F.col(file).alias("file"), F.col(fingerprint).alias("fp")).distinct()
     lead = pairs.groupBy("fp").agg(F.min("file").alias("lead"))
@@ -57,26 +58,29 @@ def file_components(records: DataFrame, file: str = "file_path", fingerprint: st
 def assign_splits(sizes: DataFrame, proportions: dict[str, float], seed: str) -> DataFrame:
     """(component_id, split): components by falling size, then hash, each to the split that is least full for its target.
 
-    The rule is sequential: one fold over the table of components (not of rows), in double.
+    The rule is sequential, so one task reads the sorted components (not rows); it holds three counters and streams the rest.
     """
     names = list(SPLITS)
     if set(proportions) != set(names) or abs(sum(proportions.values()) - 1) > 1e-9 or min(proportions.values()) <= 0:
         raise ValueError(f"proportions must be positive, sum to one and name {names}")
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), x.nul_sha(F.lit(seed), "component_id").alias("h"), "component_id")))
-    table = sizes.agg(ordered.alias("todo"), F.sum("size").alias("total"))
-    target = F.array(*[F.col("total") * F.lit(proportions[n]) for n in names])
-    zero = F.struct(F.array(*[F.lit(0).cast("bigint") for _ in names]).alias("counts"), F.array().cast("array<struct<component_id:string,s:int>>").alias("out"))
-
-    def step(acc, item):
-        fill = F.transform(acc["counts"], lambda n, i: F.struct((n / F.element_at(target, i + 1)).alias("r"), i.alias("i")))
-        pick = F.array_min(fill)["i"]
-        return F.struct(
-            F.transform(acc["counts"], lambda n, i: F.when(i == pick, n - item["neg"]).otherwise(n)).alias("counts"),
-            F.concat(acc["out"], F.array(F.struct(item["component_id"].alias("component_id"), pick.cast("int").alias("s")))).alias("out"),
-        )
-
-    done = table.select(F.explode(F.aggregate("todo", zero, step, lambda acc: acc["out"])).alias("o"))
-    return done.select("o.component_id", F.element_at(F.array(*map(F.lit, names)), F.col("o.s") + 1).alias("split"))
+    total = sizes.agg(F.sum("size")).collect()[0][0] or 0
+    targets = [total * proportions[n] for n in names]
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = [0] * len(names)
+        for batch in batches:
+            chosen = []
+            for size in batch.column("size").to_pylist():
+                pick = min(range(len(names)), key=lambda i: (counts[i] / targets[i], i))
+                counts[pick] += size
+                chosen.append(names[pick])
+            yield pa.RecordBatch.from_arrays([batch.column("component_id"), pa.array(chosen, pa.string())], ["component_id", "split"])
+
+    ordered = sizes.select(F.col("component_id").cast("string").alias("component_id"), F.col("size").cast("bigint").alias("size"), x.nul_sha(F.lit(seed), "component_id").alias("h"))
+    ordered = ordered.repartition(1).sortWithinPartitions(F.desc("size"), "h", "component_id")
+    return ordered.select("component_id", "size").mapInArrow(run, "component_id string, split string")
 
 
 def split_statistics(records: DataFrame, proportions: dict[str, float]) -> DataFrame:

@@ -56,7 +56,10 @@ def merge_statements(df: DataFrame, ordinal: str = "pos") -> DataFrame:
 
 
 def ordered_digest(df: DataFrame, value: str, order: Sequence[str], terminator: str = x.NUL, group: Sequence[str] = ()) -> DataFrame:
-    """SHA-256 over values in order, each followed by the terminator."""
+    """SHA-256 over values in order, each followed by the terminator.
+
+    The digest is over one text, so a group's values (ids) meet in one row: bounded by the 2 GB of a row.
+    """
     held = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_value"))))
     text = F.array_join(F.transform(held, lambda s: F.concat(s["_value"], F.lit(terminator))), "")
     return df.groupBy(*group).agg(F.sha2(text, 256).alias("digest"), F.count(F.lit(1)).alias("n"))

@@ -141,6 +141,31 @@ def twister_bootstrap(tasks: DataFrame, n: int, k: int, replicates: int, seed: i
     return scored.groupBy().applyInPandas(run, schema)
 
 
+def twister_gap_bootstrap(train: DataFrame, heldout: DataFrame, n: int, ks: Sequence[int], replicates: int, seed: int) -> DataFrame:
+    """(k, low, high) of the gap bootstrap drawn by Python's Mersenne Twister, for parity with recorded intervals.
+
+    One generator draws the train workload, then the held-out one, for each resample, whatever the number of ks; so it is one task
+    over both task tables.  train and heldout: (pos, base, adapter) verified counts.
+    """
+    sides = [df.select(F.lit(side).alias("side"), "pos", *[(x.pass_at_k(F.lit(n), "adapter", k) - x.pass_at_k(F.lit(n), "base", k)).alias(f"lift_{k}") for k in ks]) for side, df in enumerate((train, heldout))]
+
+    def run(pdf):
+        import random
+
+        import numpy as np
+        import pandas as pd
+
+        lifts = [pdf[pdf.side == side].sort_values("pos")[[f"lift_{k}" for k in ks]].to_numpy() for side in (0, 1)]
+        if not all(map(len, lifts)):
+            raise ValueError("nothing to resample")
+        draw = random.Random(seed).randrange
+        gaps = np.array([np.subtract(*(own[[draw(len(own)) for _ in own]].mean(0) for own in lifts)) for _ in range(replicates)])
+        low, high = np.percentile(gaps, [2.5, 97.5], axis=0)
+        return pd.DataFrame({"k": list(ks), "low": low, "high": high})
+
+    return sides[0].union(sides[1]).groupBy().applyInPandas(run, "k int, low double, high double")
+
+
 def generalisation_gaps(cells: DataFrame) -> DataFrame:
     """Gaps from one row per (model, split, score): base and adapter train-to-held-out gaps, deltas on either split, and the change of the gap."""
     pivoted = cells.groupBy().agg(*[F.max(F.when((F.col("model") == m) & (F.col("split") == s), F.col("score"))).alias(f"{m}_{s}") for m in ("base", "adapter") for s in ("train", "heldout")])

@@ -210,6 +210,25 @@ def test_bootstraps_against_brute_force(spark, monkeypatch):
     assert (gap.low, gap.high) == tuple(map(pytest.approx, np.percentile(gaps, [2.5, 97.5])))
 
 
+def test_twister_gap_draws_both_workloads_from_one_generator(spark):
+    import random
+
+    import numpy as np
+
+    sides = {"train": [(0, 1), (2, 4), (1, 1), (0, 3)], "heldout": [(1, 0), (4, 4), (0, 2)]}
+    frames = [spark.createDataFrame([(i, *v) for i, v in enumerate(rows)], "pos long, base int, adapter int").repartition(3) for rows in sides.values()]
+    got = {r.k: (r.low, r.high) for r in stats.twister_gap_bootstrap(*frames, 4, (1, 4), 200, 11).collect()}
+    rng, gaps = random.Random(11), {1: [], 4: []}
+    for _ in range(200):
+        lift = {}
+        for side, rows in sides.items():
+            picked = [rows[rng.randrange(len(rows))] for _ in range(len(rows))]
+            lift[side] = {1: np.mean([(a - b) / 4 for b, a in picked]), 4: np.mean([float(a > 0) - float(b > 0) for b, a in picked])}
+        for k in gaps:
+            gaps[k].append(lift["train"][k] - lift["heldout"][k])
+    assert got == {k: tuple(map(pytest.approx, np.percentile(v, [2.5, 97.5]))) for k, v in gaps.items()}
+
+
 def test_gaps_and_checkpoints(spark):
     g = spark.createDataFrame([("base", "train", 0.1), ("base", "heldout", 0.05), ("adapter", "train", 0.4), ("adapter", "heldout", 0.15)], "model string, split string, score double")
     r = stats.generalisation_gaps(g).collect()[0]
