@@ -5,7 +5,9 @@ documents it keeps, with the columns of docs.  Each stage's result is written as
 and read again as the next one's docs.  The last stage adds ``copy`` and ``mix_key``.
 
 Every stage judges exactly the rows its predecessor kept.  Rows with a null id cannot be told
-apart by id: they pass the duplicate stage as they are.  Empty tables give empty tables.
+apart by id: they pass the duplicate and passage stages as they are, and are judged by their texts like others by
+the toxicity, benchmark and mixing stages.  Null and empty texts are kept by every stage but mixing, which draws for them as for
+others.  Repeated rows are judged each; columns of other names are carried along.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -48,12 +50,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a benchmark item within a word edit similarity of 0.8."""
+    """Drop documents with a benchmark item within a word edit similarity of 0.8, whatever their ids."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replicate documents to the target weights of their sources and shuffle them globally."""
+    """Replicate documents to the target weights of their sources and shuffle them globally; null ids draw by text, equal rows by their number."""
     return mixing.mix(docs)
 
 
