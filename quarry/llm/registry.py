@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarry.llm.chat_format import OP4_SQL, op4_chat_format
 from quarry.llm.decontaminate import op6_decontamination
 from quarry.llm.html_extract import op9_html_extract
+from quarry.llm.importance import OP11_SQL, op11_importance
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.ngram_join import op8_ngram_jaccard
 from quarry.llm.substring_dedup import op1_substring_dedup
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_html_extract": op9_html_extract,
     "op10_topk_search": op10_topk_search,
+    "op11_importance": op11_importance,
 }
 ORACLES: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op7_mixing": OP7_SQL,
     "op10_topk_search": OP10_SQL,
+    "op11_importance": OP11_SQL,
 }
