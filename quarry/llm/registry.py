@@ -10,6 +10,7 @@ from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.ngram_join import op8_ngram_jaccard
 from quarry.llm.substring_dedup import op1_substring_dedup
 from quarry.llm.token_counts import op3_token_counts
+from quarry.llm.token_output import op13_token_output
 from quarry.llm.topk_search import OP10_SQL, op10_topk_search
 from quarry.llm.toxicity import op5_toxicity
 from quarry.llm.url_filter import op2_url_filter
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_topk_search": op10_topk_search,
     "op11_importance": op11_importance,
+    "op13_token_output": op13_token_output,
 }
 ORACLES: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
