@@ -6,6 +6,7 @@ from quarry.llm.chat_format import OP4_SQL, op4_chat_format
 from quarry.llm.decontaminate import op6_decontamination
 from quarry.llm.html_extract import op9_html_extract
 from quarry.llm.importance import OP11_SQL, op11_importance
+from quarry.llm.lexical_search import OP12_SQL, op12_lexical_search
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.ngram_join import op8_ngram_jaccard
 from quarry.llm.substring_dedup import op1_substring_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_topk_search": op10_topk_search,
     "op11_importance": op11_importance,
+    "op12_lexical_search": op12_lexical_search,
     "op13_token_output": op13_token_output,
 }
 ORACLES: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": OP7_SQL,
     "op10_topk_search": OP10_SQL,
     "op11_importance": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
 }
