@@ -16,7 +16,7 @@ _ASCII = np.arange(256)
 ALNUM = (_ASCII >= 0x80) | ((_ASCII >= 0x30) & (_ASCII <= 0x39)) | ((_ASCII >= 0x41) & (_ASCII <= 0x5A)) | ((_ASCII >= 0x61) & (_ASCII <= 0x7A))
 #: All but space and U+0009..U+000D.
 SOLID = ~((_ASCII == 0x20) | ((_ASCII >= 0x09) & (_ASCII <= 0x0D)))
-_LOWER = np.where((_ASCII >= 65) & (_ASCII <= 90), _ASCII + 32, _ASCII).astype(np.uint8)
+LOWER = np.where((_ASCII >= 65) & (_ASCII <= 90), _ASCII + 32, _ASCII).astype(np.uint8)
 
 
 def tokens(column: pa.Array, inner: np.ndarray, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
@@ -31,7 +31,7 @@ def tokens(column: pa.Array, inner: np.ndarray, lower: bool = False) -> tuple[pa
     starts = np.flatnonzero(opens)
     kept = data[solid]
     at = np.append(np.cumsum(solid, dtype=np.int64)[starts] - 1, len(kept))
-    kept = _LOWER[kept] if lower else kept
+    kept = LOWER[kept] if lower else kept
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(kept))])
     return words, np.searchsorted(starts, offsets)
 

@@ -12,8 +12,9 @@ Files.  A corpus is a folder with two Parquet tables, which Spark commits as a w
 Writing: documents are encoded once into a narrow table; its ids are counted; rows are exchanged by ranges of doc_id, and
 each task writes the blocks of its range.  The driver receives one number a shard, and one row for each id of the vocabulary.
 
-Encoding: where a tokenizer drops white space, words between ASCII white space are encoded apart, so that each distinct word of a
-chunk is encoded once (``words_apart`` tries whether a tokenizer is of this kind); otherwise whole texts are.
+Encoding: where a tokenizer drops white space, words between ASCII white space are encoded apart and remembered, so that a worker
+encodes each distinct part once (see ``parts``); ``words_apart`` tries whether a tokenizer is of this kind, and whole texts are encoded by
+one that is not.
 
 Defined results: null and empty texts have the end id alone; rows that repeat a doc_id are written each, ordered by their
 ids' checksum; null ids come first; a long text is one block of its own; an empty table gives empty tables.  Ids of texts are below
@@ -23,22 +24,24 @@ ids' checksum; null ids come first; a long text is one block of its own; an empt
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import terms
 from quarry.llm import text as tx
-from quarry.operators.lineage import scratch, written
+from quarry.operators.lineage import scratch
 
 BLOCK_IDS, END = 1 << 16, 2
-#: Distinct words whose ids a worker remembers.
-_REMEMBER = 200_000
+#: Distinct words whose ids a worker remembers, and bytes of text it encodes at once.
+REMEMBER, CHUNK_BYTES = 600_000, 2 << 20
 
 #: For each control byte, the bytes that its four ranks take.
 _LENGTHS = (((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1).astype(np.uint8)
@@ -79,81 +82,160 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # ---- encoding ---------------------------------------------------------------
 
-_PROBES = ["Two words", "a\tb\nc", "don't  stop", " lead and trail ", "́x ́y", "x 1 23 !? ...", "ΑΣ ΟΔΟΣ Σ", "日本 語"]
+_PROBES = ["Two words", "a\tb\nc", "don't  stop", " lead and trail ", "\u0301x \u0301y", "x 1 23 !? ...", "ΑΣ ΟΔΟΣ Σ", "日本 語", "end. (of) \"it\", so: 'quoted'; été? don't,'s a.b_c×d, ÷e!", "The END, THE end."]
+_PLAIN = ["a", "the", "abcdefghijklmnopqrstuvwxyz", "zqxjk", "tokenizer", "aaaaaaaaaaaaaaaa"]
+_BYTES = np.arange(256)
+_LETTER = ((_BYTES >= 0x41) & (_BYTES <= 0x5A)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A))
+_SIGN = (_BYTES > 0x20) & (_BYTES < 0x7F) & ~_LETTER & ~((_BYTES >= 0x30) & (_BYTES <= 0x39))
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+def parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts, and the part at which each text begins, and the end.
+
+    Parts are words between ASCII white space, cut before an ASCII sign that follows a Latin letter, A-Z in lower case where a part is
+    ASCII.  Words with ``<`` stay whole, as special tokens hold letters and signs.
+    """
+    data, offsets = tx._utf8(column)
+    solid = terms.SOLID[data]
+    opens = solid.copy()
+    opens[1:] &= ~solid[:-1]
+    edges = offsets[1:-1]
+    edges = edges[edges < len(data)]
+    opens[edges] = solid[edges]
+    letter = _LETTER[data]
+    # the second byte of U+00C0..U+017F but for the two signs among them
+    letter[1:] |= (data[:-1] >= 0xC3) & (data[:-1] <= 0xC5) & (data[1:] >= 0x80) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    cuts = np.zeros(len(data), bool)
+    cuts[1:] = _SIGN[data[1:]] & letter[:-1]
+    cuts[edges] = False
+    if (data == 0x3C).any():
+        word = np.cumsum(opens)
+        special = np.zeros(word[-1] + 1, bool)
+        special[word[data == 0x3C]] = True
+        special = special[word]
+        cuts &= ~special
+    else:
+        special = None
+    opens |= cuts
+    starts = np.flatnonzero(opens)
+    kept = data[solid]
+    at = np.append(np.cumsum(solid, dtype=np.int64)[starts] - 1, len(kept))
+    high = np.append(0, np.cumsum((kept >= 0x80) | (False if special is None else special[solid]), dtype=np.int64))
+    kept = np.where(np.repeat(high[at[1:]] == high[at[:-1]], np.diff(at)), terms.LOWER[kept], kept)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(kept))])
+    return words, np.searchsorted(starts, offsets)
+
+
 def words_apart(tokenizer) -> bool:
-    """Whether texts have the ids of their words between ASCII white space, as far as the probes tell."""
+    """Whether texts have the ids of their parts, one after the other, and words of a-z those that the model alone gives them; as far as the probes tell."""
     ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
-    return all(ids(t) == [i for w in t.split() for i in ids(w)] for t in _PROBES)
+    apart = all(ids(t) == [i for p in parts(pa.array([t]))[0].to_pylist() for i in ids(p.decode())] for t in _PROBES)
+    return apart and all(ids(w) == [t.id for t in tokenizer.model.tokenize(w)] for w in _PLAIN)
 
 
 class Encoder:
-    """Ids of the texts of Arrow columns."""
+    """Ids of the texts of Arrow columns; remembers the ids of parts."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.apart, self.known = words_apart(self.tokenizer), {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.apart = words_apart(self.tokenizer)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes: dict[bytes, int] = {}  # of parts, in the order in which they came
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        lists: list = [None] * len(new)
+        alone, rest = self.tokenizer.model.tokenize, []
+        for k, w in enumerate(new):
+            if w.isalpha() and w.islower():  # bytes: a-z only
+                lists[k] = [t.id for t in alone(w.decode())]
+            else:
+                rest.append(k)
+        for k, ids in zip(rest, self._ids([new[k].decode() for k in rest]), strict=True):
+            lists[k] = ids
+        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
+        self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(lists), np.uint32))
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
-        none = np.zeros(0, np.uint32)
         if not self.apart:
             found = self._ids([t or "" for t in column.to_pylist()])
-            return np.concatenate([none, *found]), np.array([len(x) for x in found], np.int64)
-        words, bounds = terms.tokens(column, terms.SOLID)
+            return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        words, bounds = parts(column)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if new := [w for w in distinct if w not in self.known]:
-            if len(self.known) + len(new) > _REMEMBER:
-                self.known, new = {}, distinct
-            self.known.update(zip(new, self._ids([w.decode() for w in new]), strict=True))
-        parts = [self.known[w] for w in distinct]
-        sizes = np.array([len(x) for x in parts], np.int64)
-        flat, first = np.concatenate([none, *parts]), np.cumsum(sizes) - sizes
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in distinct if w not in self.codes]:
+            if len(self.codes) + len(new) > REMEMBER:
+                self._forget()
+                new = distinct
+            self._learn(new)
+        code = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
+        first, size = self.ends[code], np.diff(self.ends)[code]
         which = np.asarray(coded.indices)
-        each = sizes[which]
+        each = size[which]
         ends = np.cumsum(each)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - (ends - each), each)]
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - (ends - each), each)]
         return ids, np.diff(np.append(0, ends)[bounds])
 
 
-def encoded(docs: DataFrame, tokenizer: str, end: int | None = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int, as 32 bits), their number and checksum; ``end`` closes every document."""
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
+def encoded(docs: DataFrame, tokenizer: str, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """doc_id, ids (little-endian, of ``width`` bytes each) and the checksum of the 32-bit ids; ``end`` closes every document."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        encode = Encoder(tokenizer)
-        for chunk in tx.chunks(batches, "text"):
+        encode = _encoder(tokenizer)
+        for chunk in tx.chunks(batches, "text", CHUNK_BYTES):
             ids, sizes = encode(chunk.column("text"))
             if end is not None:
                 ids, sizes = np.insert(ids, np.cumsum(sizes), end), sizes + 1
             ends = np.append(0, np.cumsum(sizes))
             little = ids.astype("<u4")
-            sums = [zlib.crc32(little[a:b]) for a, b in itertools.pairwise(ends)]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), lists, pa.array(sums, pa.int64())], ["doc_id", "ids", "sum"])
+            sums = [zlib.crc32(little[a:b]) for a, b in itertools.pairwise(ends.tolist())]
+            rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends * width), pa.py_buffer(ids.astype(f"<u{width}"))])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), rows.cast(pa.binary()), pa.array(sums, pa.int64())], ["doc_id", "ids", "sum"])
+
+    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary, sum long")
+
+
+def id_width(tokenizer: str, end: int | None = END) -> int:
+    """Bytes that hold every id."""
+    known = _tokenizer(tokenizer)
+    return 2 if max([end or 0, *known.get_vocab(with_added_tokens=True).values()]) < 1 << 16 else 4
+
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids array<int>, sum long")
+def _numbers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of bytes, and how many each row has."""
+    data, offsets = tx._utf8(column)
+    return np.frombuffer(np.ascontiguousarray(data), f"<u{width}"), np.diff(offsets) // width
 
 
-def counted(rows: DataFrame) -> np.ndarray:
+def counted(rows: DataFrame, width: int = 4) -> np.ndarray:
     """The ids that occur, most frequent first; the driver receives a row for each."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            counts = np.bincount(np.asarray(batch.column("ids").flatten()).view(np.uint32), minlength=len(total))
+            counts = np.bincount(_numbers(batch.column("ids"), width)[0], minlength=len(total))
             counts[: len(total)] += total
             total = counts
         at = np.flatnonzero(total)
@@ -169,8 +251,11 @@ def counted(rows: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Write the documents' ids under path."""
     spark = docs.sparkSession
-    rows = written(encoded(docs, tokenizer, end, id_col, text_col), "ids")
-    order = counted(rows)
+    width = id_width(tokenizer, end)
+    narrow = encoded(docs, tokenizer, end, id_col, text_col, width)
+    narrow.write.option("compression", "zstd").parquet(at := scratch(spark, "ids"))
+    rows = spark.read.schema(narrow.schema).parquet(at)
+    order = counted(rows, width)
     # one row an id of the vocabulary
     spark.createDataFrame(pa.table({"rank": np.arange(len(order), dtype=np.int64), "id": order.astype(np.int64)})).coalesce(1).write.parquet(f"{path}/ranks")
     ranks = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
@@ -182,15 +267,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, id_
 
         def block():
             part = pa.Table.from_batches(waiting).combine_chunks()
-            ids = np.asarray(part.column("ids").combine_chunks().flatten()).view(np.uint32)
-            lengths = pa.compute.list_value_length(part.column("ids").combine_chunks()).cast(pa.int64())
+            ids, lengths = _numbers(part.column("ids").combine_chunks(), width)
             control, data = pack(held.value[ids])
             one = [pa.array([shard], pa.int32()), pa.array([before], pa.int64())]
-            lists = [pa.LargeListArray.from_arrays([0, len(part)], x).cast(pa.list_(x.type)) for x in (part.column("doc_id").combine_chunks(), lengths)]
+            lists = [pa.ListArray.from_arrays([0, len(part)], x) for x in (part.column("doc_id").combine_chunks(), pa.array(lengths))]
             return pa.RecordBatch.from_arrays([*one, *lists, pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["shard", "before", "doc_ids", "lengths", "control", "data"]), len(ids)
 
         for batch in batches:
-            sizes = np.asarray(pa.compute.list_value_length(batch.column("ids")), np.int64)
+            sizes = np.asarray(pa.compute.binary_length(batch.column("ids")), np.int64) // width
             a = 0
             for b, n in enumerate(sizes.tolist()):
                 if size and size + n > block_ids:

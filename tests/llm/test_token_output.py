@@ -9,7 +9,7 @@ from quarry.llm import token_output as to
 from quarry.operators.lineage import scratch
 
 WORDS = Tokenizer.from_file(to.tokenizer_path())
-PIECES = ["The", "don't", "été", "é", "́", "ΟΔΟΣ", "İI", "日本語", "12", "3.5", "!?", "…", " ", " ", "\u0085", "\x1c", "<|endoftext|>", "</w>", "x" * 300, "😀", "​", "ﬁ", "가", "가"]
+PIECES = ["The", "don't", "END.", "(of)", "ÉTÉ,", "a×b", "J̌,", "J\u030c.", "<b>X.</b>", "a<|startoftext|>B.", ",'s", "'", "a.b-c", "été", "é", "́", "ΟΔΟΣ", "İI", "日本語", "12", "3.5", "!?", "…", " ", " ", "\u0085", "\x1c", "<|endoftext|>", "</w>", "x" * 300, "😀", "​", "ﬁ", "가", "가"]
 
 
 def sample(rng, n):
