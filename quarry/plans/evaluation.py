@@ -247,6 +247,52 @@ def turn_audit(spark, d):
     return s.withColumn("valid", F.col("contiguous") & (F.col("users") > 0) & (F.col("assistants") > 0))
 
 
+_AUDIT_MARKERS = [r"\bque\b", r"\bder\s+die\b", r"\bof\s+the\b"]
+
+
+def _execution_lines(spark, d):
+    """Conversations as execution logs: a nested event a turn, whose kinds, names and models vary with the text's length; some turns are no events."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.char_length("text"))
+    by = lambda m, yes, no: F.when(F.col("n") % m == 0, yes).otherwise(no)
+    kind = F.when(F.col("turn") == 0, "thread.started").when(F.col("role") == "assistant", by(19, "error", "turn.completed")).otherwise("item.completed")
+    part = F.struct("text", F.struct(by(6, "remote-Shell", "note").alias("Type"), by(5, "other", "m-1").alias("Model"), by(11, "x", "").alias("tool_name")).alias("step"))
+    item = F.struct(by(7, "Web_Search_Call", "agent_message").alias("type"), F.array(F.array(part)).alias("parts"))
+    usage = F.struct(F.col("n").alias("input"), F.lit(1.5).alias("ratio"), F.lit(True).alias("flag"))
+    event = F.to_json(F.struct(kind.alias("type"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("thread_id"), item.alias("item"), usage.alias("usage")))
+    line = F.when(F.col("n") % 13 == 0, F.col("text")).when(F.col("n") % 17 == 0, "[1, 2]").otherwise(event)
+    return c.select(F.col("conv_id").alias("execution_id"), (F.col("turn") + 1).cast("int").alias("line_no"), line.alias("value"))
+
+
+@query(r"""with c as (select conv_id, turn, role, coalesce(text, '') as text, length(coalesce(text, '')) as n from conversations),
+  l as (select conv_id, turn + 1 as line_no, case when n % 13 = 0 then text when n % 17 = 0 then '[1, 2]' else cast(json_object(
+    'type', case when turn = 0 then 'thread.started' when role = 'assistant' then case when n % 19 = 0 then 'error' else 'turn.completed' end else 'item.completed' end, 'thread_id', 'c' || conv_id,
+    'item', json_object('type', case when n % 7 = 0 then 'Web_Search_Call' else 'agent_message' end, 'parts', json_array(json_array(json_object('text', text, 'step', json_object(
+      'Type', case when n % 6 = 0 then 'remote-Shell' else 'note' end, 'Model', case when n % 5 = 0 then 'other' else 'm-1' end, 'tool_name', case when n % 11 = 0 then 'x' else '' end))))),
+    'usage', json_object('input', n, 'ratio', 1.5, 'flag', true)) as varchar) end as line from c),
+  p as (select *, trim(line) <> '' as said, json_valid(line) as is_json, case when json_valid(line) then json_type(line) end = 'OBJECT' as is_event from l),
+  e as (select * from p where said and is_json and is_event),
+  entries as (select conv_id, line_no, lower(t.key) as low, 'event' || substr(t.fullkey, 2) as path, t.type as kind, cast(t.value as varchar) as j, case when t.type = 'VARCHAR' then json_extract_string(t.atom, '$') end as text from e, json_tree(e.line) t where t.key is not null),
+  hits as (select conv_id, line_no, path as hit from entries where low in ('command', 'mcp_server', 'tool_call', 'tool_name') and j not in ('null', '""', '[]', '{}')
+    union all select conv_id, line_no, path || '=' || text from entries where low = 'type' and regexp_matches(lower(text), 'browser|command_execution|computer|file_change|image_generation|mcp|shell|tool_call|web_search')),
+  v as (select conv_id, line_no, 'external_tool' as kind, string_agg(distinct hit, ', ' order by hit) as detail from hits group by 1, 2
+    union all select conv_id, line_no, 'unexpected_model', path || ': ' || text from entries where low in ('effective_model', 'model', 'model_id', 'model_name', 'requested_model', 'selected_model') and text <> 'm-1'
+    union all select conv_id, line_no, case when is_json then 'not_object' else 'not_json' end, '' from p where said and not coalesce(is_json and is_event, false)),
+  m as (select conv_id, k, arg_min(found, line_no) as detail from (select conv_id, line_no, k, regexp_extract(line, '(?i)' || re) as found from l, (values (1, '\bque\b'), (2, '\bder\s+die\b'), (3, '\bof\s+the\b')) r(k, re)) where found <> '' group by 1, 2),
+  s as (select l.conv_id, count(e.line) as events, count(*) filter (where json_extract_string(e.line, '$.type') = 'thread.started') as started, count(*) filter (where json_extract_string(e.line, '$.type') = 'turn.completed') as completed,
+    count(*) filter (where json_extract_string(e.line, '$.type') = 'error') as errors, arg_max(cast(json_extract(e.line, '$.usage.input') as bigint), l.line_no) filter (where json_extract_string(e.line, '$.type') = 'turn.completed') as tokens
+    from l left join e using (conv_id, line_no) group by 1),
+  everything as (select conv_id, 1 as part, line_no as a, kind, detail, line_no from v union all select conv_id, 2, k, 'integrity_marker', detail, null from m
+    union all select conv_id, 3, 1, 'no_events', '', null from s where events = 0 union all select conv_id, 3, 2, 'thread_started', cast(started as varchar), null from s where started <> 1
+    union all select conv_id, 3, 3, 'turn_completed', cast(completed as varchar), null from s where completed <> 1 union all select conv_id, 3, 4, 'error', '', null from s where errors > 0),
+  told as (select conv_id, string_agg(coalesce(cast(line_no as varchar), '-') || ' ' || kind || ' ' || detail, '; ' order by part, a, kind, detail) as violations from everything group by 1)
+  select s.conv_id as execution_id, events, started, completed, errors, tokens, (select count(*) from v where v.conv_id = s.conv_id and kind = 'external_tool') as tool_events, coalesce(violations, '') as violations, violations is null as valid from s left join told using (conv_id)""")
+def execution_audit(spark, d):
+    """R2: tools, models and markers at any depth of nested events, and the counts of kinds."""
+    out = logs.audit_executions(_execution_lines(spark, d), model="m-1", markers=_AUDIT_MARKERS)
+    told = F.array_join(F.transform("violations", lambda v: F.concat_ws(" ", F.coalesce(v["line_no"].cast("string"), F.lit("-")), v["kind"], v["detail"])), "; ")
+    return out.select("execution_id", "events", "started", "completed", "errors", F.col("usage")["input"].alias("tokens"), "tool_events", told.alias("violations"), "valid")
+
+
 @query("""select json_extract_string(props, '$.k') as usage_key, count(value) as n, round(sum(value), 4) as total, round(min(value), 6) as min, round(max(value), 6) as max, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median,
   round(list_sort(list(value))[greatest(1, least(count(value), cast(floor(0.95 * count(value) + 0.999999) as bigint)))], 6) as p95 from events group by 1""")
 def arm_summary(spark, d):

@@ -6,26 +6,68 @@ from quarry.sources import schemas
 from quarry.streaming import logs
 
 
-def audit(spark, lines, **kw):
+def audited(spark, lines, stderr=None, **kw):
     df = spark.createDataFrame([("e", i + 1, x if isinstance(x, str) else json.dumps(x)) for i, x in enumerate(lines)], "execution_id string, line_no int, value string")
-    return logs.audit_executions(df, **kw).collect()[0]
+    return logs.audit_executions(df, stderr=None if stderr is None else spark.createDataFrame([("e", stderr)], "execution_id string, value string"), **kw)
+
+
+def audit(spark, lines, **kw):
+    return audited(spark, lines, **kw).collect()[0]
 
 
 START, DONE = {"type": "thread.started", "thread_id": "t"}, {"type": "turn.completed", "usage": {"input": 5, "output": 2}}
 
 
+def kinds(row):
+    return [v.kind for v in row.violations]
+
+
+def test_audit_accepts_messages_and_reasoning(spark):
+    good = audit(spark, [START, {"type": "item.completed", "item": {"type": "agent_message", "text": "x"}}, "  ", {"type": "item.completed", "item": {"type": "reasoning"}}, DONE])
+    assert good.valid and good.usage == {"input": 5, "output": 2} and good.thread_id == "t" and good.events == 4 and good.tool_events == 0
+    # only whole numbers count as usage, and the last turn with any wins
+    assert audit(spark, [START, DONE, dict(DONE, usage={"output": 9, "rate": 1.5, "flag": True, "name": "x"}), dict(DONE, usage=None)]).usage == {"output": 9}
+
+
+def test_audit_finds_tools_at_any_depth(spark):
+    for kind in ("command_execution", "file_change", "web_search", "mcp_tool_call"):
+        row = audit(spark, [START, {"type": "item.completed", "item": {"type": kind}}, DONE])
+        assert row.tool_events == 1 and [tuple(v) for v in row.violations] == [(2, "external_tool", f"event.item.type={kind}")]
+    deep = {"type": "x", "a": [1, {"B": {"TYPE": "My-Shell.v2"}}, [{"Tool_Name": 0}]], "command": "", "mcp_server": [], "tool_call": {}, "b": {"tool_name": None}}
+    row = audit(spark, [START, deep, DONE])
+    assert [tuple(v) for v in row.violations] == [(2, "external_tool", "event.a[1].B.TYPE=My-Shell.v2, event.a[2][0].Tool_Name")]
+    assert kinds(audit(spark, [START, '{"\\u0063ommand": [1]}', DONE])) == ["external_tool"]  # an escaped name
+    assert audit(spark, [START, {"type": "note", "text": "web_search, command"}, DONE]).valid  # words in texts are none
+    nest = {"type": "web_search"}
+    for _ in range(12):
+        nest = {"in": [nest]}
+    assert kinds(audit(spark, [START, nest, DONE])) == ["external_tool"]
+
+
+def test_audit_finds_models_and_markers(spark):
+    other = {"type": "metadata", "info": [{"Effective_Model": "b"}], "model": "a", "model_id": 7}
+    row = audit(spark, [START, other, DONE], model="a")
+    assert [tuple(v) for v in row.violations] == [(2, "unexpected_model", "event.info[0].Effective_Model: b")] and audit(spark, [START, other, DONE]).valid
+    for text in ("selected gpt-5.3-codex", "selected gpt-5.6-codex", "Falling  back to another model", "model migration is active", "model substitution occurred", "a fallback"):
+        assert kinds(audit(spark, [START, DONE], stderr=text)) == ["integrity_marker"], text
+        assert kinds(audit(spark, [START, {"type": "x", "text": text}, DONE])) == ["integrity_marker"], text
+    assert audit(spark, [START, DONE], stderr="gpt-5.3-codex-spark").valid
+
+
+def test_audit_counts_and_broken_lines(spark):
+    assert [tuple(v) for v in audit(spark, [START, "nope", "[1]", "3", DONE]).violations] == [(2, "not_json", ""), (3, "not_object", ""), (4, "not_object", "")]
+    assert kinds(audit(spark, [START])) == ["turn_completed"] and kinds(audit(spark, [" "])) == ["no_events", "thread_started", "turn_completed"]
+    assert kinds(audit(spark, [START, START, DONE, {"type": "error"}, {"type": "turn.failed"}])) == ["thread_started", "error", "turn_failed"]
+
 
+def test_retry_only_what_is_transient(spark):
+    def retry(lines, code, stderr):
+        return logs.may_retry(audited(spark, lines, stderr).withColumns({"exit_code": F.lit(code), "stderr": F.lit(stderr)})).collect()[0].retry
 
-def test_audit_executions(spark):
-    good = audit(spark, [START, {"type": "item.completed", "item": {"type": "agent_message", "text": "x"}}, "", DONE])
-    assert good.valid and good.usage == {"input": 5, "output": 2} and good.thread_id == "t" and good.events == 3
-    tool = audit(spark, [START, {"type": "item.completed", "item": {"type": "web_search"}}, DONE])
-    assert not tool.valid and tool.tool_events == 1 and "web_search" in tool.violations[0]
-    assert audit(spark, [START, "nope", DONE]).violations == ["line 2 is not a JSON object"]
-    assert audit(spark, [START]).violations == ["not exactly one turn.completed"]
-    assert audit(spark, [START, START, DONE, {"type": "error"}]).violations == ["not exactly one thread.started", "log contains error"]
-    assert audit(spark, [dict(START, model="b"), DONE], model="a").violations == ["unexpected model b"] and audit(spark, [dict(START, model="a"), DONE], model="a").valid
-    assert audit(spark, [START, DONE, dict(DONE, usage={"output": 9})]).usage == {"output": 9}
+    full = [START, {"type": "error", "message": "Incomplete response returned, reason: max_output_tokens"}, {"type": "turn.failed"}]
+    assert retry(full, 1, "Codex ran out of room in the model's context window.") and retry([START, DONE], 1, "Connection reset by peer")
+    assert not retry([START, DONE], 0, "connection reset") and not retry([START, DONE], 1, "other") and not retry([START, DONE], 1, None)
+    assert not retry([START, {"item": {"type": "command_execution"}}, DONE], 1, "timed out") and not retry([START, DONE], 1, "timed out, fallback")
 
 
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
