@@ -41,7 +41,7 @@ from quarry.operators.lineage import scratch
 
 BLOCK_IDS, END = 1 << 16, 2
 #: Distinct words whose ids a worker remembers, and bytes of text it encodes at once.
-REMEMBER, CHUNK_BYTES = 600_000, 2 << 20
+REMEMBER, CHUNK_BYTES = 1_200_000, 2 << 20
 
 #: For each control byte, the bytes that its four ranks take.
 _LENGTHS = (((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1).astype(np.uint8)
