@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -41,7 +42,7 @@ from quarry.operators.lineage import scratch
 
 BLOCK_IDS, END = 1 << 16, 2
 #: Distinct words whose ids a worker remembers, and bytes of text it encodes at once.
-REMEMBER, CHUNK_BYTES = 1_200_000, 2 << 20
+REMEMBER, CHUNK_BYTES = 600_000, 2 << 20
 
 #: For each control byte, the bytes that its four ranks take.
 _LENGTHS = (((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1).astype(np.uint8)
@@ -83,9 +84,12 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 # ---- encoding ---------------------------------------------------------------
 
 _PROBES = ["Two words", "a\tb\nc", "don't  stop", " lead and trail ", "\u0301x \u0301y", "x 1 23 !? ...", "ΑΣ ΟΔΟΣ Σ", "日本 語", "end. (of) \"it\", so: 'quoted'; été? don't,'s a.b_c×d, ÷e!", "The END, THE end."]
-_PLAIN = ["a", "the", "abcdefghijklmnopqrstuvwxyz", "zqxjk", "tokenizer", "aaaaaaaaaaaaaaaa"]
+_PLAIN = ["é", "éêeux", "größe", "àþÿñç", "a", "the", "abcdefghijklmnopqrstuvwxyz", "zqxjk", "tokenizer", "aaaaaaaaaaaaaaaa"]
 _BYTES = np.arange(256)
 _LETTER = ((_BYTES >= 0x41) & (_BYTES <= 0x5A)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A))
+#: Words of a-z and the lower-case letters of U+00E0..U+00FF, which stay as they are and are one pre-token; their bytes as a byte-level model spells them.
+_LOWER_LATIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
+_VISIBLE = dict(zip([b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)], range(256, 512)))
 _SIGN = (_BYTES > 0x20) & (_BYTES < 0x7F) & ~_LETTER & ~((_BYTES >= 0x30) & (_BYTES <= 0x39))
 
 
@@ -111,8 +115,8 @@ def parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     edges = edges[edges < len(data)]
     opens[edges] = solid[edges]
     letter = _LETTER[data]
-    # the second byte of U+00C0..U+017F but for the two signs among them
-    letter[1:] |= (data[:-1] >= 0xC3) & (data[:-1] <= 0xC5) & (data[1:] >= 0x80) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    # the second byte of U+00C0..U+017F but for the two signs among them and U+0130, whose lower case ends in a mark
+    letter[1:] |= (data[:-1] >= 0xC3) & (data[:-1] <= 0xC5) & (data[1:] >= 0x80) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))) & ~((data[:-1] == 0xC4) & (data[1:] == 0xB0))
     cuts = np.zeros(len(data), bool)
     cuts[1:] = _SIGN[data[1:]] & letter[:-1]
     cuts[edges] = False
@@ -135,10 +139,10 @@ def parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def words_apart(tokenizer) -> bool:
-    """Whether texts have the ids of their parts, one after the other, and words of a-z those that the model alone gives them; as far as the probes tell."""
+    """Whether texts have the ids of their parts, one after the other, and words of lower-case Latin letters those that the model alone gives them; as far as the probes tell."""
     ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
     apart = all(ids(t) == [i for p in parts(pa.array([t]))[0].to_pylist() for i in ids(p.decode())] for t in _PROBES)
-    return apart and all(ids(w) == [t.id for t in tokenizer.model.tokenize(w)] for w in _PLAIN)
+    return apart and all(ids(w) == [t.id for t in tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_VISIBLE))] for w in _PLAIN)
 
 
 class Encoder:
@@ -160,8 +164,8 @@ class Encoder:
         lists: list = [None] * len(new)
         alone, rest = self.tokenizer.model.tokenize, []
         for k, w in enumerate(new):
-            if w.isalpha() and w.islower():  # bytes: a-z only
-                lists[k] = [t.id for t in alone(w.decode())]
+            if _LOWER_LATIN(w):
+                lists[k] = [t.id for t in alone(w.decode("latin-1").translate(_VISIBLE))]
             else:
                 rest.append(k)
         for k, ids in zip(rest, self._ids([new[k].decode() for k in rest]), strict=True):
@@ -178,12 +182,14 @@ class Encoder:
         words, bounds = parts(column)
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if new := [w for w in distinct if w not in self.codes]:
-            if len(self.codes) + len(new) > REMEMBER:
-                self._forget()
-                new = distinct
-            self._learn(new)
-        code = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
+        code = np.fromiter(map(self.codes.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(code < 0)
+        if len(self.codes) + len(new) > REMEMBER:
+            self._forget()
+            new = np.arange(len(distinct))
+        if len(new):
+            code[new] = np.arange(len(self.codes), len(self.codes) + len(new))
+            self._learn([distinct[k] for k in new.tolist()])
         first, size = self.ends[code], np.diff(self.ends)[code]
         which = np.asarray(coded.indices)
         each = size[which]

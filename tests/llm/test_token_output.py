@@ -46,6 +46,15 @@ def test_words_encoded_apart_are_the_texts_ids():
     assert ids.tolist() == [i for t in ("two words", " x\n") for i in Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids]
 
 
+def test_every_lower_case_latin_letter():
+    import pyarrow as pa
+
+    encode = to.Encoder(to.tokenizer_path())
+    letters = [chr(c) for c in range(0x61, 0x180)]
+    texts = [f"a{c}b {c} {c}{c}, x{c}" for c in letters] + ["".join(letters)]
+    assert encode(pa.array(texts))[0].tolist() == [i for t in texts for i in WORDS.encode(t, add_special_tokens=False).ids]
+
+
 def brute(rows, end=2):
     out, at = [], 0
     table = []
