@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
-from quarry.operators.lineage import cut, join_grouped, release
+from quarry.operators.lineage import cut, join_grouped, numbered, release
 from quarry.sources.schemas import SPLITS
 
 
@@ -55,32 +55,73 @@ def file_components(records: DataFrame, file: str = "file_path", fingerprint: st
     return join_grouped(rooted, named, ["root"]).select(F.col("file").alias(file), "component_id", "files")
 
 
+def _least_full(counts: list[int], targets: list[float], size: int, n: int) -> list[int]:
+    """How many of the next n components of one size each split gets when each goes to the split that is least full for its target.
+
+    A split's fullness before its j-th component is (count + j * size) / target, which grows with j, so the n choices are the n smallest of
+    these fractions.  A bisection on fullness finds a level below which there are at most n, and the rest are chosen one by one.
+    """
+    def below(level: float) -> list[int]:
+        # one to three fewer than there are below the level, whatever the rounding
+        return [max(0, min(n, int((level * t - c) / size) - 1)) for c, t in zip(counts, targets, strict=True)]
+
+    if not size:
+        first = min(range(len(targets)), key=lambda i: (counts[i] / targets[i], i))
+        return [n if i == first else 0 for i in range(len(targets))]
+    low, high = 0.0, max((c + n * size) / t for c, t in zip(counts, targets, strict=True)) + 1
+    for _ in range(80):
+        middle = (low + high) / 2
+        if sum(below(middle)) + 3 * len(targets) <= n:
+            low = middle
+        else:
+            high = middle
+    held = below(low) if low else [0] * len(targets)
+    for _ in range(n - sum(held)):
+        held[min(range(len(targets)), key=lambda i: ((counts[i] + held[i] * size) / targets[i], i))] += 1
+    return held
+
+
 def assign_splits(sizes: DataFrame, proportions: dict[str, float], seed: str) -> DataFrame:
     """(component_id, split): components by falling size, then hash, each to the split that is least full for its target.
 
-    The rule is sequential, so one task reads the sorted components (not rows); it holds three counters and streams the rest.
+    The rule is sequential, but components of one size make a run whose outcome follows from the counters at its start.  The driver walks the
+    distinct sizes (fewer than the square root of twice the rows); components are numbered by a range partition, and each task finds the
+    counters at its first row of a run and goes on from there.
     """
     names = list(SPLITS)
     if set(proportions) != set(names) or abs(sum(proportions.values()) - 1) > 1e-9 or min(proportions.values()) <= 0:
         raise ValueError(f"proportions must be positive, sum to one and name {names}")
-    total = sizes.agg(F.sum("size")).collect()[0][0] or 0
+    own = sizes.select(F.col("component_id").cast("string").alias("component_id"), F.col("size").cast("bigint").alias("size"))
+    histogram = sorted(((r["size"], r["n"]) for r in own.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total = sum(size * n for size, n in histogram)
+    if total <= 0:
+        return own.select("component_id", F.lit(None).cast("string").alias("split")).limit(0)
     targets = [total * proportions[n] for n in names]
+    runs, at, counts = {}, 0, [0] * len(names)
+    for size, n in histogram:
+        runs[size] = (at, counts)
+        at, counts = at + n, [c + size * k for c, k in zip(counts, _least_full(counts, targets, size, n), strict=True)]
+    held = sizes.sparkSession.sparkContext.broadcast(runs)
 
     def run(batches):
         import pyarrow as pa
 
-        counts = [0] * len(names)
+        size, counts, due = None, [], -1
         for batch in batches:
             chosen = []
-            for size in batch.column("size").to_pylist():
+            for now, pos in zip(batch.column("size").to_pylist(), batch.column("pos").to_pylist(), strict=True):
+                if now != size or pos != due:  # a run begins, or this task's part of it
+                    size, (start, counts) = now, held.value[now]
+                    counts = [c + size * k for c, k in zip(counts, _least_full(counts, targets, size, pos - start), strict=True)]
                 pick = min(range(len(names)), key=lambda i: (counts[i] / targets[i], i))
                 counts[pick] += size
                 chosen.append(names[pick])
+                due = pos + 1
             yield pa.RecordBatch.from_arrays([batch.column("component_id"), pa.array(chosen, pa.string())], ["component_id", "split"])
 
-    ordered = sizes.select(F.col("component_id").cast("string").alias("component_id"), F.col("size").cast("bigint").alias("size"), x.nul_sha(F.lit(seed), "component_id").alias("h"))
-    ordered = ordered.repartition(1).sortWithinPartitions(F.desc("size"), "h", "component_id")
-    return ordered.select("component_id", "size").mapInArrow(run, "component_id string, split string")
+    order = {"_low": -F.col("size"), "_h": x.nul_sha(F.lit(seed), "component_id")}
+    ordered = numbered(own.withColumns(order), [*order, "component_id"])
+    return ordered.select("component_id", "size", "pos").mapInArrow(run, "component_id string, split string")
 
 
 def split_statistics(records: DataFrame, proportions: dict[str, float]) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
-from quarry.operators.lineage import join_grouped, numbered
+from quarry.operators.lineage import cut, join_grouped, numbered, release
 
 
 def hash_sample(df: DataFrame, n: int, prefix: str, key: str = "id", strict: bool = True) -> tuple[DataFrame, int]:
@@ -95,25 +95,59 @@ def even_quota(groups: DataFrame, total: int, order: str) -> DataFrame:
     return groups.withColumns({"_p": pos, "_n": n}).withColumn("quota", (F.floor(F.lit(total) / F.col("_n")) + (F.col("_p") < F.lit(total) % F.col("_n")).cast("int")).cast("int")).drop("_p", "_n")
 
 
-def greedy_first_fit(plans: DataFrame, quota: int, forbidden: Sequence[str] = ()) -> DataFrame:
-    """Plans in order, taken if no statement, source set or derivation family was taken before and the family's quota has room.
+#: Plans of a family that are counted together in the prefix counts of greedy picks.
+CHUNK = 100_000
 
-    plans: (pos, family, statement_id, source_ids array, derivation).  Each choice depends on all
-    before it, over all families, so the fold is one sequential pass over the plan table.
+
+def _prefix(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """df with, for each flag, how many earlier rows of the family have it: within chunks by a window, over chunks by their sums."""
+    inside = Window.partitionBy("family", "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    held = df.withColumns({f"_in_{k}": F.coalesce(F.sum(c.cast("bigint")).over(inside), F.lit(0)) for k, c in flags.items()})
+    earlier = Window.partitionBy("family").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # over chunks, not rows
+    sums = df.groupBy("family", "_chunk").agg(*[F.sum(c.cast("bigint")).alias(f"_{k}") for k, c in flags.items()])
+    sums = sums.select("family", "_chunk", *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_of_{k}") for k in flags])
+    out = held.join(sums, ["family", "_chunk"])
+    return out.withColumns({k: F.col(f"_in_{k}") + F.col(f"_of_{k}") for k in flags}).drop(*[f"_{w}_{k}" for w in ("in", "of") for k in flags])
+
+
+def greedy_first_fit(plans: DataFrame, requested: dict[str, int], forbidden: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """Plans taken in order of the requested families, then of ``pos``, each unless a plan taken before has its statement, its set of sources or its
+    derivation, its statement is forbidden, or its family has its number.
+
+    plans: (pos, family, statement_id, source_ids array, derivation, ...); other columns are carried along.  A null statement or derivation
+    conflicts with nothing, null sources are the empty set; plans of other families are not taken; equal pos are ordered by statement,
+    sources and derivation.  With ``strict``, a family that falls short raises, naming what it has.
+
+    The order's outcome is found in rounds.  A plan that is the first undecided one at each of its marks can be stopped by its family's
+    number alone: with T taken, F first and U undecided plans before it in its family it is taken if T + U is below the number, and out if T + F
+    reaches it; so is every later plan.  Plans that share a mark with a taken one are out.  Rounds cut their lineage; a few numbers a round
+    reach the driver.
     """
-    banned = frozenset(forbidden)
-
-    def pick(pdf):
-        used: set = set()
-        left: dict[str, int] = {}
-        keep = []
-        for r in pdf.sort_values("pos").itertuples():
-            marks = {("s", r.statement_id), ("l", tuple(sorted(r.source_ids))), ("d", r.derivation)}
-            ok = r.statement_id not in banned and not (marks & used) and left.get(r.family, quota) > 0
-            if ok:
-                used |= marks
-                left[r.family] = left.get(r.family, quota) - 1
-            keep.append(ok)
-        return pdf.sort_values("pos")[keep]
-
-    return plans.groupBy().applyInPandas(pick, plans.schema)
+    spark = plans.sparkSession
+    families = spark.createDataFrame([(f, i, n) for i, (f, n) in enumerate(requested.items())], "family string, _rank int, _number bigint")
+    own = plans.join(F.broadcast(families), "family")  # a row a requested family
+    if forbidden is not None:
+        own = own.join(forbidden.select(F.col("statement_id").alias("_no")).distinct(), F.col("statement_id") == F.col("_no"), "left_anti")
+    sources = F.array_join(F.array_sort(F.coalesce("source_ids", F.array().cast("array<string>"))), x.NUL)
+    own = numbered(own.withColumns({"_sources": sources}), ["_rank", "pos", "statement_id", "_sources", "derivation"], "_at")
+    marks = F.filter(F.array(F.concat(F.lit("s"), "statement_id"), F.concat(F.lit("l"), "_sources"), F.concat(F.lit("d"), "derivation")), lambda m: m.isNotNull())
+    rows = own.select("_at", "family", "_number", marks.alias("marks"), F.floor(F.col("_at") / CHUNK).alias("_chunk"), F.lit(False).alias("taken"))
+    rows = cut(rows)
+    while rows.where(~F.col("taken")).limit(1).count():
+        open_marks = rows.where(~F.col("taken")).select("_at", F.explode("marks").alias("mark"))
+        leads = open_marks.groupBy("mark").agg(F.min("_at").alias("_at")).groupBy("_at").agg(F.count(F.lit(1)).alias("_leads"))
+        now = rows.join(leads, "_at", "left").withColumn("_first", ~F.col("taken") & (F.coalesce("_leads", F.lit(0)) == F.size("marks"))).drop("_leads")
+        now = _prefix(now, {"_t": F.col("taken"), "_f": F.col("_first"), "_u": ~F.col("taken")})
+        now = cut(now.where(F.col("taken") | (F.col("_t") + F.col("_f") < F.col("_number"))).withColumn("_new", F.col("_first") & (F.col("_t") + F.col("_u") < F.col("_number"))))
+        gone = now.where("_new").select(F.explode("marks").alias("mark")).distinct()
+        left = now.where(~F.col("taken") & ~F.col("_new"))
+        hit = left.select("_at", F.explode("marks").alias("mark")).join(gone, "mark").select("_at").distinct()
+        still = left.join(hit, "_at", "left_anti")
+        rows = cut(now.where(F.col("taken") | F.col("_new")).withColumn("taken", F.lit(True)).unionByName(still).select(*rows.columns))
+        release(rows)
+    if strict:
+        held = {r["family"]: r["n"] for r in rows.groupBy("family").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = {f: (held.get(f, 0), n) for f, n in requested.items() if held.get(f, 0) < n}
+        if short:
+            raise ValueError("too few plans: " + ", ".join(f"{f} has {a} of {n}" for f, (a, n) in short.items()))
+    return own.join(rows.select("_at"), "_at", "left_semi").select(*plans.columns)

@@ -678,12 +678,23 @@ def type_heads(spark, d):
     return _declarations(spark, d).select("doc_id", lexer.column(lambda v: lexer.type_head(lexer.canonical_declaration(v)))(F.col("declaration")).alias("head"))
 
 
-@query()
+_REQUESTED = {"2-HIGH": 12, "1-URGENT": 9, "5-LOW": 15, "3-MEDIUM": 10, "4-NOT SPECIFIED": 11}
+
+
+@query(f"""with recursive asked(family, rank, number) as (values {", ".join(f"('{f}', {i}, {n})" for i, (f, n) in enumerate(_REQUESTED.items()))}),
+  p as (select o_orderkey as pos, family, rank, number, rank * 1000000000000 + o_orderkey as ord, o_custkey % 300 as s, o_orderkey % 97 as l, o_orderkey % 211 as d from orders join asked on family = o_orderpriority where o_custkey % 300 % 50 <> 7),
+  go as (select -1::bigint as ord, -1 as rank, 0 as n, 0 as number, []::bigint[] as s, []::bigint[] as l, []::bigint[] as d
+    union all select x.ord, x.rank, case when x.rank = x.was then x.n + 1 else 1 end, x.number, list_append(x.us, x.s), list_append(x.ul, x.l), list_append(x.ud, x.d)
+    from (select p.*, go.rank as was, go.n, go.s as us, go.l as ul, go.d as ud, row_number() over (order by p.ord) as k from go join p on p.ord > go.ord and not (p.rank = go.rank and go.n >= go.number)
+      and not list_contains(go.s, p.s) and not list_contains(go.l, p.l) and not list_contains(go.d, p.d)) x where k = 1)
+  select pos, family, cast(p.s as varchar) as statement_id from go join p using (ord)""")
 def greedy_first_fit(spark, d):
-    """Greedy picks under several uniqueness rules."""
+    """Greedy picks, family by family, under several uniqueness rules."""
     o = table(spark, d, "orders")
-    plans = o.select(F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("family"), (F.col("o_custkey") % 300).cast("string").alias("statement_id"), F.array((F.col("o_orderkey") % 97).cast("string")).alias("source_ids"), (F.col("o_orderkey") % 211).cast("string").alias("derivation"))
-    return sampling.greedy_first_fit(plans, 12)
+    key = lambda c, m: (F.col(c) % m).cast("string")
+    plans = o.select(F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("family"), key("o_custkey", 300).alias("statement_id"), F.array(key("o_orderkey", 97)).alias("source_ids"), key("o_orderkey", 211).alias("derivation"))
+    forbidden = table(spark, d, "customer").where("c_custkey % 300 % 50 = 7").select((F.col("c_custkey") % 300).cast("string").alias("statement_id"))
+    return sampling.greedy_first_fit(plans, _REQUESTED, forbidden).select("pos", "family", "statement_id")
 
 
 @query()

@@ -1,4 +1,6 @@
 import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -380,8 +382,74 @@ def test_composition(spark):
     assert {r.plan_id: (r.ok, r.connected) for r in composition.audit(cases).collect()} == {"p": (True, True), "q": (False, True), "r": (False, False)}
     batch = spark.createDataFrame([("g", str(i)) for i in range(9)] + [("h", "1")], "g string, item string")
     assert {tuple(r) for r in composition.failing_members(batch, "g", "item", lambda xs: any(v in ("3", "7") for v in xs)).collect()} == {("g", "3"), ("g", "7")}
-    plans = spark.createDataFrame([(0, "f", "s1", ["a", "b"], "d1"), (1, "f", "s1", ["c"], "d2"), (2, "f", "s2", ["b", "a"], "d3"), (3, "f", "s3", ["e"], "d1"), (4, "f", "s4", ["g"], "d4"), (5, "f", "s5", ["h"], "d5"), (6, "k", "bad", ["i"], "d6")], "pos int, family string, statement_id string, source_ids array<string>, derivation string")
-    assert [r.pos for r in sampling.greedy_first_fit(plans, 2, ["bad"]).collect()] == [0, 4]
+
+
+def fold_first_fit(rows, requested, forbidden=()):
+    """The greedy picks one after the other."""
+    used, out = set(), []
+    for family, number in requested.items():
+        n = 0
+        for r in sorted((r for r in rows if r[1] == family), key=lambda r: r[0]):
+            marks = {m for m in (("s", r[2]), ("l", tuple(sorted(r[3] or []))), ("d", r[4])) if m[1] is not None}
+            if n < number and r[2] not in forbidden and not marks & used:
+                used |= marks
+                out.append(r[0])
+                n += 1
+    return out
+
+
+PLANS = "pos int, family string, statement_id string, source_ids array<string>, derivation string"
+
+
+def test_greedy_first_fit_equals_the_fold(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "CHUNK", 7)
+    rows = [(0, "f", "s1", ["a", "b"], "d1"), (1, "f", "s1", ["c"], "d2"), (2, "f", "s2", ["b", "a"], "d3"), (3, "f", "s3", ["e"], "d1"), (4, "f", "s4", ["g"], "d4"), (5, "f", "s5", ["h"], "d5"), (6, "k", "bad", ["i"], "d6")]
+    no = spark.createDataFrame([("bad",)], "statement_id string")
+    assert [r.pos for r in sampling.greedy_first_fit(spark.createDataFrame(rows, PLANS), {"f": 2}, no).collect()] == [0, 4]
+    with pytest.raises(ValueError, match="k has 0 of 1"):
+        sampling.greedy_first_fit(spark.createDataFrame(rows, PLANS), {"k": 1, "f": 1}, no)
+    # a later family sees what an earlier one took, whatever the positions say
+    order = [(0, "k", "x", ["1"], "d"), (1, "f", "x", ["2"], "e"), (2, "k", "y", ["3"], "g"), (3, "f", "z", None, None), (4, "f", None, [], None), (5, "f", None, ["4"], None)]
+    asked = {"f": 9, "k": 2}
+    assert sorted(r.pos for r in sampling.greedy_first_fit(spark.createDataFrame(order, PLANS), asked, strict=False).collect()) == sorted(fold_first_fit(order, asked)) == [1, 2, 3, 5]
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(i, rng.choice("abc"), rng.choice([None, *map(str, range(25))]), rng.sample("pqrstuvw", rng.choice([0, 1, 2, 3])), rng.choice([None, *map(str, range(40))])) for i in range(120)]
+        asked = {"b": rng.choice([3, 50]), "a": 6, "c": rng.choice([2, 9])}
+        got = sampling.greedy_first_fit(spark.createDataFrame(rows, PLANS).repartition(5), asked, spark.createDataFrame([("3",)], "statement_id string"), strict=False)
+        assert sorted(r.pos for r in got.collect()) == sorted(fold_first_fit(rows, asked, {"3"}))
+
+
+def fold_splits(sizes, prop, seed):
+    total, counts, out = sum(sizes.values()), dict.fromkeys(prop, 0), {}
+    for c in sorted(sizes, key=lambda c: (-sizes[c], hashlib.sha256(f"{seed}\0{c}".encode()).hexdigest(), c)):
+        out[c] = min(prop, key=lambda n: (counts[n] / (total * prop[n]), list(prop).index(n)))
+        counts[out[c]] += sizes[c]
+    return out
+
+
+@pytest.mark.parametrize("prop", [(0.9, 0.05, 0.05), (0.34, 0.33, 0.33), (0.999, 0.0005, 0.0005)])
+def test_proportional_assignment_equals_the_fold(spark, prop):
+    prop = dict(zip(("train", "validation", "heldout"), prop))
+    rng = random.Random(5)
+    for sizes in ([1] * 900, [rng.choice([1, 1, 1, 2, 3, 50]) for _ in range(700)], [5000, 300] + [7] * 400 + [rng.randint(1, 40) for _ in range(200)], [4]):
+        sizes = {f"c{i}": n for i, n in enumerate(sizes)}
+        df = spark.createDataFrame(list(sizes.items()), "component_id string, size long").repartition(6)
+        assert {r.component_id: r.split for r in components.assign_splits(df, prop, "s").collect()} == fold_splits(sizes, prop, "s")
+    assert components.assign_splits(spark.createDataFrame([], "component_id string, size long"), prop, "s").collect() == []
+
+
+def test_least_full_at_any_rank():
+    rng = random.Random(7)
+    for _ in range(300):
+        targets = [rng.uniform(0.1, 1000) for _ in range(3)]
+        counts, size = [rng.randint(0, 500) * rng.choice([0, 1]) for _ in range(3)], rng.randint(1, 30)
+        held = [0, 0, 0]
+        for n in range(rng.choice([5, 60, 400])):
+            if n % 7 == 0:
+                assert components._least_full(counts, targets, size, n) == held
+            held[min(range(3), key=lambda i: ((counts[i] + held[i] * size) / targets[i], i))] += 1
+    assert sum(components._least_full([0, 0, 0], [9e9, 5e8, 5e8], 1, 10**10 - 3)) == 10**10 - 3
 
 
 def test_expectations(spark):
