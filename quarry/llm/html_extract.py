@@ -3,7 +3,7 @@
 A page is cut into blocks (text lines) with the role of the element they stand in:
 ``main`` (inside article or main), ``chrome`` (inside navigation, headers,
 footers, asides, forms, comment sections and elements whose class or id
-says so) or ``open`` (anything else).  Every page is compared with the page that has the nearest URL
+says so; inside the main element only where a whole name of a fixed list does, or a role) or ``open`` (anything else).  Every page is compared with the page that has the nearest URL
 path on the same host: both lists of lines are aligned by longest common
 subsequence and the shared lines, which belong to the site rather than to the page,
 are deleted.
@@ -64,9 +64,18 @@ CHROME_WORDS = frozenset(
     "share sharing social related recommended newsletter subscribe signup login search form pagination pager toolbar skip contentinfo complementary".split()
 )
 MAIN_WORDS = frozenset(("main", "article"))
-#: Those of them that make an article element no main text, and those that mean nothing inside the main element (a headline's wrapper, a boxed paragraph).
-ASIDE_WORDS = frozenset("comment comments reply replies respond disqus ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
-HARMLESS_INSIDE = frozenset(("header", "alert"))
+#: Whole class names and ids that drop an element inside the main one, where an article's own names (share-price, form-factor, related-work) share words with those of chrome.
+INSIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising ad-slot ad-unit ad-banner ad-box ad-container adsbygoogle sponsor sponsored promo promotion navbar nav navigation menu menubar breadcrumb breadcrumbs "
+    "sidebar widget masthead footer site-footer page-footer site-header notice notices cookie-notice cookie-banner cookie-consent cookies gdpr popup modal overlay comment comments comment-list comment-form "
+    "comments-area comments-section comment-section disqus disqus_thread respond replies share sharing share-bar share-box share-buttons share-links social social-share social-links social-buttons social-icons "
+    "related related-posts related-articles related-links related-content related-stories recommended recommended-posts recommendations newsletter newsletter-signup newsletter-form subscribe subscribe-form signup "
+    "signup-form login-form search-form search-box pagination pager toolbar skip-link".split()
+)
+#: Roles of elements that drop them anywhere.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
+#: Names of an article element that is no main text: a comment or an advert.
+ASIDE = re.compile(r"(?:comment|reply)(?:s|[-_]?\d+|[-_](?:body|item|list|entry))?|replies|respond|disqus|ad|ads|adv|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?")
 
 #: Comments, CDATA, declarations, or a tag with its attributes; a quote counts only as the first character of a value, and only if it is closed.
 _TOKEN = re.compile(
@@ -86,6 +95,15 @@ def _attribute_words(attributes: str) -> set[str]:
     return found
 
 
+def _names(attributes: str) -> tuple[set[str], set[str]]:
+    """Whole class names and ids, and roles, in lower case."""
+    names: set[str] = set()
+    roles: set[str] = set()
+    for kind, value in _ATTRIBUTE.findall(attributes):
+        (roles if kind.lower() == "role" else names).update(htmllib.unescape(value.strip("\"'")).lower().split())
+    return names, roles
+
+
 def _outcome(here: str, mine: str) -> str:
     """Role of a place, from that of its surroundings and of its own element."""
     if "hidden" in (here, mine):
@@ -203,14 +221,19 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 drop_one(depth)
         here = stack[-1][2] if stack else "open"
         words = _attribute_words(m[3]) if "=" in m[3] else set()
-        if here == "main":
-            words -= HARMLESS_INSIDE
+        names, roles = _names(m[3]) if words else (set(), set())
+        if name == "article":
+            marked = any(map(ASIDE.fullmatch, names)) or roles & ROLES
+        elif here == "main":
+            marked = names & INSIDE or roles & ROLES
+        else:
+            marked = name not in ("body", "html") and words & CHROME_WORDS
         mine = ""
         if name in HIDDEN:
             mine = "hidden"
         elif name == "main":
             mine = "reset"
-        elif name in CHROME or (name not in ("body", "html", "article") and words & CHROME_WORDS) or (name == "article" and words & ASIDE_WORDS):
+        elif name in CHROME or marked:
             mine = "chrome"
         elif name == "header" and here != "main":
             mine = "chrome"
@@ -256,25 +279,48 @@ def common_lines(mine: list[int], other: list[int]) -> list[bool]:
     rows = [i for i in range(a, b) if mine[i] in have]
     want = {mine[i] for i in rows}
     cols = [x for x in other[c:d] if x in want]
-    if rows and cols:
-        y = np.array(cols, np.int64)
-        table = np.zeros((len(rows) + 1, len(cols) + 1), np.int32)
-        for i in range(len(rows) - 1, -1, -1):
-            hit = np.where(y == mine[rows[i]], table[i + 1, 1:] + 1, table[i + 1, :-1])
-            # best of skipping other lines: running maximum from the right
-            table[i, :-1] = np.maximum.accumulate(hit[::-1])[::-1]
-        i = j = 0
-        while i < len(rows) and j < len(cols):
-            if mine[rows[i]] == cols[j] and table[i, j] == table[i + 1, j + 1] + 1:
-                shared[rows[i]] = True
-                i, j = i + 1, j + 1
-            elif table[i + 1, j] >= table[i, j + 1]:
-                i += 1
-            else:
-                j += 1
+    for i in _aligned(np.array([mine[i] for i in rows], np.int64), np.array(cols, np.int64)):
+        shared[rows[i]] = True
     return shared
 
 
+#: Cells of the table that aligns two lists; longer lists are halved first.
+CELLS = 1 << 24
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of x with each beginning of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x.tolist():
+        row[1:] = np.maximum.accumulate(np.where(y == v, row[:-1] + 1, row[1:]))
+    return row
+
+
+def _aligned(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places in x of one longest common subsequence with y, in memory of CELLS numbers at most and a few rows."""
+    if not len(x) or not len(y):
+        return []
+    if len(x) > 1 and len(x) * len(y) > CELLS:
+        half = len(x) // 2
+        cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return _aligned(x[:half], y[:cut]) + [half + i for i in _aligned(x[half:], y[cut:])]
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in range(len(x) - 1, -1, -1):
+        hit = np.where(y == x[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
+        # best of skipping other lines: running maximum from the right
+        table[i, :-1] = np.maximum.accumulate(hit[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j] and table[i, j] == table[i + 1, j + 1] + 1:
+            out.append(i)
+            i, j = i + 1, j + 1
+        elif table[i + 1, j] >= table[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 #: Roles as they travel: what differencing may not delete, what it decides, what goes in any case.
 GUARDED, DECIDED, DROPPED = 0, 1, 2
 

@@ -1,7 +1,7 @@
 """Edit-aware token counts on pre-token segment trees.
 
 A document's text is cut into leaves, runs of whole pre-tokens of about ``LEAF_CHARS``
-characters.  Cuts are made where a letter or number is followed by a space or line feed: every
+characters.  Cuts are made where a letter or number is followed by a space, a line feed or a sign: every
 pre-token pattern of this family begins a new pre-token there and looks at nothing before it,
 so the tokens of a text are the tokens of its leaves.  A tree over the leaves holds
 characters and tokens of every subtree.
@@ -18,7 +18,7 @@ are ignored; a null replacement is empty.
 
 Defined results: null texts count as empty and have no leaves; rows with null or repeated ids
 are counted each; very long texts are cut like others, and a stretch without any cut is
-one leaf.  Columns other than those named are ignored.
+one leaf.  Columns named ``leaf_chars``, ``leaf_tokens`` or ``edits`` are replaced by the functions that make them; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ LEAF_CHARS, FAN = 512, 8
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that this rank file's vocabulary is used with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CUT = re.compile(r"(?<=[^\W_])[ \n]")
+#: After a letter or number: a space, a line feed, or a sign that is no apostrophe (which may begin a contraction).
+_CUT = re.compile(r"(?<=[^\W_])(?:[ \n]|[^\w\s'])")
 
 
 @lru_cache(maxsize=2)
@@ -151,20 +152,42 @@ class Document:
         return self.root.tokens if self.root else 0
 
     def edit(self, start: int, end: int, new: str) -> None:
-        if self.root is None:
-            self.text = new
-            nodes = self._leaves(new)
-            self.root = grow(nodes) if nodes else None
+        self.apply([(start, end, new)])
+
+    def apply(self, edits: list[tuple[int, int, str]]) -> None:
+        """Edits in order, within the text and apart (see ``tidy``); those that reach common leaves are one region, and the text is put together once."""
+        if not edits:
             return
-        first, begin = locate(self.root, max(0, start - 1))
-        last, last_begin = locate(self.root, min(end, len(self.text) - 1))
-        size = leaf_at(self.root, last).chars
-        region = self.text[begin:start] + new + self.text[end : last_begin + size]
-        self.text = self.text[:start] + new + self.text[end:]
-        kept = _splice(self.root, first, last + 1, self._leaves(region))
-        while len(kept) > 1:
-            kept = [grow(kept)]
-        self.root = kept[0] if kept else None
+        regions: list[tuple[int, int, int, int, list]] = []  # first and last leaf, their first and last character, edits
+        for edit in edits:
+            first = last = begin = stop = 0
+            if self.root is not None:
+                first, begin = locate(self.root, max(0, edit[0] - 1))
+                last, last_begin = locate(self.root, min(edit[1], len(self.text) - 1))
+                stop = last_begin + leaf_at(self.root, last).chars
+            if regions and first <= regions[-1][1]:
+                f, _, b, _, held = regions[-1]
+                regions[-1] = (f, max(last, regions[-1][1]), b, max(stop, regions[-1][3]), [*held, edit])
+            else:
+                regions.append((first, last, begin, stop, [edit]))
+        out, at, made = [], 0, []
+        for _, _, begin, stop, held in regions:
+            parts, here = [], begin
+            for start, end, new in held:
+                parts += [self.text[here:start], new]
+                here = end
+            region = "".join([*parts, self.text[here:stop]])
+            made.append(self._leaves(region))
+            out += [self.text[at:begin], region]
+            at = stop
+        out.append(self.text[at:])
+        # from the last to the first, so that leaf numbers hold
+        for (first, last, *_), leaves in zip(reversed(regions), reversed(made), strict=True):
+            kept = _splice(self.root, first, last + 1, leaves) if self.root is not None else leaves
+            while len(kept) > 1 or (kept and kept[0].kids is None):
+                kept = [grow(kept)]
+            self.root = kept[0] if kept else None
+        self.text = "".join(out)
 
 
 def leaf_at(root: Node, number: int) -> Node:
@@ -230,8 +253,7 @@ def count_edited(trees: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "do
                 doc = Document(text or "", encode, chars or [], tokens or [])
                 before = doc.n_tokens
                 todo = tidy([(x["start"], x["end"], x["text"]) for x in edits or []], len(doc.text))
-                for start, end, new in reversed(todo):
-                    doc.edit(start, end, new)
+                doc.apply(todo)
                 leaves = leaves_of(doc.root) if doc.root else []
                 row = (len(todo), before, doc.n_tokens, len(leaves), doc.encoded)
                 if with_text:
@@ -246,10 +268,30 @@ def count_edited(trees: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "do
     return base.mapInArrow(run, schema)
 
 
-#: What the production query edits out: mail addresses, secrets and telephone numbers.
-REDACTED = re.compile(
-    r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*\S+|(?<![\w+])\+?\d[\d ()./-]{7,}\d(?!\w)", re.I
-)
+_MAIL = r"[\w.+-]++@[\w-]+(?:\.[\w-]+)+"
+#: What the production query edits out: mail addresses, and secrets and telephone numbers.
+MAIL, MAIL_HERE = re.compile(r"(?<![\w.+-])" + _MAIL), re.compile(_MAIL)
+OTHERS = re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*\S+|(?<![\w+])\+?\d[\d ()./-]{7,}\d(?!\w)", re.I)
+
+
+def redacted(text: str) -> list[tuple[int, int]]:
+    """Places of personal data and secrets, from the left and apart; of two that begin together the address wins.
+
+    An address is looked for at the first character of its run only (or where the last place ended inside a run), so long runs are read once.
+    """
+    out, at, mail, other = [], 0, None, None
+    begun = False
+    while True:
+        if not begun or (mail and mail.start() < at):
+            mail = (at and MAIL_HERE.match(text, at)) or MAIL.search(text, at)
+        if not begun or (other and other.start() < at):
+            other = OTHERS.search(text, at)
+        begun = True
+        found = min((m for m in (mail, other) if m), key=lambda m: m.start(), default=None)
+        if found is None:
+            return out
+        out.append(found.span())
+        at = found.end()
 
 
 def redactions(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -262,7 +304,7 @@ def redactions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
         for batch in tx.chunks(batches, text_col):
-            edits = [[{"start": m.start(), "end": m.end(), "text": "[redacted]"} for m in REDACTED.finditer(t or "")] for t in batch.column(text_col).to_pylist()]
+            edits = [[{"start": a, "end": b, "text": "[redacted]"} for a, b in redacted(t or "")] for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, arrow)], [*batch.schema.names, "edits"])
 
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("edits", kind)]))

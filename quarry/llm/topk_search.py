@@ -145,6 +145,7 @@ class BitSlicedBlock:
                     sure = both
                 tied &= ~s & self.full
                 if n == k:
+                    tied = 0
                     break
         return sure, tied
 

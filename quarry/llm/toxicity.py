@@ -21,6 +21,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import unicodedata
 from dataclasses import dataclass, field
@@ -87,12 +89,11 @@ class Model:
 
         found = ahocorasick.Automaton()
         for pattern, weight in self.lexicon.items():
-            found.add_word(pattern, weight)
+            found.add_word(pattern, (len(pattern), weight))
         for phrase in self.exceptions:
             folded = fold(phrase)
-            worth = sum(w for p, w in self.lexicon.items() if p in folded)
-            if worth:
-                found.add_word(folded, -worth)
+            if any(p in folded for p in self.lexicon):
+                found.add_word(folded, (len(folded), None))
         if len(found):
             found.make_automaton()
         return found
@@ -104,6 +105,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def uncovered(found: list[tuple[int, tuple[int, float | None]]]) -> float:
+    """Summed weight of the matches that lie in no exception; each match counts once, however many exceptions overlap there."""
+    exceptions = sorted((end - size, end) for end, (size, weight) in found if weight is None)
+    if not exceptions:
+        return sum(weight for _, (_, weight) in found)
+    starts, furthest = [s for s, _ in exceptions], list(itertools.accumulate((e for _, e in exceptions), max))
+    total = 0.0
+    for end, (size, weight) in found:
+        if weight is not None:
+            k = bisect.bisect_right(starts, end - size)
+            total += weight if not k or furthest[k - 1] < end else 0.0
+    return total
+
+
 def weigh(automaton, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Summed weight and number of words of each text."""
     totals, words = np.zeros(len(texts)), np.zeros(len(texts))
@@ -114,7 +129,7 @@ def weigh(automaton, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         # the automaton sees one space between words
         words[i] = len(pieces := folded.split())
         if len(automaton):
-            totals[i] = max(0.0, sum(w for _, w in automaton.iter(" " + " ".join(pieces) + " ")))
+            totals[i] = max(0.0, uncovered(list(automaton.iter(" " + " ".join(pieces) + " "))))
     return totals, words
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+from quarry.llm import html_extract
 from quarry.llm.html_extract import blocks, common_lines, extract, op9_html_extract
 
 
@@ -77,6 +78,39 @@ def test_common_lines_is_a_longest_common_subsequence():
         assert all(x in it for x in shared)
 
 
+def test_names_inside_the_main_element():
+    text = lambda page: [t for r, t in blocks(page) if r == "main"]
+    for name in ("share-price", "form-factor", "menu-planning", "ad-hoc", "notice-period", "search"):
+        assert text(f'<article><p class="{name}">kept</p><p>and</p></article>') == ["kept", "and"], name
+        assert text(f'<main><section id="{name}"><p>kept</p></section></main>') == ["kept"], name
+    assert text('<article><div class="related-work"><p>a</p></div><p>b</p></article>') == ["a", "b"]
+    assert text('<article class="promotion-of-health"><p>a</p></article>') == ["a"] and text('<article class="post ad"><p>a</p></article><article><p>b</p></article>') == ["b"]
+    for name in ("share-buttons", "x related", "Comments", "cookie-notice", "newsletter", "ad"):
+        assert text(f'<article><p>a</p><div class="{name}">gone</div></article>') == ["a"], name
+    assert text('<article><p>a</p><div role="complementary">gone</div><nav>gone</nav><form>gone</form><aside>gone</aside><footer>gone</footer></article>') == ["a"]
+    assert text('<article><p>a</p></article><article id="comment-12" class="comment-body"><p>gone</p></article>') == ["a"]
+
+
+def test_long_pages_align_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(4)
+    monkeypatch.setattr(html_extract, "CELLS", 12)
+    for _ in range(200):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        shared = [x for x, s in zip(a, common_lines(a, b)) if s]
+        it = iter(b)
+        assert len(shared) == lcs(a, b) and all(x in it for x in shared)
+    monkeypatch.undo()
+    lines = list(range(6000))
+    other = lines[:]
+    rng.shuffle(other)
+    tracemalloc.start()
+    assert sum(common_lines(lines, other)) > 100
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
 def test_nearest_page_differencing(spark):
     page = lambda own: f"<body><div>Welcome</div>{own}<div>Imprint</div></body>"
     rows = [

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -67,5 +68,40 @@ def test_whole_table(spark, sf_dir):
     got = tc.op3_token_counts(spark, sf_dir).collect()
     assert len(got) == len(docs) and any(r.n_edits for r in got)
     for r in got:
-        edited, n = tc.REDACTED.subn("[redacted]", docs[r.doc_id])
+        edited, n = OLD.subn("[redacted]", docs[r.doc_id])
         assert (r.n_edits, r.tokens_before, r.tokens_after) == (n, len(ENCODE(docs[r.doc_id])), len(ENCODE(edited)))
+
+
+OLD = re.compile(
+    r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*\S+|(?<![\w+])\+?\d[\d ()./-]{7,}\d(?!\w)", re.I
+)
+
+
+def test_redactions_are_those_of_one_pattern():
+    rng = random.Random(8)
+    bits = ["a", "b.c", "@", "x@y.z", "+", "-", " ", "password=", "token: ", "0", "123 456-789", ".", "é", "@@", "api_key=k@l.m"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert tc.redacted(text) == [m.span() for m in OLD.finditer(text)], text
+
+
+def test_long_texts_without_spaces_are_linear():
+    import time
+
+    for text, leaves in (("a" * 1_000_000, 1), ("a.b-" * 250_000, 100), ("a@" * 300_000, 100), ("漢字、文章。" * 160_000, 100), ("http://a.example/b?c=d&e;" * 40_000, 100), ("1 " * 300_000, 100)):
+        began = time.process_time()
+        tc.redacted(text)
+        assert len(tc.cut_leaves(text)) >= leaves and time.process_time() - began < 2
+
+
+def test_many_edits_at_once():
+    rng = random.Random(9)
+    for _ in range(120):
+        doc = tc.Document(sample(rng, rng.randint(0, 400)), ENCODE)
+        edits = tc.tidy([(a := rng.randint(0, len(doc.text)), a + rng.choice([0, 1, 5, 900]), rng.choice(["", "x", " new words "])) for _ in range(rng.randint(0, 12))], len(doc.text))
+        want = doc.text
+        for a, b, new in reversed(edits):
+            want = want[:a] + new + want[b:]
+        doc.apply(edits)
+        leaves = tc.leaves_of(doc.root) if doc.root else []
+        assert doc.text == want and doc.n_tokens == len(ENCODE(want)) == sum(x.tokens for x in leaves) and sum(x.chars for x in leaves) == len(want)

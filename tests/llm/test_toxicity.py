@@ -2,6 +2,8 @@ import math
 import random
 import zlib
 
+import pytest
+
 from quarry.llm import toxicity as tx
 
 
@@ -14,22 +16,29 @@ def test_fold():
     assert tx.fold(None) == "  " and tx.fold("").strip() == ""
 
 
-def test_weigh_matches_brute_force():
-    model = tx.Model({" bad ": 2.0, " worse": 3.0}, ["bad luck", "not worse"])
+@pytest.mark.parametrize("exceptions", [["bad luck", "not worse"], ["bad luck", "not bad", "not bad luck", "luck worse", "bad bad"], []])
+def test_weigh_matches_brute_force(exceptions):
+    model = tx.Model({" bad ": 2.0, " worse": 3.0}, exceptions)
     automaton = model.automaton()
 
     def brute(text):
         folded = " " + " ".join(tx.fold(text).split()) + " "
-        count = lambda p: sum(folded.startswith(p, i) for i in range(len(folded)))
-        return 2.0 * count(" bad ") + 3.0 * count(" worse") - 2.0 * count(" bad luck ") - 3.0 * count(" not worse ")
+        places = lambda p: [(i, i + len(p)) for i in range(len(folded)) if folded.startswith(p, i)]
+        covers = [x for e in exceptions for x in places(f" {e} ")]
+        return sum(w for p, w in model.lexicon.items() for a, b in places(p) if not any(c <= a and b <= d for c, d in covers))
 
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(["bad", "luck", "not", "worse", "worsening", "b4d", "fine", "x."]) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    texts = [" ".join(rng.choice(["bad", "luck", "not", "worse", "worsening", "b4d", "fine", "x."]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
     totals, words = tx.weigh(automaton, [*texts, None])
-    assert list(totals) == [max(0.0, brute(t)) for t in texts] + [0.0]
+    assert list(totals) == [brute(t) for t in texts] + [0.0]
     assert words[0] == len(texts[0].split()) and words[-1] == 0
 
 
+def test_overlapping_exceptions_cover_a_match_once():
+    model = tx.Model({" idiot ": 5.0, " moron ": 5.0}, ["harmless idiot", "idiot savant"])
+    assert tx.weigh(model.automaton(), ["harmless idiot savant moron", "idiot savant", "idiot"])[0].tolist() == [5.0, 0.0, 5.0]
+
+
 def _corpus(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
