@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
 from quarry.operators import dedup
+from quarry.operators.lineage import cut, numbered
 
 #: Members of a structural class, in the order in which classes take turns.
 ARITY = {"direct": 2, "branching": 3, "deep": 4}
@@ -79,60 +84,130 @@ def connected_plans(pool: DataFrame, relations: DataFrame, seed: str, quota: int
     return out
 
 
-def _grown(draw, names: list[str], near: dict[str, list[tuple[str, str]]], size: int) -> tuple[list[str], list[tuple[str, str, str]]]:
-    """A connected set grown from a drawn name by drawn steps, and the steps; short if it cannot grow."""
-    chosen, steps = [names[draw(len(names))]], []
-    while len(chosen) < size and (ways := [(a, *step) for a in chosen for step in near.get(a, ()) if step[0] not in chosen]):
-        steps.append(ways[draw(len(ways))])
-        chosen.append(steps[-1][1])
-    return chosen, steps
+def _drawn(key: str, sizes: Sequence[int]) -> int:
+    """The last of a row of draws below the sizes, from the generator that the key seeds."""
+    draw = random.Random(int.from_bytes(hashlib.sha256(key.encode()).digest(), "big")).randrange
+    return [draw(n) for n in sizes][-1]
 
 
-def walk_plans(pool: DataFrame, near: DataFrame, counts: dict[str, int], seed: str) -> DataFrame:
-    """The sequential planner: seeded walks over each family's neighbours, classes in turn, sets distinct over all families.
+def _step(key: str, sizes: Sequence[int], ways: Sequence) -> dict | None:
+    """The drawn way of a frontier: its source and the place in the source's list; ways: (place, source, degree, places of members) by place."""
+    ways = sorted((w["place"], w["source"], w["degree"], sorted(w["held"])) for w in ways)
+    total = sum(degree - len(held) for _, _, degree, held in ways)
+    if not total:
+        return None
+    at = _drawn(key, [*sizes, total])
+    for _, source, degree, held in ways:
+        if at < degree - len(held):
+            for k in held:  # members are passed over
+                at += k <= at
+            return {"source": source, "k": at, "total": total}
+        at -= degree - len(held)
+    return None
 
-    pool: (family, declaration_name, statement_id); near: (family, a, b, relation) of declaration names, as ``graph.neighbours`` gives.
-    Each attempt has a generator of its own, seeded by (seed, family, attempt, plans so far); a family that
-    cannot give its count raises.  The number of plans so far and the sets taken couple all families, so it is one task over the pool table.
-    """
-    schema = "pos int, family string, names array<string>, members array<string>, structural_class string, final_only boolean, steps array<struct<src:string,dst:string,relation:string>>"
-    none = F.lit("")
-    rows = pool.where(F.col("family").isin(*counts)).select(F.lit("p").alias("kind"), "family", F.col("declaration_name").alias("a"), F.col("statement_id").alias("b"), none.alias("relation")).union(
-        near.where(F.col("family").isin(*counts)).select(F.lit("r"), "family", "a", "b", "relation")
-    )
 
-    def plan(pdf):
-        import hashlib
-        import random
-
-        import pandas as pd
+def _walked(asked: DataFrame, places: DataFrame, near: DataFrame, degrees: DataFrame, seed: str) -> DataFrame:
+    """Attempts (family, attempt, at, n, arity) with the names, members and steps of their walks; short where a walk could not grow.
 
-        out: list[tuple] = []
-        taken: set[frozenset] = set()
-        for family in sorted(counts):
-            own = pdf[pdf.family == family]
-            ids = dict(sorted(zip(own.a[own.kind == "p"], own.b[own.kind == "p"], strict=True)))
-            steps: dict[str, list[tuple[str, str]]] = {}
-            for a, b, relation in sorted(zip(*(own.loc[own.kind == "r", c] for c in ("a", "b", "relation")), strict=True)):
-                steps.setdefault(a, []).append((b, relation))
-            if len(ids) < max(ARITY.values()):
-                raise ValueError(f"family {family} has {len(ids)} sources; four at least are needed")
-            goal, attempt = len(out) + counts[family], 0
-            while len(out) < goal:
-                attempt += 1
-                if attempt > max(LEAST_ATTEMPTS, ATTEMPTS * counts[family]):
-                    raise ValueError(f"family {family} gives fewer than {counts[family]} distinct plans")
-                at = len(out)
-                structure = list(ARITY)[at % len(ARITY)]
-                key = hashlib.sha256(f"{seed}\0{family}\0{attempt}\0{at}".encode()).digest()
-                names, walked = _grown(random.Random(int.from_bytes(key, "big")).randrange, list(ids), steps, ARITY[structure])
-                members = [ids[n] for n in names]
-                if len(names) == ARITY[structure] and (chosen := frozenset(members)) not in taken:
-                    taken.add(chosen)
-                    out.append((at, family, names, members, structure, at % FINAL_EVERY == 0, [dict(src=a, dst=b, relation=r) for a, b, r in walked]))
-        return pd.DataFrame(out, columns=["pos", "family", "names", "members", "structural_class", "final_only", "steps"])
-
-    return rows.groupBy().applyInPandas(plan, schema)
+    Every step is one join for the drawn way, after two that count the frontier, so a task holds no family's neighbours.
+    """
+    first = F.udf(lambda key, n: _drawn(key, [n]), "bigint", useArrow=True)
+    step = F.udf(_step, "struct<source:string,k:bigint,total:bigint>", useArrow=True)
+    key = F.concat_ws(x.NUL, F.lit(seed), "family", F.col("attempt").cast("string"), F.col("at").cast("string"))
+    own = asked.withColumn("_key", key).withColumn("_pos", first("_key", "n")).join(places, ["family", "_pos"])
+    none = F.array().cast("array<struct<src:string,dst:string,relation:string>>")
+    rows = own.select("family", "attempt", "at", "arity", "_key", F.array(F.col("n")).alias("_sizes"), F.array("name").alias("names"), none.alias("steps"))
+    walk = ["family", "attempt", "at"]
+    for size in range(1, max(ARITY.values())):
+        rows = cut(rows)
+        growing = rows.where((F.size("names") == size) & (F.col("arity") > size))
+        sources = growing.select(*walk, "names", F.posexplode("names").alias("place", "a"))
+        held = sources.select(*walk, "place", "a", F.explode("names").alias("b")).join(near.select("family", "a", "b", "k"), ["family", "a", "b"]).groupBy(*walk, "place").agg(F.collect_list("k").alias("held"))
+        ways = sources.join(degrees, ["family", "a"], "left").join(held, [*walk, "place"], "left")
+        ways = ways.groupBy(*walk).agg(F.collect_list(F.struct("place", F.col("a").alias("source"), F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("held", F.array().cast("array<bigint>")).alias("held"))).alias("ways"))
+        drawn = growing.join(ways, walk).withColumn("_d", step("_key", "_sizes", "ways")).where("_d is not null").select(*rows.columns, F.col("_d.source").alias("a"), F.col("_d.k").alias("k"), F.col("_d.total").alias("_total"))
+        grown = drawn.join(near, ["family", "a", "k"]).select(
+            "family", "attempt", "at", "arity", "_key", F.array_append("_sizes", F.col("_total")).alias("_sizes"), F.array_append("names", F.col("b")).alias("names"),
+            F.array_append("steps", F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "relation")).alias("steps"),
+        )
+        rows = rows.where(~((F.size("names") == size) & (F.col("arity") > size))).unionByName(grown)
+    return rows.where(F.size("names") == F.col("arity")).select(*walk, "arity", "names", "steps")
+
+
+def walk_plans(pool: DataFrame, near: DataFrame, counts: dict[str, int], seed: str, ahead: int = 256, lags: int = 4) -> DataFrame:
+    """Seeded walks over each family's neighbours, classes in turn, sets of members distinct over all families.
+
+    pool: (family, declaration_name, statement_id), names once a family; near: (family, a, b, relation) of declaration names, pairs once, as
+    ``graph.neighbours`` gives.  Attempt i of a family has a generator seeded by (seed, family, i, plans so far), and fails if its walk
+    cannot grow or its set was taken; a family that cannot give its count raises.
+
+    Attempts run ahead in parallel: for the next ``ahead`` attempts, the walks for the numbers of plans so far that the share of failures up to now lets
+    expect, give or take ``lags``.  The driver then follows the attempts in order with a digest of each walk's set, and asks for the next ones
+    where it runs out.  It holds a digest for each plan asked for, and one row for each attempt of a round.
+    """
+    spark = pool.sparkSession
+    own = pool.where(F.col("family").isin(*counts)).select("family", F.col("declaration_name").alias("name"), F.col("statement_id").cast("string").alias("id"))
+    placed = numbered(own, ["family", "name"], "_at")
+    sizes = placed.groupBy("family").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n"))
+    n_of = {r["family"]: r["n"] for r in sizes.collect()}  # a row a family asked for
+    places = cut(placed.join(F.broadcast(sizes), "family").select("family", (F.col("_at") - F.col("_first")).alias("_pos"), "name", "id"))
+    order = Window.partitionBy("family", "a").orderBy("b", "relation")  # over the neighbours of one declaration
+    ranked = cut(near.where(F.col("family").isin(*counts)).select("family", "a", "b", "relation", (F.row_number().over(order) - 1).cast("bigint").alias("k")))
+    degrees = cut(ranked.groupBy("family", "a").agg(F.count(F.lit(1)).alias("degree")))
+    classes, families = list(ARITY), sorted(counts)
+    goals = dict(zip(families, itertools.accumulate(counts[f] for f in families), strict=True))
+    for f in families:
+        if n_of.get(f, 0) < max(ARITY.values()):
+            raise ValueError(f"family {f} has {n_of.get(f, 0)} sources; four at least are needed")
+
+    def walks(keys: list[tuple[str, int, int]]) -> DataFrame:
+        asked = spark.createDataFrame([(f, i, at, n_of[f], ARITY[classes[at % len(classes)]]) for f, i, at in keys], "family string, attempt bigint, at bigint, n bigint, arity int")
+        return _walked(asked, places.drop("id"), ranked, degrees, seed)
+
+    known: dict[tuple[str, int, int], bytes | None] = {}
+    taken: set[bytes] = set()
+    accepted: list[tuple[str, int, int]] = []
+    at_of = {f: goals[f] - counts[f] for f in families}
+    tried = dict.fromkeys(families, 0)
+    while True:
+        waiting = []
+        for f in families:
+            while not waiting and at_of[f] < goals[f]:
+                now = (f, tried[f] + 1, at_of[f])
+                if now[1] > max(LEAST_ATTEMPTS, ATTEMPTS * counts[f]):
+                    raise ValueError(f"family {f} gives fewer than {counts[f]} distinct plans")
+                if now not in known:
+                    break
+                tried[f] += 1
+                mark = known.pop(now)
+                if mark is not None and mark not in taken:
+                    taken.add(mark)
+                    accepted.append(now)
+                    at_of[f] += 1
+            if at_of[f] < goals[f]:
+                waiting.append(f)
+        if not waiting:
+            break
+        # later families wait for the sets of earlier ones, but their walks need not
+        keys = set()
+        for f in (f for f in waiting if (f, tried[f] + 1, at_of[f]) not in known):
+            rate = (at_of[f] - goals[f] + counts[f] + 1) / (tried[f] + 1)  # of attempts that gave a plan so far
+            for i in range(ahead):
+                least, most = max(0, math.floor(rate * i) - lags), min(i, math.floor(rate * i) + lags)
+                keys |= {(f, tried[f] + 1 + i, at) for at in range(at_of[f] + least, min(at_of[f] + most + 1, goals[f]))}
+        known = {k: v for k, v in known.items() if k[0] in waiting and k[1] > tried[k[0]]}
+        known |= dict.fromkeys(keys)
+        ids = places.select("family", "name", "id")
+        members = walks(sorted(keys)).select("family", "attempt", "at", F.explode("names").alias("name")).join(ids, ["family", "name"])
+        digest = F.sha2(F.array_join(F.array_sort(F.collect_set("id")), x.NUL), 256)
+        for r in members.groupBy("family", "attempt", "at").agg(digest.alias("mark")).collect():
+            known[r["family"], r["attempt"], r["at"]] = bytes.fromhex(r["mark"])
+    plans = cut(walks(accepted)) if accepted else walks([])
+    ids = plans.select("at", F.posexplode("names").alias("place", "name"), "family").join(places, ["family", "name"]).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("m"))
+    structure = F.element_at(F.array(*map(F.lit, classes)), (F.col("at") % len(classes) + 1).cast("int"))
+    return plans.join(ids, "at").select(
+        F.col("at").cast("int").alias("pos"), "family", "names", F.col("m.id").alias("members"), structure.alias("structural_class"), (F.col("at") % FINAL_EVERY == 0).alias("final_only"), "steps"
+    )
 
 
 def retrieval(plans: DataFrame, pool: DataFrame, near: DataFrame, seed: str) -> DataFrame:

@@ -137,7 +137,8 @@ def neighbours(pool: DataFrame, users_at_most: int = 64) -> DataFrame:
 
     Neighbours are the dependencies in the pool, the other users of a dependency that has at most ``users_at_most`` of them, and
     whatever shares the module or a relevance tag.  The first two keep their own relation; the others get the strongest they have.
-    A module or tag ties all its pairs, as the planner draws from whole neighbourhoods; pools are small beside the corpus.
+    A module or tag ties all its pairs, as the planner draws from whole neighbourhoods.  Whether a pair shares a dependency is asked of the pairs
+    that a module or tag ties, by their dependency lists, so a dependency that all share costs no pairs of its own.
 
     pool: (family, declaration_name, source_module, resolved_dependencies, topic_tags).
     """
@@ -158,7 +159,9 @@ def neighbours(pool: DataFrame, users_at_most: int = 64) -> DataFrame:
     keys = ["family", "a", "b"]
     # what the dependencies themselves lead to comes before what a module or tag leads to: 0, 1, then 10 + the relation
     ranked = direct.select(*keys, F.lit(0).alias("rank")).union(shared.select(*keys, F.lit(1))).union(met.join(backward, keys, "left_semi").select(*keys, F.lit(10)))
-    ranked = ranked.union(met.join(tied(uses, "dep"), keys, "left_semi").select(*keys, F.lit(11))).union(module.select(*keys, F.lit(12))).union(relevance.select(*keys, F.lit(13)))
+    own = named.select("family", "id", "deps")
+    both = met.join(own.withColumnsRenamed({"id": "a", "deps": "_of_a"}), ["family", "a"]).join(own.withColumnsRenamed({"id": "b", "deps": "_of_b"}), ["family", "b"])
+    ranked = ranked.union(both.where(F.arrays_overlap("_of_a", "_of_b")).select(*keys, F.lit(11))).union(module.select(*keys, F.lit(12))).union(relevance.select(*keys, F.lit(13)))
     least = ranked.groupBy(*keys).agg(F.min("rank").alias("rank"))
     return _strongest(least.withColumn("rank", F.col("rank") % 10), keys)
 

@@ -301,7 +301,7 @@ def brute_neighbours(pool):
     return out
 
 
-def test_neighbours_and_walks(spark):
+def test_neighbours_and_walks(spark, monkeypatch):
     import hashlib
     import random
 
@@ -320,7 +320,9 @@ def test_neighbours_and_walks(spark):
     want = brute_neighbours(pool)
     assert {(r.family, r.a, r.b): r.relation for r in near.collect()} == want and set(want.values()) == set(graph.RELATIONS)
     counts = {"f": 13, "g": 12}
+    near.cache()
     got = sorted(composition.walk_plans(df.repartition(5), near, counts, "seed").collect(), key=lambda r: r.pos)
+    assert sorted(composition.walk_plans(df, near, counts, "seed", ahead=12, lags=1).collect(), key=lambda r: r.pos) == got
     # each plan again, from its own seed: attempts are counted until the set is new and whole
     taken, pos = set(), 0
     for family in ("f", "g"):
@@ -360,7 +362,9 @@ def test_neighbours_and_walks(spark):
                 origins.setdefault(p["declaration_name"], set()).add(f"type-head:{head}")
         order = sorted((n for n in origins if n not in r.names), key=lambda n: hashlib.sha256(f"seed\0{r.pos}\0retrieval\0{n}".encode()).hexdigest())[:4]
         assert [(x.declaration_name, x.origins) for x in sorted((x for x in rows if x.pos == r.pos), key=lambda x: x.rank)] == [(n, ",".join(sorted(origins[n]))) for n in order]
-    with pytest.raises(Exception, match="fewer than"):
+    monkeypatch.setattr(composition, "LEAST_ATTEMPTS", 60)
+    monkeypatch.setattr(composition, "ATTEMPTS", 1)
+    with pytest.raises(ValueError, match="fewer than"):
         composition.walk_plans(df, near.limit(3), {"f": 13}, "seed").collect()
 
 
