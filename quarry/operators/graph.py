@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
-from quarry.operators import joins
+from quarry.operators import joins, stats
 from quarry.operators.lineage import cut, join_grouped
 from quarry.sources.schemas import RELEVANCE
 
@@ -106,7 +106,9 @@ def internal_graph(records: DataFrame, families: DataFrame, *, seed_matches: Dat
 
 def degree_distribution(nodes: DataFrame, degree: str) -> DataFrame:
     """min, median, p95 (nearest rank), max and mean of a degree, zeros included."""
-    return nodes.agg(F.min(degree).alias("min"), F.expr(f"percentile_cont(0.5) within group (order by {degree})").alias("median"), F.expr(f"percentile_disc(0.95) within group (order by {degree})").alias("p95"), F.max(degree).alias("max"), F.avg(degree).alias("mean"))
+    low, high, weight = stats.around(0.5)
+    ranks = stats.order_statistics(nodes, degree, [], {"_low": low, "_high": high, "p95": stats.nearest(0.95)})
+    return ranks.withColumn("median", stats.between("_low", "_high", weight)).crossJoin(nodes.agg(F.avg(degree).alias("mean"))).select("min", "median", "p95", "max", "mean")  # one row each
 
 
 #: Relations of two declarations, the strongest first, and the tags that make up a relevance neighbourhood.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
+from quarry.operators import stats
 from quarry.operators.lineage import join_grouped
 from quarry.sources.schemas import CATEGORIES, FINISH_REASONS, INFRASTRUCTURE
 
@@ -163,7 +164,8 @@ def usage_totals(executions: DataFrame) -> DataFrame:
 
 def arm_summary(usage: DataFrame) -> DataFrame:
     """Distribution of each usage key; usage: (usage_key, value)."""
-    return usage.groupBy("usage_key").agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), x.interpolated("value", 0.5).alias("median"), x.fudged_rank("value", 0.95).alias("p95"))
+    out = stats.numeric_summary(usage, "value", ["usage_key"], "fudged")
+    return out.select("usage_key", F.col("count").alias("n"), F.when(F.col("count") > 0, F.col("total")).alias("total"), "min", "max", "mean", "median", "p95")
 
 
 def family_rates(tasks: DataFrame, name: str = "task_id") -> DataFrame:

@@ -2,50 +2,112 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from quarry.functions import expressions as x
-from quarry.operators.lineage import numbered
+from quarry.operators.lineage import cut, numbered
 
 
-def length_stats(df: DataFrame, fields: Sequence[str], thresholds: Sequence[int] = (1024, 2048, 4096, 8192)) -> DataFrame:
-    """A row for each field: min, true median, nearest ranks, max, counts at thresholds."""
-    long = df.select(*[F.col(f).cast("long").alias(f) for f in fields]).unpivot([], list(fields), "field", "value").where("value is not null")
-    return long.groupBy("field").agg(
-        F.min("value").alias("min"), F.expr("percentile_cont(0.5) within group (order by value)").alias("median"),
-        *[F.expr(f"percentile_disc({p}) within group (order by value)").alias(f"p{round(p * 100)}") for p in (0.9, 0.95, 0.99)],
-        F.max("value").alias("max"), *[F.count_if(F.col("value") >= t).alias(f"at_or_above_{t}") for t in thresholds],
-    )
+#: Parts into which a range of values is cut in each round of a selection by rank, rows of a range up to which they are sorted instead, and rounds at most.
+PARTS, FEW, ROUNDS = 1024, 50_000, 200
 
 
-def fudged_ranks(df: DataFrame, value: str, by: Sequence[str], p: float) -> DataFrame:
-    """(by, rank value): sorted[int(p n + 0.999999) - 1], clamped, of each group; equal values are counted first, so no group is held as a list."""
+def order_statistics(df: DataFrame, value: str, by: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
+    """(by, n, min, max, a column for each name): the values of ranks, from 1, of each group; ranks are columns over the group's number of values ``n``.
+
+    All ranks are selected together: a range of values that holds a wanted rank is cut into ``PARTS``, their rows are counted, and the part with the
+    rank is the next range, from the least to the largest value it holds, until all its values are equal or its rows are ``FEW``, which are sorted.  All
+    other rows are only counted, with partial sums before the exchange, so no task holds a group or its distinct values.  Nulls and NaN are left out; groups without values are too.
+    """
     keys = [f"_g{i}" for i in range(len(by))]
-    held = df.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    running = held.withColumn("_upto", F.sum("_n").over(upto))
-    totals = held.groupBy(*[F.col(k).alias(f"t{k}") for k in keys]).agg(F.sum("_n").alias("_total"))
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"t{k}"))
-    wanted = F.greatest(F.lit(1), F.least(F.col("_total"), (F.lit(p) * F.col("_total") + F.lit(0.999999)).cast("bigint")))
-    return running.join(totals, same).where(F.col("_upto") >= wanted).groupBy(*keys).agg(F.min("_v").alias("_rank"))
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).alias("_v")).where("_v is not null")
+    if isinstance(rows.schema["_v"].dataType, (FloatType, DoubleType)):
+        rows = rows.where(~F.isnan("_v"))
+    rows = cut(rows)
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()]))
+    state = cut(groups.select(*keys, "n", F.col("_lo").alias("least"), F.col("_hi").alias("most"), "_lo", "_hi", F.col("n").alias("_rows"), named.alias("_w")).select("*", "_w.name", "_w.rank").drop("_w"))
+    same = lambda a, b, cols: functools.reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in cols], F.lit(True))
+    fixed = ["n", "least", "most", "name"]
+
+    def inside(wanted: DataFrame) -> DataFrame:
+        """The rows of the wanted ranges: keys, _lo, _hi, _v."""
+        ranges = wanted.select(*keys, "_lo", "_hi").distinct()
+        ranges = ranges.alias("s") if keys else F.broadcast(ranges).alias("s")  # a range a rank
+        met = rows.alias("r").join(ranges, same("r", "s", keys) & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        return met.select(*[F.col(f"s.{k}") for k in keys], "_lo", "_hi", "_v")
+
+    for _ in range(ROUNDS):
+        wide = state.where("_lo < _hi")
+        if wide.isEmpty():
+            break
+        few, many = wide.where(F.col("_rows") <= FEW), wide.where(F.col("_rows") > FEW)
+        placed = inside(few).withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_lo").orderBy("_v")))  # over FEW rows at most
+        known = few.alias("s").join(placed.alias("c"), same("s", "c", [*keys, "_lo"]) & (F.col("rank") == F.col("_at")))
+        known = known.select(*[F.col(f"s.{k}") for k in keys], *fixed, F.col("_v").alias("_lo"), F.col("_v").alias("_hi"), F.lit(1).cast("bigint").alias("_rows"), F.lit(1).cast("bigint").alias("rank"))
+        # halves, as the range of two numbers may be beyond the largest one
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        part = F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).alias("_part")
+        counted = inside(many).select(*keys, "_lo", "_v", part).groupBy(*keys, "_lo", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        upto = Window.partitionBy(*keys, "_lo").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)  # over PARTS rows at most
+        counted = counted.withColumn("_upto", F.sum("_n").over(upto))
+        found = many.alias("s").join(counted.alias("c"), same("s", "c", [*keys, "_lo"]) & (F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n")))
+        found = found.select(*[F.col(f"s.{k}") for k in keys], *fixed, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), F.col("_n").alias("_rows"), (F.col("rank") - F.col("_upto") + F.col("_n")).alias("rank"))
+        columns = [*keys, *fixed, "_lo", "_hi", "_rows", "rank"]
+        state = cut(state.where("_lo = _hi").select(*columns).unionByName(known).unionByName(found))
+    else:
+        raise ValueError(f"ranks of {value} were not told apart in {ROUNDS} rounds")
+    out = state.groupBy(*keys, "n", "least", "most").agg(*[F.max(F.when(F.col("name") == name, F.col("_lo"))).alias(name) for name in ranks])
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "n", F.col("least").alias("min"), F.col("most").alias("max"), *ranks)
+
+
+def nearest(p: float) -> Column:
+    """The rank of a percentile by the nearest-rank rule."""
+    return F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p) - F.lit(1e-9)))
+
+
+def fudged(p: float) -> Column:
+    """The rank int(p n + 0.999999), at least one and at most n."""
+    return F.greatest(F.lit(1), F.least(F.col("n"), (F.lit(p) * F.col("n") + F.lit(0.999999)).cast("bigint")))
+
+
+def around(p: float) -> tuple[Column, Column, Column]:
+    """The two ranks around an interpolated percentile, and the weight of the upper one."""
+    at = (F.col("n") - 1) * F.lit(p)
+    return F.floor(at) + 1, F.ceil(at) + 1, at - F.floor(at)
+
+
+def between(low: str, high: str, weight: Column) -> Column:
+    return F.col(low) + (F.col(high) - F.col(low)) * weight
+
+
+def length_stats(df: DataFrame, fields: Sequence[str], thresholds: Sequence[int] = (1024, 2048, 4096, 8192)) -> DataFrame:
+    """A row for each field: min, true median, nearest ranks, max, counts at thresholds."""
+    long = df.select(*[F.col(f).cast("long").alias(f) for f in fields]).unpivot([], list(fields), "field", "value").where("value is not null")
+    low, high, weight = around(0.5)
+    ranks = order_statistics(long, "value", ["field"], {"_low": low, "_high": high, **{f"p{round(p * 100)}": nearest(p) for p in (0.9, 0.95, 0.99)}})
+    counts = long.groupBy(F.col("field").alias("_f")).agg(*[F.count_if(F.col("value") >= t).alias(f"at_or_above_{t}") for t in thresholds])
+    return ranks.withColumn("median", between("_low", "_high", weight)).join(counts, F.col("field") == F.col("_f")).select("field", "min", "median", "p90", "p95", "p99", "max", *[f"at_or_above_{t}" for t in thresholds])
 
 
 def numeric_summary(df: DataFrame, value: str, by: Sequence[str] = (), rank: str = "fudged") -> DataFrame:
-    """count, total, min, max, mean, median and p95 in the rank definition asked for."""
-    p95 = {"nearest": F.expr(f"percentile_disc(0.95) within group (order by {value})"), "interpolated": x.interpolated(value, 0.95), "fudged": F.lit(None)}[rank]
-    out = df.groupBy(*by).agg(F.count(value).alias("count"), F.coalesce(F.sum(value), F.lit(0)).alias("total"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), x.interpolated(value, 0.5).alias("median"), p95.alias("p95"))
-    if rank != "fudged":
-        return out
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    return out.join(fudged_ranks(df, value, by, 0.95), same, "left").select(*[c for c in out.columns if c != "p95"], F.col("_rank").alias("p95"))
+    """count, total, min, max, mean, median and p95 in the rank definition asked for; a group without values has count 0."""
+    low, high, weight = around(0.5)
+    low95, high95, weight95 = around(0.95)
+    p95 = {"nearest": {"p95": nearest(0.95)}, "fudged": {"p95": fudged(0.95)}, "interpolated": {"_low95": low95, "_high95": high95}}[rank]
+    ranks = order_statistics(df, value, by, {"_low": low, "_high": high, **p95}).withColumn("median", between("_low", "_high", weight))
+    if rank == "interpolated":
+        ranks = ranks.withColumn("p95", between("_low95", "_high95", weight95))
+    sums = df.groupBy(*by).agg(F.count(value).alias("count"), F.coalesce(F.sum(value), F.lit(0)).alias("total"), F.avg(value).alias("mean"))
+    ranks = ranks.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(by)})
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)], F.lit(True))
+    return sums.join(ranks, same, "left").select(*by, "count", "total", "min", "max", "mean", "median", "p95")
 
 
 def contingency(pairs: DataFrame, left: str = "left_solved", right: str = "right_solved") -> DataFrame:

@@ -559,3 +559,34 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir, partitions):
 
 
 RESULTS: dict = {}
+
+
+def test_order_statistics_against_sorted_lists(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PARTS", 256)
+    monkeypatch.setattr(stats, "FEW", 60)
+    rng = random.Random(6)
+    groups = {
+        "hot": [7.0] * 500 + [rng.gauss(0, 1) for _ in range(200)], "far": [-1.7e308, 1.7e308, 0.0, 1e-300, -5.0, 3.0], "one": [2.5], "equal": [1.0] * 9, None: [float(i) for i in range(21)],
+        "skew": [10.0 ** rng.randint(-20, 20) for _ in range(100)],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None), ("hot", float("nan"))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    low, high, weight = stats.around(0.5)
+    got = stats.order_statistics(df, "v", ["g"], {"low": low, "high": high, "p95": stats.nearest(0.95), "f": stats.fudged(0.95), "last": F.col("n")}).collect()
+    assert {r.g for r in got} == set(groups)
+    for r in got:
+        s = sorted(groups[r.g])
+        n = len(s)
+        assert (r.n, r.min, r.max, r.last) == (n, s[0], s[-1], s[-1])
+        assert (r.low, r.high) == (s[(n - 1) // 2], s[n // 2]) and r.p95 == s[-(-95 * n // 100) - 1] and r.f == s[max(1, min(n, int(0.95 * n + 0.999999))) - 1], r.g
+    whole = stats.numeric_summary(df.where("g = 'skew' or g = 'none'"), "v", ["g"], "nearest").collect()
+    assert {r.g: (r["count"], r.p95) for r in whole} == {"skew": (100, sorted(groups["skew"])[94]), "none": (0, None)}
+
+
+@pytest.mark.parametrize("n", [1, 20, 101])
+def test_ranks_are_those_of_the_aggregates(spark, n):
+    df = spark.range(1, n + 1).select((F.col("id") * 10).alias("v"))
+    a = stats.order_statistics(df, "v", [], {f"p{round(p * 100)}": stats.nearest(p) for p in (0.5, 0.9, 0.95, 0.99)}).collect()[0]
+    b = df.agg(*[x.nearest_rank("v", p).alias(f"p{round(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]).collect()[0]
+    assert all(a[k] == b[k] for k in b.asDict())
