@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import gzip
-import io
 import json
 import os
+import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.expressions import canonical_json
+from quarry.operators.lineage import numbered, scratch
 from quarry.sources import readers, schemas
 
 
@@ -21,48 +23,74 @@ def jsonl_by_split(df: DataFrame, folder: str, split: str = "split", mode: str =
     return {r[split]: r.n for r in df.groupBy(split).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-class _Stream(io.RawIOBase):
-    """A file of whatever file system its path names, written by the driver."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.out = _file_system(spark, path)[0].create(_file_system(spark, path)[1], True)
-
-    def writable(self) -> bool:
-        return True
-
-    def write(self, data) -> int:
-        self.out.write(bytearray(data))
-        return len(data)
-
-    def close(self) -> None:
-        if not self.closed:
-            self.out.close()
-        super().close()
-
-
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def _create(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, at = _file_system(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small text file."""
-    with io.BufferedWriter(_Stream(spark, path), 1 << 20) as out:
-        out.write(text.encode())
+    _create(spark, path, text.encode())
+
+
+#: Lines of one gzip member.
+MEMBER_LINES = 100_000
+
+
+def _joined(spark: SparkSession, folder: str, path: str) -> None:
+    """The files of a folder, in order of their names, as one file: by the file system where it can, else as a stream of its bytes."""
+    jvm, (fs, at) = spark._jvm, _file_system(spark, path)
+    parts = sorted((f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    fs.delete(at, False)
+    if len(parts) == 1:
+        fs.rename(parts[0], at)
+        return
+    if fs.getScheme() in ("hdfs", "abfs", "abfss"):
+        rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+        for i, p in enumerate(parts[1:]):
+            rest[i] = p
+        fs.rename(parts[0], at)
+        fs.concat(at, rest)
+        return
+    out = fs.create(at, True)
+    try:
+        for p in parts:
+            source = fs.open(p)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
 
 
 def stable_gzip(df: DataFrame, path: str, order: Sequence[str]) -> int:
     """One gzip file whose bytes depend on the rows alone: sorted rows, sorted keys, no name, no time.
 
-    Rows stream through the driver a partition at a time, for artefacts that must be byte-equal; large tables have ``jsonl_by_split``.
+    Lines are numbered in a global order; every ``MEMBER_LINES`` of them are one gzip member, which a task writes, so the bytes do not depend on
+    partitions.  Members may follow one another in a gzip file; the file system puts them together, and the driver sees no rows.
     """
-    lines = df.select(*[F.col(c) for c in order], canonical_json(*df.columns).alias("_line")).orderBy(*order, "_line").select("_line")
-    n = 0
-    with io.BufferedWriter(_Stream(df.sparkSession, path), 1 << 20) as raw, gzip.GzipFile(filename="", mode="wb", fileobj=raw, mtime=0) as out:
-        for row in lines.toLocalIterator():
-            out.write(row._line.encode() + b"\n")
-            n += 1
+    spark = df.sparkSession
+    keyed = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], canonical_json(*df.columns).alias("_line"))
+    lines = numbered(keyed, [*[f"_o{i}" for i in range(len(order))], "_line"], "_at")
+    n = lines.count()
+    if not n:
+        _create(spark, path, gzip.compress(b"", mtime=0))
+        return 0
+    members = -(-n // MEMBER_LINES)
+    dealt = lines.select("_line", "_at", F.floor(F.col("_at") / MEMBER_LINES).cast("int").alias("_member")).repartitionById(members, "_member").sortWithinPartitions("_at")
+    folder = scratch(spark, "members")
+    dealt.select("_line").write.option("compression", "gzip").option("lineSep", "\n").text(folder)
+    _joined(spark, folder, path)
     return n
 
 
@@ -122,12 +150,25 @@ def run_artifacts(run: DataFrame, results: DataFrame, folder: str) -> None:
 
 
 def stage_cache(spark: SparkSession, folder: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table under its content key: built and written once, read afterwards.  A key of other inputs is another folder."""
-    path = f"{folder}/{key}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        build().write.mode("overwrite").parquet(path)
+    """A table under its content key: built and written once, read afterwards.  A key of other inputs is another folder.
+
+    A writer fills a folder of its own and then renames it, which fails if the key is there: of several writers the first to end wins,
+    and one that fails leaves nothing under the key.  On stores without a rename of folders two writers must not share a key.
+    """
+    path, own = f"{folder.rstrip('/')}/{key}", f"{folder.rstrip('/')}/_{key}-{uuid.uuid4().hex}"
+    jvm, (fs, at) = spark._jvm, _file_system(spark, path)
+    if not fs.exists(at):
+        made = jvm.org.apache.hadoop.fs.Path(own)
+        fs.deleteOnExit(made)
+        build().write.parquet(own)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+        none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(made, at, none)
+        except Py4JJavaError:
+            if not fs.exists(at):
+                raise
+            fs.delete(made, True)
     return spark.read.parquet(path)
 
 

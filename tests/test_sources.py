@@ -132,3 +132,30 @@ def test_tree_cache_and_views(spark, tmp_path):
     res = spark.createDataFrame([], schemas.RESULT)
     sinks.run_artifacts(run, res, f"{tmp_path}/run")
     assert readers.jsonl(spark, f"{tmp_path}/run/run.json", schemas.RUN).collect()[0].candidates_per_task == 4
+
+
+def test_gzip_members_do_not_depend_on_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MEMBER_LINES", 70)
+    df = spark.createDataFrame([(f"{i:04d}", "é" * (i % 5), i % 3 == 0) for i in range(500)], "id string, note string, flag boolean")
+    made = []
+    for k, n in enumerate((1, 4, 9)):
+        assert sinks.stable_gzip(df.repartition(n), f"{tmp_path}/{k}.gz", ["id"]) == 500
+        made.append((tmp_path / f"{k}.gz").read_bytes())
+    assert made[0] == made[1] == made[2] and made[0][4:8] == bytes(4) and not made[0][3]  # no time, no name
+    text = gzip.decompress(made[0]).decode().splitlines()
+    assert [json.loads(x)["id"] for x in text] == [f"{i:04d}" for i in range(500)] and made[0].count(b"\x1f\x8b\x08") >= 8
+    assert spark.read.json(f"{tmp_path}/0.gz").count() == 500
+    assert sinks.stable_gzip(df.limit(0), f"{tmp_path}/none.gz", ["id"]) == 0 and gzip.decompress((tmp_path / "none.gz").read_bytes()) == b""
+
+
+def test_stage_cache_with_two_writers(spark, tmp_path):
+    def late():
+        # another writer of the key ends while this one builds
+        assert sinks.stage_cache(spark, str(tmp_path), "k", lambda: spark.range(3)).count() == 3
+        return spark.range(50)
+
+    assert sinks.stage_cache(spark, str(tmp_path), "k", late).count() == 3 and spark.read.parquet(f"{tmp_path}/k").count() == 3
+    with pytest.raises(Exception, match="no rows today"):
+        sinks.stage_cache(spark, str(tmp_path), "bad", lambda: spark.range(9).selectExpr("id", "raise_error('no rows today') as x"))
+    assert not (tmp_path / "bad").exists() and sinks.stage_cache(spark, str(tmp_path), "bad", lambda: spark.range(2)).count() == 2
+    assert {p.name for p in tmp_path.iterdir() if not p.name.startswith((".", "_"))} == {"k", "bad"}
