@@ -6,7 +6,7 @@ import hashlib
 import itertools
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -248,24 +248,27 @@ def audit(plans: DataFrame) -> DataFrame:
     }).withColumn("ok", (F.size("unused") == 0) & F.coalesce("arity_ok", F.lit(False)) & F.col("connected"))
 
 
-def batch_bisect(items: Sequence[str], fails) -> list[str]:
-    """Failing members of a batch, by halving; ``fails`` judges a list.  The judge is outside this engine."""
-    if not items or not fails(list(items)):
-        return []
-    if len(items) == 1:
-        return list(items)
-    half = len(items) // 2
-    return batch_bisect(items[:half], fails) + batch_bisect(items[half:], fails)
+def failing_members(df: DataFrame, group: str, item: str, judge: Callable[[Column], Column], verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((group, item) that fail, verdicts), by halving: a failing batch of a group is judged again by halves, down to single items.
 
-
-def failing_members(df: DataFrame, group: str, item: str, judge) -> DataFrame:
-    """(group, item) that fail, a group at a time; ``judge`` is an injected function of a list of items."""
-    schema = f"{group} string, {item} string"
-
-    def run(pdf):
-        import pandas as pd
-
-        bad = batch_bisect(sorted(pdf[item]), judge)
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(bad), item: bad}, dtype=object)
-
-    return df.select(group, item).groupBy(group).applyInPandas(run, schema)
+    ``judge`` makes a boolean column, whether a batch fails, of a column of sorted item arrays (``F.udf`` for one in Python).  All batches of a level are
+    rows of their own and are judged together, in separate tasks, so there are as many rounds as halvings.  verdicts: (key, fails) by the
+    batch's content; batches that it knows are not judged again, nor are equal batches of several groups.  A batch that fails while both its halves pass
+    gives no member.  Null items are left out, repeated ones count once.
+    """
+    spark = df.sparkSession
+    batches = df.where(F.col(item).isNotNull()).groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_set(F.col(item).cast("string"))).alias("items"))
+    known = spark.createDataFrame([], "key string, fails boolean") if verdicts is None else verdicts.select("key", "fails")
+    failed = None
+    while True:
+        batches = cut(batches.withColumn("key", F.sha2(F.array_join("items", x.NUL), 256)))
+        fresh = batches.groupBy("key").agg(F.any_value("items").alias("items")).join(known, "key", "left_anti").repartition("key")
+        known = cut(known.unionByName(fresh.select("key", judge(F.col("items")).alias("fails"))))
+        bad = batches.join(known.where("fails"), "key").select("_group", "items")
+        single = bad.where(F.size("items") == 1).select(F.col("_group").alias(group), F.col("items")[0].alias(item))
+        failed = single if failed is None else failed.unionByName(single)
+        half = F.floor(F.size("items") / 2).cast("int")
+        halves = F.explode(F.array(F.slice("items", F.lit(1), half), F.slice("items", half + 1, F.size("items"))))
+        batches = bad.where(F.size("items") > 1).select("_group", halves.alias("items"))
+        if batches.isEmpty():
+            return failed, known

@@ -715,3 +715,37 @@ def walk_plans(spark, d):
     counts = {lang: 12 for lang in ("de", "en", "es", "fr")}
     out = composition.walk_plans(pool, near, counts, "walks")
     return out.select("pos", "family", F.array_join("members", ",").alias("members"), "structural_class", "final_only", F.array_join(F.transform("steps", lambda s: F.concat_ws(">", s["src"], s["dst"], s["relation"])), ";").alias("steps"))
+
+
+@query("""with b as (select l_orderkey, l_partkey, count(*) over (partition by l_orderkey) as n from (select distinct l_orderkey, l_partkey from lineitem)) select b.l_orderkey, b.l_partkey from b join part on l_partkey = p_partkey where p_size % 10 = 3""")
+def failing_members(spark, d):
+    """The failing parts of each order, by halving, with a judge that looks for bad sizes."""
+    sized = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.concat_ws(":", "l_partkey", "p_size").alias("part"))
+    bad, _ = composition.failing_members(sized, "l_orderkey", "part", lambda items: F.exists(items, lambda i: F.substring_index(i, ":", -1).cast("int") % 10 == 3))
+    return bad.select("l_orderkey", F.substring_index("part", ":", 1).cast("bigint").alias("l_partkey"))
+
+
+_IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_'?!\p{Mn}\p{Mc}]*"
+
+
+@query(r"""with t as (select unnest(regexp_extract_all(translate(text, '"«»-', '    '), 'IDENT(?:\.IDENT)*|\p{Nd}[\p{L}\p{N}_.]*|[^\s\p{Z}\x{85}\x0B\x1C-\x1F]')) as token from documents)
+  select case when regexp_matches(token, '^[\p{L}_]') then 'identifier' when regexp_matches(token, '^\p{Nd}') then 'number' else 'symbol' end as kind, count(*) as n, count(distinct token) as distinct_tokens from t group by 1""".replace("IDENT", _IDENTIFIER.replace("'", "''")))
+def token_kinds(spark, d):
+    """all tokens of all texts by the table function, without quotes and dashes, which SQL cannot nest."""
+    lexer.register(spark)
+    docs = table(spark, d, "documents").select(F.translate("text", '"«»-', "    ").alias("text"))
+    tokens = spark.sql("select l.kind, l.token from {docs}, lateral lex(text) l", docs=docs)
+    return tokens.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("distinct_tokens"))
+
+
+@query("""with s as (select doc_id, doc_id % 3 as f, doc_id % 17 = 0 as hidden, doc_id % 13 = 0 as bare, case when doc_id % 13 = 0 then 'sorry' else 'h' end as body, 'theorem t_' || doc_id || ' (h : n) : p ' || length(text) as declaration from documents)
+  select doc_id, declaration, case f when 0 then 'term' when 1 then 'where' else 'equations' end as form, case f when 0 then 'none' when 1 then 'where-to-structure-exact' else 'equations-to-fun-exact' end as transformation,
+    case f when 0 then e'by\n  exact ' || body when 1 then e'by\n  exact {\n    x := ' || body || e'\n  }' else e'by\n  exact (\n    @fun\n      | 0 => ' || body || e'\n        | n => h\n  )' end as proof,
+    case when hidden then 'private' when bare then 'proof_placeholder' end as filter_reason from s""")
+def resliced(spark, d):
+    """declarations cut at := , where and equations."""
+    head = F.concat(F.lit("theorem t_"), F.col("doc_id").cast("string"), F.lit(" (h : n) : p "), F.char_length("text").cast("string"))
+    body = F.when(F.col("doc_id") % 13 == 0, "sorry").otherwise("h")
+    proof = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" := by\n  exact "), body)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" where\n  x := "), body)).otherwise(F.concat(F.lit("\n  | 0 => "), body, F.lit("\n  | n => h")))
+    traced = table(spark, d, "documents").select("doc_id", F.concat(head, proof).alias("source"), (F.col("doc_id") % 17 == 0).alias("is_private"))
+    return filters.reslice(traced).select("doc_id", "declaration", "form", "transformed.transformation", "transformed.proof", "filter_reason")

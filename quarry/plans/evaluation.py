@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
 from quarry.operators import joins, metrics, sampling, stats
-from quarry.operators.lineage import numbered
+from quarry.operators.lineage import numbered, scratch
 from quarry.plans.bindings import CANDIDATES, TASKS, candidates, expected, passk_sql, table
 from quarry.sources.schemas import CATEGORIES, FINISH_REASONS
 from quarry.streaming import logs
@@ -440,3 +440,31 @@ def result_category(spark, d):
         (F.col("category") == "verified", "verified"), (F.col("generated_token_count") < 3, "empty_candidate"), (F.col("finish_reason") == "token_limit", "verifier_timeout"), (F.col("l_partkey") % 5 == 0, "verifier_error"),
     ], "lean_rejected")
     return c.select("task_id", "candidate_index", decided.alias("decided"))
+
+
+_EVENT = "case event_type when 'signup' then 'started' when 'purchase' then 'completed' when 'click' then 'retry' else 'heartbeat' end"
+
+
+@query(f"""with e as (select user_id, {_EVENT} as event, epoch_us(ts) as us from events),
+  o as (select *, row_number() over w as rn, count(*) filter (where event = 'started') over w as starts, count(*) filter (where event = 'retry') over w as retries from e window w as (partition by user_id order by us, event rows unbounded preceding)),
+  f as (select user_id, min(rn) filter (where event = 'completed') as done, count(*) as events, max(us) as heard from o group by 1),
+  r as (select user_id, event as kind, case event when 'started' then starts when 'retry' then retries else rn end as n, us from o join f using (user_id) where event <> 'heartbeat' and rn <= coalesce(done, rn)
+    union all select user_id, 'silent', events, heard from f where done is null and heard // 1000 + 86400000 < (select max(us) // 1000 from e))
+  select user_id, kind, cast(n as int) as n, us from r""")
+def progress_stream(spark, d):
+    """A stream over the events as a log folder; starts, retries and ends as they come, and who has fallen silent for a day."""
+    folder, out = scratch(spark, "log"), scratch(spark, "progress")
+    ev = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "started").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "click", "retry").otherwise("heartbeat")
+    ev.select(F.col("user_id").cast("string").alias("execution_id"), kind.alias("event"), F.col("ts").cast("timestamp").alias("at")).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+    log = spark.readStream.schema(logs.PROGRESS).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+    logs.into_table(logs.progress_rows(log, 86_400_000), out, scratch(spark, "progress-state"))
+    rows = spark.read.schema("execution_id string, kind string, n int, at timestamp").parquet(f"{out}/batch=*")
+    return rows.select(F.col("execution_id").cast("bigint").alias("user_id"), "kind", "n", F.unix_micros("at").alias("us"))
+
+
+@query(f"with {CANDIDATES}, t as (select task_id % 50 as workload, count(*) as total, count(*) filter (where category = 'verified') as done from cand group by 1) select workload, q as mark from t, (values (25), (50), (75), (100)) m(q) where done * 100 >= total * q")
+def quarter_marks(spark, d):
+    """The quarter marks that each workload's verified candidates have passed."""
+    t = candidates(spark, d).groupBy((F.col("task_id") % 50).alias("workload")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("category") == "verified").alias("done"))
+    return t.select("workload", F.explode(logs.marks("done", "total")).alias("mark"))

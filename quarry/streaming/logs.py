@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from quarry.functions import expressions as x
 from quarry.operators.lineage import cut
@@ -157,6 +158,96 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "com
     query.awaitTermination()
 
 
+def marks(done, total) -> Column:
+    """The quarter marks (25, 50, 75, 100) that a count has passed."""
+    done, total = (F.col(c) if isinstance(c, str) else F.lit(c) for c in (done, total))
+    return F.filter(F.array(*[F.when(done * 100 >= total * q, F.lit(q)) for q in (25, 50, 75, 100)]), lambda q: q.isNotNull())
+
+
 def progress_marks(done: DataFrame, total: int) -> DataFrame:
-    """Which quarter marks (25, 50, 75, 100) a count has passed."""
-    return done.select(F.filter(F.array(*[F.when(F.col("done") * 100 >= F.lit(total) * q, F.lit(q)) for q in (25, 50, 75, 100)]), lambda q: q.isNotNull()).alias("marks"))
+    """Which quarter marks a count has passed."""
+    return done.select(marks("done", total).alias("marks"))
+
+
+PROGRESS = "execution_id string, event string, at timestamp"
+
+
+class Progress(StatefulProcessor):
+    """What an execution's log says as it grows: a row when it starts, is tried again, falls silent and ends.
+
+    Events: started, heartbeat, retry, completed.  Every event but the last moves a timer ``silence`` ahead in event time; if it
+    fires, the execution is reported silent once, and again only after it was heard of.  Later events of an execution that has ended are counted in
+    the row of its end only if they come with it.
+    """
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "starts int, retries int, events int, ended boolean, due bigint, heard bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        starts, retries, events, ended, due, heard = tuple(self.state.get()) if self.state.exists() else (0, 0, 0, False, 0, 0)
+        for us, event in sorted((r.us, r.event) for r in rows):
+            events += 1
+            heard = max(heard, us)
+            if ended:
+                continue
+            if event == "started":
+                starts += 1
+                yield Row(execution_id=key[0], kind="started", n=starts, us=us)
+            elif event == "retry":
+                retries += 1
+                yield Row(execution_id=key[0], kind="retry", n=retries, us=us)
+            elif event == "completed":
+                ended = True
+                yield Row(execution_id=key[0], kind="completed", n=events, us=us)
+        if due:
+            self.handle.deleteTimer(due)
+        due = 0
+        if not ended:
+            # an execution that was heard of too late is silent as of now
+            due = max(heard // 1000 + self.silence_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(due)
+        self.state.update((starts, retries, events, ended, due, heard))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        starts, retries, events, ended, _, heard = tuple(self.state.get())
+        self.state.update((starts, retries, events, ended, 0, heard))
+        yield Row(execution_id=key[0], kind="silent", n=events, us=heard)
+
+    def close(self) -> None:
+        pass
+
+
+def progress_rows(events: DataFrame, silence_ms: int = 1_800_000, late: str = "0 seconds") -> DataFrame:
+    """(execution_id, kind, n, at): the rows of ``Progress`` for a stream of (execution_id, event, at); its state store must keep timers (see ``into_table``).
+
+    n: the number of the start or retry, else the events so far; at: the event's time, for silence that of the last event heard.
+    """
+    rows = events.select("execution_id", "event", "at", F.unix_micros("at").alias("us")).withWatermark("at", late).groupBy("execution_id")
+    out = rows.transformWithState(Progress(silence_ms), "execution_id string, kind string, n int, us bigint", "Append", "EventTime")
+    return out.select("execution_id", "kind", "n", F.timestamp_micros("us").alias("at"))
+
+
+#: The setting that names the state store, and the store that keeps timers.
+STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def into_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append what is new to a Parquet table, a folder for each batch, so that a batch that runs again replaces its own rows; then stop.
+
+    The state is kept in RocksDB, whatever the session's setting.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE, None)
+    conf.set(STORE, ROCKSDB)
+    try:
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(STORE, before) if before else conf.unset(STORE)

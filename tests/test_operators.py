@@ -384,8 +384,19 @@ def test_composition(spark):
     assert plans == {("direct", ("a", "b")), ("direct", ("b", "c")), ("branching", ("a", "b", "c"))}
     cases = spark.createDataFrame([("p", "direct", ["x"], ["x", "y"], ["a", "b"], [("a", "b")]), ("q", "branching", ["x"], [], ["a", "b", "c"], [("b", "c"), ("a", "b")]), ("r", "branching", [], [], ["a", "b", "c"], [("a", "b")])], "plan_id string, structural_class string, planned array<string>, actual array<string>, members array<string>, edges array<struct<src:string,dst:string>>")
     assert {r.plan_id: (r.ok, r.connected) for r in composition.audit(cases).collect()} == {"p": (True, True), "q": (False, True), "r": (False, False)}
-    batch = spark.createDataFrame([("g", str(i)) for i in range(9)] + [("h", "1")], "g string, item string")
-    assert {tuple(r) for r in composition.failing_members(batch, "g", "item", lambda xs: any(v in ("3", "7") for v in xs)).collect()} == {("g", "3"), ("g", "7")}
+    batch = spark.createDataFrame([("g", str(i)) for i in range(9)] + [("h", "1"), ("h", None), ("i", "3"), ("j", "a"), ("j", "b")], "g string, item string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def fails(xs):
+        seen.add(1)
+        return any(v in ("3", "7") for v in xs) or xs == ["a", "b"]
+
+    judge = F.udf(fails, "boolean")
+    bad, verdicts = composition.failing_members(batch, "g", "item", judge)
+    assert {tuple(r) for r in bad.collect()} == {("g", "3"), ("g", "7"), ("i", "3")}  # a and b fail only together
+    judged = seen.value
+    again, same = composition.failing_members(batch, "g", "item", judge, verdicts)
+    assert sorted(again.collect()) == sorted(bad.collect()) and seen.value == judged and same.count() == verdicts.count() == judged
 
 
 def fold_first_fit(rows, requested, forbidden=()):

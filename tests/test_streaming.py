@@ -1,3 +1,4 @@
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -97,3 +98,23 @@ def test_windows(spark, tmp_path, sf_dir):
 def test_marks(spark):
     assert logs.progress_marks(spark.createDataFrame([(5,)], "done int"), 10).collect()[0].marks == [25, 50]
     assert logs.event_histogram(spark.createDataFrame([("e", '{"type":"a"}'), ("e", "{}")], "execution_id string, value string")).where(F.col("type") == "<missing>").count() == 1
+
+
+def test_progress_of_a_growing_log(spark, tmp_path):
+    at = lambda m: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(minutes=m)
+    before = spark.conf.get(logs.STORE, None)
+
+    def grow(rows):
+        spark.createDataFrame([(e, k, at(m)) for e, k, m in rows], logs.PROGRESS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        logs.into_table(logs.progress_rows(spark.readStream.schema(logs.PROGRESS).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/cp")
+        found = spark.read.parquet(f"{tmp_path}/out").selectExpr("execution_id", "kind", "n", "int(unix_seconds(at) - 1704067200) div 60 as m").collect()
+        return sorted(map(tuple, found))
+
+    one = grow([("a", "heartbeat", 5), ("a", "started", 0), ("b", "started", 1), ("b", "completed", 9), ("b", "retry", 10), ("c", "started", 2)])
+    assert one == [("a", "started", 1, 0), ("b", "completed", 2, 9), ("b", "started", 1, 1), ("c", "started", 1, 2)]
+    # a is heard of again before it is missed, c is not; the log's end is minute 100
+    two = grow([("a", "retry", 90), ("a", "started", 91), ("z", "heartbeat", 100)])
+    assert sorted(set(two) - set(one)) == [("a", "retry", 1, 90), ("a", "started", 2, 91), ("c", "silent", 1, 2)]
+    three = grow([("a", "completed", 120), ("z", "heartbeat", 200)])
+    assert sorted(set(three) - set(two)) == [("a", "completed", 5, 120)]  # z is heard of at the end
+    assert spark.conf.get(logs.STORE, None) == before
