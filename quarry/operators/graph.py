@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import expressions as x
 from quarry.operators import joins, stats
-from quarry.operators.lineage import cut, join_grouped
+from quarry.operators.lineage import cut, join_grouped, numbered
 from quarry.sources.schemas import RELEVANCE
 
 
@@ -235,10 +235,10 @@ def atlas(entries: DataFrame, generated: DataFrame, relationships: DataFrame, fo
     return every.orderBy("id"), relationships.unionByName(typed, allowMissingColumns=True).orderBy("type", "source", "target")
 
 
-def _ranked(rows: DataFrame, order: list, n: int | None) -> DataFrame:
-    if n is not None:
-        rows = rows.orderBy(*order).limit(n)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def _ranked(rows: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    if n is None:
+        return numbered(rows, order, "_at").withColumn("rank", (F.col("_at") + 1).cast("int")).drop("_at")
+    return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over n rows
 
 
 def opportunities(entries: DataFrame, external: DataFrame, holdout: DataFrame, n: int = 20) -> DataFrame:
@@ -247,15 +247,15 @@ def opportunities(entries: DataFrame, external: DataFrame, holdout: DataFrame, n
     ``missing_lean_formalizations``: the first n entries to formalise that the library lacks, equivalents first;
     ``future_clean_evaluation_targets``: the first n of the near holdout; ``knowledge_only_anchors`` and
     ``external_lean_ingestion``: whole lists.  entries: (id, display_name, candidate_role, formalization_status, relationship_class);
-    external: (id, declaration_name, atlas_target); holdout: (id, declaration_name).  Whole lists are numbered in one
-    task, as they are a curated census.
+    external: (id, declaration_name, atlas_target); holdout: (id, declaration_name).  Whole lists are numbered by ranges, in no
+    single task.
     """
     wanted = entries.where((F.col("candidate_role") == "formalize-in-lean") & (F.col("formalization_status") != "mathlib")).withColumn("_far", F.coalesce(F.col("relationship_class") != "equivalent-to-RH", F.lit(True)))
     lists = [
-        ("missing_lean_formalizations", _ranked(wanted, [F.col("_far"), F.col("id")], n), "display_name"),
-        ("future_clean_evaluation_targets", _ranked(holdout, [F.col("id")], n), "declaration_name"),
-        ("knowledge_only_anchors", _ranked(entries.where("candidate_role = 'knowledge-only'"), [F.col("id")], None), "display_name"),
-        ("external_lean_ingestion", _ranked(external, [F.col("atlas_target"), F.col("declaration_name")], None), "declaration_name"),
+        ("missing_lean_formalizations", _ranked(wanted, ["_far", "id"], n), "display_name"),
+        ("future_clean_evaluation_targets", _ranked(holdout, ["id"], n), "declaration_name"),
+        ("knowledge_only_anchors", _ranked(entries.where("candidate_role = 'knowledge-only'"), ["id"], None), "display_name"),
+        ("external_lean_ingestion", _ranked(external, ["atlas_target", "declaration_name"], None), "declaration_name"),
     ]
     out = None
     for name, rows, label in lists:

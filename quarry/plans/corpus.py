@@ -204,7 +204,9 @@ def split_hygiene(spark, d):
 
 
 _EDGE2 = "ed as (select distinct 'p' || l_partkey as source, 's' || l_suppkey as target from lineitem union select distinct 's' || l_suppkey, 'p' || l_partkey from lineitem), sd as (select distinct 'p' || l_partkey as seed from lineitem join part on l_partkey = p_partkey where p_size = 1)"
-_RINGS = f"""{_EDGE2}, near as (select source, target from (select *, row_number() over (partition by source order by target) as rn from ed) where rn <= 6),
+#: Neighbours that a walk follows from a record, and records that a ring keeps.
+FAN_OUT, RING_NODES = 64, 12_000
+_RINGS = f"""{_EDGE2}, near as (select source, target from (select *, row_number() over (partition by source order by target) as rn from ed) where rn <= {FAN_OUT}),
   f1 as (select distinct seed, target as node from sd join near on seed = source where target <> seed), f2 as (select distinct f1.seed, n.target as node from f1 join near n on f1.node = n.source where n.target <> f1.seed and not exists (select 1 from f1 v where v.seed = f1.seed and v.node = n.target)),
   al as (select seed, node, 1 as distance from f1 union all select seed, node, 2 from f2), ok as (select * from al where node not in (select seed from sd)), best as (select node, min(distance) as distance from ok group by 1)"""
 
@@ -216,18 +218,18 @@ def _part_graph(spark, d):
     return li.join(small, "l_partkey", "left_semi").select(F.col("source").alias("seed")).distinct(), edges
 
 
-@query(f"with {_RINGS} select o.node as record_id, cast(o.distance as int) as distance, string_agg(distinct o.seed, ',' order by o.seed) as seeds from ok o join best b on o.node = b.node and o.distance = b.distance group by 1, 2 order by 2, 1 limit 200")
+@query(f"with {_RINGS} select o.node as record_id, cast(o.distance as int) as distance, string_agg(distinct o.seed, ',' order by o.seed) as seeds from ok o join best b on o.node = b.node and o.distance = b.distance group by 1, 2 order by 2, 1 limit {RING_NODES}")
 def bounded_rings(spark, d):
     """Bounded walks from seeds, least distance and all seeds at it, a global bound."""
     seeds, edges = _part_graph(spark, d)
-    return graph.bounded_rings(seeds, edges, 2, 6, 200)[0].withColumn("seeds", F.array_join("seeds", ","))
+    return graph.bounded_rings(seeds, edges, 2, FAN_OUT, RING_NODES)[0].withColumn("seeds", F.array_join("seeds", ","))
 
 
-@query(f"with {_RINGS}, cut as (select source from ed group by 1 having count(*) > 6) select count(*) as candidates, least(count(*), 200) as retained, greatest(count(*) - 200, 0) as dropped, (select count(*) from sd join cut on seed = source) + (select count(*) from f1 join cut on node = source) as truncated from best")
+@query(f"with {_RINGS}, cut as (select source from ed group by 1 having count(*) > {FAN_OUT}) select count(*) as candidates, least(count(*), {RING_NODES}) as retained, greatest(count(*) - {RING_NODES}, 0) as dropped, (select count(*) from sd join cut on seed = source) + (select count(*) from f1 join cut on node = source) as truncated from best")
 def ring_bounds(spark, d):
     """Diagnosis of the bounds."""
     seeds, edges = _part_graph(spark, d)
-    return graph.bounded_rings(seeds, edges, 2, 6, 200)[1]
+    return graph.bounded_rings(seeds, edges, 2, FAN_OUT, RING_NODES)[1]
 
 
 @query(f"""with {_RINGS}, cls as (select seed as record_id, 'core' as cls, 0 as p from sd union all select node, 'premise-' || distance, distance from best union all select source, 'number-theory-control', 9 from ed where source like 's1%')
@@ -235,7 +237,7 @@ def ring_bounds(spark, d):
 def relevance_class(spark, d):
     """The class of the highest priority."""
     seeds, edges = _part_graph(spark, d)
-    ring = graph.bounded_rings(seeds, edges, 2, 6, None)[0]
+    ring = graph.bounded_rings(seeds, edges, 2, FAN_OUT, None)[0]
     return graph.relevance_classes([
         seeds.select(F.col("seed").alias("record_id"), F.lit("core").alias("cls")), ring.select("record_id", F.concat(F.lit("premise-"), "distance").alias("cls")),
         edges.where("source like 's1%'").select(F.col("source").alias("record_id"), F.lit("number-theory-control").alias("cls")),
