@@ -751,3 +751,29 @@ def resliced(spark, d):
     proof = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" := by\n  exact "), body)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" where\n  x := "), body)).otherwise(F.concat(F.lit("\n  | 0 => "), body, F.lit("\n  | n => h")))
     traced = table(spark, d, "documents").select("doc_id", F.concat(head, proof).alias("source"), (F.col("doc_id") % 17 == 0).alias("is_private"))
     return filters.reslice(traced).select("doc_id", "declaration", "form", "transformed.transformation", "transformed.proof", "filter_reason")
+
+
+#: Texts without what nests: quotes, comments and brackets.
+_FLAT, _BLANKS = '"«»-/()[]{}⦃⦄', " " * 13
+_FLAT_SQL = rf"""t as (select doc_id, regexp_extract_all('theorem t_' || doc_id || ' (x : Nat) : p ' || translate(text, '{_FLAT}', '{_BLANKS}') || case doc_id % 4 when 0 then ' ∧ q' when 1 then ' → q' when 2 then ' ↔ q' else ' q' end,
+  '{_IDENTIFIER.replace("'", "''")}(?:\.{_IDENTIFIER.replace("'", "''")})*|\p{{Nd}}[\p{{L}}\p{{N}}_.]*|[^\s\p{{Z}}\x{{85}}\x0B\x1C-\x1F]') as tokens from documents),
+  k as (select doc_id, list_transform(tokens, lambda w: case when regexp_matches(w, '^[\p{{L}}_]') then 'identifier:' when regexp_matches(w, '^\p{{Nd}}') then 'number:' else 'symbol:' end || w) as tokens from t)"""
+
+
+def _flat(spark, d):
+    last = F.when(F.col("doc_id") % 4 == 0, " ∧ q").when(F.col("doc_id") % 4 == 1, " → q").when(F.col("doc_id") % 4 == 2, " ↔ q").otherwise(" q")
+    decl = F.concat(F.lit("theorem t_"), F.col("doc_id").cast("string"), F.lit(" (x : Nat) : p "), F.translate("text", _FLAT, _BLANKS), last, F.lit(" :=\r\n"))
+    return table(spark, d, "documents").select("doc_id", decl.alias("declaration"))
+
+
+@query(f"with {_FLAT_SQL} select doc_id, sha256(array_to_string(list_concat(['identifier:theorem_or_lemma', 'identifier:__DECLARATION_NAME__'], tokens[3:]), chr(31))) as fingerprint from k")
+def flat_statement_ids(spark, d):
+    """Fingerprints of declarations over whole texts without nesting; the name and the trailing := do not count."""
+    return _flat(spark, d).select("doc_id", lexer.fingerprint_col(F.col("declaration")).alias("fingerprint"))
+
+
+@query(f"""with {_FLAT_SQL}, h as (select doc_id, list_filter(tokens[9:], lambda w: w in ('symbol:↔', 'symbol:∧', 'symbol:∨', 'symbol:→', 'symbol:='))[1] as first from k)
+  select doc_id, case first when 'symbol:↔' then 'iff' when 'symbol:∧' then 'and' when 'symbol:∨' then 'or' when 'symbol:→' then 'implication' when 'symbol:=' then 'equality' else 'other' end as head from h""")
+def flat_type_heads(spark, d):
+    """the first top-level connective of whole texts without nesting."""
+    return _flat(spark, d).select("doc_id", lexer.column(lambda v: lexer.type_head(lexer.canonical_declaration(v)))(F.col("declaration")).alias("head"))
