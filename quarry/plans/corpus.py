@@ -777,3 +777,15 @@ def flat_statement_ids(spark, d):
 def flat_type_heads(spark, d):
     """the first top-level connective of whole texts without nesting."""
     return _flat(spark, d).select("doc_id", lexer.column(lambda v: lexer.type_head(lexer.canonical_declaration(v)))(F.col("declaration")).alias("head"))
+
+
+_BOUND = ("la", "the", "die")
+
+
+@query(f"""with {_FLAT_SQL}, r as (select doc_id, list_transform(tokens[9:], lambda w: case w {" ".join(f"when 'identifier:{w}' then 'identifier:__BOUND_{i}__'" for i, w in enumerate(_BOUND))} else w end) as tokens from k)
+  select doc_id, sha256(array_to_string(list_concat(['identifier:theorem_or_lemma', 'identifier:__DECLARATION_NAME__', 'symbol:(', 'identifier:__BOUND_0__', 'symbol::', 'identifier:Nat', 'symbol:)', 'symbol:(', 'identifier:__BOUND_1__', 'symbol::', 'identifier:Nat', 'symbol:)',
+    'symbol::', 'symbol:∀', 'identifier:__BOUND_2__', 'symbol:,'], tokens), chr(31))) as fingerprint from r""")
+def flat_alpha_identity(spark, d):
+    """identities up to bound names, three common words that are bound over whole texts without nesting."""
+    binders = F.lit(f" ({_BOUND[0]} : Nat) ({_BOUND[1]} : Nat) : ∀ {_BOUND[2]}, p ")
+    return _flat(spark, d).select("doc_id", lexer.alpha_fingerprint_col(F.replace("declaration", F.lit(" (x : Nat) : p "), binders)).alias("fingerprint"))
