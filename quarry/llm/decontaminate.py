@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from quarry.llm import text as tx
 
 WALKS, BITS = 6, 2
-#: Samples of a walk that may be chosen, target recall, and words of the longest window.
-SAMPLES, RECALL, PIECE_WORDS = (2, 4, 8, 16, 32, 64), 0.99, 256
+#: Samples of a walk that may be chosen (more raise), target recall, and words of the longest window.
+SAMPLES, RECALL, PIECE_WORDS = tuple(2**k for k in range(1, 13)), 0.99, 256
 SLICE_BYTES = 4 << 20
 #: Bytes of text whose windows are embedded together.
 TOGETHER = 1 << 20
@@ -140,7 +140,10 @@ def samples_for(kind: int, similarity: float, recall: float) -> int:
     lengths = np.full(pairs, n)
     strings = [(embed(left, lengths, k)[:, : 2 * n], embed(right, lengths, k)[:, : 2 * n]) for k in range(WALKS)]
     agree = np.stack([((a == b) & (a != 0)).mean(1) for a, b in strings])
-    return next((s for s in SAMPLES if ((1 - agree**BITS) ** s).prod(0).mean() <= 1 - recall), SAMPLES[-1])
+    for s in SAMPLES:
+        if ((1 - agree**BITS) ** s).prod(0).mean() <= 1 - recall:
+            return s
+    raise ValueError(f"a recall of {recall} at similarity {similarity} needs more than {SAMPLES[-1]} samples a walk for items of {n} words")
 
 
 def bucket_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, held: np.ndarray, samples: dict[int, int]):

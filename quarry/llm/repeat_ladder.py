@@ -68,7 +68,7 @@ def ladder(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
         level = _repeated(base.join(starts, ["did", "text_key"]).select("did", "text_key", "text", "starts").mapInArrow(_extended(n), _WINDOWS))
         n *= 2
     out = level.withColumn("length", F.lit(n)) if out is None else out
-    return out.select(F.nullif("did", F.lit(sd.NO_ID)).alias("doc_id"), "text_key", "length", "pos")
+    return out.select(F.col("did").alias("doc_id"), "text_key", "length", "pos")
 
 
 def longest_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -146,3 +146,9 @@ def test_whole_table(spark, sf_dir):
     got = {(r.doc_id, r.item_id): r.edits for r in dc.op6_decontamination(spark, sf_dir).collect()}
     plain = {(i, k) for i, t in docs.items() for k, x in items.items() if " ".join(tokens(x)) in " ".join(tokens(t))}
     assert plain and plain <= {key for key, n in got.items() if n == 0}
+
+
+def test_samples_reach_the_target_or_raise():
+    assert dc.samples_for(8, 0.8, 0.99) <= 64 < dc.samples_for(8, 0.6, 0.99)
+    with pytest.raises(ValueError, match="samples a walk"):
+        dc.samples_for(8, 0.05, 0.999999)

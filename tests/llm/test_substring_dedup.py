@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from quarry.llm import repeat_ladder
 from quarry.llm.substring_dedup import dedup_substrings, op1_substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,3 +56,11 @@ def test_whole_table(spark, sf_dir):
     got = sorted([tuple(r) for r in op1_substring_dedup(spark, sf_dir).collect()], key=str)
     assert got == brute(rows, 50)
     assert any(r[2] for r in got)
+
+
+def test_the_least_id_is_no_null(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(-(1 << 63), text), (5, text), (None, text), (None, text)]
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_removed) for r in got) == [(False, 0, 0), (False, 0, 0), (True, -(1 << 63), 0), (True, 5, 60)]
+    assert {(r.doc_id, r.longest) for r in repeat_ladder.longest_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 25).collect()} == {(-(1 << 63), 50), (5, 50)}
