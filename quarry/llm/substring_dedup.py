@@ -37,7 +37,7 @@ from quarry.llm import text as tx
 from quarry.llm.common import join_grouped
 
 
-#: Stands for a null id in join keys, which are never null; ``named`` tells it from an id of that value.
+#: Stands for a null id in join keys, which are never null; the lowest bit of the text's key tells it from an id of that value.
 NO_ID = -(1 << 63)
 
 
@@ -141,8 +141,8 @@ def _rewritten(n: int, with_text: bool):
                 digests.append(hashlib.sha256(text).hexdigest())
                 if with_text:
                     kept.append(text.decode() if lost[row] else batch.column("text")[row].as_py())
-            columns = [batch.column("did"), batch.column("named"), batch.column("text_key"), pa.array(w.counts.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(digests)]
-            names = ["did", "named", "text_key", "n_words", "n_removed", "kept_sha256"]
+            columns = [batch.column("did"), batch.column("text_key"), pa.array(w.counts.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(digests)]
+            names = ["did", "text_key", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 columns += [pa.array(kept, pa.string()), batch.column("rest")]
                 names += ["kept_text", "rest"]
@@ -155,17 +155,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> D
     """Both joins with the texts use this one plan, so its exchange is written once and read twice.  The keys are never null; other columns travel in ``rest``."""
     rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.col(id_col).cast("long").isNotNull().alias("named"),
-        F.xxhash64(F.col(text_col), F.col(id_col).cast("long").isNull()).alias("text_key"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"),
+        F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(-2)).bitwiseOR(F.col(id_col).cast("long").isNull().cast("long")).alias("text_key"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"),
     )
 
 
+def _named():
+    return F.col("text_key").bitwiseAND(F.lit(1)) == 0
+
+
 def survivors(base: DataFrame, window: int) -> DataFrame:
     """(did, text_key, anchors, late_anchors): the anchors of each document that repeat, and those of them that an earlier document has."""
     found, before = None, None
     for length in lengths(window):
         # rows without an id offer nothing, so later lengths never meet them
-        texts = base.where("named").select("did", "text_key", "text") if found is None else base.join(found, ["did", "text_key"]).select("did", "text_key", "text", "anchors")
+        texts = base.where(_named()).select("did", "text_key", "text") if found is None else base.join(found, ["did", "text_key"]).select("did", "text_key", "text", "anchors")
         offered = texts.mapInArrow(_offers(window, length, before), "did long, text_key long, anchor long")
         shared = offered.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "lo")
         found = (
@@ -192,8 +196,8 @@ def repeated_starts(base: DataFrame, window: int = 50) -> DataFrame:
 def _deduped(docs: DataFrame, window: int, id_col: str, text_col: str, with_text: bool, carried: list[str]) -> DataFrame:
     base = _keyed(docs, id_col, text_col, carried)
     marks = repeated_starts(base, window).groupBy("did", "text_key").agg(F.collect_set("pos").alias("marks"))
-    kinds = [("did", "bigint"), ("named", "boolean"), ("text_key", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256", "string")]
-    schema = T.StructType([T.StructField(n, {"bigint": T.LongType(), "boolean": T.BooleanType()}.get(k, T.StringType())) for n, k in kinds])
+    kinds = [("did", "bigint"), ("text_key", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256", "string")]
+    schema = T.StructType([T.StructField(n, T.LongType() if k == "bigint" else T.StringType()) for n, k in kinds])
     if with_text:
         schema = schema.add("kept_text", T.StringType()).add(base.schema["rest"])
     return base.join(marks, ["did", "text_key"], "left").mapInArrow(_rewritten(window, with_text), schema)
@@ -207,7 +211,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     nothing is removed (null stays null).
     """
     out = _deduped(docs, window, id_col, text_col, with_text, [])
-    return out.select(F.when(F.col("named"), F.col("did")).alias("doc_id"), *[c for c in out.columns[2:] if c != "rest"])
+    return out.select(F.when(_named(), F.col("did")).alias("doc_id"), *[c for c in out.columns[1:] if c != "rest"])
 
 
 def rewrite_documents(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
