@@ -234,11 +234,13 @@ _FIXTURES = [
 ]
 
 
-@query("select * from (values " + ", ".join(
+@query("select s_suppkey, f.* exclude (k) from supplier join (values " + ", ".join(
     f"({i}, sha256(replace('{_HEAD + plain}', ' ', chr(31))), sha256(replace('{_HEAD + bound}', ' ', chr(31))), '{head}', {str(gap).lower()})" for i, (_, plain, bound, head, gap) in enumerate(_FIXTURES)
-) + ") t(k, fingerprint, alpha_fingerprint, head, placeholder)")
+) + ") f(k, fingerprint, alpha_fingerprint, head, placeholder) on s_suppkey % 4 = k")
 def lexer_fixtures(spark, d):
-    """Fixed declarations against tokens written by hand."""
-    df = spark.createDataFrame([(i, f[0]) for i, f in enumerate(_FIXTURES)], "k int, declaration string")
+    """A declaration for each supplier, under its own name, against tokens written by hand."""
+    fixture = F.element_at(F.array(*[F.lit(f[0]) for f in _FIXTURES]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    name = F.concat(F.lit(r"$1 s"), F.col("s_suppkey").cast("string"), F.lit("."), F.lower(F.regexp_replace("s_name", "[^A-Za-z]", "")))
+    df = table(spark, d, "supplier").select("s_suppkey", F.regexp_replace(fixture, F.lit(r"^(theorem|lemma) \w"), name).alias("declaration"))
     c = F.col("declaration")
-    return df.select("k", lexer.fingerprint_col(c).alias("fingerprint"), lexer.alpha_fingerprint_col(c).alias("alpha_fingerprint"), lexer.column(lexer.type_head)(c).alias("head"), lexer.column(lexer.has_placeholder, "boolean")(c).alias("placeholder"))
+    return df.select("s_suppkey", lexer.fingerprint_col(c).alias("fingerprint"), lexer.alpha_fingerprint_col(c).alias("alpha_fingerprint"), lexer.column(lexer.type_head)(c).alias("head"), lexer.column(lexer.has_placeholder, "boolean")(c).alias("placeholder"))

@@ -141,13 +141,15 @@ def paired_contingency(spark, d):
     return stats.contingency(_arms(spark, d)).drop("p_value")
 
 
-@query("""with recursive cases(b, c) as (values (0, 0), (1, 1), (1, 3), (171, 0), (166, 3), (20, 10), (7, 23), (3, 166)),
-  terms as (select b, c, 0 as i, 1.0::double as term from cases union all select b, c, i + 1, term * (b + c - i) / (i + 1) from terms where i < least(b, c))
-  select b, c, case when b + c = 0 then 1.0 else round(least(1.0, 2 * sum(term) * pow(0.5, b + c)), 12) end as p_value from terms group by b, c""")
+@query("""with recursive pairs as (select l_partkey, cast(count(*) filter (where l_returnflag = 'R') as int) as b, cast(count(*) filter (where l_returnflag = 'A') as int) as c from lineitem group by 1), cases as (select distinct b, c from pairs),
+  terms as (select b, c, 0 as i, 1.0::double as term from cases union all select b, c, i + 1, term * (b + c - i) / (i + 1) from terms where i < least(b, c)),
+  p as (select b, c, case when b + c = 0 then 1.0 else round(least(1.0, 2 * sum(term) * pow(0.5, b + c)), 10) end as p_value from terms group by b, c)
+  select l_partkey, b, c, p_value from pairs join p using (b, c)""")
 def mcnemar_exact(spark, d):
-    """Exact two-sided tails of given discordant pairs."""
-    cases = spark.createDataFrame([(0, 0), (1, 1), (1, 3), (171, 0), (166, 3), (20, 10), (7, 23), (3, 166)], "b int, c int")
-    return cases.select("b", "c", F.round(x.mcnemar_exact("b", "c"), 12).alias("p_value"))
+    """Exact two-sided tails of each part's discordant pairs."""
+    count = lambda flag: F.count_if(F.col("l_returnflag") == flag).cast("int")
+    pairs = table(spark, d, "lineitem").groupBy("l_partkey").agg(count("R").alias("b"), count("A").alias("c"))
+    return pairs.select("l_partkey", "b", "c", F.round(x.mcnemar_exact("b", "c"), 10).alias("p_value"))
 
 
 #: Resamples of a bootstrap.
