@@ -7,12 +7,14 @@ den * |intersection| >= num * |union|.  Documents with equal sets are one node.
 1. Every set is ordered by (how frequent a shingle is, hash); linked sets share one of
    their first |set| - ceil(num/den * |set|) + 1 shingles.  Those prefixes are grouped by
    shingle; shingles of one node are dropped.  Within a shingle, sizes fall into
-   bands of ratio den/num, and linked sets are in the same band or in neighbouring ones:
-   nodes are tied to their band's smallest node, and neighbouring bands to each other.
-2. Connected components of these ties hold every link.  A component's nodes are cut, in
+   bands of ratio den/num, and linked sets are in the same band or in neighbouring ones.
+   A shingle of at most ``PAIRED`` nodes gives its pairs of such nodes as they are: each node is a cell with
+   its later partners.  Of the other shingles, nodes are tied to their band's smallest node, and neighbouring
+   bands to each other, so chance meetings of rare shingles never chain documents into one huge component.
+2. Connected components of these ties hold every other link.  A component's nodes are cut, in
    order of size, into tiles; only pairs of tiles whose sizes can link meet, each in one
-   task.  A large component thus is many small tasks; no pairs of rows are emitted.
-3. In a pair of tiles, parity bitmaps of the sets give a lower bound of the symmetric
+   task.  A large component thus is many small tasks; no pairs of its rows are emitted.
+3. In a cell of partners or a pair of tiles, parity bitmaps of the sets give a lower bound of the symmetric
    difference by counting bits of an exclusive or, so an upper bound of the overlap.  A first pass
    moves bitmaps only; nodes that keep a possible partner send their sets, and survivors of
    the bound are intersected exactly.  Pairs already connected there are skipped, and only the links that
@@ -44,6 +46,8 @@ from quarry.llm.common import connected_components, cut, join_grouped, most_freq
 MAX_FREQUENT, COUNTED = 200_000, 1_000_000
 #: Nodes of a tile: a share of its component within these bounds.
 TILE_MIN, TILE_MAX, TILES = 64, 2048, 32
+#: Nodes of a shingle whose pairs are written out, at most.
+PAIRED = 64
 #: Bits of the bitmap that screens pairs before any set travels.
 SCREEN_BITS = 2048
 
@@ -269,10 +273,25 @@ def _verify(num: int, den: int):
     return run
 
 
-def _ties(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components hold every possible link; from (token, band, node)."""
+def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, band, node) of the shingles of several nodes, each row once: those of at most ``PAIRED`` nodes, and the others."""
     multi = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    shared = cut(join_grouped(rows, multi, ["token"]).select("token", "band", "node"))
+    shared = cut(join_grouped(rows, multi, ["token"]).select("token", "band", "node").distinct())
+    held = shared.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    # few shingles are frequent
+    small = join_grouped(shared, held.where(F.col("held") <= PAIRED).select("token"), ["token"]).select("token", "band", "node")
+    large = join_grouped(shared, held.where(F.col("held") > PAIRED).select("token"), ["token"]).select("token", "band", "node")
+    return small, large
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, that a shingle and their bands let link; from (token, band, node) of shingles of few nodes."""
+    other = rows.select("token", F.col("band").alias("o_band"), F.col("node").alias("b"))
+    return rows.join(other, "token").where((F.col("node") < F.col("b")) & (F.abs(F.col("band") - F.col("o_band")) <= 1)).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _ties(shared: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components hold every possible link; from (token, band, node) of shingles of several nodes."""
     groups = shared.groupBy("token", "band").agg(F.min("node").alias("lead"))
     next_band = F.lead(F.struct("band", "lead")).over(Window.partitionBy("token").orderBy("band"))  # at most one row a band
     across = groups.withColumn("next", next_band).where(F.col("next.band") == F.col("band") + 1).select(F.col("lead").alias("a"), F.col("next.lead").alias("b"))
@@ -280,6 +299,14 @@ def _ties(rows: DataFrame) -> DataFrame:
     return across.union(within).distinct()
 
 
+def _stars(pairs: DataFrame) -> DataFrame:
+    """(node, bin, cell, side): a cell for each first node of pairs, with its partners on the other side."""
+    bins = max(1, pairs.count() // (2 * TILE_MIN))
+    placed = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(bins)).alias("bin"), F.xxhash64(F.lit("pairs"), "a").alias("cell"))
+    first = placed.select(F.col("a").alias("node"), "bin", "cell", F.lit(0).alias("side")).distinct()
+    return first.union(placed.select(F.col("b").alias("node"), "bin", "cell", F.lit(1).alias("side")))
+
+
 def _cells(members: DataFrame, num: int, den: int) -> DataFrame:
     """(node, bin, cell, side): the tile pairs of each node; from (node, root, n)."""
     by_size = members.groupBy("root", "n").agg(F.count(F.lit(1)).alias("held"))
@@ -322,15 +349,19 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     classes = np.array([1 + int(math.log2(r.times)) for r in frequent], np.int64)
     order = np.argsort(tokens)
     prefix = written(known.mapInArrow(_prefixes(n, num, den, tokens[order], classes[order]), "token long, band int, node long"), "prefixes")
-    components = connected_components(_ties(prefix))
+    small, large = _shared(prefix)
+    pairs = cut(_pairs(small))
+    components = connected_components(_ties(large))
     # one document stands for each node
     nodes = rows.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    members = cut(components.join(nodes, "node").select("node", "root", "n", "rep"))
-    del components
-    release(members)  # the ties' shuffle files have served
-    cells = _cells(members.select("node", "root", "n"), num, den)
-    # bitmaps first: sets travel only for nodes that have a possible partner, and only to those pairs of tiles
-    maps = rows.select("doc_id", F.col("node").alias("m_node"), "bitmap").join(members.select("node", "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("m_node") == F.col("node"))).groupBy("node").agg(F.first("bitmap").alias("bitmap"))
+    placed = cut(components.join(nodes.select("node", "n"), "node").select("node", "root", "n"))
+    del components, small, large
+    release(placed)  # the ties' shuffle files have served
+    cells = _cells(placed, num, den).select("node", "bin", "cell", "side").union(_stars(pairs))
+    involved = placed.select("node").union(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    members = cut(nodes.join(involved, "node").select("node", "n", "rep"))
+    # bitmaps first: sets travel only for nodes that have a possible partner, and only to those cells
+    maps = rows.select("doc_id", F.col("node").alias("m_node"), "bitmap").join(members, (F.col("doc_id") == F.col("rep")) & (F.col("m_node") == F.col("node"))).groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     screened = cells.join(maps, "node").groupBy("bin").applyInArrow(_screen(num, den), "bin long, cell long, side int, node long")
     wanted = screened.groupBy("node").agg(F.collect_list(F.struct("bin", "cell", "side")).alias("cells")).join(members.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("want"), "cells")
     texts = known.join(wanted, "doc_id").select("text", F.col("want").alias("node"), "cells")

@@ -61,6 +61,25 @@ def test_against_brute_force(spark, n, num, den, monkeypatch):
     assert len({c for _, s, c in got if s}) < len(rows) - 50
 
 
+@pytest.mark.parametrize("paired", [2, 5])
+def test_pairs_and_tiles_together(spark, monkeypatch, paired):
+    rows = corpus(11, 250)
+    monkeypatch.setattr(nj, "TILE_MIN", 8)
+    monkeypatch.setattr(nj, "PAIRED", paired)  # some shingles give pairs, others ties
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, nj.link_components(df).collect())) == brute(rows, 5, 80, 100)
+
+
+def test_chance_meetings_make_no_chain(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [[f"{rng.getrandbits(40):x}" for _ in range(30)] for _ in range(60)]
+    rows = [(i, " ".join(w + words[(i + 1) % 60][:6])) for i, w in enumerate(words)]  # each document holds the next one's first words
+    edges = []
+    monkeypatch.setattr(nj, "connected_components", lambda e: edges.append(e.count()) or connected_components(e))
+    got = sorted(map(tuple, nj.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows, 5, 80, 100) and edges == [0, 0]
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "A b c d e f"), (5, None), (5, None)], "doc_id long, text string")
     got = sorted(map(tuple, nj.link_components(df).collect()), key=str)
