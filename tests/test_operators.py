@@ -572,6 +572,36 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir, partitions):
 RESULTS: dict = {}
 
 
+def test_rings_against_walks_of_each_seed(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = sorted({(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(110)})
+    seeds, fan_out, depth = ["n01", "n07", "n11", "n39"], 3, 3
+    near = {a: sorted(t for s, t in edges if s == a) for a, _ in edges}
+    found, lost = {}, 0
+    for s in seeds:
+        seen, frontier = {s}, {s}
+        for d in range(1, depth + 1):
+            lost += sum(len(near.get(n, ())) > fan_out for n in frontier)
+            frontier = {t for n in frontier for t in near.get(n, ())[:fan_out]} - seen
+            seen |= frontier
+            for n in frontier - set(seeds):
+                found.setdefault(n, {}).setdefault(d, []).append(s)
+    want = sorted((min(v), n, v[min(v)]) for n, v in found.items())
+    args = spark.createDataFrame([(s,) for s in seeds], "seed string"), spark.createDataFrame(edges, "source string, target string"), depth, fan_out
+    for most in (None, 9):
+        ring, diag = graph.bounded_rings(*args, most)
+        assert sorted((r.distance, r.record_id, r.seeds) for r in ring.collect()) == want[:most]
+        kept = len(want[:most])
+        assert tuple(diag.collect()[0]) == (len(want), kept, len(want) - kept, lost)
+    # many seeds around a hub: no frame of (seed, node) is kept
+    sizes = []
+    keep = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: sizes.append(df.count()) or keep(df))
+    star = [(f"s{i}", "hub") for i in range(50)] + [("hub", f"t{i}") for i in range(40)]
+    ring, diag = graph.bounded_rings(spark.createDataFrame([(f"s{i}",) for i in range(50)], "seed string"), spark.createDataFrame(star, "source string, target string"), 2, 64, 30)
+    assert max(sizes) <= 91 and {len(r.seeds) for r in ring.collect()} == {50} and tuple(diag.collect()[0]) == (41, 30, 11, 0)
+
+
 def test_order_statistics_against_sorted_lists(spark, monkeypatch):
     monkeypatch.setattr(stats, "PARTS", 256)
     monkeypatch.setattr(stats, "FEW", 60)
