@@ -368,6 +368,25 @@ def test_neighbours_and_walks(spark, monkeypatch):
         composition.walk_plans(df, near.limit(3), {"f": 13}, "seed").collect()
 
 
+def test_walks_look_up_what_they_reach(spark):
+    kind = "family string, declaration_name string, statement_id string, source_module string, resolved_dependencies array<string>, topic_tags array<string>"
+    deps = lambda i: [f"N{(i * 7 + 1) % 40:02d}", "x", f"d{i // 3}"]
+    pool = spark.createDataFrame([("f", f"N{i:02d}", f"s{i}", f"M{i // 5}" if i % 9 else None, deps(i), ["riemann-seed:z"] if i % 8 == 0 else []) for i in range(40)], kind).cache()
+    whole = {tuple(r) for r in graph.neighbours(pool, 3).collect()}
+    look, asked = graph.neighbour_lookup(pool, 3), []
+    some = spark.createDataFrame([("f", "N08"), ("f", "N09"), ("f", "N33"), ("f", "none"), ("g", "N01")], "family string, a string")
+    assert {tuple(r) for r in look(some).collect()} == {r for r in whole if r[1] in ("N08", "N09", "N33")} and {r[3] for r in whole} >= set(graph.RELATIONS[:2])
+
+    def noted(wanted):
+        asked.extend(r.a for r in wanted.collect())
+        return look(wanted)
+
+    near = spark.createDataFrame(list(whole), "family string, a string, b string, relation string")
+    got = composition.walk_plans(pool, noted, {"f": 3}, "seed", ahead=4, lags=0).collect()
+    assert sorted(got) == sorted(composition.walk_plans(pool, near, {"f": 3}, "seed", ahead=4, lags=0).collect())
+    assert len(asked) == len(set(asked)) < 20  # each name once, and only those that walks reach
+
+
 def test_namespaces(spark):
     lines = ["namespace A", "section", "theorem x", "namespace B.C", "theorem y", "end B.C", "end", "end A", "theorem _root_.z"]
     df = spark.createDataFrame([("f", i, t) for i, t in enumerate(lines)], "file_path string, line int, text string")
