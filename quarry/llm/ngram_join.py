@@ -48,8 +48,10 @@ MAX_FREQUENT, COUNTED = 200_000, 1_000_000
 TILE_MIN, TILE_MAX, TILES = 64, 2048, 32
 #: Nodes of a shingle whose pairs are written out, at most.
 PAIRED = 64
-#: Bits of the bitmap that screens pairs before any set travels.
+#: Bits of the bitmap that screens pairs before any set travels, at least; a larger set has about one for each element, as a full bitmap tells nothing apart.
 SCREEN_BITS = 2048
+#: Bits, 64 a row, of the table that tells which texts are asked for again.
+ASKED_BITS = 1 << 23
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +109,7 @@ def _describe(n: int):
         held, size = [], 0
         for batch in tx.chunks(batches, "text"):
             values, bounds = _sets(batch.column("text"), n)
-            maps = _bitmaps([values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], SCREEN_BITS)
+            maps = [_bitmaps([values[a:b]], _screen_bits(int(b - a))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), tx.as_long(_node(values, bounds)), pa.array([m.tobytes() for m in maps], pa.binary()), none, none],
@@ -186,6 +188,18 @@ def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
+def _screen_bits(n: int) -> int:
+    return max(SCREEN_BITS, 1 << max(0, n - 1).bit_length())
+
+
+def _folded(bitmap: bytes, width: int) -> np.ndarray:
+    """The parity bitmap of fewer bits, of the same set."""
+    out = np.frombuffer(bitmap, np.uint64)
+    while out.nbytes > width:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
 def _partners(i: int, sizes: np.ndarray, sides: np.ndarray, maps: np.ndarray, num: int, den: int) -> np.ndarray:
     """Later rows that row i may link with, by size, side and the bitmaps' bound; rows are in order of size."""
     end = int(np.searchsorted(sizes, sizes[i] * den // num, "right"))  # larger sets can't link
@@ -214,12 +228,16 @@ def _screen(num: int, den: int):
 
     def run(table: pa.Table) -> pa.Table:
         sizes, sides = np.asarray(table.column("n")), np.asarray(table.column("side"))
-        maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        maps = table.column("bitmap").to_pylist()
         keep = np.zeros(table.num_rows, bool)
         for rows in _by_cell(table):
             rows = rows[np.argsort(sizes[rows], kind="stable")]
-            n, s, m = sizes[rows], sides[rows], maps[rows]
+            n, s, width = sizes[rows], sides[rows], 0
             for i in range(len(rows) - 1):
+                if len(maps[rows[i]]) != width:  # later rows are as wide or wider, and are folded to this row's width
+                    width = len(maps[rows[i]])
+                    m = np.zeros((len(rows), width // 8), np.uint64)
+                    m[i:] = [_folded(maps[r], width) for r in rows[i:]]
                 js = _partners(i, n, s, m, num, den)
                 if len(js):
                     keep[rows[i]] = True
@@ -274,20 +292,30 @@ def _verify(num: int, den: int):
 
 
 def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, band, node) of the shingles of several nodes, each row once: those of at most ``PAIRED`` nodes, and the others."""
+    """The shingles of several nodes: (token, held) of those of at most ``PAIRED`` nodes, held: (band, node) of each; (token, band, node) of the others."""
     multi = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
     shared = cut(join_grouped(rows, multi, ["token"]).select("token", "band", "node").distinct())
-    held = shared.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    held = cut(shared.groupBy("token").agg(F.count(F.lit(1)).alias("held")))
+    small = shared.join(held.where(F.col("held") <= PAIRED).select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("band", "node")).alias("held"))
     # few shingles are frequent
-    small = join_grouped(shared, held.where(F.col("held") <= PAIRED).select("token"), ["token"]).select("token", "band", "node")
     large = join_grouped(shared, held.where(F.col("held") > PAIRED).select("token"), ["token"]).select("token", "band", "node")
     return small, large
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b, that a shingle and their bands let link; from (token, band, node) of shingles of few nodes."""
-    other = rows.select("token", F.col("band").alias("o_band"), F.col("node").alias("b"))
-    return rows.join(other, "token").where((F.col("node") < F.col("b")) & (F.abs(F.col("band") - F.col("o_band")) <= 1)).select(F.col("node").alias("a"), "b").distinct()
+def _pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, that a shingle and their bands let link; from (token, held) of shingles of few nodes, held: (band, node) of each."""
+    one = lists.select("held", F.explode("held").alias("x"))
+    later = F.filter("held", lambda y: (F.col("x.node") < y["node"]) & (F.abs(F.col("x.band") - y["band"]) <= 1))
+    return one.select(F.col("x.node").alias("a"), F.explode(F.transform(later, lambda y: y["node"])).alias("b")).distinct()
+
+
+def _asked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among the ids, and few others: a bit for each id's hash is told to every task, so that other texts need not travel."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ASKED_BITS))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    word = F.floor(F.col("_place") / 64)
+    bits = ids.select(place.alias("_place")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))  # ASKED_BITS / 64 rows at most
+    return rows.withColumn("_place", place).join(F.broadcast(bits), word == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
 def _ties(shared: DataFrame) -> DataFrame:
@@ -364,7 +392,9 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     maps = rows.select("doc_id", F.col("node").alias("m_node"), "bitmap").join(members, (F.col("doc_id") == F.col("rep")) & (F.col("m_node") == F.col("node"))).groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     screened = cells.join(maps, "node").groupBy("bin").applyInArrow(_screen(num, den), "bin long, cell long, side int, node long")
     wanted = screened.groupBy("node").agg(F.collect_list(F.struct("bin", "cell", "side")).alias("cells")).join(members.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("want"), "cells")
-    texts = known.join(wanted, "doc_id").select("text", F.col("want").alias("node"), "cells")
+    wanted = cut(wanted)
+    release(wanted)  # bitmaps have served
+    texts = _asked(known, wanted).join(wanted, "doc_id").select("text", F.col("want").alias("node"), "cells")
     pieces = texts.mapInArrow(_with_sets(n), "bin long, cell long, side int, node long, shingles binary")
     links = pieces.groupBy("bin").applyInArrow(_verify(num, den), "a long, b long")
     linked = connected_components(links).select("node", "root")

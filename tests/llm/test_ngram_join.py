@@ -1,7 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import ngram_join as nj
 from quarry.llm.common import connected_components
@@ -80,6 +83,24 @@ def test_chance_meetings_make_no_chain(spark, monkeypatch):
     assert got == brute(rows, 5, 80, 100) and edges == [0, 0]
 
 
+def test_long_sets_that_meet_by_chance_are_told_apart():
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.integers(0, 2**63, size, dtype=np.uint64)) for size in (9000, 8100, 9500, 300, 320)]
+    sets.append(np.sort(np.concatenate([sets[0][:8900], sets[1][:50]])))  # links with the first
+    table = pa.table({
+        "bin": [0] * 6, "cell": [0] * 6, "side": [2] * 6, "node": list(range(6)), "n": [len(x) for x in sets],
+        "bitmap": pa.array([nj._bitmaps([x], nj._screen_bits(len(x))).tobytes() for x in sets], pa.binary()),
+    })
+    assert nj._screen(85, 100)(table).column("node").to_pylist() == [0, 5]
+    assert (nj._folded(table.column("bitmap")[0].as_py(), 256) == nj._bitmaps([sets[0]], 2048)[0]).all()
+
+
+def test_texts_asked_for_alone_travel(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    got = {r.doc_id for r in nj._asked(rows, rows.where("doc_id % 100 = 7").select("doc_id")).collect()}
+    assert got >= set(range(7, 4000, 100)) and len(got) < 60
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "A b c d e f"), (5, None), (5, None)], "doc_id long, text string")
     got = sorted(map(tuple, nj.link_components(df).collect()), key=str)
