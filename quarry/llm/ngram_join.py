@@ -16,7 +16,7 @@ den * |intersection| >= num * |union|.  Documents with equal sets are one node.
    task.  A large component thus is many small tasks; no pairs of its rows are emitted.
 3. In a cell of partners or a pair of tiles, parity bitmaps of the sets give a lower bound of the symmetric
    difference by counting bits of an exclusive or, so an upper bound of the overlap.  A first pass
-   moves bitmaps only; nodes that keep a possible partner send their sets, and survivors of
+   moves bitmaps only, wider ones for larger sets; nodes that keep a possible partner send their sets, and survivors of
    the bound are intersected exactly.  Pairs already connected there are skipped, and only the links that
    connect are returned: at most one a node and tile pair.
 4. Connected components of the links are the result.
